@@ -8,10 +8,13 @@ only pairs (centre, member) become candidates, so their count is bounded by the
 bucket rows. Candidates are confirmed on the full sets of the two texts.
 
 A star alone could miss a link between two members that are not linked with the
-centre. Buckets whose members end up in different components are therefore
-worked off exactly: in rounds, further members are pivots, each compared with
-the bucket's remaining members of other components and then retired, until no bucket is
-left. No bucket is capped, none is expanded into all its pairs.
+centre. Members of buckets that end up in different components therefore go
+through an exact second search: linked sets of n shingles must share one of their first
+n - ceil(0.85 n) + 1 shingles in any common order, so these prefixes, rarest shingles
+first, are buckets again. Large families of texts that are alike but not linked fall apart
+there, since what each has of its own is rare. In these buckets, in rounds, members are pivots, each compared
+with the bucket's remaining members of other components and then retired, until no bucket with
+two components is left. No bucket is capped, none is expanded into all its pairs.
 
 Nulls and edges: null and empty texts, and texts without a word, have an empty
 set and link with nothing; texts of fewer than five words have the whole sequence as
@@ -37,7 +40,9 @@ BANDS, ROWS = 40, 6
 #: Smaller sets can only link with identical ones: 5 of 6 shingles are below 85 percent.
 LEAST_SIZE = 6
 #: Pivots of one bucket in one exact round, at most; the rounds go on until none is left.
-PIVOTS = 64
+PIVOTS = 1024
+#: Slots of the hashed counts by which prefixes are ordered; any order is exact, a rarer-first one is fast.
+SLOTS = 1 << 20
 
 _BINS = BANDS * ROWS
 _PROBES = np.random.Generator(np.random.PCG64(11)).integers(0, _BINS, (1 << 12, _BINS))
@@ -122,6 +127,43 @@ def _confirm(batches):
             yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(ok)], names=["a", "b", "linked"])
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _slot_counts(batches):
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for piece in slices(batch, "text"):
+            for s in shingle_sets(piece.column("text")):
+                np.add.at(total, _slot(s), 1)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """``key``, ``place``, ``node``, ``n``: the shingles of each text's prefix with their places, in the order of hashed counts, then hashes."""
+    rows = texts.select("doc_id", "text").mapInArrow(_slot_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = np.zeros(SLOTS, np.int64)
+    table = rows.toArrow()  # SLOTS rows at most
+    counts[table["slot"].to_numpy()] = table["n"].to_numpy()
+    held = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(batch.column(1))
+        keys = []
+        for s in sets:
+            first = len(s) - (PERCENT * len(s) + 99) // 100 + 1 if len(s) else 0
+            keys.append(s[np.lexsort((s, held.value[_slot(s)]))[:first]])
+        at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+        columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "n", "keys"])
+
+    found = texts.select("doc_id", "text").mapInArrow(chunked(run, "text"), "node bigint, n bigint, keys array<bigint>")
+    return found.select(F.posexplode("keys").alias("place", "key"), "node", "n")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with ``linked``: whether any texts of the two ids meet the threshold."""
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -135,6 +177,44 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(keys.select("key"), "key", "left_semi")
 
 
+def _in_components(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _work_off(rest: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Components once every two rows of one bucket are linked, compared, in one component, or cannot be linked.
+
+    ``rest`` has ``key``, ``place``, ``node``, ``n``. If the first shingle that two sets share has ``r`` and ``s`` shingles
+    after it, they share at most 1 + min(r, s); pairs for which that is too few are not compared.
+    """
+    compared = None
+    turn = 0
+    while True:
+        rest = materialize(_mixed(_in_components(rest, found)), "rest")
+        if rest.isEmpty():
+            return found
+        slots = min(PIVOTS, 256 << turn)
+        pivots = rest.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(
+            F.min("node").alias("pivot"), F.min_by("n", "node").alias("pivot_n"),
+            F.min_by("place", "node").alias("pivot_place"), F.min_by("component", "node").alias("pivot_c"),
+        )
+        near = rest.join(pivots, "key").filter(
+            f"component <> pivot_c AND 100 * least(n, pivot_n) >= {PERCENT} * greatest(n, pivot_n)"
+            f" AND {100 + PERCENT} * least(n - place, pivot_n - pivot_place) >= {PERCENT} * (n + pivot_n)"
+        )
+        pairs = near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        checked = materialize(confirm(pairs, texts), "links")
+        compared = checked.select("a", "b") if compared is None else compared.unionByName(checked.select("a", "b"))
+        fresh = checked.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if not fresh.isEmpty():
+            found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(fresh))
+        done = pivots.select("key", F.col("pivot").alias("node"))
+        rest = rest.join(done, ["key", "node"], "left_anti").select("key", "place", "node", "n")
+        turn += 1
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``."""
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -144,50 +224,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # Identical sets become one node, their smallest id.
     marks = ["n_shingles", "mark1", "mark2"]
     full = feats.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy(*marks).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    classes = materialize(full.groupBy(*marks).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
     shared = full.select("doc_id", *marks).join(classes.filter("copies > 1"), marks)
     same = shared.filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    nodes = materialize(classes.select("node", *marks), "classes")
 
-    lead = feats.filter(f"n_shingles >= {LEAST_SIZE}").join(
-        nodes.select(F.col("node").alias("doc_id"), *marks), ["doc_id", *marks], "left_semi"
-    )
+    nodes = classes.filter(f"n_shingles >= {LEAST_SIZE}").select(F.col("node").alias("doc_id"), *marks)
+    lead = feats.filter(f"n_shingles >= {LEAST_SIZE}").join(nodes, ["doc_id", *marks], "left_semi")
     rows = lead.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
     buckets = materialize(rows.join(hubs.select("key", "hub"), "key"), "buckets")
 
+    # From here on only texts that share a bucket are read.
+    meeting = buckets.select(F.col("node").alias("doc_id")).distinct()
+    near_texts = materialize(texts.join(meeting, "doc_id", "left_semi"), "texts")
     stars = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    checked = materialize(confirm(stars, texts), "links")
-    links = checked.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    links = links.unionByName(same)
+    links = confirm(stars, near_texts).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = components(links)
 
-    checked_all = checked.select("a", "b")
-    rest = buckets.filter("node <> hub").select("key", "node", "n")
-    turn = 0
-    while True:
-        here = rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rest = materialize(_mixed(here), "rest")
-        if rest.isEmpty():
-            break
-        slots = min(PIVOTS, 8 << turn)
-        pivots = rest.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(
-            F.min("node").alias("pivot"), F.min_by("n", "node").alias("pivot_n"), F.min_by("component", "node").alias("pivot_c")
-        )
-        near = rest.join(pivots, "key").filter(
-            f"component <> pivot_c AND 100 * least(n, pivot_n) >= {PERCENT} * greatest(n, pivot_n)"
-        )
-        pairs = near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        pairs = pairs.join(checked_all, ["a", "b"], "left_anti")
-        checked = materialize(confirm(pairs, texts), "links")
-        checked_all = checked_all.unionByName(checked.select("a", "b"))
-        fresh = checked.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(fresh)
-        if not fresh.isEmpty():
-            found = components(links)
-        done = pivots.select("key", F.col("pivot").alias("node"))
-        rest = rest.join(done, ["key", "node"], "left_anti").select("key", "node", "n")
-        turn += 1
+    unsettled = _mixed(_in_components(buckets.filter("node <> hub").select("key", "node", "n"), found))
+    unsettled = materialize(unsettled.select(F.col("node").alias("doc_id")).distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        found = _work_off(prefixes(near_texts.join(unsettled, "doc_id", "left_semi")), near_texts, found)
+    found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(same))
 
     groups = found.select(F.col("node").alias("doc_id"), "component")
     out = feats.select("doc_id", "n_shingles").join(groups, "doc_id", "left")
