@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textbatch import Texts, chunked
+from tidemark.llm.textbatch import Texts, chunked, map_texts
 
 BUCKETS = 1 << 16
 DIM = 12
@@ -155,12 +155,4 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``__row`` (the columns in ``carry``, or all) and ``score`` for each row."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS doubles, whatever the input
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = held.value.score(batch.column(1))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["__row", "score"])
-
-    row = F.struct(*[F.col(f"`{c}`") for c in (carry or docs.columns)])
-    packed = docs.select(row.alias("__row"), F.col(f"`{text}`").cast("string").alias("__text"))
-    row_type = packed.schema["__row"].dataType.simpleString()
-    return packed.mapInArrow(chunked(run, "__text"), f"__row {row_type}, score double")
+    return map_texts(docs, text, carry, lambda column: {"score": pa.array(held.value.score(column), pa.float64())}, "score double")

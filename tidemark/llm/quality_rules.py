@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textbatch import Texts, chunked, mix, windows
+from tidemark.llm.textbatch import Texts, map_texts, mix, windows
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -69,18 +69,14 @@ def _within(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return mix(hashes ^ mix(owner.astype(np.uint64) + np.uint64(1)))
 
 
-def _counts_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = rule_counts(batch.column(1))
-    counts = pa.StructArray.from_arrays([pa.array(found[k], pa.int64()) for k in FEATURES], names=list(FEATURES))
-    return pa.RecordBatch.from_arrays([batch.column(0), counts], names=["__row", "__rules"])
+def _rules(column: pa.Array) -> dict[str, pa.Array]:
+    found = rule_counts(column)
+    return {"__rules": pa.StructArray.from_arrays([pa.array(found[k], pa.int64()) for k in FEATURES], names=list(FEATURES))}
 
 
 def with_rules(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``__row`` (the columns in ``carry``, or all) and ``__rules`` (the counts) for each row."""
-    row = F.struct(*[F.col(f"`{c}`") for c in (carry or docs.columns)])
-    packed = docs.select(row.alias("__row"), F.col(f"`{text}`").cast("string").alias("__text"))
-    row_type = packed.schema["__row"].dataType.simpleString()
-    return packed.mapInArrow(chunked(_counts_batch, "__text"), f"__row {row_type}, __rules {_STRUCT}")
+    return map_texts(docs, text, carry, _rules, f"__rules {_STRUCT}")
 
 
 def base_failed(rules: str = "__rules") -> Column:

@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; bounds the temporary arrays of a Python worker.
 CHUNK_BYTES = 1 << 20
@@ -64,17 +66,22 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with about ``limit`` bytes of text, one row at least."""
-    _, off = text_buffer(batch.column(batch.schema.get_field_index(column)))
+def _cut(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    _, off = text_buffer(column)
     at = 0
-    while at < batch.num_rows:
+    while at < len(column):
         end = int(np.searchsorted(off, off[at] + limit, "right")) - 1
-        end = min(max(end, at + 1), batch.num_rows)
-        yield batch.slice(at, end - at)
+        end = min(max(end, at + 1), len(column))
+        yield at, end - at
         at = end
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows with about ``limit`` bytes of text, one row at least."""
+    for at, n in _cut(batch.column(batch.schema.get_field_index(column)), limit):
+        yield batch.slice(at, n)
+
+
 def chunked(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str) -> Callable:
     """A ``mapInArrow`` function that applies ``fn`` to each slice."""
 
@@ -86,6 +93,30 @@ def chunked(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str) -> Call
     return run
 
 
+def map_texts(docs: DataFrame, text: str, carry: list[str] | None, fn: Callable[[pa.Array], dict[str, pa.Array]], schema: str) -> DataFrame:
+    """``__row`` (the columns in ``carry``, or all, as a struct) and what ``fn`` makes of each slice of texts.
+
+    Packing the columns keeps their names apart from those of the results. A carried text column is read from
+    the struct, so that it is sent to Python once.
+    """
+    names = list(dict.fromkeys(carry or docs.columns))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")
+    inside = text in names and docs.schema[text].dataType.simpleString() == "string"
+    packed = docs.select(row) if inside else docs.select(row, F.col(f"`{text}`").cast("string").alias("__text"))
+    place = names.index(text) if inside else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0)
+            column = batch.column(1) if place is None else rows.field(place)
+            for at, n in _cut(column, CHUNK_BYTES):
+                made = fn(column.slice(at, n))
+                yield pa.RecordBatch.from_arrays([rows.slice(at, n), *made.values()], names=["__row", *made])
+
+    row_type = packed.schema["__row"].dataType.simpleString()
+    return packed.mapInArrow(run, f"__row {row_type}, {schema}")
+
+
 class Texts:
     """Words, characters and lines of a column of texts."""
 
