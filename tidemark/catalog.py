@@ -39,7 +39,10 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-SIZE = F.octet_length("payload").cast("bigint")
+def _size():
+    return F.octet_length("payload").cast("bigint")
+
+
 _EVENT = "SELECT event_id + 1 AS position, 'e' || event_id AS record_id, event_type || '|' || coalesce(props, '') AS payload FROM events"
 _TURN = "SELECT conv_id, turn + 1 AS position, conv_id || '-' || turn AS record_id, role, coalesce(text, '') AS payload FROM conversations"
 _CUT = "max(CASE WHEN size > {record} OR running > {total} THEN 1 ELSE 0 END) OVER ({over} ROWS UNBOUNDED PRECEDING)"
@@ -71,7 +74,7 @@ def record_page_refusal(spark, sf):
     asked = [(0, 2000000, Limits(8, 4096, 4096), 0), (10, 90, Limits(8, 4096, 4096), 20), (10, 90, Limits(8, 4096, 1), 0), (10, 90, Limits(8, 4096, 4096), 0)]
     out = None
     for i, (after, target, limits, floor) in enumerate(asked, 1):
-        row = records.page_refusal(e, after, target, limits, SIZE, floor).select(F.lit(i).alias("asked"), "refusal")
+        row = records.page_refusal(e, after, target, limits, _size(), floor).select(F.lit(i).alias("asked"), "refusal")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -83,7 +86,7 @@ c AS (SELECT *, {_CUT.format(record=512, total=1024, over='ORDER BY position')}
 SELECT position, record_id, payload FROM c WHERE cut = 0""")
 def record_page_late_payload(spark, sf):
     e = B.event_records(spark, sf)
-    sized = records.Positioned(e.df.withColumn("size", SIZE), e.raw, e.shift)
+    sized = records.Positioned(e.df.withColumn("size", _size()), e.raw, e.shift)
     return records.page_late(sized, 200, 600, Limits(64, 1024, 512), "size", "payload").select("position", "record_id", "payload")
 
 
@@ -103,8 +106,8 @@ SELECT head, position, size FROM c WHERE cut = 0""")
 def record_open_page(spark, sf):
     e = B.event_records(spark, sf)
     head = e.head().first()["head"]
-    rows = records.page(e, 900, head, Limits(32, 640, 256), SIZE)
-    return rows.select(F.lit(head).cast("bigint").alias("head"), "position", SIZE.alias("size"))
+    rows = records.page(e, 900, head, Limits(32, 640, 256), _size())
+    return rows.select(F.lit(head).cast("bigint").alias("head"), "position", _size().alias("size"))
 
 
 @_register("record_pages_greedy", """
@@ -126,7 +129,7 @@ c AS (SELECT *, {_CUT.format(record=4096, total=65536, over='ORDER BY position')
 SELECT position, record_id, payload FROM c WHERE cut = 0""")
 def replica_cached_read(spark, sf):
     checkpoint = 300
-    rows = records.page(B.event_records(spark, sf), 250, min(400, checkpoint), Limits(128, 65536, 4096), SIZE)
+    rows = records.page(B.event_records(spark, sf), 250, min(400, checkpoint), Limits(128, 65536, 4096), _size())
     return rows.select("position", "record_id", "payload")
 
 
@@ -177,7 +180,7 @@ WITH a AS (SELECT position, strlen(payload) AS size FROM ({_EVENT}) WHERE positi
 SELECT CAST(coalesce(sum(size) FILTER (WHERE position <= 400), 0) AS BIGINT) AS duplicate_bytes, count(*) FILTER (WHERE position <= 400) AS duplicate_records, CAST(sum(size) AS BIGINT) AS payload_bytes FROM a""")
 def wire_duplicate_bytes(spark, sf):
     e = B.event_records(spark, sf)
-    received = e.between(0, 400).unionByName(e.between(350, 700)).select("position", SIZE.alias("size"))
+    received = e.between(0, 400).unionByName(e.between(350, 700)).select("position", _size().alias("size"))
     return records.duplicate_bytes(received, 400)
 
 
@@ -190,7 +193,7 @@ c AS (SELECT *, {_CUT.format(record=500, total=600, over='PARTITION BY conv_id O
 SELECT conv_id, min(position) FILTER (WHERE cut = 0) AS first, max(position) AS watermark, count(*) FILTER (WHERE cut = 0) AS records,
   CAST(coalesce(sum(size) FILTER (WHERE cut = 0), 0) AS BIGINT) AS bytes, CASE WHEN count(*) FILTER (WHERE cut = 0) = 0 THEN 'OversizedRecord' END AS refusal FROM c GROUP BY conv_id""")
 def tail_per_stream(spark, sf):
-    return history.tails(B.turns(spark, sf), "conv_id", "position", SIZE, Limits(4, 600, 500))
+    return history.tails(B.turns(spark, sf), "conv_id", "position", _size(), Limits(4, 600, 500))
 
 
 _OLDER = f"""
@@ -200,12 +203,12 @@ oc AS (SELECT *, {_CUT.format(record=2000, total=2000, over='PARTITION BY conv_i
 
 
 def _older(spark, sf):
-    return history.older_pages(B.turns(spark, sf), "conv_id", "position", F.lit(6), SIZE, Limits(3, 2000, 2000))
+    return history.older_pages(B.turns(spark, sf), "conv_id", "position", F.lit(6), _size(), Limits(3, 2000, 2000))
 
 
 @_register("older_page", f"WITH {_OLDER} SELECT conv_id, position, record_id, CAST(size AS BIGINT) AS size FROM oc WHERE cut = 0")
 def older_page(spark, sf):
-    return _older(spark, sf).select("conv_id", "position", "record_id", SIZE.alias("size"))
+    return _older(spark, sf).select("conv_id", "position", "record_id", _size().alias("size"))
 
 
 @_register("older_missing_prefix", f"WITH {_OLDER} SELECT conv_id, position, record_id FROM oc WHERE cut = 0 AND position < 4")
