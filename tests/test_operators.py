@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import artifacts, catalogue, history, ordering, projections, records, retention
+from tidemark.operators import artifacts, catalogue, history, ordering, projections, records, retention, validate
 from tidemark.schema import Limits, Refusal, Scope
 
 
@@ -111,8 +111,8 @@ def test_collection_is_strict_and_bounded(spark):
 
 
 @pytest.mark.parametrize("before, after, want", [
-    ((1, 5, False), (2, 6, False), "Conflict"), ((1, 5, False), (1, 4, False), "RevisionRegressed"),
-    ((1, 5, True), (1, 6, False), "DeletionFence"), ((1, 5, False), (1, 5, True), "Conflict"), ((1, 5, False), (1, 6, True), None),
+    ((1, 5, False), (2, 6, False), "WrongPayload"), ((1, 5, False), (1, 4, False), "WrongPayload"),
+    ((1, 5, True), (1, 6, False), "DeletionFence"), ((1, 5, False), (1, 5, True), "WrongPayload"), ((1, 5, False), (1, 6, True), None),
 ])
 def test_transitions(spark, before, after, want):
     kind = "creation bigint, revision bigint, deleted boolean".replace(" bigint", ":bigint").replace(" boolean", ":boolean")
@@ -186,7 +186,7 @@ def test_masks_and_fields(spark):
 
 
 def test_ids(spark):
-    rows = [("x" * 128, None), ("x" * 129, "IdTooLong"), (" \t  ", "BlankId"), ("é" * 64, None), ("é" * 65, "IdTooLong")]
+    rows = [("x" * 128, None), ("x" * 129, "InvalidId"), (" \t  ", "InvalidId"), ("é" * 64, None), ("é" * 65, "InvalidId")]
     for r in spark.createDataFrame(rows, "id string, want string").select(C.id_refusal(F.col("id")).alias("got"), "want").collect():
         assert r["got"] == r["want"]
     with pytest.raises(Refusal):
@@ -200,3 +200,38 @@ def test_task_board(spark):
     assert [r["position"] for r in projections.task_violations(df).collect()] == [6]
     text = spark.createDataFrame([(1, 1, "<script>hello")], "s int, p int, t string")
     assert projections.transcript(text, "s", "p", "t").first()["text"] == "&lt;script&gt;hello"
+
+
+def _pages(spark, rows, **request):
+    r = {"after": 10, "target": 14, "max_records": 3, "max_bytes": 20, "max_record_bytes": 9} | request
+    req = spark.createDataFrame([(1, *r.values())], "page int, " + ", ".join(f"{k} bigint" for k in r))
+    df = spark.createDataFrame([(1, i + 1, *x) for i, x in enumerate(rows)], "page int, ordinal int, position bigint, record_id string, size bigint, same_scope boolean")
+    return validate.pages(df, req).first()["refusal"]
+
+
+@pytest.mark.parametrize("rows, request_, want", [
+    ([(11, "a", 5, True), (12, "b", 5, True)], {}, None),
+    ([], {}, "EmptyPage"),
+    ([(11, "a", 5, True)], {"target": 10}, "InvalidRange"),
+    ([(11, "a", 1, True), (12, "b", 1, True), (13, "c", 1, True), (14, "d", 1, True)], {}, "BoundsExceeded"),
+    ([(11, "a", 5, True), (12, "a", 5, True)], {}, "WrongRecord"),
+    ([(11, "a", 5, False)], {}, "WrongRecord"),
+    ([(11, "a", 10, True)], {}, "OversizedRecord"),
+    ([(11, "a", 9, True), (12, "b", 9, True), (13, "c", 9, True)], {}, "BoundsExceeded"),
+    ([(12, "a", 5, True)], {}, "Noncontiguous"),
+    ([(11, "a", 5, True), (12, "b", 5, True)], {"target": 11}, "Noncontiguous"),
+    ([(12, "a", 10, True)], {}, "OversizedRecord"),
+])
+def test_page_rules_in_order(spark, rows, request_, want):
+    assert _pages(spark, rows, **request_) == want
+
+
+def test_history_and_manifest_rules(spark):
+    req = spark.createDataFrame([(1, 1, 5, 6, 1, 3, 20, 9), (2, 1, 5, 7, 1, 3, 20, 9), (3, 1, 5, 6, 6, 3, 20, 9), (4, 0, 5, 6, 1, 3, 20, 9)], "page int, generation bigint, first bigint, last bigint, oldest bigint, max_records bigint, max_bytes bigint, max_record_bytes bigint")
+    rows = spark.createDataFrame([(p, i, 4 + i, f"r{i}", 3, True) for p in (1, 2, 3, 4) for i in (1, 2)], "page int, ordinal int, position bigint, record_id string, size bigint, same_scope boolean")
+    got = {r["page"]: r["refusal"] for r in validate.history_pages(rows, req).collect()}
+    assert got == {1: None, 2: "InvalidBoundary", 3: "InvalidBoundary", 4: "InvalidRequest"}
+    req = spark.createDataFrame([(p, 2, 9, 1, 1, "b", 2, more) for p, more in ((1, False), (2, False), (3, True), (4, False), (5, False))], "page int, completed bigint, boundary bigint, generation bigint, cursor_creation bigint, cursor_id string, max_entries int, has_more boolean")
+    rows = spark.createDataFrame([(1, 1, "c", 1, 3), (1, 2, "a", 2, 4), (2, 1, "a", 1, 3), (4, 1, "x", 10, 11), (5, 1, "c", 3, 3), (5, 2, "c", 4, 4)], "page int, ordinal int, entry_id string, creation bigint, revision bigint")
+    got = {r["page"]: r["refusal"] for r in validate.manifests(rows, req).collect()}
+    assert got == {1: None, 2: "InvalidOrder", 3: "NoProgress", 4: "InvalidOrder", 5: "InvalidOrder"}

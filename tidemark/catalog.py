@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import bindings as B
 from tidemark.functions import columns as C
-from tidemark.operators import artifacts, catalogue, history, ordering, projections, records, retention
+from tidemark.operators import artifacts, catalogue, history, ordering, projections, records, retention, validate
 from tidemark.schema import RECORDS, Limits, Refusal
 from tidemark.sources.commitlog import CommitLog
 from tidemark.streaming.follow import follow
@@ -539,7 +539,7 @@ def hint_coalesced_head(spark, sf):
 
 @_register("identity_refusals", """
 WITH i AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN repeat('x', CAST(100 + event_id % 60 AS INTEGER)) WHEN 1 THEN '   ' WHEN 2 THEN repeat('é', CAST(50 + event_id % 30 AS INTEGER)) ELSE event_type END AS id FROM events)
-SELECT event_id, CASE WHEN strlen(id) > 128 THEN 'IdTooLong' WHEN regexp_full_match(id, '[\\s\\p{Z}]*') THEN 'BlankId' END AS refusal FROM i""")
+SELECT event_id, CASE WHEN strlen(id) > 128 OR regexp_full_match(id, '[\\s\\p{Z}]*') THEN 'InvalidId' END AS refusal FROM i""")
 def identity_refusals(spark, sf):
     k = F.col("event_id")
     name = (
@@ -549,6 +549,29 @@ def identity_refusals(spark, sf):
     return B.table(spark, sf, "events").select("event_id", C.id_refusal(name).alias("refusal"))
 
 
+@_register("page_refusals", f"""
+WITH e AS ({_EVENT}), r AS (SELECT (position - 1) // 16 AS page, (position - 1) % 16 + 1 AS ordinal, position + CASE WHEN ((position - 1) // 16) % 5 = 1 AND position % 16 = 9 THEN 1 ELSE 0 END AS position,
+ CASE WHEN ((position - 1) // 16) % 5 = 2 AND position % 16 = 12 THEN 'twice' WHEN ((position - 1) // 16) % 5 = 2 AND position % 16 = 3 THEN 'twice' ELSE record_id END AS record_id,
+ CAST(strlen(payload) AS BIGINT) AS size, NOT (((position - 1) // 16) % 5 = 3 AND position % 16 = 5) AS same_scope FROM e),
+m AS (SELECT *, sum(size) OVER (PARTITION BY page ORDER BY ordinal) AS total, row_number() OVER (PARTITION BY page, record_id ORDER BY ordinal) > 1 AS repeated FROM r),
+k AS (SELECT *, CASE WHEN NOT same_scope OR repeated THEN 'WrongRecord' WHEN size > 4096 THEN 'OversizedRecord' WHEN total > 400 THEN 'BoundsExceeded' WHEN position <> page * 16 + ordinal THEN 'Noncontiguous' END AS code FROM m)
+SELECT page, arg_min(code, ordinal) FILTER (WHERE code IS NOT NULL) AS refusal FROM k GROUP BY page""")
+def page_refusals(spark, sf):
+    """Pages of 16 events, some with a gap, a repeated id or a foreign record, all against one budget."""
+    p = F.col("position")
+    page = F.floor((p - 1) / 16)
+    rows = B.event_records(spark, sf).all().select(
+        page.alias("page"), ((p - 1) % 16 + 1).alias("ordinal"), (p + F.when((page % 5 == 1) & (p % 16 == 9), 1).otherwise(0)).alias("position"),
+        F.when((page % 5 == 2) & (p % 16).isin(3, 12), "twice").otherwise(F.col("record_id")).alias("record_id"),
+        _size().alias("size"), (~((page % 5 == 3) & (p % 16 == 5))).alias("same_scope"),
+    )
+    after = F.col("page") * 16
+    requests = rows.select("page").distinct().select(
+        "page", after.alias("after"), (after + 16).alias("target"), F.lit(16).alias("max_records"), F.lit(400).alias("max_bytes"), F.lit(4096).alias("max_record_bytes")
+    )
+    return validate.pages(rows, requests)
+
+
 @_register("mask_round_trip", "SELECT event_id, event_id * 65537 AS mask, lpad(lower(hex(event_id * 65537)), 16, '0') AS bytes_hex FROM events")
 def mask_round_trip(spark, sf):
     rows = B.table(spark, sf, "events").select("event_id", C.mask_to_bytes(F.col("event_id") * 65537).alias("b"))

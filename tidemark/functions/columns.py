@@ -20,7 +20,7 @@ def sha256(value: Column) -> Column:
 
 def id_refusal(value: Column) -> Column:
     """The code by which an identity is refused, or null. Blank counts all Unicode white space."""
-    return F.when(F.octet_length(value) > MAX_ID_BYTES, "IdTooLong").when(value.rlike(r"^[\s\p{Z}\x{85}]*$"), "BlankId")
+    return F.when((F.octet_length(value) > MAX_ID_BYTES) | value.rlike(r"^[\s\p{Z}\x{85}]*$"), "InvalidId")
 
 
 def first_refusal(*rules: tuple[Column, str]) -> Column:

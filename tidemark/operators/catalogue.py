@@ -96,12 +96,9 @@ def transition_refusal(before: str, after: str) -> Column:
     def a(n: str) -> Column:
         return F.col(f"{after}.{n}")
 
-    return (
-        F.when(b("creation") != a("creation"), "Conflict")
-        .when(a("revision") < b("revision"), "RevisionRegressed")
-        .when(b("deleted") & ~a("deleted"), "DeletionFence")
-        .when((a("revision") == b("revision")) & (a("deleted") != b("deleted")), "Conflict")
-    )
+    turned = (a("revision") == b("revision")) & (a("deleted") != b("deleted"))
+    wrong = (b("creation") != a("creation")) | (a("revision") < b("revision")) | turned
+    return F.when(wrong, "WrongPayload").when(b("deleted") & ~a("deleted"), "DeletionFence")
 
 
 def merge(cached: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -37,10 +37,8 @@ class Refusal(Exception):
 
 def check_id(text: str) -> str:
     """An identity: not blank and at most 128 bytes, never normalised."""
-    if len(text.encode()) > MAX_ID_BYTES:
-        raise Refusal("IdTooLong")
-    if not text.strip():
-        raise Refusal("BlankId")
+    if len(text.encode()) > MAX_ID_BYTES or not text.strip():
+        raise Refusal("InvalidId")
     return text
 
 
