@@ -22,18 +22,19 @@ import heapq
 import re
 import string
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm.textbatch import chunked
+from tidemark.llm.textbatch import map_texts
 
 MARK = "▁"
-#: Units of each of the two generations that a worker keeps.
-CACHE_UNITS = 160_000
+#: Units that a worker keeps, the first that it meets; a batch that mostly misses them starts the collection anew.
+CACHE_UNITS = 300_000
+STALE_SHARE = 0.5
 #: Units of more symbols than this use a heap instead of the matrix.
 MATRIX_WIDTH = 48
 _NONE = np.iinfo(np.int32).max
@@ -61,7 +62,7 @@ class Pieces:
             for ch in p:
                 self.symbol.setdefault(ch, size + len(self.symbol))
         order = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
-        self.rank_of = np.full(size, _NONE, np.int64)
+        self.rank_of = np.full(size, _NONE, np.int32)
         self.merges: dict[tuple[int, int], int] = {}
         for p, i in self.ids.items():
             self.rank_of[i] = order[scores[p]]
@@ -71,8 +72,16 @@ class Pieces:
                     self.merges[a, b] = i
         self._table()
         self._cuts()
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        #: Encoded units, as the bytes of their ids.
+        self.ids_of: dict[str, bytes] = {}
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        #: Ids in decimal with a space behind, right-aligned in zero bytes.
+        width = len(str(size)) + 1
+        self.decimal = np.frombuffer(b"".join(f"{i} ".encode().rjust(width, b"\0") for i in range(size)), np.uint8).reshape(size, width)
+        self.symbol_at = np.full(0x110000, -1, np.int32)
+        for ch, i in self.symbol.items():
+            if len(ch) == 1:
+                self.symbol_at[ord(ch)] = i
 
     def _table(self) -> None:
         """The merges as an open-addressed table for whole arrays of pairs."""
@@ -93,7 +102,7 @@ class Pieces:
         """The piece that each pair of symbols merges to, or -1; symbols below 0 merge with nothing."""
         key = a.astype(np.int64) << 20 | b
         at = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-        out = np.full(len(key), -1, np.int64)
+        out = np.full(len(key), -1, np.int32)
         open_ = np.flatnonzero((a >= 0) & (b >= 0))
         for _ in range(self.probes):
             there = self.keys[at[open_]]
@@ -120,10 +129,8 @@ class Pieces:
     def cut(self, text: str) -> list[str]:
         return self.units(MARK + text.replace(" ", MARK)) if text else []
 
-    def _spell(self, symbols: list[int], unit: str) -> tuple[int, ...]:
-        """Ids of merged symbols; characters that are no piece become bytes."""
-        if min(symbols) >= 0 and max(symbols) < len(self.rank_of):
-            return tuple(symbols)
+    def _spell(self, symbols: list[int], unit: str) -> bytes:
+        """The bytes of the ids of merged symbols; characters that are no piece become byte pieces."""
         out, at = [], 0
         for s in symbols:
             if 0 <= s < len(self.rank_of):
@@ -132,9 +139,9 @@ class Pieces:
             else:
                 out += [self.byte_ids[b] for b in unit[at].encode()]
                 at += 1
-        return tuple(out)
+        return np.array(out, self.kind).tobytes()
 
-    def agenda(self, unit: str) -> tuple[int, ...]:
+    def agenda(self, unit: str) -> bytes:
         """Merge one unit with a heap of (rank, place) entries."""
         symbols = [self.symbol.get(ch, -1) for ch in unit]
         left, right = list(range(-1, len(unit) - 1)), list(range(1, len(unit) + 1))
@@ -161,13 +168,13 @@ class Pieces:
             offer(a, right[a])
         return self._spell([s for s in symbols if s != gone], unit)
 
-    def agendas(self, units: list[str]) -> list[tuple[int, ...]]:
+    def agendas(self, units: list[str]) -> list[bytes]:
         """Merge units of at most ``MATRIX_WIDTH`` symbols together; each row of the matrices is one agenda."""
         width = max(map(len, units))
-        get = self.symbol.get
-        sym = np.full((len(units), width), -1, np.int64)
+        sym = np.full((len(units), width), -1, np.int32)
         lengths = np.fromiter(map(len, units), np.int64, len(units))
-        sym[np.arange(width) < lengths[:, None]] = [get(ch, -1) for u in units for ch in u]
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sym[np.arange(width) < lengths[:, None]] = self.symbol_at[points]
         out = sym.copy()
         size = lengths.copy()
         live = np.arange(len(units))
@@ -202,60 +209,72 @@ class Pieces:
                 piece[ok, side[ok]] = found
                 rank[ok, side[ok]] = np.where(found >= 0, self.rank_of[found], _NONE)
         used = columns < size[:, None]
-        plain = (~used | (out >= 0) & (out < len(self.rank_of))).all(axis=1).tolist()
-        rows = out.tolist()
-        return [tuple(rows[k][:n]) if plain[k] else self._spell(rows[k][:n], units[k]) for k, n in enumerate(size.tolist())]
-
-    def learn(self, units: list[str]) -> None:
-        """Encode new units, check them against the library, keep them."""
-        by_width: dict[int, list[str]] = {}
-        found: dict[str, tuple[int, ...]] = {}
-        for u in units:
-            n = len(u)
-            if n > MATRIX_WIDTH:
-                found[u] = self.agenda(u)
-            elif n == 1:
-                found[u] = self._spell([self.symbol.get(u, -1)], u)
+        plain = (~used | (out >= 0) & (out < len(self.rank_of))).all(axis=1)
+        item = np.dtype(self.kind).itemsize
+        raw = out.astype(self.kind).tobytes()
+        at, ends = np.arange(len(units)) * width * item, (np.arange(len(units)) * width + size) * item
+        ids = [raw[a:b] for a, b in zip(at.tolist(), ends.tolist())]
+        for k in np.flatnonzero(~plain):
+            ids[k] = self._spell(out[k, : size[k]].tolist(), units[k])
+        return ids
+
+    def learn(self, units: list[str]) -> dict[str, bytes]:
+        """Encode new units and check them against the library."""
+        units.sort(key=len)
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        found: list[bytes] = []
+        # Groups of like lengths, so that rows of a matrix need little padding.
+        steps = [1, *range(2, 16), *range(16, MATRIX_WIDTH, 8), MATRIX_WIDTH]
+        cuts = [0, *np.searchsorted(lengths, steps, "right").tolist(), len(units)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            if lengths[b - 1] > MATRIX_WIDTH:
+                found += map(self.agenda, units[a:b])
+            elif lengths[b - 1] == 1:
+                found += [self._spell([self.symbol.get(u, -1)], u) for u in units[a:b]]
             else:
-                by_width.setdefault(n if n < 16 else -(-n // 8) * 8, []).append(u)
-        for group in by_width.values():
-            found.update(zip(group, self.agendas(group)))
-        self.check(found)
-        for u, ids in found.items():
-            self.cache[u] = ids, " ".join(map(str, ids))
-
-    def check(self, found: dict[str, tuple[int, ...]]) -> None:
+                found += self.agendas(units[a:b])
+        self.check(units, found)
+        return dict(zip(units, found))
+
+    def check(self, units: list[str], found: list[bytes]) -> None:
         """Compare with the library: units stand on lines of one text, which no piece reaches across."""
-        lines = [u for u in found if u != "\n"]
-        feed = (self.byte_ids[10],)
-        want = [self.lib.piece_to_id(MARK), *feed]
-        for ids in [found[u] for u in lines]:
-            want += ids
-            want += feed
-        if self.lib.encode("\n" + "\n".join(lines) + "\n" * bool(lines)) != want:
+        if "\n" in units:
+            at = units.index("\n")
+            units, found = units[:at] + units[at + 1 :], found[:at] + found[at + 1 :]
+        feed = np.array([self.byte_ids[10]], self.kind).tobytes()
+        want = np.array([self.lib.piece_to_id(MARK)], self.kind).tobytes() + feed + feed.join([*found, b""])
+        if np.array(self.lib.encode("\n" + "\n".join([*units, ""])), self.kind).tobytes() != want:
             raise ValueError("ids differ from those of the sentencepiece library")
 
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
-        """Ids of each text without an end, and the same as decimal numbers joined by spaces."""
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, without an end."""
         cut = [self.cut(t or "") for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_UNITS:  # units of the last generation stay while they are used
-            self.older, self.cache = cache, {}
-            cache = self.cache
-        new = {u for units in cut for u in units if u not in cache}
-        for u in [u for u in new if u in self.older]:
-            cache[u] = self.older[u]
-            new.discard(u)
-        if new:
-            self.learn(list(new))
-        out = []
-        for units in cut:
-            found = [cache[u] for u in units]
-            ids: list[int] = []
-            for f in found:
-                ids += f[0]
-            out.append((ids, " ".join([f[1] for f in found])))
-        return out
+        units = list(chain.from_iterable(cut))
+        ends = np.cumsum([0, *map(len, cut)]).tolist()
+        found = list(map(self.ids_of.get, units))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new = self.learn(list({units[i] for i in missing}))
+            for i in missing:
+                found[i] = new[units[i]]
+            if len(self.ids_of) >= CACHE_UNITS and len(missing) > STALE_SHARE * len(units):
+                self.ids_of.clear()
+            if len(self.ids_of) < CACHE_UNITS:
+                self.ids_of.update(new)
+        return [np.frombuffer(b"".join(found[a:b]), self.kind) for a, b in zip(ends[:-1], ends[1:])]
+
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """Decimal ids joined by one space."""
+        digits = self.decimal[ids].ravel()
+        return digits[digits != 0].tobytes()[:-1]
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    at = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
 
 
 @lru_cache(maxsize=2)
@@ -276,29 +295,18 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", carry: list[str
     with open(model_path, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(column: pa.Array) -> dict[str, pa.Array]:
         p = _pieces(held.value)
         end = p.lib.eos_id()
-        encoded = p.encode_batch(batch.column(1).to_pylist())
-        all_ids = [ids + [end] for ids, _ in encoded]
-        decoded = p.lib.decode(all_ids)
-        ids_sha = [hashlib.sha256(f"{text} {end}".lstrip().encode()).hexdigest() for _, text in encoded]
-        columns = [
-            batch.column(0),
-            pa.array([len(ids) for ids in all_ids], pa.int64()),
-            pa.array(ids_sha),
-            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
-        ]
-        names = ["__row", "n_tokens", "ids_sha256", "decoded_sha256"]
-        if with_ids:
-            columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-            names.append("ids")
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
-    row = F.struct(*[F.col(f"`{c}`") for c in (carry or docs.columns)])
-    packed = docs.select(row.alias("__row"), F.col(f"`{text}`").cast("string").alias("__text"))
-    row_type = packed.schema["__row"].dataType.simpleString()
+        all_ids = [np.append(ids, p.kind(end)) for ids in p.encode_batch(column.to_pylist())]
+        decoded = p.lib.decode([ids.tolist() for ids in all_ids])
+        ids_sha = [hashlib.sha256(p.spelled(ids)).hexdigest() for ids in all_ids]
+        made = {
+            "n_tokens": pa.array([len(ids) for ids in all_ids], pa.int64()),
+            "ids_sha256": pa.array(ids_sha, pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
+        }
+        return made | ({"ids": _lists(all_ids)} if with_ids else {})
+
     more = ", ids array<int>" if with_ids else ""
-    return packed.mapInArrow(
-        chunked(run, "__text"), f"__row {row_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}"
-    )
+    return map_texts(docs, text, carry, run, f"n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
