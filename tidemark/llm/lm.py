@@ -28,10 +28,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import materialize
 from tidemark.llm.textbatch import slices, text_buffer
 
 HEAD = 1 << 18
@@ -43,8 +43,8 @@ DIM, CONTEXT = 16, 3
 NOISE, NOISE_SAMPLE = 12.0, 96
 BATCH = 2048
 #: Tokens trained on at a time, and how often a short task's tokens are gone over.
-BLOCK, LEAST_TRAINED, MOST_PASSES = 1 << 21, 1 << 20, 6
-COUNTER_LIMIT = 400_000
+BLOCK, LEAST_TRAINED, MOST_PASSES = 1 << 20, 1 << 20, 6
+COUNTER_LIMIT = 200_000
 HELD_OUT_MOD, HELD_OUT = 7, 2
 
 
@@ -342,7 +342,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     held_out = F.coalesce(F.crc32(k.cast("string").cast("binary")) % HELD_OUT_MOD == HELD_OUT, F.lit(False))
     rows = docs.select(k.alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text}`").cast("string").alias("text"))
     training = rows.filter(~F.col("held_out")).select("text")
-    counts = materialize(word_counts(training), "words")
+    # Both intermediates are kept on the executors' disks; a lost executor's part is computed anew.
+    counts = word_counts(training).persist(StorageLevel.DISK_ONLY)
     vocab, share, n_tokens, n_words = vocabulary(counts)
     net = train(training, vocab, share)
     sc = docs.sparkSession.sparkContext
@@ -393,7 +394,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, log_count double, model double, tail array<binary>"
     scored = rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
-    scored = materialize(scored, "scored")
+    scored = scored.persist(StorageLevel.DISK_ONLY)
     rare = scored.select("row", F.explode("tail").alias("word"))
     looked = rare.join(counts, "word").groupBy("row").agg(
         F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_log")
