@@ -99,7 +99,7 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     judged = quality_rules.judge(docs, carry=["doc_id"])
-    return judged.select("__row.doc_id", "__rules.*", "base_failed", "host_rate", "kept")
+    return judged.select("__row.doc_id", "__rules.*", "base_failed", F.round("host_rate", 9).alias("host_rate"), "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -144,5 +144,75 @@ FROM o WHERE page_id % 211 = 5 OR page_id % 193 = 7 OR page_id % 97 = 13
 """.replace("58 +", f"{len('WARC/1.0..WARC-Type: response..WARC-Target-URI: ')} +").replace("+ 18 +", f"+ {len('..Content-Length: ')} +")
 
 
+_OP4_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + {minhash.SHINGLE - 1}], chr(31)) AS shingle
+  FROM w, unnest(range(1, greatest(len(ws) - {minhash.SHINGLE - 1}, CASE WHEN len(ws) > 0 THEN 1 ELSE 0 END) + 1)) AS r(i)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= {minhash.PERCENT} * (x.n + y.n - met)
+), edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),
+groups AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM groups LEFT JOIN n USING (doc_id)
+"""
+
+_OP10_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents
+), win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i : i + 7], chr(31))) AS times FROM d, unnest(range(1, greatest(len(ws) - 6, 1))) AS r(i)
+), rep AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM win, unnest(range(8)) AS r(j) WHERE times > 1 GROUP BY doc_id
+), f AS (
+  SELECT doc_id, source, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (doc_id)
+), b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE base_failed) AS DOUBLE) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
+t AS (SELECT count(*) AS hosts, sum(n) AS n, sum(f) AS f, sum(f * f / n) AS ff, sum(n * n) AS nn, (sum(f) + 0.5) / (sum(n) + 1.0) AS mean FROM h),
+q AS (SELECT *, mean * (1 - mean) AS noise, n - nn / n - (hosts - 1) AS freedom, greatest(0, ff - f * f / n) AS spread FROM t),
+p AS (SELECT mean, 1 / least(0.99, greatest(1e-4, CASE WHEN freedom > 0 THEN (spread - noise * (hosts - 1)) / (noise * freedom) ELSE 0.5 END)) - 1 AS strength FROM q),
+v AS (SELECT source, (h.f + mean * strength) / (h.n + strength) AS rate, h.n + strength AS weight FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 9) AS host_rate,
+  NOT base_failed AND NOT coalesce(rate - {quality_rules.HOST_Z} * sqrt(rate * (1 - rate) / (weight + 1)) > {quality_rules.HOST_LIMIT}, false) AS kept
+FROM b LEFT JOIN v USING (source)
+"""
+
+
+def _op8_sql() -> str:
+    idf, unknown, weights = licenses.template_weights()
+    terms = ", ".join(f"('{t}', {x!r}::DOUBLE)" for t, x in idf.items())
+    vectors = ", ".join(f"({i}, '{name}', '{t}', {x!r}::DOUBLE)" for i, name, t, x in weights)
+    return f"""
+WITH terms(term, idf) AS (VALUES {terms}), vectors(template, license, term, w) AS (VALUES {vectors}),
+files AS (
+  SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'),
+    CASE WHEN doc_id % 100 <> 0 THEN doc_id // 4000 END, CASE WHEN doc_id % 10 <> 0 THEN doc_id // 200 END, doc_id || '.txt') AS path FROM documents
+), lines AS (
+  SELECT DISTINCT path, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, line, regexp_extract_all(lower(line), '{licenses.TERM}') AS found
+  FROM files, unnest(string_split(text, chr(10))) AS l(line) WHERE regexp_matches(line, '{licenses.ANCHOR}')
+), bag AS (SELECT path, words, line, len(found) AS line_words, term, count(*) AS tf FROM lines, unnest(found) AS u(term) GROUP BY ALL),
+x AS (SELECT bag.*, tf * coalesce(idf, {unknown!r}::DOUBLE) AS x FROM bag LEFT JOIN terms USING (term)),
+norms AS (SELECT path, words, line, line_words, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+dots AS (SELECT path, words, line, line_words, template, license, sum(x * w) AS dot FROM x JOIN vectors USING (term) GROUP BY ALL),
+scored AS (SELECT path, license, words > {licenses.FILE_WORDS} * line_words AS long, round(dot / norm, 6) AS score FROM dots JOIN norms USING (path, words, line, line_words)),
+found AS (SELECT path, license, score, NOT long AS licence_file FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, license, long) AS r FROM scored WHERE score >= {licenses.LEAST_COSINE}) WHERE r = 1),
+speaking AS (SELECT from_dir, license FROM (SELECT regexp_replace(path, '/?[^/]*$', '') AS from_dir, license, row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY score DESC, license, path) AS r FROM found WHERE licence_file) WHERE r = 1),
+rows AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files),
+near AS (SELECT dir, arg_max(s.from_dir, length(s.from_dir)) AS from_dir, arg_max(s.license, length(s.from_dir)) AS dir_license FROM (SELECT DISTINCT dir FROM rows) d JOIN speaking s ON d.dir = s.from_dir OR starts_with(d.dir, s.from_dir || '/') GROUP BY dir)
+SELECT doc_id, path, license, score, coalesce(licence_file, false) AS licence_file, coalesce(license, dir_license) AS effective,
+  CASE WHEN license IS NOT NULL THEN 'own' WHEN dir_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN license IS NULL THEN from_dir END AS from_dir
+FROM rows LEFT JOIN found USING (path) LEFT JOIN near USING (dir)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": _OP2_SQL, "op7_warc": _OP7_SQL}
+    return {
+        "op2_chat": _OP2_SQL, "op4_near_duplicates": _OP4_SQL, "op7_warc": _OP7_SQL, "op8_licenses": _op8_sql(), "op10_quality_rules": _OP10_SQL,
+    }
