@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.runtime import materialize
 from tidemark.llm.textbatch import Texts, map_texts, mix, windows
 
 MIN_WORDS = 20
@@ -87,13 +88,11 @@ def base_failed(rules: str = "__rules") -> Column:
 def host_verdicts(flags: DataFrame, limit: float = HOST_LIMIT, z: float = HOST_Z) -> DataFrame:
     """``host``, ``host_rate`` and ``host_rejected`` from rows (``host``, ``failed``).
 
-    The prior is fitted from five sums over all hosts; only those reach the driver.
+    The prior is fitted from five sums over all hosts; only those reach the driver. The host counts are kept, so
+    that the texts are not read again for the verdicts.
     """
-    hosts = (
-        flags.filter("host IS NOT NULL")
-        .groupBy("host")
-        .agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
-    )
+    counts = F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f")
+    hosts = materialize(flags.filter("host IS NOT NULL").groupBy("host").agg(*counts), "hosts")
     s = hosts.agg(
         F.count("*").alias("h"),
         F.sum("n").alias("n"),
