@@ -103,6 +103,7 @@ def test_catalogue_passes_and_recovery(spark, tmp_path):
     assert source.collect(8) == 1
     assert source.compact_retired() == 1 and source.entries().count() == 5 and source.proofs().count() == 1
     refused("InvalidHorizon", source.collect, 7)
+    assert [r["outcome"] for r in source.apply(_mutations(spark, [(15, "item-0", False, b"again")])).collect()] == ["fenced"]
     source.apply(_mutations(spark, [(20, "item-2", False, b"v2")]))
     going = passes.begin_or_resume(SCOPE, ALLOW, source, cache, with_horizon=True)
     going = passes.apply_next_page(going, 4, ALLOW, source, cache, with_horizon=True)

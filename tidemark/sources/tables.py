@@ -6,6 +6,7 @@ from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tidemark.operators import artifacts, catalogue, history, records
 from tidemark.schema import CHUNKS, ENTRIES, RECORDS, Limits, PageRequest, Refusal, Scope, SourceHead
@@ -196,14 +197,17 @@ class ReplicaTable:
 
 
 class CatalogueTable:
-    """A source of current values: folded batches of mutations, collection, compaction."""
+    """A source of current values: folded batches of mutations, collection, compaction.
+
+    Retired entries stay as rows that only prove their identity and revision, so they fence their ids for ever.
+    """
 
     def __init__(self, spark: SparkSession, path: str, scope: Scope):
         self.spark, self.scope = spark, scope
-        self.log = CommitLog(spark, path, "catalogue-source", ENTRIES)
+        self.log = CommitLog(spark, path, "catalogue-source", StructType([*ENTRIES.fields, StructField("retired", BooleanType(), False)]))
 
     def _state(self, at: Snapshot) -> dict:
-        return {"head": 0, "horizon": 0, "proofs": []} | at.state
+        return {"head": 0, "horizon": 0} | at.state
 
     def head(self) -> int:
         return self._state(self.log.snapshot())["head"]
@@ -212,7 +216,10 @@ class CatalogueTable:
         return self._state(self.log.snapshot())["horizon"]
 
     def entries(self) -> DataFrame:
-        return self.log.read()
+        return self.log.read().filter("NOT retired").drop("retired")
+
+    def proofs(self) -> DataFrame:
+        return self.log.read().filter("retired").select("entry_id", "creation", "revision")
 
     def apply(self, mutations: DataFrame) -> DataFrame:
         """Fold a batch (``seq``, ``entry_id``, ``is_del``, ``payload``) onto the current values; returns its outcomes.
@@ -233,7 +240,7 @@ class CatalogueTable:
         from tidemark.operators.ordering import with_rank
 
         kept = with_rank(told.filter("outcome = 'accepted'"), "seq", "rank").withColumn("revision", F.col("rank") + state["head"])
-        fresh = catalogue.current(kept).withColumn("visible", F.lit(True))
+        fresh = catalogue.current(kept).withColumns({"visible": F.lit(True), "retired": F.lit(False)})
         old = now.select("entry_id", F.col("creation").alias("__creation"))
         fresh = fresh.join(old, "entry_id", "left").withColumn("creation", F.coalesce("__creation", "creation")).drop("__creation")
         fresh = fresh.withColumn("payload", F.when(~F.col("deleted"), F.col("payload"))).cache()
@@ -256,20 +263,15 @@ class CatalogueTable:
         return changed
 
     def compact_retired(self, limit: int = 256) -> int:
-        """Move a batch of hidden markers to proofs, in one commit. Proofs live in the state, a batch at a time."""
+        """Turn a batch of hidden markers into proofs, in one commit."""
         at = self.log.snapshot()
         state = self._state(at)
-        batch = [tuple(r) for r in catalogue.compaction_batch(self.log.read(at), state["horizon"], limit).collect()]
-        if batch:
-            gone = self.spark.createDataFrame(batch, "entry_id string, creation bigint, revision bigint")
-            kept = self.log.read(at).join(F.broadcast(gone.select("entry_id")), "entry_id", "left_anti")
-            self.log.commit(at, state | {"proofs": state["proofs"] + [list(b) for b in batch]}, kept, replace=True)
+        now = self.log.read(at)
+        batch = [r["entry_id"] for r in catalogue.compaction_batch(now.filter("NOT retired"), state["horizon"], limit).collect()]
+        if batch:  # a batch of ids at most
+            self.log.commit(at, state, now.withColumn("retired", F.col("retired") | F.col("entry_id").isin(batch)), replace=True)
         return len(batch)
 
-    def proofs(self) -> DataFrame:
-        rows = [tuple(p) for p in self._state(self.log.snapshot())["proofs"]]
-        return self.spark.createDataFrame(rows, "entry_id string, creation bigint, revision bigint")
-
 
 class ArtifactCache:
     """A receiver's chunks of one artifact scope; bytes count as verified only after their full hash."""
