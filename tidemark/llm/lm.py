@@ -151,14 +151,14 @@ class Net:
         rc = [self.r @ self.c[i] for i in range(CONTEXT)]
         reach = sum(np.linalg.norm(x, axis=1).max() for x in rc) * np.linalg.norm(self.v, axis=1).max() + np.abs(self.b).max()
         out = np.empty(len(target), np.float64)
-        vt = np.ascontiguousarray(self.v.T)
+        vt = np.ascontiguousarray(np.vstack([self.v.T, self.b]))  # the last coordinate of every query is 1
         for a in range(0, len(target), BATCH):
             s = slice(a, a + BATCH)
-            q = rc[0][context[0][s]]
+            q = np.ones((len(target[s]), DIM + 1), np.float32)
+            q[:, :DIM] = rc[0][context[0][s]]
             for i in range(1, CONTEXT):
-                q = q + rc[i][context[i][s]]
+                q[:, :DIM] += rc[i][context[i][s]]
             z = q @ vt
-            z += self.b
             if reach > 80:
                 z -= z.max(axis=1, keepdims=True)
             hit = z[np.arange(len(z)), target[s]]
@@ -213,10 +213,11 @@ class Trainer:
             s += g * g
             x += self.rate * g / np.sqrt(s)
 
-    def run(self, stream: np.ndarray, is_token: np.ndarray) -> None:
+    def run(self, stream: np.ndarray, is_token: np.ndarray, seen: int) -> None:
+        """Go over the tokens once, or more often if the task has seen few."""
         ctx, target = contexts(stream, is_token)
         n = len(target)
-        for _ in range(min(MOST_PASSES, max(1, -(-LEAST_TRAINED // max(1, n))))):
+        for _ in range(min(MOST_PASSES, max(1, -(-LEAST_TRAINED // max(1, seen))))):
             order = self.rng.permutation(n)
             for a in range(0, n, BATCH):
                 s = order[a : a + BATCH]
@@ -255,7 +256,7 @@ def train(texts: DataFrame, vocab: Vocabulary, class_share: np.ndarray) -> Net:
         parts, size = [], 0
 
         def flush():
-            trainer.run(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            trainer.run(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), seen)
 
         for batch in batches:
             for piece in slices(batch, "text"):
