@@ -448,9 +448,11 @@ def test_raking_on_frames_agrees(spark):
     rows = [(s, lang, t, n) for s, lang, t, n in (("a", "x", "p", 100), ("a", "y", "p", 50), ("b", "x", "p", 30), ("b", "y", "q", 70))]
     df = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
     power = dict.fromkeys(mixing.DIMENSIONS, 0.7)
-    one = {tuple(r)[:3]: r["p"] for r in mixing.cell_probabilities(df, 0.5, power, rounds=2).collect()}
-    two = {tuple(r)[:3]: r["p"] for r in mixing.cell_probabilities(df, 0.5, power, driver_cells=0, rounds=2).collect()}
-    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-6 for k in one) and a.count() == 1502
+    for share in (0.5, 0.9):
+        one = {tuple(r)[:3]: r["p"] for r in mixing.cell_probabilities(df, share, power, rounds=3).collect()}
+        two = {tuple(r)[:3]: r["p"] for r in mixing.cell_probabilities(df, share, power, driver_cells=0, rounds=3).collect()}
+        assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+    assert a.count() == 1502
 
 
 def test_mixing_nothing(spark):

@@ -20,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.runtime import materialize
 
@@ -90,26 +91,29 @@ def rake(cells: np.ndarray, tokens: np.ndarray, targets: list[np.ndarray], budge
     return weight
 
 
+def _scaled(cells: DataFrame, dimension: str, shares: DataFrame, budget: float) -> DataFrame:
+    """One raking step: ``group_scale`` of every group by running sums over its cells, largest weights first."""
+    rows = cells.join(shares, F.col(dimension).eqNullSafe(F.col(f"of_{dimension}"))).drop(f"of_{dimension}")
+    order = Window.partitionBy(dimension).orderBy(F.desc("p"), *[c for c in DIMENSIONS if c != dimension])
+    used = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("tokens") * F.col("p")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    factor = F.when(rest > 0, F.greatest((F.col("share") * budget - used) / rest, F.lit(0.0)))
+    rows = rows.withColumn("f", factor)
+    fits = F.when(F.col("f") * F.col("p") <= 1, F.col("f"))
+    first = F.first(fits, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    full = F.sum(F.when(F.col("p") > 0, F.col("tokens"))).over(Window.partitionBy(dimension)) <= F.col("share") * budget
+    raised = F.when(full | first.isNull(), F.when(F.col("p") > 0, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), first * F.col("p")))
+    return rows.withColumn("p", raised).select(*cells.columns)
+
+
 def _rake_frames(cells: DataFrame, margins: dict[str, DataFrame], budget: float, rounds: int) -> DataFrame:
-    """The same raking on DataFrames. A group's scale is found by bisection on its bounded sum."""
+    """The same raking on DataFrames."""
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     state = materialize(cells.withColumn("p", F.lit(min(1.0, budget / total))), "cells")
     for _ in range(rounds):
         before = state
         for d, shares in margins.items():
-            bounds = state.join(shares, F.col(d).eqNullSafe(F.col(f"of_{d}"))).drop(f"of_{d}")
-            scales = bounds.groupBy(F.col(d).alias("g")).agg(F.lit(0.0).alias("lo"), F.max(1 / F.col("p")).alias("hi"))
-            for _ in range(60):
-                tried = bounds.join(scales, F.col(d).eqNullSafe(F.col("g")))
-                sums = tried.groupBy("g", "lo", "hi").agg(
-                    F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("p") * (F.col("lo") + F.col("hi")) / 2)).alias("s"),
-                    F.first("share").alias("share"),
-                )
-                mid = (F.col("lo") + F.col("hi")) / 2
-                low = F.col("s") < F.col("share") * budget
-                scales = materialize(sums.select("g", F.when(low, mid).otherwise(F.col("lo")).alias("lo"), F.when(low, F.col("hi")).otherwise(mid).alias("hi")), "scales")
-            scaled = bounds.join(scales, F.col(d).eqNullSafe(F.col("g")))
-            state = materialize(scaled.withColumn("p", F.least(F.lit(1.0), F.col("p") * F.col("hi"))).select(*cells.columns, "p"), "cells")
+            state = materialize(_scaled(state, d, shares, budget), "cells")
         keys = [F.col(f"a.{d}").eqNullSafe(F.col(f"b.{d}")) for d in margins]
         moved = state.alias("a").join(before.alias("b"), keys).agg(F.max(F.abs(F.col("a.p") - F.col("b.p")))).first()[0] or 0.0
         if moved < TOLERANCE:
