@@ -100,24 +100,25 @@ class Vocabulary:
             found = self.suffixes.get(word[-3:])
         return 1 + SINGLES + SUFFIXES + zlib.crc32(word[-2:]) % HASHED if found is None else found
 
-    def encode(self, words: list[bytes], memo: dict[bytes, int]) -> list[int]:
-        """Positions in the head, or -1 - class for other words."""
-        get = self.head.get
-        out = []
-        for w in words:
-            i = get(w)
-            if i is None:
-                i = memo.get(w)
-                if i is None:
-                    i = memo[w] = -1 - self.class_of(w)
-            out.append(i)
-        return out
-
     def classes(self, codes: np.ndarray) -> np.ndarray:
         known = codes >= 0
         return np.where(known, self.head_class[np.where(known, codes, 0)] if len(self.head_class) else 0, -1 - codes)
 
 
+class Codes(dict):
+    """Positions of words in the head; -1 - class of other words, of which the first ones met are kept."""
+
+    def __init__(self, vocab: Vocabulary):
+        super().__init__(vocab.head)
+        self._vocab, self._most = vocab, len(vocab.head) + COUNTER_LIMIT
+
+    def __missing__(self, word: bytes) -> int:
+        code = -1 - self._vocab.class_of(word)
+        if len(self) < self._most:
+            self[word] = code
+        return code
+
+
 @dataclass
 class Net:
     r: np.ndarray
@@ -224,13 +225,13 @@ class Trainer:
                 self.step([c[s] for c in ctx], target[s])
 
 
-def class_stream(column: pa.Array, vocab: Vocabulary, memo: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def class_stream(column: pa.Array, vocab: Vocabulary, known: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all tokens, the class stream with starts, and which of its places are tokens."""
     codes: list[int] = []
     lengths = []
-    end = vocab.head.get(b"", -1)
+    code, end = known.__getitem__, known[b""]
     for words in tokens(column):
-        codes += vocab.encode(words, memo)
+        codes += map(code, words)
         codes.append(end)
         lengths.append(len(words) + 1)
     codes = np.array(codes, np.int64)
@@ -252,7 +253,7 @@ def train(texts: DataFrame, vocab: Vocabulary, class_share: np.ndarray) -> Net:
 
     def learn(batches):
         vocab, start, share = held.value
-        trainer, memo, seen = Trainer(start, share**0.75), {}, 0
+        trainer, known, seen = Trainer(start, share**0.75), Codes(vocab), 0
         parts, size = [], 0
 
         def flush():
@@ -260,12 +261,10 @@ def train(texts: DataFrame, vocab: Vocabulary, class_share: np.ndarray) -> Net:
 
         for batch in batches:
             for piece in slices(batch, "text"):
-                _, stream, is_token = class_stream(piece.column(0), vocab, memo)
+                _, stream, is_token = class_stream(piece.column(0), vocab, known)
                 parts.append((stream.astype(np.int16), is_token))
                 size += len(stream)
                 seen += int(is_token.sum())
-                if len(memo) > COUNTER_LIMIT:
-                    memo.clear()
                 if size > BLOCK:
                     flush()
                     parts, size = [], 0
@@ -353,14 +352,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     def run(batches):
         vocab, net = held.value
-        memo: dict[bytes, int] = {}
+        words_known = Codes(vocab)
         head_log = np.append(vocab.head_log, 0.0)
         for batch in batches:
             for piece in slices(batch, "text"):
                 column = piece.column(2)
-                codes, stream, is_token = class_stream(column, vocab, memo)
-                if len(memo) > COUNTER_LIMIT:
-                    memo.clear()
+                codes, stream, is_token = class_stream(column, vocab, words_known)
                 context, target = contexts(stream, is_token)
                 model = net.log10_next(context, target)
                 known = codes >= 0
