@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import minhash, mixing, pieces, quality_classifier, quality_rules
 from tidemark.llm.runtime import materialize
 
+#: Near copies have this similarity or more. It is a choice of the pipeline, apart from the contract of op4_near_duplicates.
+NEAR_PERCENT = 85
+
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host does."""
@@ -29,7 +32,7 @@ def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; documents without an id stay."""
-    verdicts = minhash.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id")
+    verdicts = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept AND doc_id IS NOT NULL").select("doc_id")
     kept = docs.join(verdicts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 

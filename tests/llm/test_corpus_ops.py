@@ -175,6 +175,23 @@ def test_near_duplicates_by_brute_force(spark, seed):
             assert r["n_shingles"] == len(_shingles(dict(rows)[r["doc_id"]]))
 
 
+def test_near_duplicates_take_a_threshold(spark):
+    """Sets of 4 and 5 shingles, and of 46 and 56, link at 80 percent and not at 85."""
+    assert [minhash.layout(p) for p in (85, 80)] == [(40, 6), (48, 5)] and [minhash.least_size(p) for p in (85, 80)] == [6, 4]
+    rows = []
+    for g in range(20):
+        words = [f"g{g}w{i}" for i in range(60)]
+        rows += [(4 * g, " ".join(words[:8])), (4 * g + 1, " ".join(words[:9])), (4 * g + 2, " ".join(words)), (4 * g + 3, " ".join(words[:50]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for percent in (80, 85, 90):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, percent=percent).collect()}
+        sets = {k: _shingles(t) for k, t in rows}
+        for g in range(20):
+            for a, b in ((4 * g, 4 * g + 1), (4 * g + 2, 4 * g + 3)):
+                alike = 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+                assert got[b] == (a if alike else b), (percent, a, b)
+
+
 def test_near_duplicates_on_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(spark)).collect()}

@@ -10,7 +10,7 @@ bucket rows. Candidates are confirmed on the full sets of the two texts.
 A star alone could miss a link between two members that are not linked with the
 centre. Members of buckets that end up in different components therefore go
 through an exact second search: linked sets of n shingles must share one of their first
-n - ceil(0.85 n) + 1 shingles in any common order, so these prefixes, rarest shingles
+n - ceil(p n) + 1 shingles, at the least similarity p, in any common order, so these prefixes, rarest shingles
 first, are buckets again. Large families of texts that are alike but not linked fall apart
 there, since what each has of its own is rare. In these buckets, in rounds, members are pivots, each compared
 with the bucket's remaining members of other components and then retired, until no bucket with
@@ -34,19 +34,37 @@ from tidemark.llm.runtime import materialize
 from tidemark.llm.textbatch import Texts, chunked, mix, slices, windows
 
 SHINGLE = 5
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union. This is the contract of op4; callers without one give their own.
 PERCENT = 85
-BANDS, ROWS = 40, 6
-#: Smaller sets can only link with identical ones: 5 of 6 shingles are below 85 percent.
-LEAST_SIZE = 6
+#: A linked pair at the threshold shares no bucket with at most this probability, if its bins agree independently.
+MISSED = 1e-8
 #: Pivots of one bucket in one exact round, at most; the rounds go on until none is left.
 PIVOTS = 1024
 #: Slots of the hashed counts by which prefixes are ordered; any order is exact, a rarer-first one is fast.
 SLOTS = 1 << 20
 
-_BINS = BANDS * ROWS
+_BINS = 240
 _PROBES = np.random.Generator(np.random.PCG64(11)).integers(0, _BINS, (1 << 12, _BINS))
-_BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+_BAND_SALT = mix(np.arange(1, _BINS + 1, dtype=np.uint64))
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """Bands and rows of each: the most rows that miss at most ``MISSED`` of the pairs at the threshold."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent is {percent}, not 1 to 100")
+    for rows in (6, 5, 4, 3, 2):
+        if (1 - (percent / 100) ** rows) ** (_BINS // rows) <= MISSED:
+            return _BINS // rows, rows
+    return _BINS, 1
+
+
+def least_size(percent: int) -> int:
+    """Smaller sets can only link with identical ones: of n and n + 1 shingles they share n at most."""
+    return max(1, -(-percent // (100 - percent))) if percent < 100 else 1 << 62
+
+
+def prefix_size(n: int, percent: int) -> int:
+    return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -90,26 +108,27 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return sig
 
 
-def _feature_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _feature_batch(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    n_bands, n_rows = layout(percent)
     sets = shingle_sets(batch.column(1))
     size = np.array([len(s) for s in sets], np.int64)
     marks = np.zeros((2, len(sets)), np.uint64)
     for i, s in enumerate(sets):
         marks[0, i] = mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
         marks[1, i] = mix(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)
-    big = np.flatnonzero(size >= LEAST_SIZE)
-    sig = signatures([sets[i] for i in big]).reshape(len(big), BANDS, ROWS)
-    keys = np.tile(_BAND_SALT, (len(big), 1))
-    for r in range(ROWS):
+    big = np.flatnonzero(size >= least_size(percent))
+    sig = signatures([sets[i] for i in big]).reshape(len(big), n_bands, n_rows)
+    keys = np.tile(_BAND_SALT[:n_bands], (len(big), 1))
+    for r in range(n_rows):
         keys = mix(keys ^ sig[:, :, r]) + np.uint64(r)
     counts = np.zeros(len(sets) + 1, np.int32)
-    counts[1:][big] = BANDS
+    counts[1:][big] = n_bands
     bands = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
     columns = [batch.column(0), pa.array(size), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), bands]
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "mark1", "mark2", "bands"])
 
 
-def _confirm(batches):
+def _confirm(batches, percent: int):
     """Links among candidate pairs (a, b) with both texts, on the full sets."""
     for batch in batches:
         for piece in slices(batch, "text_b"):
@@ -120,10 +139,10 @@ def _confirm(batches):
             ok = np.zeros(len(ids), bool)
             for i, s in enumerate(right):
                 c = left[which[i]]
-                if min(len(c), len(s)) * 100 < PERCENT * max(len(c), len(s)) or not len(s):
+                if min(len(c), len(s)) * 100 < percent * max(len(c), len(s)) or not len(s):
                     continue
                 both = len(np.intersect1d(c, s, assume_unique=True))
-                ok[i] = 100 * both >= PERCENT * (len(c) + len(s) - both)
+                ok[i] = 100 * both >= percent * (len(c) + len(s) - both)
             yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(ok)], names=["a", "b", "linked"])
 
 
@@ -141,7 +160,7 @@ def _slot_counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
 
-def prefixes(texts: DataFrame) -> DataFrame:
+def prefixes(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``key``, ``place``, ``node``, ``n``: the shingles of each text's prefix with their places, in the order of hashed counts, then hashes."""
     rows = texts.select("doc_id", "text").mapInArrow(_slot_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     counts = np.zeros(SLOTS, np.int64)
@@ -153,8 +172,7 @@ def prefixes(texts: DataFrame) -> DataFrame:
         sets = shingle_sets(batch.column(1))
         keys = []
         for s in sets:
-            first = len(s) - (PERCENT * len(s) + 99) // 100 + 1 if len(s) else 0
-            keys.append(s[np.lexsort((s, held.value[_slot(s)]))[:first]])
+            keys.append(s[np.lexsort((s, held.value[_slot(s)]))[: prefix_size(len(s), percent)]])
         at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
         columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
@@ -164,11 +182,11 @@ def prefixes(texts: DataFrame) -> DataFrame:
     return found.select(F.posexplode("keys").alias("place", "key"), "node", "n")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``pairs`` (a, b) with ``linked``: whether any texts of the two ids meet the threshold."""
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a bigint, b bigint, linked boolean")
+    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _confirm(batches, percent), "a bigint, b bigint, linked boolean")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -181,7 +199,7 @@ def _in_components(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _work_off(rest: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+def _work_off(rest: DataFrame, texts: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Components once every two rows of one bucket are linked, compared, in one component, or cannot be linked.
 
     ``rest`` has ``key``, ``place``, ``node``, ``n``. If the first shingle that two sets share has ``r`` and ``s`` shingles
@@ -199,13 +217,13 @@ def _work_off(rest: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
             F.min_by("place", "node").alias("pivot_place"), F.min_by("component", "node").alias("pivot_c"),
         )
         near = rest.join(pivots, "key").filter(
-            f"component <> pivot_c AND 100 * least(n, pivot_n) >= {PERCENT} * greatest(n, pivot_n)"
-            f" AND {100 + PERCENT} * least(n - place, pivot_n - pivot_place) >= {PERCENT} * (n + pivot_n)"
+            f"component <> pivot_c AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
+            f" AND {100 + percent} * least(n - place, pivot_n - pivot_place) >= {percent} * (n + pivot_n)"
         )
         pairs = near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        checked = materialize(confirm(pairs, texts), "links")
+        checked = materialize(confirm(pairs, texts, percent), "links")
         compared = checked.select("a", "b") if compared is None else compared.unionByName(checked.select("a", "b"))
         fresh = checked.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if not fresh.isEmpty():
@@ -215,11 +233,12 @@ def _work_off(rest: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
         turn += 1
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``; texts link from ``percent`` on."""
+    least = least_size(percent)
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = "doc_id bigint, n_shingles bigint, mark1 bigint, mark2 bigint, bands array<bigint>"
-    feats = materialize(texts.mapInArrow(chunked(_feature_batch, "text"), schema), "shingles")
+    feats = materialize(texts.mapInArrow(chunked(lambda batch: _feature_batch(batch, percent), "text"), schema), "shingles")
 
     # Identical sets become one node, their smallest id.
     marks = ["n_shingles", "mark1", "mark2"]
@@ -228,8 +247,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared = full.select("doc_id", *marks).join(classes.filter("copies > 1"), marks)
     same = shared.filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
-    nodes = classes.filter(f"n_shingles >= {LEAST_SIZE}").select(F.col("node").alias("doc_id"), *marks)
-    lead = feats.filter(f"n_shingles >= {LEAST_SIZE}").join(nodes, ["doc_id", *marks], "left_semi")
+    nodes = classes.filter(f"n_shingles >= {least}").select(F.col("node").alias("doc_id"), *marks)
+    lead = feats.filter(f"n_shingles >= {least}").join(nodes, ["doc_id", *marks], "left_semi")
     rows = lead.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
     buckets = materialize(rows.join(hubs.select("key", "hub"), "key"), "buckets")
@@ -238,13 +257,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     meeting = buckets.select(F.col("node").alias("doc_id")).distinct()
     near_texts = materialize(texts.join(meeting, "doc_id", "left_semi"), "texts")
     stars = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirm(stars, near_texts).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = confirm(stars, near_texts, percent).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = components(links)
 
     unsettled = _mixed(_in_components(buckets.filter("node <> hub").select("key", "node", "n"), found))
     unsettled = materialize(unsettled.select(F.col("node").alias("doc_id")).distinct(), "unsettled")
     if not unsettled.isEmpty():
-        found = _work_off(prefixes(near_texts.join(unsettled, "doc_id", "left_semi")), near_texts, found)
+        found = _work_off(prefixes(near_texts.join(unsettled, "doc_id", "left_semi"), percent), near_texts, found, percent)
     found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(same))
 
     groups = found.select(F.col("node").alias("doc_id"), "component")

@@ -49,7 +49,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=minhash.PERCENT)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
