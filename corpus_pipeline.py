@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import minhash, mixing, pieces, quality_classifier, quality_rules
 from tidemark.llm.runtime import materialize
@@ -31,9 +32,22 @@ def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; documents without an id stay."""
-    verdicts = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept AND doc_id IS NOT NULL").select("doc_id")
-    kept = docs.join(verdicts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near copies; documents without an id stay.
+
+    Unlike texts under one id are judged apart: the first by its digest goes by the id, the others by numbers above all ids.
+    """
+    known = docs.filter("doc_id IS NOT NULL").withColumn("__digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = known.select("doc_id", "__digest").distinct()
+    several = texts.groupBy("doc_id").agg(F.min("__digest").alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
+    others = texts.join(several, "doc_id").filter("__digest <> __first").select("doc_id", "__digest")
+    others = materialize(others.withColumn("__place", F.monotonically_increasing_id()), "others")
+    if others.isEmpty():
+        known = known.withColumn("__node", F.col("doc_id"))
+    else:
+        top = docs.agg(F.max("doc_id")).first()[0]
+        known = known.join(others, ["doc_id", "__digest"], "left").withColumn("__node", F.coalesce(F.col("__place") + (top + 1), "doc_id"))
+    verdicts = minhash.near_duplicates(known, key="__node", percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("__node"))
+    kept = known.join(verdicts, "__node", "left_semi").dropDuplicates(["__node"])
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 

@@ -203,6 +203,22 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(odd(spark).filter("false")).count() == 0
 
 
+def test_unlike_texts_of_one_id(spark):
+    """A link that only the second text of an id has is found, and the pipeline keeps an unlike text."""
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, b + " other"), (4, " ".join(f"c{i}" for i in range(80)))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id bigint, text string").coalesce(1)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+        assert got == {1: 1, 2: 1, 3: 1, 4: 1}
+        pairs = spark.createDataFrame([(1, 2), (1, 3)], "a bigint, b bigint").coalesce(1)
+        assert {(r["a"], r["b"]) for r in minhash.confirm(pairs, df).filter("linked").collect()} == {(1, 2), (1, 3)}
+        kept = [r["text"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
+        assert sorted(t[0] for t in kept) == ["a", "b", "c"]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(4)
     common = rng.integers(0, 1 << 63, 900, dtype=np.uint64)

@@ -132,11 +132,12 @@ def _confirm(batches, percent: int):
     """Links among candidate pairs (a, b) with both texts, on the full sets."""
     for batch in batches:
         for piece in slices(batch, "text_b"):
-            ids = piece.column("a").to_numpy(zero_copy_only=False)
-            _, first, which = np.unique(ids, return_index=True, return_inverse=True)
-            left = shingle_sets(piece.column("text_a").take(pa.array(first)))
+            # One set for each text, not for each id: rows that share an id may have unlike texts.
+            texts = piece.column("text_a").dictionary_encode(null_encoding="encode")
+            which = texts.indices.to_numpy(zero_copy_only=False)
+            left = shingle_sets(texts.dictionary)
             right = shingle_sets(piece.column("text_b"))
-            ok = np.zeros(len(ids), bool)
+            ok = np.zeros(len(which), bool)
             for i, s in enumerate(right):
                 c = left[which[i]]
                 if min(len(c), len(s)) * 100 < percent * max(len(c), len(s)) or not len(s):
