@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -377,6 +378,26 @@ def test_licenses(spark):
     assert len(got[None]) == 1 and licenses.scan(df.filter("false")).count() == 0
 
 
+def test_whole_license_texts_and_headers(spark):
+    code = "\n".join(f"int v{i} = f{i}(a{i}, b{i});" for i in range(200))
+
+    def comment(text):
+        return "/*\n" + "\n".join(f" * {x}" for x in textwrap.wrap(text, 70)) + "\n */\n"
+
+    headers = dict(reversed(licenses.HEADERS))
+    rows = [(f"t/{name}/LICENSE", text) for name, text in licenses.TEXTS.items()] + [(f"t/{name}/src/f.c", code) for name in licenses.TEXTS]
+    rows += [(f"h/{name}.c", comment(headers[name]) + code) for name in headers if name != "Proprietary"]
+    rows += [("s/a.c", "// SPDX-License-Identifier: MIT\n" + code), ("s/b.c", "# SPDX-License-Identifier: GPL-2.0-or-later\n" + code), ("s/c.c", "// Copyright 2020 Foo Inc. All rights reserved.\n" + code)]
+    rows += [("n/a.c", code), ("n/b.txt", "the license plate of a car was blue, and permission to park was given by a kind man"), ("m/LICENSE", licenses.TEXTS["MIT"].replace("<copyright holders>", "Foo Bar 2020"))]
+    got = {r["path"]: (r["effective"], r["origin"], r["licence_file"]) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for name in licenses.TEXTS:
+        assert got[f"t/{name}/LICENSE"] == (name, "own", True) and got[f"t/{name}/src/f.c"] == (name, "inherited", False), name
+    for name in headers:
+        assert name == "Proprietary" or got[f"h/{name}.c"] == (name, "own", False), name
+    assert [got[f"s/{x}.c"][0] for x in "abc"] == ["MIT", "GPL-2.0", "Proprietary"]
+    assert got["n/a.c"] == got["n/b.txt"] == (None, "none", False) and got["m/LICENSE"] == ("MIT", "own", True)
+
+
 def test_license_scores(spark):
     idf, unknown, _ = licenses.template_weights()
     line = "Released under the MIT License today."

@@ -3,7 +3,10 @@
 Lines that could speak of a license are taken from whole texts. Their terms,
 weighted by term frequency and inverse document frequency, are compared with
 license templates through sparse products: line terms join the templates'
-terms and sum up. A file whose words are largely such a line is a licence file
+terms and sum up. Whole texts are compared in the same way with full license texts, and
+windows of lines and sentences around such a line with license headers, under document
+frequencies of all files; SPDX ids are read as they are. A file whose words are largely
+such a line, or whose text is a full license text, is a licence file
 and speaks for its directory; files without a license of their own inherit from
 the nearest ancestor directory that has one, found by joins on paths.
 
@@ -19,6 +22,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +50,44 @@ LEAST_COSINE = 0.6
 #: A licence file has at most this many words for each word of its license line.
 FILE_WORDS = 8
 
+#: Full texts, by name; the short ones also stand at the top of source files.
+TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+SHORT_TEXTS = ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT")
+_GNU = (
+    "This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} General Public License"
+    " as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+)
+_GNU_REST = (
+    " This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY"
+    " or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more details. You should have received a copy of the GNU"
+    " {name} General Public License along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+)
+_APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
+    " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+)
+_APACHE_REST = (
+    " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS,"
+    " WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and"
+    " limitations under the License."
+)
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+#: Headers in their short and long forms.
+HEADERS = (
+    *((f"{short}-{version}.0" if "." not in version else f"{short}-{version}", (_GNU + rest).format(what=what, name=name, version=version))
+      for short, name, what, versions in (("GPL", "", "program", "123"), ("LGPL", "Lesser", "library", ("2.1", "3")), ("LGPL", "Library", "library", "2"), ("AGPL", "Affero", "program", "3"))
+      for version in versions for rest in ("", _GNU_REST)),
+    ("Apache-2.0", _APACHE), ("Apache-2.0", _APACHE + _APACHE_REST),
+    ("MPL-2.0", _MPL), ("MPL-2.0", _MPL + " If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Proprietary", "Copyright (c) All rights reserved."),
+    *((name, TEXTS[name]) for name in SHORT_TEXTS),
+)
+LEAST_TEXT, LEAST_HEADER = 0.9, 0.7
+SPDX = r"(?i)SPDX-License-Identifier:[ \t(]*([a-z0-9][a-z0-9.+-]*)"
+#: Windows begin at most BEFORE units before a line that is looked at, and are this many units long.
+UNIT = r"\n|(?<=[.;:!?])[ \t]+"
+BEFORE, WIDTHS = 3, (1, 2, 3, 4, 6, 8, 11, 15, 20, 27, 36, 48)
+
 
 def _terms(text: str) -> list[str]:
     return re.findall(TERM, text.lower())
@@ -91,6 +134,93 @@ def detect(files: DataFrame) -> DataFrame:
     return found.select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), (~F.col("b.long")).alias("licence_file"))
 
 
+def _nearest(texts: DataFrame, keys: list[str], references: tuple[tuple[str, str], ...], idf: dict[str, float], unknown: float, least: float) -> DataFrame:
+    """``keys``, ``license`` and ``score`` of the nearest reference of each text, from a cosine of ``least`` on; ``texts`` has ``keys`` and ``terms``.
+
+    References are columns of the broadcast terms, so a text's terms are neither multiplied by them nor, if ``texts``
+    is dealt out by one of the keys, shuffled.
+    """
+    bags = [Counter(_terms(text)) for _, text in references]
+    norms = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in bag.items())) for bag in bags]
+    rows = [(t, idf[t], *(bag[t] * idf[t] / norm for bag, norm in zip(bags, norms))) for t in sorted(set().union(*bags))]
+    schema = ", ".join(["term string", "idf double", *(f"w{i} double" for i in range(len(bags)))])
+    # Terms in no reference here may be in others: these too have their frequencies.
+    rows += [(t, x, *[0.0] * len(bags)) for t, x in idf.items() if not any(t in bag for bag in bags)]
+    known = F.broadcast(texts.sparkSession.createDataFrame(rows, schema))
+    bag = texts.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    bag = bag.join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    dots = [F.sum(F.col("x") * F.coalesce(f"w{i}", F.lit(0.0))).alias(f"d{i}") for i in range(len(bags))]
+    sums = bag.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *dots)
+    scores = [F.struct((-F.round(F.col(f"d{i}") / F.col("norm"), 6)).alias("s"), F.lit(name).alias("license")) for i, (name, _) in enumerate(references)]
+    best = sums.select(*keys, F.array_min(F.array(*scores)).alias("b")).filter(-F.col("b.s") >= least)
+    return best.select(*keys, F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+
+
+def _term_array(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
+
+
+def document_weights(files: DataFrame) -> tuple[dict[str, float], float]:
+    """Inverse document frequencies over all ``files`` of the terms of full texts and headers, and that of a term in none."""
+    spark = files.sparkSession
+    terms = sorted({t for text in (*TEXTS.values(), *(h for _, h in HEADERS)) for t in _terms(text)})
+    asked = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))
+    held = files.select(F.explode(F.array_distinct(_term_array(F.col("text")))).alias("term")).join(asked, "term")
+    counts = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most the terms asked for
+    n = files.count()
+    return {t: math.log((1 + n) / (1 + counts.get(t, 0))) + 1 for t in terms}, math.log(1 + n) + 1
+
+
+def _header_windows(rows: DataFrame) -> DataFrame:
+    """``digest``, ``start``, ``width``, ``terms`` of windows of lines and sentences around lines that are looked at."""
+    units = F.filter(F.split("text", UNIT), lambda x: x.rlike("[A-Za-z0-9]"))
+    at = F.filter(F.transform("units", lambda x, i: F.when(x.rlike(ANCHOR), i)), lambda i: i.isNotNull())
+    starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - BEFORE, F.lit(0)), i))))
+    cut = rows.select("digest", units.alias("units")).select("digest", "units", F.explode(starts).alias("start"))
+    cut = cut.withColumn("width", F.explode(F.lit(list(WIDTHS)))).filter("width = 1 OR start + width <= size(units) OR start + width - size(units) < width / 3")
+    return cut.select("digest", "start", "width", _term_array(F.array_join(F.slice("units", F.col("start") + 1, F.col("width")), " ")).alias("terms"))
+
+
+def detect_texts(files: DataFrame) -> DataFrame:
+    """``path``, ``license``, ``score``, ``licence_file`` by full texts, SPDX ids and headers, in this order; a reserved right counts last."""
+    rows = files.filter(F.col("text").rlike(ANCHOR) & F.col("path").isNotNull()).select("path", "text", F.sha2("text", 256).alias("digest"))
+    # Equal texts are compared once; what follows is by digest and needs no other shuffle.
+    texts = materialize(rows.select("digest", "text").dropDuplicates(["digest"]), "license_candidates")
+    texts = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "digest")
+    idf, unknown = document_weights(files)
+    full = _nearest(texts.select("digest", _term_array(F.col("text")).alias("terms")), ["digest"], tuple(TEXTS.items()), idf, unknown, LEAST_TEXT)
+    full = materialize(full, "license_files")
+    rest = texts.join(full, "digest", "left_anti")
+    spdx = rest.select("digest", F.regexp_extract("text", SPDX, 1).alias("license")).filter("license <> ''")
+    spdx = spdx.withColumn("license", F.regexp_replace("license", r"(?i)-only$|-or-later$|\+$", "")).withColumn("score", F.lit(1.0))
+    headers = _nearest(_header_windows(rest), ["digest", "start", "width"], HEADERS, idf, unknown, LEAST_HEADER)
+    kinds = ((0, full), (1, spdx), (2, headers))
+    found = None
+    for kind, df in kinds:
+        df = df.select("digest", F.when(F.col("license") == "Proprietary", 3).otherwise(kind).alias("kind"), "license", "score")
+        found = df if found is None else found.unionByName(df)
+    best = F.min(F.struct("kind", (-F.col("score")).alias("s"), "license"))
+    told = materialize(found.groupBy("digest").agg(best.alias("b")), "license_texts")
+    found = rows.select("path", "digest").join(told, "digest").groupBy("path").agg(F.min("b").alias("b"))
+    return found.select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.kind").alias("kind"))
+
+
+def detect_all(files: DataFrame) -> DataFrame:
+    """Licenses of files by their texts, ids and headers, and by their lines.
+
+    A full text or an id decides. Else the better of header and line does, a reserved right only if nothing else is stated.
+    """
+    told = detect_texts(files).select("path", F.struct("kind", "license", "score").alias("t"))
+    both = detect(files).select("path", F.struct("license", "score", "licence_file").alias("l")).join(told, "path", "full")
+    decided = F.col("t.kind") <= 1
+    named = (F.col("t.kind") == 2) & ((F.col("l.license") == "Proprietary") | (F.col("t.score") > F.col("l.score")))
+    last = (F.col("t.kind") == 3) & (F.col("l.license") == "Proprietary") & (F.col("t.score") > F.col("l.score"))
+    by_text = F.coalesce(F.col("l").isNull() | decided | named | last, F.lit(False))
+    pick = lambda name: F.when(by_text, F.col(f"t.{name}")).otherwise(F.col(f"l.{name}")).alias(name)
+    file = F.coalesce(F.col("t.kind") == 0, F.lit(False)) | F.coalesce("l.licence_file", F.lit(False))
+    return both.select("path", pick("license"), pick("score"), file.alias("licence_file"))
+
+
 def _parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
@@ -113,7 +243,7 @@ def inherit(paths: DataFrame, found: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame) -> DataFrame:
     """The rows of ``files`` (any columns, with ``path`` and ``text``) less the text, with own and effective licenses."""
-    found = materialize(detect(files.select("path", F.col("text").cast("string").alias("text"))), "licenses")
+    found = materialize(detect_all(files.select("path", F.col("text").cast("string").alias("text"))), "licenses")
     rows = files.drop("text", "license", "score", "licence_file", "from_dir", "dir_license", "effective", "origin", "dir")
     rows = rows.withColumn("dir", _parent(F.col("path")))
     out = rows.join(found, "path", "left").join(inherit(files.select("path"), found), "dir", "left")
