@@ -49,3 +49,16 @@ def test_range_reaches_the_scan(spark):
 
     plan = event_records(spark, SF).between(100, 200)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(event_id,100)" in plan or "GreaterThan(event_id,99)" in plan
+
+
+def test_whole_table_queries_see_what_lies_beyond_the_slices(spark, tmp_path):
+    """A gap and a doubled record beyond event 1000."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "sf")
+    k = spark.range(5000).filter("id <> 3000").withColumnRenamed("id", "event_id")
+    rows = k.select("event_id", (F.col("event_id") % 7).alias("user_id"), F.lit("view").alias("event_type"), F.lit("{}").alias("props"))
+    rows.unionByName(rows.filter("event_id = 4000")).write.parquet(f"{path}/events.parquet")
+    row = catalog.queries()["record_density_whole"](spark, path).first()
+    assert (row["expected"], row["found"], row["distinct_positions"], row["gaps"]) == (5000, 5000, 4999, 1)
+    assert catalog.queries()["replica_conflicts_whole"](spark, path).agg(F.max("position")).first()[0] > 3300

@@ -619,6 +619,89 @@ def global_rank(spark, sf):
     return ordering.with_rank(B.table(spark, sf, "events").filter("event_id % 3 <> 1").select("event_id"), "event_id", "place", 512)
 
 
+# --- whole tables ----------------------------------------------------------
+# The queries above of the same operators state a slice; these run from position 0 to the head. Saved, incoming and
+# received sides are the lower and the upper two thirds of all positions, which overlap in the middle third.
+
+_WHOLE = f"e AS ({_EVENT}), h AS (SELECT max(position) AS head, max(position) // 3 AS low, max(position) - max(position) // 3 AS high FROM e)"
+
+
+def _whole(spark, sf):
+    """The event records with their head and the ends of the lower and middle thirds."""
+    e = B.event_records(spark, sf)
+    head = e.head().first()["head"] or 0
+    return e, head, head // 3, head - head // 3
+
+
+@_register("record_density_whole", f"WITH {_WHOLE} SELECT max(head) AS expected, count(*) AS found, count(DISTINCT position) AS distinct_positions, max(head) - count(DISTINCT position) AS gaps FROM e, h")
+def record_density_whole(spark, sf):
+    e, head, _, _ = _whole(spark, sf)
+    return records.density_gaps(e, 0, head)
+
+
+@_register("replica_catchup_whole", f"WITH {_WHOLE} SELECT position, record_id, payload FROM e, h WHERE position > low")
+def replica_catchup_whole(spark, sf):
+    e, head, low, _ = _whole(spark, sf)
+    return e.between(low, head).select("position", "record_id", "payload")
+
+
+@_register("replica_conflicts_whole", f"WITH {_WHOLE} SELECT position, record_id FROM e, h WHERE position > low AND position <= high AND position % 17 = 0")
+def replica_conflicts_whole(spark, sf):
+    e, head, low, high = _whole(spark, sf)
+    plan = _altered(e.between(low, head)).select("position", "record_id", "payload")
+    return records.conflicting_ids(plan, e.between(0, high)).select("position", "record_id")
+
+
+@_register("replica_replay_whole", f"""
+WITH {_WHOLE}, a AS (SELECT count(*) AS n FROM e WHERE position % 17 = 0)
+SELECT 'same' AS plan, CAST(0 AS BIGINT) AS only_plan, CAST(0 AS BIGINT) AS only_saved, true AS exact UNION ALL SELECT 'altered', n, n, n = 0 FROM a""")
+def replica_replay_whole(spark, sf):
+    e, head, _, _ = _whole(spark, sf)
+    saved = e.between(0, head)
+    same = records.is_exact_replay(saved, saved).withColumn("plan", F.lit("same"))
+    other = records.is_exact_replay(_altered(saved), saved).withColumn("plan", F.lit("altered"))
+    return same.unionByName(other).select("plan", "only_plan", "only_saved", "exact")
+
+
+@_register("replica_append_whole", f"""
+WITH {_WHOLE}
+SELECT record_id, CAST(high + row_number() OVER (ORDER BY position) AS BIGINT) AS position, NULL AS refusal FROM e, h WHERE position > high
+UNION ALL SELECT record_id, NULL, 'ConflictingRecord' FROM e, h WHERE position > low AND position <= high AND position % 17 = 0""")
+def replica_append_whole(spark, sf):
+    e, head, low, high = _whole(spark, sf)
+    incoming = _altered(e.between(low, head)).select(F.col("position").alias("seq"), "record_id", "payload")
+    return records.append_plan(incoming, e.between(0, high), high).select("record_id", "position", "refusal")
+
+
+@_register("wire_duplicates_whole", f"""
+WITH {_WHOLE}, a AS (SELECT position, high, strlen(payload) AS size FROM e, h WHERE position <= high UNION ALL SELECT position, high, strlen(payload) FROM e, h WHERE position > low)
+SELECT CAST(coalesce(sum(size) FILTER (WHERE position <= high), 0) AS BIGINT) AS duplicate_bytes, count(*) FILTER (WHERE position <= high) AS duplicate_records, CAST(coalesce(sum(size), 0) AS BIGINT) AS payload_bytes FROM a""")
+def wire_duplicates_whole(spark, sf):
+    e, head, low, high = _whole(spark, sf)
+    received = e.between(0, high).unionByName(e.between(low, head)).select("position", _size().alias("size"))
+    return records.duplicate_bytes(received, high)
+
+
+@_register("catalogue_resolve_whole", f"WITH {_FOLD}, {_state_sql('c')} SELECT entry_id, creation, revision, deleted, payload FROM c WHERE entry_id IN (SELECT entry_id FROM log)")
+def catalogue_resolve_whole(spark, sf):
+    c = catalogue.current(_mutations(spark, sf))
+    retired = F.col("deleted") & (F.col("revision") < 400)
+    return catalogue.resolve(B.mutation_log(spark, sf), c.filter(~retired), c.filter(retired)).select(*_ENTRY)
+
+
+@_register("global_rank_whole", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events")
+def global_rank_whole(spark, sf):
+    return ordering.with_rank(B.table(spark, sf, "events").select("event_id"), "event_id", "place", 512)
+
+
+@_register("hydration_targets_whole", f"""
+SELECT conv_id, min(turn + 1) FILTER (WHERE turn + 1 < lower_bound) AS next_target, count(*) FILTER (WHERE turn + 1 < lower_bound) AS waiting, count(*) FILTER (WHERE turn + 1 >= lower_bound) AS resolved
+FROM conversations JOIN ({_PROGRESS}) p USING (conv_id) GROUP BY conv_id""")
+def hydration_targets_whole(spark, sf):
+    needs = B.table(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("lower_target"))
+    return history.next_targets(needs, _progress(spark, sf), "conv_id")
+
+
 # --- durable tables --------------------------------------------------------
 
 def _scratch(spark: SparkSession, tag: str) -> str:
@@ -637,18 +720,28 @@ def stream_follow_catchup(spark, sf):
     return target.read().select("position", "record_id", F.col("payload").cast("string").alias("payload"))
 
 
-@_register("commitlog_cas")
-def commitlog_cas(spark, sf):
-    """Two writers from one snapshot: one commits, the other is stale and leaves no row."""
+def _two_writers(spark, e, first, second):
     log = CommitLog(spark, f"{_scratch(spark, 'log')}/t", "record-source", RECORDS)
-    e = B.event_records(spark, sf)
     at = log.snapshot()
-    log.commit(at, {"head": 500}, e.between(0, 500))
+    log.commit(at, {"head": first}, e.between(0, first))
     try:
-        log.commit(at, {"head": 400}, e.between(0, 400))
+        log.commit(at, {"head": second}, e.between(0, second))
         lost = "none"
     except Refusal as refusal:
         lost = refusal.code
     now = log.snapshot()
     seen = log.read(now).agg(F.count("*").alias("records"), F.max("position").alias("head"))
     return seen.select(F.lit(now.version).alias("version"), F.lit(lost).alias("second_writer"), "records", "head")
+
+
+@_register("commitlog_cas")
+def commitlog_cas(spark, sf):
+    """Two writers from one snapshot: one commits, the other is stale and leaves no row."""
+    return _two_writers(spark, B.event_records(spark, sf), 500, 400)
+
+
+@_register("commitlog_cas_whole", "SELECT CAST(1 AS BIGINT) AS version, 'Stale' AS second_writer, count(*) AS records, max(event_id) + 1 AS head FROM events")
+def commitlog_cas_whole(spark, sf):
+    """Two writers of the whole stream from one snapshot, as in ``commitlog_cas``."""
+    e, head, _, high = _whole(spark, sf)
+    return _two_writers(spark, e, head, high)
