@@ -332,13 +332,57 @@ def test_nearest_neighbours_by_brute_force(spark):
         best = ids[others][np.lexsort((ids[others], -sims))[:5]].tolist()
         found = sorted(got.pop(q))
         assert [r for r, _, _ in found] == [1, 2, 3, 4, 5]
-        assert [v for _, v, _ in found] == sorted([v for _, v, _ in found], key=lambda v: (-ann.cosines(good[q], good[v][None])[0], v))
+        assert [v for _, v, _ in found] == sorted([v for _, v, _ in found], key=lambda v: (-ann.cosines(good[q], good[v]), v))
         hit += len(set(best) & {v for _, v, _ in found})
         total += 5
     assert not got and hit / total >= 0.9
     assert ann.search(df.filter("false"), F.col("id") % 50 == 0).count() == 0
 
 
+def _found(spark, rows, kind="double"):
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>")
+    out = defaultdict(list)
+    for r in ann.search(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append((r["vec_id"], r["score"]))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_ties_go_to_smaller_ids(spark, kind):
+    """All are multiples of one vector by powers of two, so all cosines are equal."""
+    base = [0.3, -1.7, 2.25, 0.125]
+    got = _found(spark, [(i, [x * 2.0 ** (i % 9 - 4) for x in base]) for i in range(60)], kind)
+    assert [v for v, _ in got[0]] == [1, 2, 3, 4, 5] and [v for v, _ in got[50]] == [0, 1, 2, 3, 4]
+    # Unlike directions with one and the same cosine, more than a query asks for.
+    rows = [(0, [1.0] + [0.0] * 40)] + [(100 - i, [1.0] + [2.0 if j == i else 0.0 for j in range(40)]) for i in range(40)]
+    assert [v for v, _ in _found(spark, rows, kind)[0]] == [61, 62, 63, 64, 65]
+
+
+def test_extreme_components(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 6))
+    rows = [(i, (v * (1e200 if i % 3 == 0 else 1e-200 if i % 3 == 1 else 1.0)).tolist()) for i, v in enumerate(x)]
+    for q, found in _found(spark, rows).items():
+        sims = {i: ann.cosines(x[q], x[i]) for i in range(80) if i != q}
+        best = sorted(sims, key=lambda i: (-sims[i], i))[:5]
+        assert [v for v, _ in found] == best and all(abs(s - sims[v]) < 1e-12 for v, s in found)
+
+
+def test_recall_over_many_blocks(spark, monkeypatch):
+    """Windows of many small blocks; what is visited is far less than the table where the data have structure."""
+    monkeypatch.setattr(ann, "BLOCKS", (32, 32))
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(150, 16))
+    x = np.vstack([c + 0.3 * rng.normal(size=(20, 16)) for c in centres])
+    got = _found(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    hit = 0
+    for q in range(0, len(x), 50):
+        sims = ann.cosines(x[q], x)
+        sims[q] = -2
+        hit += len(set(np.argsort(-sims)[:5].tolist()) & {v for v, _ in got[q]})
+    assert hit / (5 * len(x) / 50) >= 0.9
+
+
 # --- op7 ---------------------------------------------------------------------
 
 def test_audit_finds_exactly_the_damage(spark):
