@@ -458,36 +458,75 @@ def test_license_scores(spark):
 
 # --- op9 ---------------------------------------------------------------------
 
+def _unigram(rows):
+    """The base columns by brute force, for rows (doc_id, text)."""
+    texts = [(k, WORD.findall((t or "").translate(LOWER)) + [""]) for k, t in rows]
+    held = [k is not None and zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in texts]
+    counts = Counter(w for (_, v), out in zip(texts, held) if not out for w in v)
+    n, v = sum(counts.values()), len(counts)
+    return sorted(((k is None, k or 0), out, len(words), sum(w in counts for w in words), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)) for (k, words), out in zip(texts, held))
+
+
+def _same_base(got, rows):
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got)
+    for a, b in zip(got, _unigram(rows), strict=True):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9)
+
+
 def test_language_model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = {r["doc_id"]: r for r in lm.score(docs).collect()}
-    texts = {r["doc_id"]: WORD.findall(r["text"].translate(LOWER)) + [""] for r in docs.collect()}
-    held = {k for k in texts if zlib.crc32(str(k).encode()) % 7 == 2}
-    counts = Counter(w for k, v in texts.items() if k not in held for w in v)
-    n, v = sum(counts.values()), len(counts)
-    for k, words in texts.items():
-        r = rows[k]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (k in held, len(words), sum(w in counts for w in words), n)
-        assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
-    assert sum(rows[k]["score"] for k in held) > 0.97 * sum(rows[k]["base_score"] for k in held)
+    rows = lm.score(docs).collect()
+    _same_base(rows, [(r["doc_id"], r["text"]) for r in docs.collect()])
+    held = [r for r in rows if r["held_out"]]
+    # The model beats the unigram by at least 5 percent of the log probability on texts it has not seen.
+    assert sum(r["score"] for r in held) > 0.95 * sum(r["base_score"] for r in held)
+
+
+@pytest.mark.parametrize("head", [0, 40])
+def test_words_beyond_the_head(spark, monkeypatch, head):
+    """Known words are looked up by the join; the end is known without it."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    docs = documents(spark).select("doc_id", "text")
+    long = spark.createDataFrame([(-5, "x" * 100 + " again " + "x" * 100), (-6, "x" * 100)], "doc_id bigint, text string")
+    both = docs.unionByName(long)
+    _same_base(lm.score(both).collect(), [tuple(r) for r in both.collect()])
+    tied = spark.createDataFrame([(3, " ".join(f"w{i}" for i in range(500))), (4, "w1 zz")], "doc_id bigint, text string")
+    _same_base(lm.score(tied).collect(), [tuple(r) for r in tied.collect()])
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)
+    docs = documents(spark)
+    one, two = ({r["doc_id"]: r["score"] for r in lm.score(d).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one.keys() == two.keys() and all(math.isclose(one[k], two[k], rel_tol=1e-6) for k in one)
+
+
+def test_words_come_in_spans(monkeypatch):
+    monkeypatch.setattr(lm, "SPAN", 16)
+    texts = ["", "a", " " * 50, "w" * 60 + " b", "one two three four five six\nseven\x0beight " * 9]
+    got = [[w.decode() for part in text for w in part] for text in lm.word_lists(pa.array(texts))]
+    assert got == [WORD.findall(t) for t in texts]
 
 
 def test_model_is_normalised(spark):
-    """Class probabilities sum to one, and so do words within a class."""
-    rng = np.random.default_rng(0)
-    net = lm.Net.start(np.full(lm.CLASSES, 1 / lm.CLASSES))
-    ctx = [rng.integers(0, lm.CLASSES, 1) for _ in range(lm.CONTEXT)]
-    total = sum(10 ** net.log10_next(ctx, np.array([k]))[0] for k in range(lm.CLASSES))
-    assert abs(total - 1) < 1e-4
-    counts = spark.createDataFrame([(bytearray(w), n) for w, n in ((b"", 5), (b"the", 9), *[(f"word{i}".encode(), 1 + i % 3) for i in range(300)])], "word binary, n bigint")
-    vocab, share, tokens, words = lm.vocabulary(counts)
-    assert tokens == counts.agg(F.sum("n")).first()[0] and words == 302 and abs(share.sum() - 1) < 1e-9
-    mass = defaultdict(float)
+    """Probabilities of all codes sum to one, and so do words that share the place for others."""
+    counts = spark.createDataFrame([(bytearray(w), n) for w, n in ((b"", 5), *[(f"w{i}".encode(), 900 - i) for i in range(80)], *[(f"{i}word".encode(), 1 + i % 3) for i in range(900)])], "word binary, n bigint")
+    vocab, class_share, row_share, tokens, words = lm.vocabulary(counts)
+    assert tokens == counts.agg(F.sum("n")).first()[0] and words == 981 and abs(class_share.sum() - 1) < 1e-9
+    size = len(vocab.code_class)
+    net = lm.Net.start(size, class_share, row_share, vocab.code_class)
+    net.u += np.random.default_rng(1).normal(0, 0.3, net.u.shape).astype(np.float32)
+    scorer = lm.Scorer(net, vocab)
+    for ctx in ([3, size, size], [size - 1, 70, 0]):
+        total = 10 ** scorer.log10_next([np.full(size, c) for c in ctx], np.arange(size))
+        assert abs(total.sum() - 1) < 1e-4
+    mass = np.zeros(lm.CLASSES)
     for w, i in vocab.head.items():
-        k = vocab.class_of(w)
-        mass[k] += 10 ** (vocab.head_log[i] - vocab.class_log[k]) if k > lm.SINGLES else 1.0
-    for k, m in mass.items():
-        assert m <= 1 + 1e-9 and (k > lm.SINGLES or m == 1)
+        k = vocab.head_code[i]
+        if lm.SINGLES < k < lm.CLASSES:
+            mass[k] += 10 ** (vocab.head_log[i] - vocab.other_log[k])
+    used = np.flatnonzero(mass)
+    assert len(used) and np.allclose(mass[used] + 10 ** -vocab.other_log[used], 1)
 
 
 def test_language_model_edges(spark):

@@ -1,26 +1,31 @@
 """Log-bilinear neural language model, trained in numpy with noise-contrastive estimation.
 
 Tokens are lower-cased (A-Z) words and one end per text. Counts of all words of
-all training texts are gathered with a shuffle. Words fall into classes: the most
+all training texts are gathered with a shuffle. The softmax has two levels. Words fall into classes: the most
 frequent words have one each, the others share a class with the words of the
-same ending. The network predicts the next token's class from the three classes
-before it, q = sum_i C_i r(class_i), logit(k) = q . v(k) + b(k); its softmax over
-all classes is one matrix product per batch. Inside a class a word has the
-probability (count + 1) / (sum of (count + 1) over the class's words, and 1 more for all
-unseen words), so the whole distribution is normalised.
+same ending. Inside a shared class the frequent words have a place each, and one more place stands for the others.
+The network predicts from the three words before, q = sum_i C_i r(word_i), with the logits q . v(class) + b(class)
+and, inside the class, q . u(place) + a(place). Both are normalised over all classes and all places of the class by
+matrix products. Words without a place share the probability of the place for others in proportion to
+count + 1, with 1 more for all unseen words, so the whole distribution is normalised.
 
-Training covers every training text: each task runs noise-contrastive gradient
-steps on its own texts from the same start, and the parameters are averaged by
-tokens. Counts of the ``HEAD`` most frequent words are broadcast (a bound on
-size that does not depend on the input); all other words are looked up by a join.
+Training covers every training text once. Texts are dealt by a hash of id and text into shards of about
+``SHARD_TOKENS`` tokens, whose number follows from the corpus alone; every shard runs noise-contrastive gradient steps from
+the same start, in an order fixed by the hash, and the networks are averaged by tokens. So the
+result depends neither on the number of tasks nor on how the input is split.
+
+Counts of the ``HEAD`` most frequent words of at most ``LONGEST`` bytes are broadcast (a bound on
+size that does not depend on the input), the end always among them; all other words are looked up by a join.
 
 Nulls and edges: a null text counts as empty and has the end alone; rows with a null
 id belong to the training texts; repeated rows count and are scored each; an
-empty table gives an empty result; without any training text all counts are 0.
+empty table gives an empty result; without any training text all counts are 0; long texts are taken apart
+into words a span at a time; other columns, whatever their names, do not interfere.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,31 +33,45 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.runtime import materialize
 from tidemark.llm.textbatch import slices, text_buffer
 
-HEAD = 1 << 18
-SINGLES, SUFFIXES, HASHED = 95, 192, 32
-#: Class 0 is the end of a text, then single words, known endings, hashed endings; a text's start is a context only.
+HEAD, LONGEST = 1 << 18, 64
+SINGLES, SUFFIXES, HASHED = 63, 112, 16
+#: Class 0 is the end of a text, then single words, known endings, hashed endings.
 CLASSES = 1 + SINGLES + SUFFIXES + HASHED
-START = CLASSES
+#: Places of a shared class, the one for others included.
+PLACES = 192
 DIM, CONTEXT = 16, 3
-NOISE, NOISE_SAMPLE = 12.0, 96
-BATCH = 2048
-#: Tokens trained on at a time, and how often a short task's tokens are gone over.
-BLOCK, LEAST_TRAINED, MOST_PASSES = 1 << 20, 1 << 20, 6
+NOISE, NOISE_SAMPLE, NOISE_INSIDE = 12.0, 64, 6
+BATCH, SCORE_BATCH = 2048, 512
+SHARD_TOKENS, BLOCK, CHUNK = 1 << 22, 1 << 20, 1 << 18
 COUNTER_LIMIT = 200_000
+SPAN = 1 << 20
 HELD_OUT_MOD, HELD_OUT = 7, 2
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
 
-def tokens(column: pa.Array) -> Iterator[list[bytes]]:
+def word_lists(column: pa.Array) -> Iterator[Iterator[list[bytes]]]:
+    """For each text its words, in lists of at most about ``SPAN`` bytes."""
     data, off = text_buffer(column)
     raw = data.tobytes()
+
+    def spans(at: int, end: int) -> Iterator[list[bytes]]:
+        while at < end:
+            stop = end
+            if at + SPAN < end:
+                blank = _BLANK.search(raw, at + SPAN, end)
+                stop = blank.start() if blank else end
+            yield raw[at:stop].lower().split()
+            at = stop
+
     for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-        yield raw[a:b].lower().split()
+        yield spans(a, b)
 
 
 def _count_words(batches):
@@ -67,11 +86,12 @@ def _count_words(batches):
 
     for batch in batches:
         for piece in slices(batch, "text"):
-            for words in tokens(piece.column(0)):
-                seen.update(words)
+            for text in word_lists(piece.column(0)):
+                for words in text:
+                    seen.update(words)
+                    if len(seen) > COUNTER_LIMIT:
+                        yield flush()
             seen[b""] += piece.num_rows
-            if len(seen) > COUNTER_LIMIT:
-                yield flush()
     if seen:
         yield flush()
 
@@ -83,14 +103,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Which class a word is in, and what is known of the frequent words."""
+    """Which class a word is in, and what is known of the frequent words.
+
+    A word's code is its class, if it is alone there or has no place, and a number from ``CLASSES`` on for its place otherwise.
+    Rows are the places of all shared classes, class by class, each with the place for others first.
+    """
 
     singles: dict[bytes, int]
     suffixes: dict[bytes, int]
     head: dict[bytes, int] = field(default_factory=dict)
-    head_class: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint16))
+    head_code: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint16))
     head_log: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    class_log: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
+    code_class: np.ndarray = field(default_factory=lambda: np.arange(CLASSES))
+    code_row: np.ndarray = field(default_factory=lambda: np.full(CLASSES, -1))
+    class_row: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES + 1, np.int64))
+    other_log: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
 
     def class_of(self, word: bytes) -> int:
         if not word:
@@ -100,10 +127,6 @@ class Vocabulary:
             found = self.suffixes.get(word[-3:])
         return 1 + SINGLES + SUFFIXES + zlib.crc32(word[-2:]) % HASHED if found is None else found
 
-    def classes(self, codes: np.ndarray) -> np.ndarray:
-        known = codes >= 0
-        return np.where(known, self.head_class[np.where(known, codes, 0)] if len(self.head_class) else 0, -1 - codes)
-
 
 class Codes(dict):
     """Positions of words in the head; -1 - class of other words, of which the first ones met are kept."""
@@ -114,196 +137,237 @@ class Codes(dict):
 
     def __missing__(self, word: bytes) -> int:
         code = -1 - self._vocab.class_of(word)
-        if len(self) < self._most:
+        if len(self) < self._most and len(word) <= LONGEST:
             self[word] = code
         return code
 
 
 @dataclass
 class Net:
+    """Context vectors by code (the last is a text's start), their maps by distance, and outputs by class and by row."""
+
     r: np.ndarray
     c: np.ndarray
     v: np.ndarray
     b: np.ndarray
+    u: np.ndarray
+    a: np.ndarray
 
     @staticmethod
-    def start(class_share: np.ndarray, seed: int = 3) -> "Net":
+    def start(codes: int, class_share: np.ndarray, row_share: np.ndarray, code_class: np.ndarray, seed: int = 3) -> "Net":
         rng = np.random.default_rng(seed)
+        by_class = rng.normal(0, 0.3, (CLASSES + 1, DIM))  # words of one class start alike
+        r = by_class[np.append(code_class, CLASSES)]
         c = np.stack([np.eye(DIM)] * CONTEXT) / CONTEXT
-        r = rng.normal(0, 0.3, (CLASSES + 1, DIM))
-        v = rng.normal(0, 0.1, (CLASSES, DIM))
-        return Net(*(x.astype(np.float32) for x in (r, c, v, np.log(class_share))))
+        v, u = rng.normal(0, 0.1, (CLASSES, DIM)), np.zeros((len(row_share), DIM))
+        return Net(*(x.astype(np.float32) for x in (r, c, v, np.log(class_share), u, np.log(np.maximum(row_share, 1e-30)))))
 
-    def pack(self) -> bytes:
-        return np.concatenate([x.ravel() for x in (self.r, self.c, self.v, self.b)]).astype(np.float32).tobytes()
+    def parts(self) -> list[np.ndarray]:
+        return [self.r, self.c, self.v, self.b, self.u, self.a]
 
-    @staticmethod
-    def unpack(flat: np.ndarray) -> "Net":
-        shapes = [(CLASSES + 1, DIM), (CONTEXT, DIM, DIM), (CLASSES, DIM), (CLASSES,)]
-        parts, at = [], 0
-        for shape in shapes:
-            size = int(np.prod(shape))
-            parts.append(flat[at : at + size].reshape(shape).astype(np.float32))
-            at += size
-        return Net(*parts)
-
-    def log10_next(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of target classes; context: CONTEXT class arrays, nearest first."""
-        rc = [self.r @ self.c[i] for i in range(CONTEXT)]
-        reach = sum(np.linalg.norm(x, axis=1).max() for x in rc) * np.linalg.norm(self.v, axis=1).max() + np.abs(self.b).max()
-        out = np.empty(len(target), np.float64)
-        vt = np.ascontiguousarray(np.vstack([self.v.T, self.b]))  # the last coordinate of every query is 1
-        for a in range(0, len(target), BATCH):
-            s = slice(a, a + BATCH)
-            q = np.ones((len(target[s]), DIM + 1), np.float32)
-            q[:, :DIM] = rc[0][context[0][s]]
-            for i in range(1, CONTEXT):
-                q[:, :DIM] += rc[i][context[i][s]]
-            z = q @ vt
-            if reach > 80:
+    def pack(self) -> bytes:
+        return np.concatenate([x.ravel() for x in self.parts()]).astype(np.float32).tobytes()
+
+    def like(self, flat: np.ndarray) -> "Net":
+        """A network of the same shapes."""
+        cuts = np.cumsum([x.size for x in self.parts()])[:-1]
+        return Net(*(y.reshape(x.shape).astype(np.float32) for x, y in zip(self.parts(), np.split(flat, cuts))))
+
+
+class Scorer:
+    """Normalised log10 probabilities of tokens, as far as classes and places go."""
+
+    def __init__(self, net: Net, vocab: Vocabulary):
+        self.rc = [net.r @ net.c[i] for i in range(CONTEXT)]
+        self.vt = np.ascontiguousarray(np.vstack([net.v.T, net.b]))  # the last coordinate of every query is 1
+        self.rows = np.vstack([net.u.T, net.a])
+        longest = sum(np.linalg.norm(x, axis=1).max() for x in self.rc)
+        out = np.linalg.norm(np.vstack([net.v, net.u]), axis=1).max()
+        self.shift = longest * out + max(np.abs(net.b).max(), np.abs(net.a).max(initial=0)) > 80
+        self.code_class, self.code_row, self.class_row = vocab.code_class, vocab.code_row, vocab.class_row
+
+    def _softmax(self, q: np.ndarray, table: np.ndarray, target: np.ndarray) -> np.ndarray:
+        out = np.empty(len(q), np.float64)
+        for a in range(0, len(q), SCORE_BATCH):
+            z = q[a : a + SCORE_BATCH] @ table
+            if self.shift:
                 z -= z.max(axis=1, keepdims=True)
-            hit = z[np.arange(len(z)), target[s]]
+            hit = z[np.arange(len(z)), target[a : a + SCORE_BATCH]]
             np.exp(z, out=z)
-            out[s] = hit - np.log(z.sum(axis=1))
-        return out / np.log(10)
-
-
-def contexts(stream: np.ndarray, is_token: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Context classes and target of each token of a stream in which each text follows CONTEXT starts."""
-    at = np.flatnonzero(is_token)
-    return [stream[at - 1 - i] for i in range(CONTEXT)], stream[at]
-
+            out[a : a + SCORE_BATCH] = hit - np.log(z.sum(axis=1))
+        return out
 
-def _scatter(grad: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    first = np.flatnonzero(np.diff(ids, prepend=-1))
-    grad[ids[first]] += np.add.reduceat(rows[order], first, axis=0)
+    def log10_next(self, context: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+        """Context: CONTEXT arrays of codes, nearest first; target: codes."""
+        q = np.ones((len(target), DIM + 1), np.float32)
+        q[:, :DIM] = self.rc[0][context[0]]
+        for i in range(1, CONTEXT):
+            q[:, :DIM] += self.rc[i][context[i]]
+        classes = self.code_class[target]
+        out = self._softmax(q, self.vt, classes)
+        inside = np.flatnonzero(self.class_row[classes + 1] - self.class_row[classes] > 1)
+        order = inside[np.argsort(classes[inside], kind="stable")]
+        cuts = np.flatnonzero(np.diff(classes[order], prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            mine = order[a:b]
+            first, last = self.class_row[classes[mine[0]]], self.class_row[classes[mine[0]] + 1]
+            out[mine] += self._softmax(q[mine], np.ascontiguousarray(self.rows[:, first:last]), self.code_row[target[mine]] - first)
+        return out / np.log(10)
 
 
 class Trainer:
-    """AdaGrad steps on the noise-contrastive objective; noise comes from the class shares."""
+    """AdaGrad steps on the noise-contrastive objective of both levels; noise comes from the shares of classes and places."""
 
-    def __init__(self, net: Net, noise: np.ndarray, rate: float = 0.15, seed: int = 5):
-        self.net = Net(net.r.copy(), net.c.copy(), net.v.copy(), net.b.copy())
-        self.noise = noise / noise.sum()
+    def __init__(self, net: Net, vocab: Vocabulary, class_share: np.ndarray, row_share: np.ndarray, rate: float = 0.15, seed: int = 5):
+        self.net = Net(*(x.copy() for x in net.parts()))
+        self.noise = class_share**0.75 / (class_share**0.75).sum()
         self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        self.rate = rate
-        self.rng = np.random.default_rng(seed)
-        self.square = [np.full_like(x, 1e-2) for x in (net.r, net.c, net.v, net.b)]
+        self.row_noise = np.log(NOISE_INSIDE * np.maximum(row_share, 1e-30)).astype(np.float32)
+        self.reach = np.concatenate([[0.0], np.cumsum(row_share)])
+        self.code_class, self.code_row, self.class_row = vocab.code_class, vocab.code_row, vocab.class_row
+        self.shared = np.flatnonzero(np.diff(self.class_row) > 1)
+        self.place = np.zeros(CLASSES, np.int64)
+        self.place[self.shared] = np.arange(len(self.shared))
+        self.rate, self.rng = rate, np.random.default_rng(seed)
+        self.square = [np.full_like(x, 1e-2) for x in net.parts()]
+
+    def _dense(self, k: int, grad: np.ndarray) -> None:
+        g = grad * np.float32(30)
+        self.square[k] += g * g
+        self.net.parts()[k] += self.rate * g / np.sqrt(self.square[k])
+
+    def _sparse(self, k: int, ids: np.ndarray, rows: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        g = np.add.reduceat(rows[order], first, axis=0) * np.float32(30)
+        at = ids[first]
+        self.square[k][at] += g * g
+        self.net.parts()[k][at] += self.rate * g / np.sqrt(self.square[k][at])
 
     def step(self, ctx: list[np.ndarray], target: np.ndarray) -> None:
         net, n = self.net, len(target)
+        classes = self.code_class[target]
         r = [net.r[c] for c in ctx]
         q = sum(r[i] @ net.c[i] for i in range(CONTEXT))
-        pick = self.rng.choice(CLASSES, NOISE_SAMPLE, p=self.noise)
-        vt, vn = net.v[target], net.v[pick]
-        good = 1 / (1 + np.exp(np.einsum("nd,nd->n", q, vt) + net.b[target] - self.log_noise[target]))
+        pick = np.searchsorted(np.cumsum(self.noise), self.rng.random(NOISE_SAMPLE) * (1 - 1e-9))
+        vt, vn = net.v[classes], net.v[pick]
+        good = 1 / (1 + np.exp(np.einsum("nd,nd->n", q, vt) + net.b[classes] - self.log_noise[classes]))
         bad = -(NOISE / NOISE_SAMPLE) / (1 + np.exp(-(q @ vn.T + net.b[pick] - self.log_noise[pick])))
         good, bad = (good / n).astype(np.float32), (bad / n).astype(np.float32)
         dq = good[:, None] * vt + bad @ vn
-        gr, gc, gv, gb = (np.zeros_like(x) for x in (net.r, net.c, net.v, net.b))
-        _scatter(gv, target, good[:, None] * q)
-        _scatter(gv, pick, bad.T @ q)
-        gb += np.bincount(target, good, minlength=CLASSES) + np.bincount(pick, bad.sum(0), minlength=CLASSES)
-        for i in range(CONTEXT):
-            gc[i] = r[i].T @ dq
-            _scatter(gr, ctx[i], dq @ net.c[i].T)
-        for x, g, s in zip((net.r, net.c, net.v, net.b), (gr, gc, gv, gb), self.square):
-            g *= 30.0
-            s += g * g
-            x += self.rate * g / np.sqrt(s)
-
-    def run(self, stream: np.ndarray, is_token: np.ndarray, seen: int) -> None:
-        """Go over the tokens once, or more often if the task has seen few."""
-        ctx, target = contexts(stream, is_token)
-        n = len(target)
-        for _ in range(min(MOST_PASSES, max(1, -(-LEAST_TRAINED // max(1, seen))))):
-            order = self.rng.permutation(n)
-            for a in range(0, n, BATCH):
-                s = order[a : a + BATCH]
-                self.step([c[s] for c in ctx], target[s])
-
-
-def class_stream(column: pa.Array, vocab: Vocabulary, known: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all tokens, the class stream with starts, and which of its places are tokens."""
-    codes: list[int] = []
-    lengths = []
-    code, end = known.__getitem__, known[b""]
-    for words in tokens(column):
-        codes += map(code, words)
-        codes.append(end)
-        lengths.append(len(words) + 1)
-    codes = np.array(codes, np.int64)
-    lengths = np.array(lengths, np.int64)
-    stream = np.full(len(codes) + CONTEXT * len(lengths), START, np.int64)
-    is_token = np.ones(len(stream), bool)
-    begins = np.concatenate([[0], np.cumsum(lengths + CONTEXT)])[:-1]
+        order = np.argsort(classes, kind="stable")
+        first = np.flatnonzero(np.diff(classes[order], prepend=-1))
+        gv = np.zeros_like(net.v)
+        gv[classes[order[first]]] = np.add.reduceat((good[:, None] * q)[order], first, axis=0)
+        np.add.at(gv, pick, bad.T @ q)
+        gb = (np.bincount(classes, good, minlength=CLASSES) + np.bincount(pick, bad.sum(0), minlength=CLASSES)).astype(np.float32)
+
+        inside = order[self.class_row[classes[order] + 1] - self.class_row[classes[order]] > 1]  # class by class
+        if len(inside):
+            k, rows, qi = self.place[classes[inside]], self.code_row[target[inside]], q[inside]
+            low, high = self.reach[self.class_row[self.shared]], self.reach[self.class_row[self.shared + 1]]
+            drawn = np.searchsorted(self.reach, low[:, None] + self.rng.random((len(self.shared), NOISE_INSIDE)) * (high - low)[:, None], "right") - 1
+            drawn = np.clip(drawn, self.class_row[self.shared][:, None], self.class_row[self.shared + 1][:, None] - 1)
+            ut, un = net.u[rows], net.u[drawn]
+            good_in = 1 / (1 + np.exp(np.einsum("nd,nd->n", qi, ut) + net.a[rows] - self.row_noise[rows]))
+            base = (net.a - self.row_noise)[drawn]
+            bad_in = -1 / (1 + np.exp(-(np.matmul(un[k], qi[:, :, None])[:, :, 0] + base[k])))
+            good_in, bad_in = (good_in / n).astype(np.float32), (bad_in / n).astype(np.float32)
+            dq[inside] += good_in[:, None] * ut + np.matmul(bad_in[:, None, :], un[k])[:, 0]
+            begin = np.flatnonzero(np.diff(k, prepend=-1))
+            seen = drawn[k[begin]]
+            push = np.add.reduceat(bad_in[:, :, None] * qi[:, None, :], begin, axis=0)
+            ids = np.concatenate([rows, seen.ravel()])
+            self._sparse(4, ids, np.concatenate([good_in[:, None] * qi, push.reshape(-1, DIM)]))
+            self._sparse(5, ids, np.concatenate([good_in, np.add.reduceat(bad_in, begin, axis=0).ravel()]))
+        gc = np.stack([r[i].T @ dq for i in range(CONTEXT)])
+        self._sparse(0, np.concatenate(ctx), np.concatenate([dq @ net.c[i].T for i in range(CONTEXT)]))
+        self._dense(1, gc)
+        self._dense(2, gv)
+        self._dense(3, gb)
+
+    def run(self, stream: np.ndarray, is_token: np.ndarray) -> None:
+        """Go over the tokens once, in random order."""
+        at = np.flatnonzero(is_token)[self.rng.permutation(int(is_token.sum()))]
+        for a in range(0, len(at), BATCH):
+            s = at[a : a + BATCH]
+            self.step([stream[s - 1 - i] for i in range(CONTEXT)], stream[s])
+
+
+def code_stream(texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of texts one after the other, each behind CONTEXT starts, and which places are tokens."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(lengths + CONTEXT) - lengths - CONTEXT
+    is_token = np.ones(int((lengths + CONTEXT).sum()), bool)
     for i in range(CONTEXT):
         is_token[begins + i] = False
-    stream[is_token] = vocab.classes(codes)
-    return codes, stream, is_token
-
-
-def train(texts: DataFrame, vocab: Vocabulary, class_share: np.ndarray) -> Net:
-    """Average, weighted by tokens, of what every task has learned from its texts."""
-    start = Net.start(class_share)
-    sc = texts.sparkSession.sparkContext
-    held = sc.broadcast((vocab, start, class_share))  # HEAD words and a fixed network
-
-    def learn(batches):
-        vocab, start, share = held.value
-        trainer, known, seen = Trainer(start, share**0.75), Codes(vocab), 0
-        parts, size = [], 0
-
-        def flush():
-            trainer.run(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), seen)
-
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                _, stream, is_token = class_stream(piece.column(0), vocab, known)
-                parts.append((stream.astype(np.int16), is_token))
-                size += len(stream)
-                seen += int(is_token.sum())
-                if size > BLOCK:
-                    flush()
-                    parts, size = [], 0
-        if size:
-            flush()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([trainer.net.pack()], pa.binary())], names=["n", "net"])
+    stream = np.full(len(is_token), start, np.int32)
+    stream[is_token] = np.concatenate(texts) if texts else 0
+    return stream, is_token
+
+
+def train(encoded: DataFrame, tokens: int, vocab: Vocabulary, net: Net, class_share: np.ndarray, row_share: np.ndarray) -> Net:
+    """The average, weighted by tokens, of what every shard of the training texts teaches."""
+    spark = encoded.sparkSession
+    held = spark.sparkContext.broadcast((vocab, net, class_share, row_share))  # HEAD words and a network, both bounded
+    shards = max(1, -(-tokens // SHARD_TOKENS))
+    rows = encoded.filter(~F.col("held_out")).select(F.xxhash64("doc_id", "codes").alias("h"), "codes")
+    rows = rows.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "codes")
+
+    def learn(table: pa.Table) -> pa.Table:
+        vocab, net, class_share, row_share = held.value
+        table = table.sort_by([("h", "ascending")])
+        trainer = Trainer(net, vocab, class_share, row_share, seed=table["shard"][0].as_py())
+        waiting, size, seen = [], 0, 0
+        for cell in table["codes"]:
+            codes = np.frombuffer(cell.as_buffer(), np.uint16)
+            waiting.append(codes)
+            size, seen = size + len(codes), seen + len(codes)
+            if size >= BLOCK:
+                trainer.run(*code_stream(waiting, len(vocab.code_class)))
+                waiting, size = [], 0
+        if waiting:
+            trainer.run(*code_stream(waiting, len(vocab.code_class)))
+        return pa.table({"shard": [table["shard"][0].as_py()], "n": [seen], "net": pa.array([trainer.net.pack()], pa.binary())}, schema=schema)
+
+    def summed(group: int, total: int, flat: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["part", "n", "net"])
 
     def average(batches):
-        total, flat = 0, None
+        total, flat, group = 0, None, None
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(raw, np.float32).astype(np.float64) * n
-                flat = x if flat is None else flat + x
-                total += n
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([(flat / total).astype(np.float32).tobytes()], pa.binary())], names=["n", "net"])
-
-    nets = texts.select("text").mapInArrow(learn, "n bigint, net binary").repartition(8).mapInArrow(average, "n bigint, net binary").collect()
-    total = sum(r["n"] for r in nets)
-    if not total:
-        return start
-    return Net.unpack(sum(np.frombuffer(r["net"], np.float32).astype(np.float64) * (r["n"] / total) for r in nets))
-
-
-def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, int, int]:
-    """Classes and head from the counts of all words, the classes' shares, and the numbers of tokens and words."""
+            for g, n, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if group is not None and g != group:
+                    yield summed(group, total, flat)
+                    total, flat = 0, None
+                x = np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64) * n
+                flat, total, group = x if flat is None else flat + x, total + n, g
+        if flat is not None:
+            yield summed(group, total, flat)
+
+    schema = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("net", pa.binary())])
+    nets = rows.groupBy("shard").applyInArrow(learn, "shard int, n bigint, net binary")
+    nets = nets.select(F.pmod("shard", F.lit(8)).alias("part"), "shard", "n", "net").repartition(8, "part").sortWithinPartitions("part", "shard")
+    sums = nets.mapInArrow(average, "part int, n bigint, net binary").orderBy("part").collect()  # 8 networks at most
+    total = sum(r["n"] for r in sums)
+    return net.like(sum(np.frombuffer(r["net"], np.float64) for r in sums) / total) if total else net
+
+
+def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray, int, int]:
+    """The words' classes and places from the counts of all words, the shares of classes and rows, and the numbers of tokens and words."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_tokens, n_words = total["n"] or 0, total["v"]
     level = F.floor(F.log2("n") * 32).cast("int")
-    fits, at_least = 0, None
-    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 32 levels for a doubling
+    short = counts.filter(F.octet_length("word").between(1, LONGEST))
+    fits, at_least = 0, 1 << 30
+    for row in short.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 32 levels for a doubling
         fits += row["count"]
         if fits > HEAD:
             break
         at_least = row["level"]
-    table = counts.filter(level >= at_least).toArrow() if at_least is not None else None
-    words = table["word"].to_pylist() if table else []
-    n = table["n"].to_numpy() if table else np.zeros(0, np.int64)
+    table = short.filter(level >= at_least).unionByName(counts.filter(F.octet_length("word") == 0)).toArrow()  # HEAD words and the end
+    words, n = table["word"].to_pylist(), table["n"].to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
     singles = [words[i] for i in order if words[i]][:SINGLES]
     tail = F.expr("substring(word, greatest(1, octet_length(word) - 2), 3)")
@@ -318,7 +382,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, int, int]:
         sums = np.zeros((2, CLASSES), np.int64)
         for batch in batches:
             c = np.fromiter(map(held.value.class_of, batch.column(0).to_pylist()), np.int64, batch.num_rows)
-            sums[0] += np.bincount(c, batch.column(1).to_numpy(), minlength=CLASSES).astype(np.int64)
+            np.add.at(sums[0], c, batch.column(1).to_numpy())
             sums[1] += np.bincount(c, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(sums[0]), pa.array(sums[1])], names=["k", "n", "types"])
 
@@ -326,78 +390,123 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, int, int]:
     found = counts.select("word", "n").mapInArrow(by_class, "k bigint, n bigint, types bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("types").alias("t"))
     for r in found.collect():
         class_n[r["k"]], types[r["k"]] = r["n"], r["t"]
-    open_class = np.arange(CLASSES) > SINGLES
-    open_class[1 + len(singles) : 1 + SINGLES] = False
-    vocab.class_log = np.log10(np.maximum(1, class_n + types + open_class))
+
+    # Places by count, in the classes that words share.
+    of = np.array([vocab.class_of(words[i]) for i in order], np.int64)
+    placed: list[list[int]] = [[] for _ in range(CLASSES)]
+    for i, k in enumerate(of.tolist()):
+        if k > SINGLES and len(placed[k]) < PLACES - 1:
+            placed[k].append(i)
+    code, rows, codes = of.copy(), [0], list(range(CLASSES))
+    code_row, row_n = [-1] * CLASSES, []
+    for k in range(CLASSES):
+        if k > SINGLES:
+            mine = [float(n[order[i]]) for i in placed[k]]
+            code_row[k] = len(row_n)
+            row_n += [max(0.5, class_n[k] - sum(mine)), *mine]
+            for j, i in enumerate(placed[k]):
+                code[i] = len(codes)
+                codes.append(k)
+                code_row.append(code_row[k] + 1 + j)
+        rows.append(len(row_n))
+    vocab.code_class, vocab.code_row, vocab.class_row = np.array(codes), np.array(code_row), np.array(rows)
     vocab.head = {words[i]: k for k, i in enumerate(order)}
-    vocab.head_class = np.array([vocab.class_of(words[i]) for i in order], np.uint16)
+    vocab.head_code = code.astype(np.uint16)
     vocab.head_log = np.log10(n[order] + 1.0) if len(order) else np.zeros(0)
-    share = (class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES)
-    return vocab, share, n_tokens, n_words
+    with_place = np.bincount(of, code >= CLASSES, minlength=CLASSES) if len(of) else np.zeros(CLASSES)
+    place_n = np.bincount(of, n[order] * (code >= CLASSES), minlength=CLASSES) if len(of) else np.zeros(CLASSES)
+    vocab.other_log = np.log10(class_n - place_n + types - with_place + 1)
+    row_n = np.array(row_n)
+    row_share = row_n / np.repeat(np.add.reduceat(row_n, vocab.class_row[SINGLES + 1 : -1]), np.diff(vocab.class_row)[SINGLES + 1 :])
+    class_share = (class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES)
+    return vocab, class_share, row_share, n_tokens, n_words
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token counts, the add-one unigram score and the model's score of each text, in log10."""
-    k = F.col(f"`{key}`")
-    held_out = F.coalesce(F.crc32(k.cast("string").cast("binary")) % HELD_OUT_MOD == HELD_OUT, F.lit(False))
-    rows = docs.select(k.alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text}`").cast("string").alias("text"))
-    training = rows.filter(~F.col("held_out")).select("text")
-    # Both intermediates are kept on the executors' disks; a lost executor's part is computed anew.
-    counts = word_counts(training).persist(StorageLevel.DISK_ONLY)
-    vocab, share, n_tokens, n_words = vocabulary(counts)
-    net = train(training, vocab, share)
-    sc = docs.sparkSession.sparkContext
-    held = sc.broadcast((vocab, net))  # HEAD words and a fixed network
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+_ENCODED = ("n_tokens bigint, n_known bigint, log_count double, inside double, tail array<binary>, tail_n array<bigint>, codes binary")
+
+
+def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``doc_id``, ``held_out``, the codes of each text, its sums over words of the head, and the distinct other words with their numbers."""
+    held = rows.sparkSession.sparkContext.broadcast(vocab)  # HEAD words
 
     def run(batches):
-        vocab, net = held.value
-        words_known = Codes(vocab)
+        vocab = held.value
+        known = Codes(vocab)
+        code, end = known.__getitem__, np.array([known[b""]], np.int32)
         head_log = np.append(vocab.head_log, 0.0)
+        head_code = np.append(vocab.head_code, np.uint16(0)).astype(np.int32)
         for batch in batches:
             for piece in slices(batch, "text"):
-                column = piece.column(2)
-                codes, stream, is_token = class_stream(column, vocab, words_known)
-                context, target = contexts(stream, is_token)
-                model = net.log10_next(context, target)
-                known = codes >= 0
-                log_count = np.where(known, head_log[np.where(known, codes, -1)], 0.0)
-                # Only open classes spread their probability over words; a single word's class has one.
-                model += log_count - np.where(known | (target > SINGLES), vocab.class_log[target], 0.0)
-                ends = np.cumsum(np.bincount(np.cumsum(~is_token)[is_token] // CONTEXT - 1, minlength=piece.num_rows))
-                cuts = np.concatenate([[0], ends[:-1]])
-                unknown = iter(np.flatnonzero(~known).tolist())
-                tails: list[list[bytes]] = []
-                at, pending = 0, next(unknown, None)
-                for words, end in zip(tokens(column), ends.tolist()):
-                    mine = []
-                    while pending is not None and pending < end:
-                        if pending - at < len(words):
-                            mine.append(words[pending - at])
-                        pending = next(unknown, None)
-                    at = end
-                    tails.append(mine)
+                sums, tails, tails_n, cells = [], [], [], []
+                for text in word_lists(piece.column(2)):
+                    parts, tail = [], Counter()
+                    for words in text:
+                        got = np.fromiter(map(code, words), np.int32, len(words))
+                        tail.update(words[i] for i in np.flatnonzero(got < 0).tolist())
+                        parts.append(got)
+                    got = np.concatenate([*parts, end])
+                    seen = got >= 0
+                    at = np.where(seen, got, -1)
+                    codes, logs = np.where(seen, head_code[at], -1 - got), head_log[at]
+                    shared = (codes > SINGLES) & (codes < CLASSES)
+                    sums.append((len(got), int(seen.sum()), logs.sum(), (logs[shared] - vocab.other_log[codes[shared]]).sum()))
+                    tails.append(list(tail.keys()))
+                    tails_n.append(list(tail.values()))
+                    cells.append(codes.astype(np.uint16).tobytes())
+                n_tokens, n_known, log_count, inside = zip(*sums)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column(0),
-                        piece.column(1),
-                        pa.array(ends - cuts),
-                        pa.array(np.add.reduceat(known.astype(np.int64), cuts)),
-                        pa.array(np.add.reduceat(log_count, cuts)),
-                        pa.array(np.add.reduceat(model, cuts)),
-                        pa.array(tails, pa.list_(pa.binary())),
+                        piece.column(0), piece.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(log_count, pa.float64()),
+                        pa.array(inside, pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(tails_n, pa.list_(pa.int64())), pa.array(cells, pa.binary()),
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "log_count", "model", "tail"],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "log_count", "inside", "tail", "tail_n", "codes"],
                 )
 
-    schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, log_count double, model double, tail array<binary>"
-    scored = rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
-    scored = scored.persist(StorageLevel.DISK_ONLY)
-    rare = scored.select("row", F.explode("tail").alias("word"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, {_ENCODED}")
+
+
+def model_scores(encoded: DataFrame, vocab: Vocabulary, net: Net, carry: list[str]) -> DataFrame:
+    """The columns ``carry`` and ``model``: the log10 probability of each text's classes and places."""
+    held = encoded.sparkSession.sparkContext.broadcast((vocab, net))  # HEAD words and a network, both bounded
+
+    def run(batches):
+        vocab, net = held.value
+        scorer, start = Scorer(net, vocab), len(vocab.code_class)
+        for batch in batches:
+            for piece in slices(batch, "codes"):
+                cells = [np.frombuffer(c.as_buffer(), np.uint16) for c in piece.column(piece.num_columns - 1)]
+                stream, is_token = code_stream(cells, start)
+                owner = np.repeat(np.arange(len(cells)), [len(c) + CONTEXT for c in cells])
+                model = np.zeros(len(cells))
+                for a in range(0, len(stream), CHUNK):
+                    at = a + np.flatnonzero(is_token[a : a + CHUNK])
+                    scores = scorer.log10_next([stream[at - 1 - i] for i in range(CONTEXT)], stream[at])
+                    model += np.bincount(owner[at], scores, minlength=len(cells))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(model)], names=[*carry, "model"])
+
+    schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in carry)
+    return encoded.select(*carry, "codes").mapInArrow(run, f"{schema}, model double")
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Token counts, the add-one unigram score and the model's score of each text, in log10."""
+    k = F.col(f"`{key}`")
+    held_out = F.coalesce(F.crc32(k.cast("string").cast("binary")) % HELD_OUT_MOD == HELD_OUT, F.lit(False))
+    rows = docs.select(k.alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text}`").cast("string").alias("text"))
+    counts = materialize(word_counts(rows.filter(~F.col("held_out"))), "words")
+    vocab, class_share, row_share, n_tokens, n_words = vocabulary(counts)
+    # Written with a number for each row, by which the counts of other words find back.
+    encoded = materialize(encode(rows, vocab).withColumn("row", F.monotonically_increasing_id()), "codes")
+    start = Net.start(len(vocab.code_class), class_share, row_share, vocab.code_class)
+    net = train(encoded, n_tokens, vocab, start, class_share, row_share)
+    carry = ["row", "doc_id", "held_out", "n_tokens", "n_known", "log_count", "inside"]
+    scored = model_scores(encoded, vocab, net, carry)
+    rare = encoded.select("row", F.inline(F.arrays_zip(F.col("tail").alias("word"), F.col("tail_n").alias("times"))))
     looked = rare.join(counts, "word").groupBy("row").agg(
-        F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_log")
+        F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_log")
     )
-    joined = scored.drop("tail").join(looked, "row", "left")
+    joined = scored.join(looked, "row", "left")
     more = F.coalesce("more_log", F.lit(0.0))
     per_token = float(np.log10(n_tokens + n_words + 1))
     return joined.select(
@@ -407,5 +516,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n_tokens).cast("long").alias("train_tokens"),
         (F.col("log_count") + more - F.col("n_tokens") * per_token).alias("base_score"),
-        (F.col("model") + more).alias("score"),
+        (F.col("model") + F.col("inside") + more).alias("score"),
     )
