@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars, on DataFrames only.
 
-Each step is one minimum per node and one join back, so a hub is never collected;
-the edge count never grows and the rounds grow with the logarithm of the diameter.
+Each step is one minimum per node and one join back, in which the edges of a hub are dealt out, so a hub is never
+collected nor in one task; the edge count never grows and the rounds grow with the logarithm of the diameter.
 """
 
 from __future__ import annotations
@@ -12,15 +12,38 @@ from pyspark.sql import functions as F
 from tidemark.llm.runtime import materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A key with more than this share of all rows is dealt out; so there are at most as many such keys as its inverse.
+HOT_SHARE = 1 / 1000
+PARTS = 64
+
+
+def join_dealt(rows: DataFrame, table: DataFrame, on: str | list[str], by: str, total: int, counts: DataFrame) -> DataFrame:
+    """``rows`` joined with ``table`` (inner), where the rows of hot keys are dealt by a hash of ``by`` to ``PARTS`` copies of the key's row.
+
+    ``total`` is the number of rows. ``counts`` has a row for each of them, or, with a column ``n``, the number of rows of each key.
+    Hot keys are 1 / ``HOT_SHARE`` at most, so they may be broadcast.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    sizes = counts if "n" in counts.columns else counts.groupBy(*keys).agg(F.count("*").alias("n"))
+    hot = F.broadcast(sizes.filter(F.col("n") > total * HOT_SHARE).select(*keys, F.lit(True).alias("__hot")))
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(F.col(by)), F.lit(PARTS)).cast("int")).otherwise(0).alias("__part")
+    copies = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))).alias("__part")
+    dealt = rows.join(hot, keys, "left").select(*rows.columns, part)
+    copied = table.join(hot, keys, "left").select(*table.columns, copies)
+    return dealt.join(copied, [*keys, "__part"]).drop("__part")
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    moved = join_dealt(both.filter("v > u"), least.drop("n"), "u", "v", 2 * total, least.select("u", "n"))
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_dealt(edges, least.drop("n"), "u", "v", total, least.select("u", "n"))
+    moved = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -37,4 +60,4 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = mark
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        edges = materialize(_small_star(_large_star(edges, mark[0]), mark[0]), "edges")

@@ -28,14 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, join_dealt
 from tidemark.llm.runtime import materialize
-from tidemark.llm.textbatch import Texts, chunked, mix, slices, windows
+from tidemark.llm.textbatch import chunked, mix, slices, windows, word_hashes_of
 
 SHINGLE = 5
-#: Links need 100 * intersection >= percent * union. This is the contract of op4; callers without one give their own.
-PERCENT = 85
+#: Links need 100 * intersection >= percent * union: a similarity of 0.8 or more, unless a caller gives its own.
+PERCENT = 80
 #: A linked pair at the threshold shares no bucket with at most this probability, if its bins agree independently.
 MISSED = 1e-8
 #: Pivots of one bucket in one exact round, at most; the rounds go on until none is left.
@@ -69,18 +70,17 @@ def prefix_size(n: int, percent: int) -> int:
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text, lower-cased A-Z."""
-    t = Texts(column, lower=True)
-    words = t.word_hashes()
-    at, hashes = windows(words, t.doc, size)
-    cut = np.searchsorted(t.doc[at], np.arange(t.n + 1))
-    first = t.word_spans()
+    words, doc, n_words = word_hashes_of(column, lower=True)
+    at, hashes = windows(words, doc, size)
+    cut = np.searchsorted(doc[at], np.arange(len(n_words) + 1))
+    first = np.concatenate([[0], np.cumsum(n_words)])
     out = []
-    for i in range(t.n):
+    for i in range(len(n_words)):
         if cut[i + 1] > cut[i]:
             out.append(np.unique(hashes[cut[i] : cut[i + 1]]))
-        elif t.n_words[i]:
-            _, whole = windows(words[first[i] : first[i + 1]], t.doc[first[i] : first[i + 1]], int(t.n_words[i]))
-            out.append(mix(whole + np.uint64(t.n_words[i])))
+        elif n_words[i]:
+            _, whole = windows(words[first[i] : first[i + 1]], doc[first[i] : first[i + 1]], int(n_words[i]))
+            out.append(mix(whole + np.uint64(n_words[i])))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -184,10 +184,15 @@ def prefixes(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``: whether any texts of the two ids meet the threshold."""
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _confirm(batches, percent), "a bigint, b bigint, linked boolean")
+    """``pairs`` (a, b) with ``linked``: whether any texts of the two ids meet the threshold.
+
+    The centre of a star may be in very many pairs, so those of one id are dealt out, each part with its text.
+    """
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    total = pairs.count()
+    with_b = join_dealt(pairs, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b", "a", total, pairs)
+    with_a = join_dealt(with_b, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a", "b", total, pairs)
+    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _confirm(batches, percent), "a bigint, b bigint, linked boolean")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -235,7 +240,12 @@ def _work_off(rest: DataFrame, texts: DataFrame, found: DataFrame, percent: int)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``; texts link from ``percent`` on."""
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``; texts link from ``percent`` on.
+
+    Ids are whole numbers; other types are refused with a TypeError.
+    """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} is {docs.schema[key].dataType.simpleString()}, not a whole number")
     least = least_size(percent)
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = "doc_id bigint, n_shingles bigint, mark1 bigint, mark2 bigint, bands array<bigint>"
@@ -245,7 +255,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     marks = ["n_shingles", "mark1", "mark2"]
     full = feats.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(full.groupBy(*marks).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    shared = full.select("doc_id", *marks).join(classes.filter("copies > 1"), marks)
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    shared = join_dealt(full.select("doc_id", *marks), classes.filter("copies > 1"), marks, "doc_id", total, classes.withColumnRenamed("copies", "n"))
     same = shared.filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
     nodes = classes.filter(f"n_shingles >= {least}").select(F.col("node").alias("doc_id"), *marks)

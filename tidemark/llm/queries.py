@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import ann, chat, licenses, lm, minhash, mixing, pieces, quality_classifier, quality_rules, warc
 
 
+#: The contract of op4_near_duplicates.
+_OP4_PERCENT = 85
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,7 +53,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=minhash.PERCENT)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=_OP4_PERCENT)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +158,7 @@ WITH RECURSIVE w AS (
 pairs AS MATERIALIZED (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS MATERIALIZED (
-  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= {minhash.PERCENT} * (x.n + y.n - met)
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= {_OP4_PERCENT} * (x.n + y.n - met)
 ), edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),
 groups AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)

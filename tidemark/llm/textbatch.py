@@ -8,6 +8,7 @@ hash of every word, line or character n-gram of the batch.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -57,7 +59,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = pc.fill_null(column, "")
-    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    wide = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     bufs = column.buffers()
     if len(column) == 0 or bufs[1] is None:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
@@ -76,6 +78,33 @@ def _cut(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def spans(raw: bytes, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Cut a text into ranges of about ``limit`` bytes that end before white space; a longer word stays whole."""
+    at = 0
+    while at < len(raw):
+        stop = len(raw)
+        if at + limit < len(raw):
+            blank = _BLANK.search(raw, at + limit)
+            stop = blank.start() if blank else stop
+        yield at, stop
+        at = stop
+
+
+def is_long(column: pa.Array) -> bool:
+    """Whether a slice is one text that is to be worked on in spans."""
+    return len(column) == 1 and int(text_buffer(column)[1][-1]) > 2 * CHUNK_BYTES
+
+
+def word_hashes_of(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of the texts, the row of each, and the number of words of each row; a long text goes span by span."""
+    if not is_long(column):
+        t = Texts(column, lower)
+        return t.word_hashes(), t.doc, t.n_words
+    raw = text_buffer(column)[0].tobytes()
+    words = np.concatenate([Texts(pa.array([raw[a:b]], pa.binary()), lower).word_hashes() for a, b in spans(raw)])
+    return words, np.zeros(len(words), np.int64), np.array([len(words)])
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text, one row at least."""
     for at, n in _cut(batch.column(batch.schema.get_field_index(column)), limit):
