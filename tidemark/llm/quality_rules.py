@@ -13,13 +13,15 @@ result; other columns, whatever their names, do not interfere.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import materialize
-from tidemark.llm.textbatch import Texts, map_texts, mix, windows
+from tidemark.llm.textbatch import SPACE, Texts, is_long, map_texts, mix, spans, text_buffer, windows, word_hashes_of
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -34,8 +36,44 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 _STRUCT = "struct<" + ",".join(f"{name}:bigint" for name in FEATURES) + ">"
 
 
+def _repeated(words: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Words of each text in windows that it holds more than once."""
+    at, hashes = windows(words, doc, REPEAT_WINDOW)
+    _, which, times = np.unique(_within(hashes, doc[at]), return_inverse=True, return_counts=True)
+    again = at[times[which] > 1] if len(at) else at
+    edge = np.zeros(len(words) + REPEAT_WINDOW + 1, np.int64)
+    np.add.at(edge, again, 1)
+    np.add.at(edge, again + REPEAT_WINDOW, -1)
+    return np.bincount(doc[np.cumsum(edge)[: len(words)] > 0], minlength=n)
+
+
+def _long_counts(column: pa.Array) -> dict[str, np.ndarray]:
+    """The same counts of one very long text, whose arrays are made a span at a time."""
+    raw = text_buffer(column)[0].tobytes()
+    words, doc, n_words = word_hashes_of(column)
+    out = {"n_words": n_words, "n_symbols": 0, "word_chars": 0, "n_dup_lines": 0}
+    for a, b in spans(raw):
+        data = np.frombuffer(raw[a:b], np.uint8)
+        out["n_symbols"] += int(_SYMBOL[data].sum())
+        out["word_chars"] += int((~SPACE[data] & ((data & 0xC0) != 0x80)).sum())
+    seen: set[bytes] = set()
+    at = 0
+    while at <= len(raw):
+        end = raw.find(b"\n", at)
+        end = len(raw) if end < 0 else end
+        line = raw[at:end]
+        if line.strip(b" \t\n\x0b\x0c\r"):
+            digest = hashlib.blake2b(line, digest_size=16).digest()
+            out["n_dup_lines"] += digest in seen
+            seen.add(digest)
+        at = end + 1
+    return {k: np.array(v).reshape(1) for k, v in out.items()} | {"n_repeat_words": _repeated(words, doc, 1)}
+
+
 def rule_counts(column: pa.Array) -> dict[str, np.ndarray]:
     """The counts named in ``FEATURES`` for each text of an Arrow column."""
+    if is_long(column):
+        return _long_counts(column)
     t = Texts(column)
     out = {"n_words": t.n_words, "n_symbols": t.per_text(_SYMBOL[t.data])}
     out["word_chars"] = t.per_text(~t.space & ((t.data & 0xC0) != 0x80))
@@ -54,14 +92,7 @@ def rule_counts(column: pa.Array) -> dict[str, np.ndarray]:
     _, first = np.unique(_within(t.hashes(starts, ends), owner), return_index=True)
     out["n_dup_lines"] = np.bincount(owner, minlength=t.n) - np.bincount(owner[first], minlength=t.n)
 
-    at, hashes = windows(t.word_hashes(), t.doc, REPEAT_WINDOW)
-    _, which, times = np.unique(_within(hashes, t.doc[at]), return_inverse=True, return_counts=True)
-    again = at[times[which] > 1] if len(at) else at
-    edge = np.zeros(len(t.starts) + REPEAT_WINDOW + 1, np.int64)
-    np.add.at(edge, again, 1)
-    np.add.at(edge, again + REPEAT_WINDOW, -1)
-    covered = np.cumsum(edge)[: len(t.starts)] > 0
-    out["n_repeat_words"] = np.bincount(t.doc[covered], minlength=t.n)
+    out["n_repeat_words"] = _repeated(t.word_hashes(), t.doc, t.n)
     return out
 
 
