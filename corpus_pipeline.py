@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import minhash, mixing, pieces, quality_classifier, quality_rules
 from tidemark.llm.runtime import materialize
 
-#: Near copies have this similarity or more. It is a choice of the pipeline, apart from the contract of op4_near_duplicates.
-NEAR_PERCENT = 85
+#: Near copies share five-word shingles with a similarity of 0.8 or more; the contract of op4_near_duplicates is another.
+NEAR_PERCENT = 80
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
