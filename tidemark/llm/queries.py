@@ -67,13 +67,12 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _damaged(records: DataFrame) -> DataFrame:
-    """A replica with records lost, cut short and overwritten, chosen by page id."""
+    """A replica with records lost, cut short and overwritten, chosen by page id; what follows a cut moves up."""
     page = F.coalesce("page_id", F.lit(0))
-    short = F.expr("substring(payload, 1, greatest(0, length - 7))")
+    short = F.expr("substring(payload, 1, greatest(0, octet_length(payload) - 7))")
     overwritten = F.overlay("payload", F.lit(b"\x00"), 20)
     payload = F.when(page % 193 == 7, short).when(page % 97 == 13, overwritten).otherwise(F.col("payload"))
-    rows = records.filter(page % 211 != 5).withColumn("payload", payload)
-    return rows.withColumn("length", F.octet_length("payload").cast("bigint"))
+    return records.filter(page % 211 != 5).withColumn("payload", payload)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,19 +132,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-_OP7_SQL = """
+_OP7_HEAD = "WARC/1.0..WARC-Type: resource..WARC-Record-ID: <urn:uuid:00000000-0000-0000-0000-000000000000>..WARC-Date: 2020-01-01T00:00:00Z..WARC-Target-URI: "
+_OP7_SQL = f"""
 WITH p AS (
   SELECT page_id // 256 AS file, page_id,
-    58 + strlen(coalesce(url, '')) + 18 + length(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + 4 + strlen(coalesce(html, '')) + 4 AS length
+    {len(_OP7_HEAD)} + strlen(coalesce(url, '')) + {len('..Content-Type: text/html..Content-Length: ')} + length(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + 4 + strlen(coalesce(html, '')) + 4 AS length
   FROM pages
 ), o AS (
   SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM p
+), f AS (
+  SELECT file, page_id, CASE WHEN page_id % 193 = 7 THEN length - 7 ELSE length END AS found_length FROM p WHERE page_id % 211 <> 5
+), g AS (
+  SELECT *, CAST(coalesce(sum(found_length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS found_offset FROM f
 )
-SELECT file, "offset", page_id, CAST(length AS BIGINT) AS length,
-  CAST(CASE WHEN page_id % 211 = 5 THEN NULL WHEN page_id % 193 = 7 THEN length - 7 ELSE length END AS BIGINT) AS found_length,
-  CASE WHEN page_id % 211 = 5 THEN 'missing' ELSE 'changed' END AS status
-FROM o WHERE page_id % 211 = 5 OR page_id % 193 = 7 OR page_id % 97 = 13
-""".replace("58 +", f"{len('WARC/1.0..WARC-Type: response..WARC-Target-URI: ')} +").replace("+ 18 +", f"+ {len('..Content-Length: ')} +")
+SELECT o.file, "offset", o.page_id, CAST(length AS BIGINT) AS length, found_offset, CAST(found_length AS BIGINT) AS found_length,
+  CASE WHEN found_length IS NULL THEN 'missing' ELSE 'changed' END AS status
+FROM o LEFT JOIN g ON o.page_id = g.page_id WHERE o.page_id % 211 = 5 OR o.page_id % 193 = 7 OR o.page_id % 97 = 13
+"""
 
 
 _OP4_SQL = f"""
