@@ -44,10 +44,10 @@ SINGLES, SUFFIXES, HASHED = 63, 112, 16
 #: Class 0 is the end of a text, then single words, known endings, hashed endings.
 CLASSES = 1 + SINGLES + SUFFIXES + HASHED
 #: Places of a shared class, the one for others included.
-PLACES = 192
+PLACES = 160
 DIM, CONTEXT = 16, 3
-NOISE, NOISE_SAMPLE, NOISE_INSIDE = 12.0, 64, 6
-BATCH, SCORE_BATCH = 2048, 512
+NOISE, NOISE_SAMPLE, NOISE_INSIDE = 12.0, 32, 4
+BATCH, SEGMENT, SCORE_BATCH = 2048, 32, 256
 SHARD_TOKENS, BLOCK, CHUNK = 1 << 22, 1 << 20, 1 << 18
 COUNTER_LIMIT = 200_000
 SPAN = 1 << 20
@@ -144,14 +144,15 @@ class Codes(dict):
 
 @dataclass
 class Net:
-    """Context vectors by code (the last is a text's start), their maps by distance, and outputs by class and by row."""
+    """Context vectors by code (the last is a text's start), their maps by distance, and outputs by class and by row.
+
+    Outputs have one coordinate more, the bias: the last coordinate of every query is 1.
+    """
 
     r: np.ndarray
     c: np.ndarray
     v: np.ndarray
-    b: np.ndarray
     u: np.ndarray
-    a: np.ndarray
 
     @staticmethod
     def start(codes: int, class_share: np.ndarray, row_share: np.ndarray, code_class: np.ndarray, seed: int = 3) -> "Net":
@@ -159,11 +160,12 @@ class Net:
         by_class = rng.normal(0, 0.3, (CLASSES + 1, DIM))  # words of one class start alike
         r = by_class[np.append(code_class, CLASSES)]
         c = np.stack([np.eye(DIM)] * CONTEXT) / CONTEXT
-        v, u = rng.normal(0, 0.1, (CLASSES, DIM)), np.zeros((len(row_share), DIM))
-        return Net(*(x.astype(np.float32) for x in (r, c, v, np.log(class_share), u, np.log(np.maximum(row_share, 1e-30)))))
+        v = np.column_stack([rng.normal(0, 0.1, (CLASSES, DIM)), np.log(class_share)])
+        u = np.column_stack([np.zeros((len(row_share), DIM)), np.log(np.maximum(row_share, 1e-30))])
+        return Net(*(x.astype(np.float32) for x in (r, c, v, u)))
 
     def parts(self) -> list[np.ndarray]:
-        return [self.r, self.c, self.v, self.b, self.u, self.a]
+        return [self.r, self.c, self.v, self.u]
 
     def pack(self) -> bytes:
         return np.concatenate([x.ravel() for x in self.parts()]).astype(np.float32).tobytes()
@@ -179,22 +181,21 @@ class Scorer:
 
     def __init__(self, net: Net, vocab: Vocabulary):
         self.rc = [net.r @ net.c[i] for i in range(CONTEXT)]
-        self.vt = np.ascontiguousarray(np.vstack([net.v.T, net.b]))  # the last coordinate of every query is 1
-        self.rows = np.vstack([net.u.T, net.a])
-        longest = sum(np.linalg.norm(x, axis=1).max() for x in self.rc)
-        out = np.linalg.norm(np.vstack([net.v, net.u]), axis=1).max()
-        self.shift = longest * out + max(np.abs(net.b).max(), np.abs(net.a).max(initial=0)) > 80
-        self.code_class, self.code_row, self.class_row = vocab.code_class, vocab.code_row, vocab.class_row
+        self.vt, self.rows = np.ascontiguousarray(net.v.T), net.u.T
+        longest = sum(np.linalg.norm(x, axis=1).max() for x in self.rc) + 1
+        self.shift = longest * np.linalg.norm(np.vstack([net.v, net.u]), axis=1).max() > 80
+        self.code_class, self.code_row, self.class_row = vocab.code_class.astype(np.uint16), vocab.code_row, vocab.class_row
+        self.shared = np.diff(vocab.class_row) > 1
 
     def _softmax(self, q: np.ndarray, table: np.ndarray, target: np.ndarray) -> np.ndarray:
-        out = np.empty(len(q), np.float64)
+        out, ones = np.empty(len(q), np.float64), np.ones(table.shape[1], np.float32)
         for a in range(0, len(q), SCORE_BATCH):
             z = q[a : a + SCORE_BATCH] @ table
             if self.shift:
                 z -= z.max(axis=1, keepdims=True)
             hit = z[np.arange(len(z)), target[a : a + SCORE_BATCH]]
             np.exp(z, out=z)
-            out[a : a + SCORE_BATCH] = hit - np.log(z.sum(axis=1))
+            out[a : a + SCORE_BATCH] = hit - np.log(z @ ones)
         return out
 
     def log10_next(self, context: list[np.ndarray], target: np.ndarray) -> np.ndarray:
@@ -205,94 +206,104 @@ class Scorer:
             q[:, :DIM] += self.rc[i][context[i]]
         classes = self.code_class[target]
         out = self._softmax(q, self.vt, classes)
-        inside = np.flatnonzero(self.class_row[classes + 1] - self.class_row[classes] > 1)
-        order = inside[np.argsort(classes[inside], kind="stable")]
-        cuts = np.flatnonzero(np.diff(classes[order], prepend=-1, append=-1))
+        order = np.argsort(classes, kind="stable")  # 16 bits sort by radix
+        order = order[self.shared[classes[order]]]
+        cuts = np.flatnonzero(np.diff(classes[order].astype(np.int32), prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:]):
             mine = order[a:b]
-            first, last = self.class_row[classes[mine[0]]], self.class_row[classes[mine[0]] + 1]
+            first, last = self.class_row[int(classes[mine[0]])], self.class_row[int(classes[mine[0]]) + 1]
             out[mine] += self._softmax(q[mine], np.ascontiguousarray(self.rows[:, first:last]), self.code_row[target[mine]] - first)
         return out / np.log(10)
 
 
 class Trainer:
-    """AdaGrad steps on the noise-contrastive objective of both levels; noise comes from the shares of classes and places."""
+    """AdaGrad steps on the noise-contrastive objective of both levels; noise comes from the shares of classes and places.
+
+    A batch is ``BATCH // SEGMENT`` runs of neighbouring tokens, so that a word's vector is read and moved once for all the tokens after it.
+    """
 
     def __init__(self, net: Net, vocab: Vocabulary, class_share: np.ndarray, row_share: np.ndarray, rate: float = 0.15, seed: int = 5):
         self.net = Net(*(x.copy() for x in net.parts()))
         self.noise = class_share**0.75 / (class_share**0.75).sum()
         self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
         self.row_noise = np.log(NOISE_INSIDE * np.maximum(row_share, 1e-30)).astype(np.float32)
-        self.reach = np.concatenate([[0.0], np.cumsum(row_share)])
-        self.code_class, self.code_row, self.class_row = vocab.code_class, vocab.code_row, vocab.class_row
-        self.shared = np.flatnonzero(np.diff(self.class_row) > 1)
-        self.place = np.zeros(CLASSES, np.int64)
+        self.reach, self.class_reach = (np.concatenate([[0.0], np.cumsum(x)]) for x in (row_share, self.noise))
+        self.start = len(vocab.code_class)
+        self.code_class, self.code_row = np.append(vocab.code_class, 0).astype(np.uint16), np.append(vocab.code_row, -1)
+        self.shared = np.flatnonzero(np.diff(vocab.class_row) > 1)
+        self.place = np.full(CLASSES, -1)
         self.place[self.shared] = np.arange(len(self.shared))
-        self.rate, self.rng = rate, np.random.default_rng(seed)
+        self.low, self.high = vocab.class_row[self.shared], vocab.class_row[self.shared + 1]
+        self.rate, self.rng = np.float32(rate), np.random.default_rng(seed)
         self.square = [np.full_like(x, 1e-2) for x in net.parts()]
 
-    def _dense(self, k: int, grad: np.ndarray) -> None:
-        g = grad * np.float32(30)
-        self.square[k] += g * g
-        self.net.parts()[k] += self.rate * g / np.sqrt(self.square[k])
+    def _move(self, k: int, at, grad: np.ndarray) -> None:
+        grad *= np.float32(30)
+        square = self.square[k][at] + grad * grad
+        self.square[k][at] = square
+        self.net.parts()[k][at] += self.rate * grad / np.sqrt(square)
 
-    def _sparse(self, k: int, ids: np.ndarray, rows: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
+    def _scatter(self, k: int, ids: np.ndarray, rows: np.ndarray) -> None:
+        order = np.argsort(ids.astype(np.uint16), kind="stable")  # 16 bits sort by radix
         ids = ids[order]
-        first = np.flatnonzero(np.diff(ids, prepend=-1))
-        g = np.add.reduceat(rows[order], first, axis=0) * np.float32(30)
-        at = ids[first]
-        self.square[k][at] += g * g
-        self.net.parts()[k][at] += self.rate * g / np.sqrt(self.square[k][at])
-
-    def step(self, ctx: list[np.ndarray], target: np.ndarray) -> None:
-        net, n = self.net, len(target)
-        classes = self.code_class[target]
-        r = [net.r[c] for c in ctx]
-        q = sum(r[i] @ net.c[i] for i in range(CONTEXT))
-        pick = np.searchsorted(np.cumsum(self.noise), self.rng.random(NOISE_SAMPLE) * (1 - 1e-9))
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        self._move(k, ids[first], np.add.reduceat(rows[order], first, axis=0))
+
+    def step(self, codes: np.ndarray) -> None:
+        """``codes``: runs of tokens (runs, CONTEXT + SEGMENT), of which the first CONTEXT are context only."""
+        net, target = self.net, codes[:, CONTEXT:].ravel()
+        n = len(target)
+        r = net.r[codes]
+        q = np.ones((n, DIM + 1), np.float32)
+        seen = [r[:, CONTEXT - 1 - i : r.shape[1] - 1 - i].reshape(n, DIM) for i in range(CONTEXT)]
+        q[:, :DIM] = sum(x @ c for x, c in zip(seen, net.c))
+        classes, weight = self.code_class[target], ((target != self.start) / np.float32(n)).astype(np.float32)
+        pick = np.searchsorted(self.class_reach, self.rng.random(NOISE_SAMPLE) * self.class_reach[-1], "right") - 1
         vt, vn = net.v[classes], net.v[pick]
-        good = 1 / (1 + np.exp(np.einsum("nd,nd->n", q, vt) + net.b[classes] - self.log_noise[classes]))
-        bad = -(NOISE / NOISE_SAMPLE) / (1 + np.exp(-(q @ vn.T + net.b[pick] - self.log_noise[pick])))
-        good, bad = (good / n).astype(np.float32), (bad / n).astype(np.float32)
+        good = weight / (1 + np.exp(np.einsum("nd,nd->n", q, vt) - self.log_noise[classes]))
+        bad = q @ vn.T
+        bad -= self.log_noise[pick]
+        np.negative(bad, out=bad)
+        np.exp(bad, out=bad)
+        bad += 1
+        np.divide((weight * np.float32(-NOISE / NOISE_SAMPLE))[:, None], bad, out=bad)
         dq = good[:, None] * vt + bad @ vn
         order = np.argsort(classes, kind="stable")
-        first = np.flatnonzero(np.diff(classes[order], prepend=-1))
+        first = np.flatnonzero(np.diff(classes[order].astype(np.int32), prepend=-1))
         gv = np.zeros_like(net.v)
         gv[classes[order[first]]] = np.add.reduceat((good[:, None] * q)[order], first, axis=0)
         np.add.at(gv, pick, bad.T @ q)
-        gb = (np.bincount(classes, good, minlength=CLASSES) + np.bincount(pick, bad.sum(0), minlength=CLASSES)).astype(np.float32)
 
-        inside = order[self.class_row[classes[order] + 1] - self.class_row[classes[order]] > 1]  # class by class
+        inside = order[self.place[classes[order]] >= 0]  # class by class
         if len(inside):
-            k, rows, qi = self.place[classes[inside]], self.code_row[target[inside]], q[inside]
-            low, high = self.reach[self.class_row[self.shared]], self.reach[self.class_row[self.shared + 1]]
-            drawn = np.searchsorted(self.reach, low[:, None] + self.rng.random((len(self.shared), NOISE_INSIDE)) * (high - low)[:, None], "right") - 1
-            drawn = np.clip(drawn, self.class_row[self.shared][:, None], self.class_row[self.shared + 1][:, None] - 1)
-            ut, un = net.u[rows], net.u[drawn]
-            good_in = 1 / (1 + np.exp(np.einsum("nd,nd->n", qi, ut) + net.a[rows] - self.row_noise[rows]))
-            base = (net.a - self.row_noise)[drawn]
-            bad_in = -1 / (1 + np.exp(-(np.matmul(un[k], qi[:, :, None])[:, :, 0] + base[k])))
-            good_in, bad_in = (good_in / n).astype(np.float32), (bad_in / n).astype(np.float32)
-            dq[inside] += good_in[:, None] * ut + np.matmul(bad_in[:, None, :], un[k])[:, 0]
+            k, rows, qi, wi = self.place[classes[inside]], self.code_row[target[inside]], q[inside], weight[inside]
+            low, high = self.reach[self.low][:, None], self.reach[self.high][:, None]
+            drawn = np.searchsorted(self.reach, low + self.rng.random((len(self.shared), NOISE_INSIDE)) * (high - low), "right") - 1
+            drawn = np.clip(drawn, self.low[:, None], self.high[:, None] - 1)
+            ut, un = net.u[rows], net.u[drawn][k]
+            good_in = wi / (1 + np.exp(np.einsum("nd,nd->n", qi, ut) - self.row_noise[rows]))
+            bad_in = -wi[:, None] / (1 + np.exp(self.row_noise[drawn][k] - np.einsum("nkd,nd->nk", un, qi)))
+            dq[inside] += good_in[:, None] * ut + np.einsum("nk,nkd->nd", bad_in, un)
             begin = np.flatnonzero(np.diff(k, prepend=-1))
-            seen = drawn[k[begin]]
             push = np.add.reduceat(bad_in[:, :, None] * qi[:, None, :], begin, axis=0)
-            ids = np.concatenate([rows, seen.ravel()])
-            self._sparse(4, ids, np.concatenate([good_in[:, None] * qi, push.reshape(-1, DIM)]))
-            self._sparse(5, ids, np.concatenate([good_in, np.add.reduceat(bad_in, begin, axis=0).ravel()]))
-        gc = np.stack([r[i].T @ dq for i in range(CONTEXT)])
-        self._sparse(0, np.concatenate(ctx), np.concatenate([dq @ net.c[i].T for i in range(CONTEXT)]))
-        self._dense(1, gc)
-        self._dense(2, gv)
-        self._dense(3, gb)
-
-    def run(self, stream: np.ndarray, is_token: np.ndarray) -> None:
-        """Go over the tokens once, in random order."""
-        at = np.flatnonzero(is_token)[self.rng.permutation(int(is_token.sum()))]
-        for a in range(0, len(at), BATCH):
-            s = at[a : a + BATCH]
-            self.step([stream[s - 1 - i] for i in range(CONTEXT)], stream[s])
+            self._scatter(3, np.concatenate([rows, drawn[k[begin]].ravel()]), np.concatenate([good_in[:, None] * qi, push.reshape(-1, DIM + 1)]))
+        dq = np.ascontiguousarray(dq[:, :DIM])
+        gc = np.stack([x.T @ dq for x in seen])
+        gr = np.zeros_like(r)
+        for i in range(CONTEXT):
+            gr[:, CONTEXT - 1 - i : r.shape[1] - 1 - i] += (dq @ net.c[i].T).reshape(len(codes), -1, DIM)
+        self._scatter(0, codes.ravel(), gr.reshape(-1, DIM))
+        self._move(1, slice(None), gc)
+        self._move(2, slice(None), gv)
+
+    def run(self, stream: np.ndarray) -> None:
+        """Go over a stream once, its runs in random order."""
+        padded = np.full(CONTEXT + -(-len(stream) // SEGMENT) * SEGMENT, self.start, np.int32)
+        padded[CONTEXT : CONTEXT + len(stream)] = stream
+        runs = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + SEGMENT)[::SEGMENT]
+        order = self.rng.permutation(len(runs))
+        for a in range(0, len(order), BATCH // SEGMENT):
+            self.step(runs[order[a : a + BATCH // SEGMENT]])
 
 
 def code_stream(texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -325,14 +336,14 @@ def train(encoded: DataFrame, tokens: int, vocab: Vocabulary, net: Net, class_sh
             waiting.append(codes)
             size, seen = size + len(codes), seen + len(codes)
             if size >= BLOCK:
-                trainer.run(*code_stream(waiting, len(vocab.code_class)))
+                trainer.run(code_stream(waiting, len(vocab.code_class))[0])
                 waiting, size = [], 0
         if waiting:
-            trainer.run(*code_stream(waiting, len(vocab.code_class)))
+            trainer.run(code_stream(waiting, len(vocab.code_class))[0])
         return pa.table({"shard": [table["shard"][0].as_py()], "n": [seen], "net": pa.array([trainer.net.pack()], pa.binary())}, schema=schema)
 
     def summed(group: int, total: int, flat: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["part", "n", "net"])
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([total], pa.int64()), pa.array([(flat / total).astype(np.float32).tobytes()], pa.binary())], names=["part", "n", "net"])
 
     def average(batches):
         total, flat, group = 0, None, None
@@ -348,10 +359,10 @@ def train(encoded: DataFrame, tokens: int, vocab: Vocabulary, net: Net, class_sh
 
     schema = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("net", pa.binary())])
     nets = rows.groupBy("shard").applyInArrow(learn, "shard int, n bigint, net binary")
-    nets = nets.select(F.pmod("shard", F.lit(8)).alias("part"), "shard", "n", "net").repartition(8, "part").sortWithinPartitions("part", "shard")
-    sums = nets.mapInArrow(average, "part int, n bigint, net binary").orderBy("part").collect()  # 8 networks at most
+    nets = nets.select(F.pmod("shard", F.lit(4)).alias("part"), "shard", "n", "net").repartition(4, "part").sortWithinPartitions("part", "shard")
+    sums = nets.mapInArrow(average, "part int, n bigint, net binary").orderBy("part").collect()  # 4 networks at most
     total = sum(r["n"] for r in sums)
-    return net.like(sum(np.frombuffer(r["net"], np.float64) for r in sums) / total) if total else net
+    return net.like(sum(np.frombuffer(r["net"], np.float32).astype(np.float64) * (r["n"] / total) for r in sums)) if total else net
 
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray, int, int]:
