@@ -500,6 +500,12 @@ def test_whole_license_texts_and_headers(spark):
     assert got["n/a.c"] == got["n/b.txt"] == (None, "none", False) and got["m/LICENSE"] == ("MIT", "own", True)
 
 
+def test_the_root_is_an_ancestor(spark):
+    rows = [("LICENSE", "Released under the MIT License."), ("src/a.py", "x"), ("src/b/c.py", "y"), ("d.py", "z")]
+    got = {r["path"]: (r["effective"], r["from_dir"]) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"LICENSE": ("MIT", None), "src/a.py": ("MIT", ""), "src/b/c.py": ("MIT", ""), "d.py": ("MIT", "")}
+
+
 def test_license_scores(spark):
     idf, unknown, _ = licenses.template_weights()
     line = "Released under the MIT License today."

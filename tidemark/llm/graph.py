@@ -17,8 +17,8 @@ HOT_SHARE = 1 / 1000
 PARTS = 64
 
 
-def join_dealt(rows: DataFrame, table: DataFrame, on: str | list[str], by: str, total: int, counts: DataFrame) -> DataFrame:
-    """``rows`` joined with ``table`` (inner), where the rows of hot keys are dealt by a hash of ``by`` to ``PARTS`` copies of the key's row.
+def join_dealt(rows: DataFrame, table: DataFrame, on: str | list[str], by: str, total: int, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (inner or left), where the rows of hot keys are dealt by a hash of ``by`` to ``PARTS`` copies of the key's row.
 
     ``total`` is the number of rows. ``counts`` has a row for each of them, or, with a column ``n``, the number of rows of each key.
     Hot keys are 1 / ``HOT_SHARE`` at most, so they may be broadcast.
@@ -30,7 +30,7 @@ def join_dealt(rows: DataFrame, table: DataFrame, on: str | list[str], by: str,
     copies = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))).alias("__part")
     dealt = rows.join(hot, keys, "left").select(*rows.columns, part)
     copied = table.join(hot, keys, "left").select(*table.columns, copies)
-    return dealt.join(copied, [*keys, "__part"]).drop("__part")
+    return dealt.join(copied, [*keys, "__part"], how).drop("__part")
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:

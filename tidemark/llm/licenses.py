@@ -28,6 +28,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.graph import join_dealt
 from tidemark.llm.runtime import materialize
 
 #: License names and the sentences by which files state them.
@@ -228,7 +229,8 @@ def _parent(path: Column) -> Column:
 def inherit(paths: DataFrame, found: DataFrame) -> DataFrame:
     """``dir``, ``from_dir``, ``license`` for directories of ``paths`` below or at one with a licence file.
 
-    Works on distinct directories; each looks up its ancestors, nearest first.
+    Works on distinct directories; each looks up its ancestors, nearest first, up to the root (an empty name), which holds relative
+    paths without a directory.
     """
     speaking = found.filter("licence_file").withColumn("from_dir", _parent(F.col("path")))
     choice = F.min(F.struct((-F.col("score")).alias("s"), "license", "path"))
@@ -236,7 +238,7 @@ def inherit(paths: DataFrame, found: DataFrame) -> DataFrame:
     dirs = paths.filter("path IS NOT NULL").select(_parent(F.col("path")).alias("dir")).distinct()
     parts = F.split("dir", "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    climbs = dirs.select("dir", F.posexplode(up).alias("depth", "from_dir"))
+    climbs = dirs.select("dir", F.posexplode(F.array_distinct(F.concat(F.array(F.lit("")), up))).alias("depth", "from_dir"))
     near = climbs.join(speaking, "from_dir").groupBy("dir").agg(F.max(F.struct("depth", "from_dir", "dir_license")).alias("b"))
     return near.select("dir", F.col("b.from_dir").alias("from_dir"), F.col("b.dir_license").alias("dir_license"))
 
@@ -246,7 +248,11 @@ def scan(files: DataFrame) -> DataFrame:
     found = materialize(detect_all(files.select("path", F.col("text").cast("string").alias("text"))), "licenses")
     rows = files.drop("text", "license", "score", "licence_file", "from_dir", "dir_license", "effective", "origin", "dir")
     rows = rows.withColumn("dir", _parent(F.col("path")))
-    out = rows.join(found, "path", "left").join(inherit(files.select("path"), found), "dir", "left")
+    # Very many files may share a path or a directory: their rows are dealt out.
+    paths = files.select("path", _parent(F.col("path")).alias("dir"))
+    total, keyed = paths.count(), paths.filter("path IS NOT NULL")
+    own = join_dealt(rows.withColumn("__key", F.xxhash64(*[c for c, kind in rows.dtypes if "map" not in kind])), found, "path", "__key", total, keyed, "left")
+    out = join_dealt(own, inherit(paths, found), "dir", "__key", total, keyed, "left").drop("__key")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
     inherited = F.when(F.col("license").isNull(), F.col("from_dir"))
     return out.select(

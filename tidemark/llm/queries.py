@@ -203,7 +203,7 @@ files AS (
     CASE WHEN doc_id % 100 <> 0 THEN doc_id // 4000 END, CASE WHEN doc_id % 10 <> 0 THEN doc_id // 200 END, doc_id || '.txt') AS path FROM documents
 ), lines AS (
   SELECT DISTINCT path, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, line, regexp_extract_all(lower(line), '{licenses.TERM}') AS found
-  FROM files, unnest(string_split(text, chr(10))) AS l(line) WHERE regexp_matches(line, '{licenses.ANCHOR}')
+  FROM files, unnest(string_split(text, chr(10))) AS l(line)
 ), bag AS (SELECT path, words, line, len(found) AS line_words, term, count(*) AS tf FROM lines, unnest(found) AS u(term) GROUP BY ALL),
 x AS (SELECT bag.*, tf * coalesce(idf, {unknown!r}::DOUBLE) AS x FROM bag LEFT JOIN terms USING (term)),
 norms AS (SELECT path, words, line, line_words, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
@@ -212,7 +212,7 @@ scored AS (SELECT path, license, words > {licenses.FILE_WORDS} * line_words AS l
 found AS (SELECT path, license, score, NOT long AS licence_file FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, license, long) AS r FROM scored WHERE score >= {licenses.LEAST_COSINE}) WHERE r = 1),
 speaking AS (SELECT from_dir, license FROM (SELECT regexp_replace(path, '/?[^/]*$', '') AS from_dir, license, row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY score DESC, license, path) AS r FROM found WHERE licence_file) WHERE r = 1),
 rows AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files),
-near AS (SELECT dir, arg_max(s.from_dir, length(s.from_dir)) AS from_dir, arg_max(s.license, length(s.from_dir)) AS dir_license FROM (SELECT DISTINCT dir FROM rows) d JOIN speaking s ON d.dir = s.from_dir OR starts_with(d.dir, s.from_dir || '/') GROUP BY dir)
+near AS (SELECT dir, arg_max(s.from_dir, length(s.from_dir)) AS from_dir, arg_max(s.license, length(s.from_dir)) AS dir_license FROM (SELECT DISTINCT dir FROM rows) d JOIN speaking s ON s.from_dir = '' OR d.dir = s.from_dir OR starts_with(d.dir, s.from_dir || '/') GROUP BY dir)
 SELECT doc_id, path, license, score, coalesce(licence_file, false) AS licence_file, coalesce(license, dir_license) AS effective,
   CASE WHEN license IS NOT NULL THEN 'own' WHEN dir_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN license IS NULL THEN from_dir END AS from_dir
 FROM rows LEFT JOIN found USING (path) LEFT JOIN near USING (dir)
