@@ -6,15 +6,16 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans import passes, transfer
-from tidemark.plans.follower import Capabilities, Pass, StepGate, begin_pass, begin_pass_with_page, catch_up, step
+from tidemark.operators.history import HydrationQueue
+from tidemark.plans import history, passes, transfer
+from tidemark.plans.follower import Capabilities, Pass, StepGate, begin_pass, begin_pass_with_page, catch_up, check_open_page, check_page, step
 from tidemark.plans.freshness import Freshness
 from tidemark.schema import ENTRIES, RECORDS, Limits, PageRequest, Refusal, Scope
 from tidemark.sources import frames
 from tidemark.sources.commitlog import CommitLog
-from tidemark.sources.epochs import EpochLedger, EpochReplica, EpochSource
+from tidemark.sources.epochs import EpochLedger, EpochReplica, EpochSource, Stamped
 from tidemark.sources.memory import MemoryAuthorizer, MemorySource, MemoryStore
-from tidemark.sources.tables import ArtifactCache, CatalogueTable, RecordTable, ReplicaTable
+from tidemark.sources.tables import ArtifactCache, ArtifactTable, CatalogueTable, RecordTable, ReplicaTable
 from tidemark.streaming.follow import follow
 
 SCOPE = Scope("device-a", "origin", "transcript", "first", "text-v1", "epoch-1")
@@ -245,6 +246,161 @@ def test_stream_follow(spark, tmp_path):
     assert log.read().count() == 20 and log.read().select("position").distinct().count() == 20
 
 
+def test_a_new_checkpoint_counts_its_batches_anew(spark, tmp_path):
+    log = CommitLog(spark, f"{tmp_path}/out", "record-replica", RECORDS)
+    for part, (a, b) in enumerate(((1, 10), (11, 20))):
+        rows = _facts(spark, a, b).select(F.col("seq").alias("position"), "record_id", "payload")
+        rows.repartitionByRange(3, "position").write.parquet(f"{tmp_path}/in{part}")
+        assert follow(spark, f"{tmp_path}/in{part}", rows.schema, log, f"{tmp_path}/progress{part}", max_files=1) == 3
+    assert log.read().count() == 20
+
+
+def test_pages_with_gaps_and_wrong_answers(spark, tmp_path):
+    source = RecordTable(spark, f"{tmp_path}/s", SCOPE)
+    source.append(_facts(spark, 1, 6))
+    at = source.log.snapshot()
+    source.log.commit(at, at.state, source.log.read(at).filter("position <> 3"), replace=True)
+    refused("Pruned", source.page, PageRequest(SCOPE, 0, 6, LIMITS))
+    ask = PageRequest(SCOPE, 0, 6, Limits(3, 100, 50))
+    page = _facts(spark, 1, 3).select(F.col("seq").alias("position"), "record_id", "payload")
+    check_page(ask, page)
+    refused("Noncontiguous", check_page, ask, page.filter("position <> 2"))
+    refused("WrongRecord", check_page, ask, page.withColumn("record_id", F.lit("same")))
+    refused("OversizedRecord", check_page, PageRequest(SCOPE, 0, 6, Limits(3, 100, 2)), page)
+    refused("BoundsExceeded", check_page, PageRequest(SCOPE, 0, 6, Limits(2, 100, 50)), page)
+    refused("Noncontiguous", check_page, PageRequest(SCOPE, 0, 2, Limits(3, 100, 50)), page)
+    refused("EmptyPage", check_page, ask, page.filter("false"))
+    refused("SourceBehindCheckpoint", check_open_page, PageRequest(SCOPE, 5, 4, LIMITS), None)
+    refused("EmptyPage", check_open_page, PageRequest(SCOPE, 0, 6, LIMITS), None)
+
+
+def test_history_on_demand(spark, tmp_path):
+    source, view = RecordTable(spark, f"{tmp_path}/s", SCOPE), ReplicaTable(spark, f"{tmp_path}/v")
+    source.append(_facts(spark, 1, 9))
+    queue = HydrationQueue()
+    queue.request(4)
+    progress = history.hydrate(SCOPE, queue, Limits(2, 100, 50), ALLOW, source, view)
+    assert progress["lower_bound"] == 4 and queue.waiters == 0 and view.count() == 6
+    refused("Denied", history.fetch_older, SCOPE, LIMITS, MemoryAuthorizer("Denied"), source, view)
+    rows = source.log.read()
+    refused("InvalidBoundary", history.check_history, rows, 1, 8, 1, Limits(20, 1000, 50))
+    refused("BoundsExceeded", history.check_history, rows, 1, 9, 1, Limits(5, 1000, 50))
+    refused("Noncontiguous", history.check_history, rows.withColumn("position", F.when(F.col("position") == 4, 40).otherwise(F.col("position"))), 1, 9, 1, Limits(20, 1000, 50))
+
+
+def test_recovery_survives_any_step(spark, tmp_path):
+    source = CatalogueTable(spark, f"{tmp_path}/c", SCOPE)
+    source.apply(_mutations(spark, [(i, f"item-{i}", False, b"live") for i in range(7)]))
+    log = CommitLog(spark, f"{tmp_path}/k", "catalogue-cache", ENTRIES)
+    cache = passes.CatalogueCache(log)
+    going = passes.begin_or_resume(SCOPE, ALLOW, source, cache)
+    while going.active:
+        going = passes.apply_next_page(going, 4, ALLOW, source, cache)
+    source.apply(_mutations(spark, [(10, "item-2", True, b"")]))
+    passes.start_recovery(SCOPE, source.head(), ALLOW, cache)
+    for _ in range(12):
+        again = passes.CatalogueCache(CommitLog(spark, f"{tmp_path}/k", "catalogue-cache", ENTRIES))  # as after a crash
+        going = again.recovery()
+        if going is None:
+            break
+        refused("Stale", passes.step_recovery, passes.Recovery(going.progress, going.boundary + 1, going.phase), None, 3, ALLOW, source, again)
+        again.log.fail_next = "Failed"
+        refused("Failed", passes.step_recovery, going, None, 3, ALLOW, source, again)
+        passes.step_recovery(going, None, 3, ALLOW, source, again)
+    assert going is None and {(r["entry_id"], r["deleted"]) for r in cache.entries().collect()} == {(f"item-{i}", i == 2) for i in range(7)}
+    assert cache.entry("item-3")["revision"] == cache.revision("item-3") == 4 and cache.revision("none") == 0
+    # A source that has forgotten what a candidate proves is refused.
+    behind = CatalogueTable(spark, f"{tmp_path}/b", SCOPE)
+    behind.apply(_mutations(spark, [(i, f"item-{6 - i}", False, b"live") for i in range(7)] + [(8 + i, f"new-{i}", False, b"x") for i in range(3)]))
+    going, rest = passes.start_recovery(SCOPE, behind.head(), ALLOW, cache)
+    refused("WrongPayload", passes.step_recovery, going, rest, 100, ALLOW, behind, cache)
+    refused("InvalidRecovery", passes.check_recovery, passes.Recovery(going.progress, going.boundary, "finish"))
+
+
+def test_passes_read_one_snapshot(spark, tmp_path):
+    """A compaction between two reads of a page changes nothing."""
+    source, cache = CatalogueTable(spark, f"{tmp_path}/c", SCOPE), passes.CatalogueCache(CommitLog(spark, f"{tmp_path}/k", "catalogue-cache", ENTRIES))
+    source.apply(_mutations(spark, [(i, f"item-{i}", False, b"live") for i in range(4)] + [(5, "item-1", True, b""), (6, "item-3", False, b"more")]))
+    going = passes.begin_or_resume(SCOPE, ALLOW, source, cache)
+    source.collect(6)
+    at = source.snapshot()
+    assert source.compact_retired() == 1 and source.entries(at).count() == 4 and source.proofs(at).count() == 0 and source.proofs().count() == 1
+
+    class Compacting(MemoryAuthorizer):
+        def authorize(self, scope):
+            super().authorize(scope)
+            source.apply(_mutations(spark, [(100 + self.calls, "item-0", False, b"v%d" % self.calls)]))
+
+    done = passes.apply_next_page(going, 10, Compacting(), source, cache)
+    assert done.active is None and cache.count() == 3
+    refused("Stale", source.apply, _mutations(spark, [(200, "item-0", False, b"z")]), 1)
+    refused("Stale", source.collect, 6, (1, 1))
+    refused("InvalidOrder", passes._check_manifest, [{"entry_id": "b", "creation": 2, "revision": 2}, {"entry_id": "a", "creation": 1, "revision": 1}], passes.CataloguePass(0, 9, 1), 5)
+
+
+def test_writes_do_not_grow_with_the_catalogue(spark, tmp_path):
+    source = CatalogueTable(spark, f"{tmp_path}/c", SCOPE)
+    source.apply(_mutations(spark, [(i, f"item-{i}", False, b"live") for i in range(2000)]))
+    source.apply(_mutations(spark, [(3000, "item-7", False, b"new")]))
+    last = source.log.snapshot().segments[-1]
+    assert spark.read.parquet(f"{tmp_path}/c/data/{last}").count() == 1 and source.entries().count() == 2000
+    source.COMPACT_AFTER = 2
+    source.apply(_mutations(spark, [(3001, "item-7", True, b"")]))
+    assert len(source.log.snapshot().segments) == 1 and source.entries().filter("deleted").count() == 1
+
+
+def test_durable_pins_and_epochs(spark, tmp_path):
+    table = RecordTable(spark, f"{tmp_path}/s", SCOPE)
+    table.append(_facts(spark, 1, 9))
+    receipt = table.register_pin("a", 3, 10, 20)
+    refused("Exists", table.register_pin, "a", 4, 11, 30)
+    refused("ClockRegressed", table.register_pin, "b", 4, 9, 30)
+    again = RecordTable(spark, f"{tmp_path}/s", SCOPE)
+    moved = again.refresh_pin(receipt, 5, 12, 30)
+    refused("Stale", again.refresh_pin, receipt, 6, 13, 40)
+    refused("ProgressRegressed", again.refresh_pin, moved, 4, 13, 40)
+    assert again.prune_with_retention(8, None, 15) == 5 and table.prune_with_retention(8, None, 30) == 8 and table.pin("a") == moved
+    refused("PinOutOfRange", table.register_pin, "c", 2, 31, 50)
+
+    replica = ReplicaTable(spark, f"{tmp_path}/r")
+    fenced = EpochReplica(replica, "auth")
+    fenced.observe(Stamped("auth", SCOPE, 2, None))
+    reopened = EpochReplica(ReplicaTable(spark, f"{tmp_path}/r"), "auth")
+    refused("StaleEpoch", reopened.observe, Stamped("auth", SCOPE, 1, None))
+    page = table.log.read().filter("position <= 2")
+    refused("StaleEpoch", reopened.apply, Stamped("auth", SCOPE, 1, page), 0)
+    refused("WrongAuthority", reopened.apply, Stamped("other", SCOPE, 2, page), 0)
+    assert reopened.apply(Stamped("auth", SCOPE, 2, page), 0) == 2 and reopened.floor == 2
+
+
+def test_artifact_source(spark, tmp_path):
+    source, cache = ArtifactTable(spark, f"{tmp_path}/s"), ArtifactCache(spark, f"{tmp_path}/c")
+    big = bytes(range(256)) * 600
+    put = lambda *rows: dict(map(tuple, source.upsert(spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "artifact_id string, payload binary")).collect()))
+    assert put(("a", big), ("b", b"small"), ("c", b"")) == {"a": "accepted", "b": "accepted", "c": "accepted"}
+    assert put(("a", big), ("b", b"other")) == {"a": "quiet", "b": "accepted"}
+    refused("Missing", source.manifest, "z")
+    first = source.manifest("a")
+    assert source.chunk("a", first["revision"], 65000, 2000) == big[65000:67000]
+    refused("InvalidRequest", source.chunk, "a", first["revision"], len(big), 10)
+    while transfer.transfer_one("a", 60000, source, cache)["next"] < len(big):
+        pass
+    assert transfer.publish_if_current("a", source, cache)["verified"] and cache.lookup("a")["next"] == len(big)
+    assert b"".join(bytes(r["bytes"]) for r in cache.read_verified("a").collect()) == big
+    at = cache.log.snapshot()
+    cache.log.commit(at, at.state, cache.log.read(at).withColumn("bytes", F.when(F.col("offset") == 0, F.lit(b"broken")).otherwise(F.col("bytes"))), replace=True)
+    refused("HashMismatch", cache.read_verified, "a")  # a flag is not enough
+    gone = source.delete("a")
+    assert source.delete("a") == gone and put(("a", b"back")) == {"a": "fenced"}
+    refused("Stale", source.chunk, "a", first["revision"], 0, 10)
+    assert transfer.transfer_one("a", 10, source, cache)["deleted"] and cache.read_verified("a") is None
+    cache.accept("d", 1, 9, hashlib.sha256(b"123456789").hexdigest())
+    assert cache.append_all("d", [(0, b"1234"), (4, b"56789")])["next"] == 9 and cache.publish("d")["verified"]
+    refused("WrongLength", transfer.check_chunk, {"deleted": False, "revision": 1, "length": 9}, 0, 5, b"1234")
+    cache.revoke()
+    assert cache.lookup("d") is None
+
+
 def test_frames(spark, tmp_path):
     bodies = [b"", b"abc", bytes(1000)]
     (tmp_path / "f.bin").write_bytes(b"".join(map(frames.encode_frame, bodies)))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.schema import HEAD_VERSION, MAX_ID_BYTES
+from tidemark.schema import HEAD_VERSION, HORIZON_VERSION, MAX_ID_BYTES
 
 
 def byte_length(value: Column) -> Column:
@@ -108,3 +108,30 @@ def access_refusal(decision: Column, same_scope: Column) -> Column:
         .when(decision == "InvalidResponse", "InvalidAccessResponse")
         .otherwise("Unverifiable")
     )
+
+
+def open_page_refusal(after: Column, head: Column, records: Column) -> Column:
+    """An open page's head is not behind the checkpoint, and it has no records exactly if there is nothing new."""
+    return first_refusal((head < after, "SourceBehindCheckpoint"), ((head == after) & (records > 0), "Noncontiguous"), ((head > after) & (records == 0), "EmptyPage"))
+
+
+def resolved_refusal(named: str, value: str, size: Column, max_bytes: int) -> Column:
+    """Why a value does not answer the descriptor that named it; both name struct columns (creation, revision, deleted)."""
+    from tidemark.operators.catalogue import transition_refusal
+
+    return F.coalesce(
+        transition_refusal(named, value),
+        first_refusal((F.col(f"{value}.deleted") & (size > 0), "WrongPayload"), (size > max_bytes, "OversizedEntry")),
+    )
+
+
+def recovery_refusal(phase: Column, completed: Column, active_boundary: Column, boundary: Column) -> Column:
+    """Enumeration has its pass from 0 to the boundary; the later phases have completed it."""
+    running = (phase == "enumerate") & (completed == 0) & active_boundary.eqNullSafe(boundary)
+    over = phase.isin("reconcile", "finish") & active_boundary.isNull() & (completed == boundary)
+    return F.when(~(running | over), "InvalidRecovery")
+
+
+def horizon_refusal(version: Column, horizon: Column, head: Column, previous: Column) -> Column:
+    """A horizon comes in version 2, does not exceed its head and never falls."""
+    return first_refusal((version != HORIZON_VERSION, "UnsupportedVersion"), (horizon > head, "InvalidHorizon"), (horizon < previous, "HorizonRegressed"))

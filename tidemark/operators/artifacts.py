@@ -7,6 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.schema import MAX_CHUNK_BYTES, Refusal
 
@@ -51,6 +52,42 @@ def manifest_refusal(same_key: Column, revision: Column, state: Column, saved_re
     )
 
 
+def manifest_verdict(saved: dict | None, revision: int, length: int, digest: str, deleted: bool) -> str | None:
+    """The same rules for one manifest."""
+    if revision <= 0:
+        return "InvalidRevision"
+    if saved is None:
+        return None
+    if saved["deleted"] and not deleted:
+        return "Fenced"
+    if revision < saved["revision"]:
+        return "Stale"
+    same = deleted == saved["deleted"] and (deleted or (length, digest) == (saved["length"], saved["digest"]))
+    return "Conflict" if revision == saved["revision"] and not same else None
+
+
+def upsert_outcomes(incoming: DataFrame, manifests: DataFrame, head: int) -> DataFrame:
+    """``incoming`` (``artifact_id``, ``payload``) with ``length``, ``digest``, ``revision`` and ``outcome``: accepted, quiet or fenced.
+
+    An id that comes several times counts with its first digest; accepted versions are numbered from the head on, in the order of a hash of their ids.
+    """
+    payload = F.col("payload").cast("binary")
+    sized = incoming.select("artifact_id", payload.alias("payload"), F.octet_length(payload).cast("bigint").alias("length"), F.sha2(payload, 256).alias("digest"))
+    first = sized.groupBy("artifact_id").agg(F.min_by(F.struct("payload", "length", "digest"), "digest").alias("v")).select("artifact_id", "v.*")
+    saved = manifests.select("artifact_id", F.col("deleted").alias("__dead"), F.col("length").alias("__length"), F.col("digest").alias("__digest"))
+    joined = first.join(saved, "artifact_id", "left")
+    same = (F.col("__length") == F.col("length")) & (F.col("__digest") == F.col("digest"))
+    told = joined.withColumn("outcome", F.when(F.col("__dead"), "fenced").when(same, "quiet").otherwise("accepted")).drop("__dead", "__length", "__digest")
+    # 4,096 ranges of the hash count their own; one row for each carries what is before it.
+    narrow = told.filter("outcome = 'accepted'").select("artifact_id")
+    bucket = F.substring(F.sha2(F.col("artifact_id").cast("string"), 256), 1, 3)
+    counted = narrow.withColumn("__b", bucket)
+    sizes = counted.groupBy("__b").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = counted.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("artifact_id"))).join(sizes.select("__b", before.alias("__o")), "__b")
+    return told.join(ranked.select("artifact_id", (F.col("__r") + F.col("__o") + head).cast("bigint").alias("revision")), "artifact_id", "left")
+
+
 def assemble(rows: DataFrame, buckets: int | None = None) -> DataFrame:
     """``artifact_id``, ``length``, ``chunks``, ``contiguous``, ``digest`` of chunk rows, hashed as a stream.
 

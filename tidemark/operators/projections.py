@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.columns import escape_html, field_length, text_field
+from tidemark.operators.ordering import BUCKET, last_before
 
 
 def transcript(rows: DataFrame, stream: str, position: str, text: str) -> DataFrame:
@@ -45,11 +46,11 @@ def task_board(operations: DataFrame) -> DataFrame:
 
 def task_violations(operations: DataFrame) -> DataFrame:
     """Operations whose precondition fails: a second creation, or any other operation on a missing task."""
-    before = Window.partitionBy("task").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("op").isin("create", "delete"), F.col("op")), ignorenulls=True).over(before)
-    exists = F.coalesce(last == "create", F.lit(False))
+    turned = F.when(F.col("op").isin("create", "delete"), F.col("op"))
+    rows = last_before(operations, "task", "position", turned, "__last")
+    exists = F.coalesce(F.col("__last") == "create", F.lit(False))
     wrong = F.when(F.col("op") == "create", exists).otherwise(~exists)
-    return operations.withColumn("__wrong", wrong).filter("__wrong").drop("__wrong")
+    return rows.withColumn("__wrong", wrong).filter("__wrong").drop("__wrong", "__last")
 
 
 def epoch_fenced(rows: DataFrame, observed: DataFrame, authority: str = "authority", epoch: str = "epoch") -> DataFrame:
@@ -58,8 +59,17 @@ def epoch_fenced(rows: DataFrame, observed: DataFrame, authority: str = "authori
     return rows.join(o, authority).filter(F.col(epoch) == F.col("__epoch")).drop("__epoch")
 
 
-def coalesced_hints(arrivals: DataFrame, window: str, head: str = "head") -> DataFrame:
-    """The one head that wakes a receiver for each window of arrivals, emitted only if it rises above all before."""
+def coalesced_hints(arrivals: DataFrame, window: str, head: str = "head", width: int = BUCKET) -> DataFrame:
+    """The one head that wakes a receiver for each window (an integer) of arrivals, emitted only if it rises above all before.
+
+    Windows are numbered in buckets; a row for each bucket carries the highest head before it.
+    """
     heads = arrivals.groupBy(window).agg(F.max(head).alias("head"), F.count("*").alias("hints"))
-    before = F.max("head").over(Window.orderBy(window).rowsBetween(Window.unboundedPreceding, -1))
-    return heads.withColumn("emitted", before.isNull() | (F.col("head") > before))
+    rows = heads.withColumn("__bucket", F.floor(F.col(window) / width))
+    tops = rows.groupBy("__bucket").agg(F.max("head").alias("__top"))
+    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("__bucket", F.max("__top").over(earlier).alias("__carried"))
+    own = Window.partitionBy("__bucket").orderBy(window).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("__own", F.max("head").over(own)).join(tops, "__bucket")
+    before = F.greatest("__own", "__carried")
+    return found.withColumn("emitted", before.isNull() | (F.col("head") > before)).drop("__bucket", "__own", "__carried")

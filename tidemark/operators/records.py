@@ -84,6 +84,12 @@ def page_refusal(table: Positioned, after: int, target: int, limits: Limits, siz
     )
 
 
+def page_gap(page: DataFrame, after: int) -> DataFrame:
+    """One row with ``refusal``: Pruned if the positions of a page are not dense from ``after`` on. The page is bounded."""
+    seen = page.agg(F.count("*").alias("n"), F.count_distinct("position").alias("d"), F.max("position").alias("hi"))
+    return seen.select(F.when((F.col("n") > 0) & ((F.col("hi") != F.lit(after) + F.col("n")) | (F.col("d") != F.col("n"))), "Pruned").alias("refusal"))
+
+
 def density_gaps(table: Positioned, after: int, target: int, width: int = 1 << 16) -> DataFrame:
     """One row: ``expected``, ``found`` and ``distinct`` positions of a range, and its ``gaps``.
 
@@ -97,6 +103,10 @@ def density_gaps(table: Positioned, after: int, target: int, width: int = 1 << 1
     return total.select(F.lit(target - after).cast("bigint").alias("expected"), "found", "distinct_positions", (F.lit(target - after) - F.col("distinct_positions")).alias("gaps"))
 
 
+#: Buckets whose maps are composed in one task.
+FANOUT = 64
+
+
 def _next_starts(sizes: np.ndarray, limits: Limits) -> np.ndarray:
     """For each record, the index just after the page that starts there; a record over budget is passed alone."""
     total = np.concatenate([[0], np.cumsum(sizes)])
@@ -109,8 +119,8 @@ def greedy_pages(rows: DataFrame, limits: Limits, bucket: int = 1 << 12) -> Data
 
     Rows have dense ``position`` and ``size``. Where a page starts depends on the page before, so
     buckets of positions first map each possible start in their first ``records`` rows to the start it leads to in
-    the next bucket; the chain through the buckets is followed on those maps, and
-    the pages are then laid out in each bucket at once. A bucket also reads the ``records`` rows after it.
+    the next bucket. Maps of ``FANOUT`` neighbours are composed into one, level by level; the starts then come down the levels,
+    and the pages are laid out in each bucket at once. A bucket also reads the ``records`` rows after it.
     """
     reach = limits.records
     if bucket < reach:
@@ -130,19 +140,42 @@ def greedy_pages(rows: DataFrame, limits: Limits, bucket: int = 1 << 12) -> Data
         out = np.arange(len(position) + 1)
         for i in range(inside - 1, -1, -1):
             out[i] = out[jump[i]] if jump[i] < inside else jump[i]
-        enter = np.arange(min(reach, inside))
+        enter = np.arange(min(reach, inside) + 1)  # just behind the last record, too
         return pa.table({"bucket": np.full(len(enter), b), "enter": enter, "leave": out[enter] - inside})
 
-    maps = spread.groupBy("bucket").applyInArrow(exits, "bucket bigint, enter bigint, leave bigint")
-    # The chain: one number for each bucket, reach entries of state.
-    table = maps.orderBy("bucket", "enter").toArrow()
-    entry, at = {}, 0
-    buckets, enters, leaves = (table[c].to_numpy() for c in ("bucket", "enter", "leave"))
-    cuts = np.flatnonzero(np.diff(buckets, prepend=-1))
-    for a in cuts:
-        entry[int(buckets[a])] = at
-        at = int(leaves[a + at])
-    starts = rows.sparkSession.createDataFrame(list(entry.items()) or [(0, 0)], "bucket bigint, enter bigint")
+    def rows_of(table):
+        """The maps of neighbouring buckets, each by its first place, in order."""
+        table = table.sort_by([("bucket", "ascending"), ("enter", "ascending")])
+        buckets, leaves = table["bucket"].to_numpy(), table["leave"].to_numpy()
+        cuts = np.append(np.flatnonzero(np.diff(buckets, prepend=-1)), len(buckets))
+        return [(int(buckets[a]), leaves[a:z]) for a, z in zip(cuts[:-1], cuts[1:])]
+
+    def compose(table):
+        maps = rows_of(table)
+        at = np.arange(len(maps[0][1]))
+        for _, leave in maps:
+            at = leave[at]
+        return pa.table({"bucket": np.full(len(at), maps[0][0] // FANOUT), "enter": np.arange(len(at)), "leave": at})
+
+    def descend(keys, table):
+        at, out = table["start"][0].as_py(), []
+        for bucket, leave in rows_of(table.drop(["start"])):
+            out.append((bucket, at))
+            at = int(leave[at])
+        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int64()), "enter": pa.array([r[1] for r in out], pa.int64())})
+
+    kind = "bucket bigint, enter bigint, leave bigint"
+    levels = [spread.groupBy("bucket").applyInArrow(exits, kind)]
+    last = rows.agg(F.max("position")).first()[0] or 1
+    buckets = (last - 1) // bucket + 1
+    while buckets > 1:
+        levels.append(levels[-1].withColumn("up", F.floor(F.col("bucket") / FANOUT)).groupBy("up").applyInArrow(lambda table: compose(table.drop(["up"])), kind))
+        buckets = -(-buckets // FANOUT)
+    starts = rows.sparkSession.createDataFrame([(0, 0)], "bucket bigint, enter bigint")
+    for maps in reversed(levels[:-1]):
+        above = starts.select(F.col("bucket").alias("up"), F.col("enter").alias("start"))
+        below = maps.withColumn("up", F.floor(F.col("bucket") / FANOUT)).join(above, "up")
+        starts = below.groupBy("up").applyInArrow(lambda keys, table: descend(keys, table.drop(["up"])), "bucket bigint, enter bigint")
 
     def lay_out(keys, table):
         _, position, sizes, jump, inside = walk(table.drop(["enter"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.schema import Refusal
+from tidemark.schema import MAX_PINS, Refusal
 
 
 def live_pins(pins: DataFrame, now_ms: int | Column) -> DataFrame:
@@ -42,57 +42,86 @@ def readable(rows: DataFrame, position: str, floor: int) -> DataFrame:
     return rows.filter(F.col(position) > floor)
 
 
+def advance(state: dict, now_ms: int) -> dict:
+    """The state with its clock at now; the clock never goes back."""
+    if now_ms < state.get("now_ms", 0):
+        raise Refusal("ClockRegressed")
+    return state | {"now_ms": now_ms}
+
+
+def register(state: dict, holder: str, completed: int, now_ms: int, expires_at_ms: int) -> dict:
+    """The state (``head``, ``floor``, ``pins``) with a new pin; a live one of the same holder stands in its way."""
+    state = advance(state, now_ms)
+    old = state.get("pins", {}).get(holder)
+    if old and old["expires_at_ms"] > now_ms:
+        raise Refusal("Exists")
+    return _put(state, holder, completed, expires_at_ms, old["revision"] if old else 0)
+
+
+def refresh(state: dict, receipt: dict, completed: int, now_ms: int, expires_at_ms: int) -> dict:
+    """The state with a pin moved on, for who holds its last receipt."""
+    state = advance(state, now_ms)
+    old = state.get("pins", {}).get(receipt["holder"])
+    if old != receipt:
+        raise Refusal("Stale")
+    if old["expires_at_ms"] <= now_ms:
+        raise Refusal("Expired")
+    if completed < old["completed"]:
+        raise Refusal("ProgressRegressed")
+    return _put(state, receipt["holder"], completed, expires_at_ms, old["revision"])
+
+
+def _put(state: dict, holder: str, completed: int, expires_at_ms: int, revision: int) -> dict:
+    if not state["floor"] <= completed <= state["head"]:
+        raise Refusal("PinOutOfRange")
+    if expires_at_ms <= state["now_ms"]:
+        raise Refusal("Expired")
+    pins = {k: v for k, v in state.get("pins", {}).items()}
+    if holder not in pins and len(pins) >= MAX_PINS:
+        raise Refusal("TooManyPins")
+    pins[holder] = {"holder": holder, "completed": completed, "expires_at_ms": expires_at_ms, "revision": revision + 1}
+    return state | {"pins": pins}
+
+
+def held_cutoff(state: dict, preferred: int, forced: int | None, now_ms: int) -> int:
+    """The cutoff of this moment: the preferred one yields to live pins, never below the floor or a forced one."""
+    for name, value in (("FloorAboveHead", state["floor"]), ("PreferredAboveHead", preferred), ("ForcedAboveHead", forced or 0)):
+        if value > state["head"]:
+            raise Refusal(name)
+    held = [p["completed"] for p in state.get("pins", {}).values() if p["expires_at_ms"] > now_ms]
+    if any(c > state["head"] for c in held):
+        raise Refusal("PinAboveHead")
+    return max(min([preferred, *held]), state["floor"], forced if forced is not None else state["floor"])
+
+
 class PinLedger:
-    """Pins of one source: receipts with revisions, a clock that never goes back."""
+    """Pins of one source in memory, by the same rules as those that tables keep."""
 
     def __init__(self) -> None:
-        self.now_ms = 0
-        self.floor = 0
-        self._pins: dict[str, dict] = {}
+        self._state: dict = {"head": 0, "floor": 0, "pins": {}}
+
+    @property
+    def floor(self) -> int:
+        return self._state["floor"]
 
-    def _advance(self, now_ms: int) -> None:
-        if now_ms < self.now_ms:
-            raise Refusal("ClockRegressed")
-        self.now_ms = now_ms
+    @floor.setter
+    def floor(self, value: int) -> None:
+        self._state = self._state | {"floor": value}
 
     def register(self, holder: str, completed: int, now_ms: int, expires_at_ms: int, head: int) -> dict:
-        self._advance(now_ms)
-        old = self._pins.get(holder)
-        if old and old["expires_at_ms"] > now_ms:
-            raise Refusal("Exists")
-        return self._put(holder, completed, expires_at_ms, head, old["revision"] if old else 0)
+        self._state = register(self._state | {"head": head}, holder, completed, now_ms, expires_at_ms)
+        return dict(self._state["pins"][holder])
 
     def refresh(self, receipt: dict, completed: int, now_ms: int, expires_at_ms: int, head: int) -> dict:
-        self._advance(now_ms)
-        old = self._pins.get(receipt["holder"])
-        if old != receipt:
-            raise Refusal("Stale")
-        if old["expires_at_ms"] <= now_ms:
-            raise Refusal("Expired")
-        if completed < old["completed"]:
-            raise Refusal("ProgressRegressed")
-        return self._put(receipt["holder"], completed, expires_at_ms, head, old["revision"])
-
-    def _put(self, holder: str, completed: int, expires_at_ms: int, head: int, revision: int) -> dict:
-        if not self.floor <= completed <= head:
-            raise Refusal("PinOutOfRange")
-        if expires_at_ms <= self.now_ms:
-            raise Refusal("Expired")
-        self._pins[holder] = {"holder": holder, "completed": completed, "expires_at_ms": expires_at_ms, "revision": revision + 1}
-        return dict(self._pins[holder])
+        self._state = refresh(self._state | {"head": head}, receipt, completed, now_ms, expires_at_ms)
+        return dict(self._state["pins"][receipt["holder"]])
 
     def receipt(self, holder: str) -> dict | None:
-        found = self._pins.get(holder)
+        found = self._state["pins"].get(holder)
         return dict(found) if found else None
 
     def prune(self, head: int, preferred: int, forced: int | None, now_ms: int) -> int:
         """Raise the logical floor to the cutoff of this moment."""
-        self._advance(now_ms)
-        for name, value in (("FloorAboveHead", self.floor), ("PreferredAboveHead", preferred), ("ForcedAboveHead", forced or 0)):
-            if value > head:
-                raise Refusal(name)
-        held = [p["completed"] for p in self._pins.values() if p["expires_at_ms"] > now_ms]
-        if any(c > head for c in held):
-            raise Refusal("PinAboveHead")
-        self.floor = max(min([preferred, *held]), self.floor, forced if forced is not None else self.floor)
+        state = advance(self._state | {"head": head}, now_ms)
+        self._state = state | {"floor": held_cutoff(state, preferred, forced, now_ms)}
         return self.floor

@@ -10,6 +10,8 @@ import threading
 from dataclasses import dataclass
 from typing import Any, Protocol
 
+from pyspark.sql import functions as F
+
 from tidemark.schema import HEAD_VERSION, Limits, PageRequest, Refusal, Scope, SourceHead
 
 
@@ -90,25 +92,61 @@ def begin_pass_with_page(scope: Scope, limits: Limits, access: Authorizer, sourc
     access.authorize(scope)
     position = store.load(scope) or 0
     target, page = source.open_page(scope, position, limits)
-    if target < position:
-        raise Refusal("SourceBehindCheckpoint")
+    check_open_page(PageRequest(scope, position, target, limits), page)
     going = Pass(scope, position, target)
     if page is not None:
         going.position = _apply(going, page, store)
     return going
 
 
+def check_page(request: PageRequest, page: Any) -> None:
+    """Refuse a page that is not what was asked for: dense positions after the checkpoint up to the target at most, distinct ids, budgets."""
+    limits = request.limits
+    if isinstance(page, list):
+        sizes, positions, ids = [len(r.payload) for r in page], [r.position for r in page], {r.record_id for r in page}
+        n, lo, hi, distinct, total, largest = len(page), min(positions, default=None), max(positions, default=None), len(ids), sum(sizes), max(sizes, default=0)
+        dense = positions == list(range(request.after + 1, request.after + n + 1))
+    else:
+        size = F.octet_length("payload")
+        row = page.agg(
+            F.count("*"), F.min("position"), F.max("position"), F.count_distinct("record_id"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0)), F.count_distinct("position"),
+        ).first()
+        n, lo, hi, distinct, total, largest, places = row
+        dense = n > 0 and lo == request.after + 1 and hi == request.after + n and places == n
+    if not n:
+        raise Refusal("EmptyPage")
+    if distinct != n:
+        raise Refusal("WrongRecord")
+    if largest > limits.record_bytes:
+        raise Refusal("OversizedRecord")
+    if n > limits.records or total > limits.total_bytes:
+        raise Refusal("BoundsExceeded")
+    if not dense or hi > request.target:
+        raise Refusal("Noncontiguous")
+
+
+def check_open_page(request: PageRequest, page: Any) -> None:
+    """An open page's head is not behind the checkpoint, and it comes without records exactly if there is nothing new."""
+    if request.target < request.after:
+        raise Refusal("SourceBehindCheckpoint")
+    if (page is None) != (request.target == request.after):
+        raise Refusal("EmptyPage" if page is None else "Noncontiguous")
+    if page is not None:
+        check_page(request, page)
+
+
 def _last(page: Any) -> int:
     if isinstance(page, list):
         return page[-1].position
-    from pyspark.sql import functions as F
-
     return page.agg(F.max("position")).first()[0]
 
 
 def _apply(going: Pass, page: Any, store: Store) -> int:
+    last = _last(page)
     saved = store.apply(going.scope, going.position, page)
-    return saved if isinstance(saved, int) else _last(page)
+    if isinstance(saved, int) and saved != last:
+        raise Refusal("Uncertain", "the store saved another position than was planned")
+    return last
 
 
 class StepGate:
@@ -139,7 +177,9 @@ def step(going: Pass, limits: Limits, access: Authorizer, source: Source, store:
     if going.complete:
         return True
     access.authorize(going.scope)
-    page = source.page(PageRequest(going.scope, going.position, going.target, limits))
+    request = PageRequest(going.scope, going.position, going.target, limits)
+    page = source.page(request)
+    check_page(request, page)
     if gate is not None and not gate.commit():
         return False
     going.position = _apply(going, page, store)

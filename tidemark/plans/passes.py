@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalogue
-from tidemark.schema import MAX_CATALOGUE_ENTRIES, MAX_PAGE_BYTES, Refusal, Scope
+from tidemark.schema import MAX_CATALOGUE_ENTRIES, MAX_PAGE_BYTES, PROOFS, Refusal, Scope
 from tidemark.sources.tables import CatalogueTable
 
 MAX_GENERATION = (1 << 63) - 1
@@ -118,21 +119,65 @@ class CatalogueCache:
     def progress(self) -> Progress | None:
         return self._progress(self.log.snapshot().state)
 
-    def entries(self) -> DataFrame:
-        rows = self.log.read()
+    def entries(self, at: Any = None) -> DataFrame:
+        rows = self.log.read(at)
         return catalogue.merge(rows.limit(0), rows).withColumn("visible", F.lit(True))
 
+    def entry(self, entry_id: str) -> dict | None:
+        """One cached entry; its filter reaches the scan."""
+        rows = self.log.read().filter(F.col("entry_id") == entry_id)
+        row = catalogue.merge(rows.limit(0), rows).first()
+        return row.asDict() if row else None
+
+    def revision(self, entry_id: str) -> int:
+        """The cached revision of an entry, 0 if there is none."""
+        return self.log.read().filter(F.col("entry_id") == entry_id).agg(F.coalesce(F.max("revision"), F.lit(0))).first()[0]
+
     def count(self) -> int:
         return self.entries().count()
 
-    def save(self, expected: Progress | None, after: Progress, rows: DataFrame | None = None, replace_rows: bool = False, horizon: int | None = None) -> Progress:
+    def recovery(self) -> "Recovery | None":
+        """The recovery that is under way, as it was last saved."""
+        state = self.log.snapshot().state
+        saved = state.get("recovery")
+        if not saved:
+            return None
+        return check_recovery(Recovery(self._progress(state), saved["boundary"], saved["phase"]))
+
+    def candidates(self) -> DataFrame:
+        """Candidates of the recovery under way that nothing in the cache has settled yet."""
+        at = self.log.snapshot()
+        saved = at.state.get("recovery")
+        if not saved:
+            return self.log.read(at).limit(0).select("entry_id", "creation", "revision")
+        floors = self.log.spark.read.schema(PROOFS).parquet(saved["candidates"])
+        return catalogue.remaining(floors, self.entries(at))
+
+    def save_candidates(self, rows: DataFrame) -> str:
+        """Write candidates beside the segments; they count once a commit names their folder."""
+        path = f"{self.log.path}/candidates/{uuid.uuid4().hex}"
+        rows.select("entry_id", "creation", "revision").write.parquet(path)
+        return path
+
+    def save(
+        self, expected: Progress | None, after: Progress, rows: DataFrame | None = None, replace_rows: bool = False, horizon: int | None = None, recovery: dict | None = None
+    ) -> Progress:
+        """Save progress, rows and the phase of a recovery ({} ends it) in one commit, if progress is as expected.
+
+        What the commit saved must be what was planned.
+        """
         at = self.log.snapshot()
         if self._progress(at.state) != expected:
             raise Refusal("Stale")
         seen = at.state.get("horizon", 0)
         if horizon is not None and horizon < seen:
             raise Refusal("HorizonRegressed")
-        self.log.commit(at, at.state | {"progress": self._saved(after), "horizon": max(seen, horizon or 0)}, rows, replace=replace_rows)
+        state = at.state | {"progress": self._saved(after), "horizon": max(seen, horizon or 0)}
+        if recovery is not None:
+            state["recovery"] = recovery or None
+        done = self.log.commit(at, state, rows, replace=replace_rows)
+        if self._progress(self.log.snapshot(done.version).state) != after:
+            raise Refusal("Uncertain")
         return after
 
 
@@ -144,12 +189,13 @@ def begin_or_resume(scope: Scope, access: Any, source: CatalogueTable, cache: Ca
         check_progress(current)
         if current.scope != scope:
             raise Refusal("ResetRequired")
-    horizon = source.horizon() if with_horizon else None
+    at = source.snapshot()
+    horizon = source.horizon(at) if with_horizon else None
     if current and current.active:
         if horizon is not None:
             check_coverage(coverage_base(current.active), horizon)
         return current
-    head = source.head()
+    head = source.head(at)
     if current and head < current.completed:
         raise Refusal("SourceBehind")
     if current and head == current.completed:
@@ -161,31 +207,74 @@ def begin_or_resume(scope: Scope, access: Any, source: CatalogueTable, cache: Ca
     return after if after.active else None
 
 
-def apply_next_page(progress: Progress, limit: int, access: Any, source: CatalogueTable, cache: CatalogueCache, max_bytes: int = MAX_PAGE_BYTES, with_horizon: bool = False) -> Progress:
-    """Stage a whole page (manifest, unchanged, resolved values) and commit it with its cursor."""
+def _check_manifest(page: list, active: CataloguePass, limit: int) -> None:
+    """Refuse a manifest page that is out of order, out of bounds or names an entry twice."""
+    previous = active.cursor
+    if len({r["entry_id"] for r in page}) != len(page) or len(page) > limit + 1:
+        raise Refusal("InvalidOrder")
+    for r in page:
+        key = (r["creation"], r["entry_id"])
+        if not 0 < r["creation"] <= r["revision"] or r["creation"] > active.boundary or r["revision"] <= active.completed or (previous and key <= tuple(previous)):
+            raise Refusal("InvalidOrder")
+        previous = key
+
+
+def _check_values(told: DataFrame, values: DataFrame, floors: DataFrame | None) -> int:
+    """Refuse values that the page did not ask for, or that may not follow what it named or a candidate's floor; returns their bytes."""
+    asked = told.select("entry_id", F.struct("creation", "revision", "deleted").alias("b"))
+    both = values.withColumn("a", F.struct("creation", "revision", "deleted")).join(asked, "entry_id", "left")
+    wrong = F.coalesce(
+        F.when(F.col("b").isNull(), "WrongPayload"),
+        catalogue.transition_refusal("b", "a"),
+        F.when(F.col("deleted") & (F.coalesce(F.octet_length("payload"), F.lit(0)) > 0), "WrongPayload"),
+    )
+    if floors is not None:
+        f = floors.select("entry_id", F.struct("creation", "revision", F.lit(False).alias("deleted")).alias("f"))
+        both = both.join(f, "entry_id", "left")
+        wrong = F.coalesce(wrong, F.when(F.col("f").isNotNull(), catalogue.transition_refusal("f", "a")))
+    seen = both.select(wrong.alias("refusal"), "entry_id", F.coalesce(F.octet_length("payload"), F.lit(0)).alias("n"))
+    row = seen.agg(F.min("refusal").alias("refusal"), F.count("*").alias("rows"), F.count_distinct("entry_id").alias("ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
+    if row["refusal"]:
+        raise Refusal(row["refusal"])
+    if row["rows"] != row["ids"]:
+        raise Refusal("InvalidPage")
+    return row["bytes"]
+
+
+def apply_next_page(
+    progress: Progress, limit: int, access: Any, source: CatalogueTable, cache: CatalogueCache, max_bytes: int = MAX_PAGE_BYTES,
+    with_horizon: bool = False, floors: DataFrame | None = None, recovery: Any = None,
+) -> Progress:
+    """Stage a whole page (manifest, unchanged, resolved values) of one snapshot and commit it with its cursor.
+
+    Access is asked for again before the first payload is read. ``recovery`` makes, of the progress after the page, what the commit
+    saves of a recovery.
+    """
     active = progress.active
     if active is None or not 0 < limit <= MAX_CATALOGUE_ENTRIES:
         raise Refusal("InvalidRequest")
     access.authorize(progress.scope)
-    horizon = source.horizon() if with_horizon else None
+    at = source.snapshot()
+    horizon = source.horizon(at) if with_horizon else None
     if horizon is not None:
         check_coverage(coverage_base(active), horizon)
-    entries = source.entries()
-    probe = catalogue.manifest(entries, active.boundary, active.completed, active.cursor, limit).cache()
-    try:
-        keys = [(r["creation"], r["entry_id"]) for r in probe.select("creation", "entry_id").collect()]  # limit + 1 keys
-        page = catalogue.manifest_page(probe, limit)
-        told = catalogue.classify(page, cache.entries())
-        values = catalogue.resolve(told.filter("action = 'resolve'"), entries, source.proofs())
-        size = values.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0]
-        if size > max_bytes:
-            raise Refusal("OversizedEntry")
-        final = len(keys) <= limit
-        after = after_page(progress, keys[:limit][-1] if keys else None, final)
-        access.authorize(progress.scope)
-        return cache.save(progress, after, values.withColumn("visible", F.lit(True)) if keys else None, horizon=horizon)
-    finally:
-        probe.unpersist()
+    entries = source.entries(at)
+    found = catalogue.manifest(entries, active.boundary, active.completed, active.cursor, limit).collect()  # limit + 1 descriptors
+    _check_manifest(found, active, limit)
+    final = len(found) <= limit
+    page = source.spark.createDataFrame([tuple(r) for r in found[:limit]], "entry_id string, creation bigint, revision bigint, deleted boolean")
+    after = after_page(progress, (found[:limit][-1]["creation"], found[:limit][-1]["entry_id"]) if found else None, final)
+    told = catalogue.classify(page, cache.entries())
+    wanted, kept = told.filter("action = 'resolve'"), told.filter("action = 'unchanged'")
+    access.authorize(progress.scope)
+    values = catalogue.resolve(wanted, entries, source.proofs(at))
+    cover = catalogue.page_cover(page, values, kept).first()
+    if found and any(cover):
+        raise Refusal("InvalidPage")
+    if _check_values(wanted, values, floors) > max_bytes:
+        raise Refusal("OversizedEntry")
+    going = recovery(after) if recovery else None
+    return cache.save(progress, after, values.withColumn("visible", F.lit(True)) if found else None, horizon=horizon, recovery=going)
 
 
 def reset_catalogue(scope: Scope, access: Any, cache: CatalogueCache) -> Progress:
@@ -207,45 +296,85 @@ class Recovery:
     phase: str = "enumerate"
 
 
-def start_recovery(scope: Scope, boundary: int, access: Any, cache: CatalogueCache, pending: DataFrame | None = None) -> tuple[Recovery, DataFrame]:
-    """Erase live rows, keep their revisions as floors: returns the recovery and its candidates."""
+def check_recovery(going: Recovery) -> Recovery:
+    """The phase agrees with the progress: enumeration has its pass, the later phases have completed it."""
+    p = going.progress
+    check_progress(p)
+    if going.phase == "enumerate":
+        good = p.active is not None and p.completed == 0 and p.active.boundary == going.boundary
+    else:
+        good = going.phase in ("reconcile", "finish") and p.active is None and p.completed == going.boundary
+    if not good:
+        raise Refusal("InvalidRecovery")
+    return going
+
+
+def start_recovery(
+    scope: Scope, boundary: int, access: Any, cache: CatalogueCache, pending: DataFrame | None = None, horizon: int | None = None
+) -> tuple[Recovery, DataFrame]:
+    """Erase live rows and keep their revisions as floors, all in one commit: returns the recovery and its candidates.
+
+    Whatever a recovery under way has not settled yet stays a candidate. A receiver without progress starts with ``pending`` alone. With a
+    ``horizon`` the boundary must cover it.
+    """
     access.authorize(scope)
-    current = cache.progress() or Progress(scope)
+    current = cache.progress()
+    if current and current.scope.target != scope.target:
+        raise Refusal("WrongScope")
     entries = cache.entries()
-    pending = entries.filter("false") if pending is None else pending
+    open_ = cache.candidates()
+    pending = open_ if pending is None else open_.unionByName(pending.select("entry_id", "creation", "revision"))
     if catalogue.creation_conflicts(pending, entries).first()["conflicts"]:
         raise Refusal("Conflict")
     if boundary < catalogue.highest_revision(entries, pending).first()["highest"]:
         raise Refusal("ResetRequired")
-    spark = cache.log.spark
-    candidates = spark.createDataFrame(catalogue.candidate_floors(entries, pending).toArrow())
-    going = CataloguePass(0, boundary, _next_generation(current.generation))
+    if horizon is not None:
+        check_coverage(boundary, horizon)
+    saved = cache.save_candidates(catalogue.candidate_floors(entries, pending))
+    going = CataloguePass(0, boundary, _next_generation(current.generation if current else 0))
     after = Progress(scope, 0, going.generation, going)
-    cache.save(cache.progress(), after, catalogue.reset_survivors(entries), replace_rows=True)
-    return Recovery(after, boundary), candidates
+    journal = {"phase": "enumerate", "boundary": boundary, "candidates": saved}
+    cache.save(current, after, catalogue.reset_survivors(entries), replace_rows=True, horizon=horizon, recovery=journal)
+    return check_recovery(Recovery(after, boundary)), cache.candidates()
+
+
+def start_fresh_recovery(scope: Scope, access: Any, source: CatalogueTable, cache: CatalogueCache) -> tuple[Recovery, DataFrame]:
+    """Recovery of a receiver that holds nothing: head and horizon come from one snapshot of the source."""
+    if cache.progress() is not None:
+        raise Refusal("Stale")
+    access.authorize(scope)
+    at = source.snapshot()
+    return start_recovery(scope, source.head(at), access, cache, horizon=source.horizon(at))
 
 
-def step_recovery(going: Recovery, candidates: DataFrame, limit: int, access: Any, source: CatalogueTable, cache: CatalogueCache) -> tuple[Recovery | None, DataFrame]:
-    """One bounded step; None once recovery has finished."""
+def step_recovery(going: Recovery, candidates: DataFrame, limit: int, access: Any, source: CatalogueTable, cache: CatalogueCache, with_horizon: bool = False) -> tuple[Recovery | None, DataFrame]:
+    """One bounded step, saved with its phase, so that it may be the last of a process; None once recovery has finished.
+
+    ``candidates`` are those that the step before left; they are read from the cache, which is what counts.
+    """
+    if cache.recovery() != going:
+        raise Refusal("Stale")
+    journal = cache.log.snapshot().state["recovery"]
+    floors = cache.candidates()
     if going.phase == "enumerate":
-        after = apply_next_page(going.progress, limit, access, source, cache)
-        rest = catalogue.remaining(candidates, cache.entries())
-        return (Recovery(after, going.boundary, "reconcile" if after.active is None else "enumerate"), rest)
+        phase = lambda p: journal | {"phase": "enumerate" if p.active else "reconcile"}
+        after = apply_next_page(going.progress, limit, access, source, cache, with_horizon=with_horizon, floors=floors, recovery=phase)
+        return check_recovery(Recovery(after, going.boundary, "enumerate" if after.active else "reconcile")), cache.candidates()
     if going.phase == "reconcile":
-        batch = candidates.orderBy("entry_id").limit(limit)
-        if batch.isEmpty():
-            return Recovery(going.progress, going.boundary, "finish"), candidates
+        batch = floors.orderBy("entry_id").limit(limit)
+        asked = batch.count()
+        if not asked:
+            cache.save(going.progress, going.progress, recovery=journal | {"phase": "finish"})
+            return Recovery(going.progress, going.boundary, "finish"), floors
         access.authorize(going.progress.scope)
-        values = catalogue.resolve(batch, source.entries(), source.proofs())
-        floors = batch.select("entry_id", F.struct("creation", "revision", F.lit(False).alias("deleted")).alias("b"))
-        told = values.withColumn("a", F.struct("creation", "revision", "deleted")).join(floors, "entry_id")
-        bad = told.select(catalogue.transition_refusal("b", "a").alias("refusal")).filter("refusal IS NOT NULL").first()
-        if bad:
-            raise Refusal(bad["refusal"])
-        if values.count() < batch.count():
+        at = source.snapshot()
+        values = catalogue.resolve(batch, source.entries(at), source.proofs(at))
+        _check_values(batch.withColumn("deleted", F.lit(False)), values, None)
+        if values.count() < asked:
             raise Refusal("MissingEntry")  # absence is not deletion
         cache.save(going.progress, going.progress, values.withColumn("visible", F.lit(True)))
-        return going, catalogue.remaining(candidates, values)
+        return going, cache.candidates()
     if source.head() < going.boundary:
         raise Refusal("SourceBehind")
-    return None, candidates
+    cache.save(going.progress, going.progress, recovery={})
+    return None, floors

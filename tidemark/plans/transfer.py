@@ -14,6 +14,14 @@ class ArtifactSource(Protocol):
     def chunk(self, artifact_id: str, revision: int, offset: int, size: int) -> bytes: ...
 
 
+def check_chunk(manifest: dict, offset: int, size: int, data: bytes) -> None:
+    """Refuse a chunk that was not to be asked for, or has another length than the artifact leaves it."""
+    if manifest["deleted"] or manifest["revision"] <= 0 or not 0 < size <= MAX_CHUNK_BYTES or not 0 <= offset < manifest["length"]:
+        raise Refusal("InvalidRequest")
+    if len(data) != min(size, manifest["length"] - offset):
+        raise Refusal("WrongLength")
+
+
 def transfer_one(artifact_id: str, size: int, source: ArtifactSource, cache: ArtifactCache) -> dict:
     """Accept the current manifest, then fetch and stage the next chunk if one is missing."""
     if not 0 < size <= MAX_CHUNK_BYTES:
@@ -23,8 +31,7 @@ def transfer_one(artifact_id: str, size: int, source: ArtifactSource, cache: Art
     if state["deleted"] or state["next"] >= state["length"]:
         return state
     data = source.chunk(artifact_id, m["revision"], state["next"], size)
-    if len(data) != min(size, state["length"] - state["next"]):
-        raise Refusal("WrongLength")
+    check_chunk(state, state["next"], size, data)
     return cache.append(artifact_id, state["next"], data)
 
 

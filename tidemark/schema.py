@@ -1,7 +1,6 @@
 """Data model: identities, limits, requests and the table schemas of the engine.
 
-Positions, revisions and generations are BIGINT; arithmetic on them uses
-``try_add`` where it could overflow. Payloads are opaque.
+Positions, revisions and generations are BIGINT; ANSI arithmetic refuses to overflow. Payloads are opaque.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ MAX_CATALOGUE_ENTRIES = 256
 MAX_CHUNK_BYTES = 64 << 10
 MAX_COMPACTION_BATCH = 256
 MAX_WAITERS = 256
+MAX_PINS = 4096
 HEAD_VERSION = 1
 HORIZON_VERSION = 2
 WIRE_PAGE_RECORDS = 64
@@ -116,5 +116,13 @@ HISTORY = _table(
 ENTRIES = _table(("entry_id", _TEXT, False), ("creation", _LONG, False), ("revision", _LONG, False), ("deleted", _FLAG, False), ("payload", _BYTES, True), ("visible", _FLAG, False))
 PROOFS = _table(("entry_id", _TEXT, False), ("creation", _LONG, False), ("revision", _LONG, False))
 PINS = _table(("kind", _TEXT, False), ("origin", _TEXT, False), ("resource", _TEXT, False), ("incarnation", _TEXT, False), ("holder", _TEXT, False), ("completed", _LONG, False), ("expires_at_ms", _LONG, False))
+ARTIFACTS = _table(
+    ("artifact_id", _TEXT, False), ("revision", _LONG, False), ("deleted", _FLAG, False), ("length", _LONG, False), ("digest", _TEXT, False),
+    ("offset", _LONG, True), ("bytes", _BYTES, True),
+)
+STAGED = _table(
+    ("artifact_id", _TEXT, False), ("version", _LONG, False), ("kind", _TEXT, False), ("revision", _LONG, False), ("deleted", _FLAG, True),
+    ("length", _LONG, True), ("digest", _TEXT, True), ("offset", _LONG, True), ("bytes", _BYTES, True),
+)
 CHUNKS = _table(("artifact_id", _TEXT, False), ("offset", _LONG, False), ("bytes", _BYTES, False))
 EPOCHS = _table(("authority", _TEXT, False), ("epoch", _LONG, False))

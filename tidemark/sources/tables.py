@@ -8,12 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tidemark.operators import artifacts, catalogue, history, records
-from tidemark.schema import CHUNKS, ENTRIES, RECORDS, Limits, PageRequest, Refusal, Scope, SourceHead
+from tidemark.operators import artifacts, catalogue, history, records, retention
+from tidemark.schema import ARTIFACTS, ENTRIES, MAX_CHUNK_BYTES, RECORDS, STAGED, Limits, PageRequest, Refusal, Scope, SourceHead
 from tidemark.sources.commitlog import CommitLog, Snapshot
 
 
-class RecordTable:
+class _Pinned:
+    """Durable pins of a source: leases with receipts, saved with the state that they hold back."""
+
+    FLOOR = "floor"
+
+    def _held(self, at: Snapshot) -> dict:
+        state = self._state(at)
+        return state | {"floor": state[self.FLOOR]}
+
+    def _saved(self, at: Snapshot, held: dict, rows: DataFrame | None = None, **changes) -> None:
+        kept = {k: held[k] for k in ("pins", "now_ms") if k in held}
+        self.log.commit(at, self._state(at) | kept | changes, rows)
+
+    def register_pin(self, holder: str, completed: int, now_ms: int, expires_at_ms: int) -> dict:
+        at = self.log.snapshot()
+        held = retention.register(self._held(at), holder, completed, now_ms, expires_at_ms)
+        self._saved(at, held)
+        return held["pins"][holder]
+
+    def refresh_pin(self, receipt: dict, completed: int, now_ms: int, expires_at_ms: int) -> dict:
+        at = self.log.snapshot()
+        held = retention.refresh(self._held(at), receipt, completed, now_ms, expires_at_ms)
+        self._saved(at, held)
+        return held["pins"][receipt["holder"]]
+
+    def pin(self, holder: str) -> dict | None:
+        return self.log.snapshot().state.get("pins", {}).get(holder)
+
+
+class RecordTable(_Pinned):
     """A source of ordered records: append, bounded reads, tails, logical pruning."""
 
     def __init__(self, spark: SparkSession, path: str, scope: Scope):
@@ -72,7 +101,11 @@ class RecordTable:
         refused = records.page_refusal(table, request.after, request.target, request.limits, F.octet_length("payload")).first()["refusal"]
         if refused:
             raise Refusal(refused)
-        return records.page(table, request.after, request.target, request.limits, F.octet_length("payload")).select("position", "record_id", "payload")
+        rows = records.page(table, request.after, request.target, request.limits, F.octet_length("payload")).select("position", "record_id", "payload")
+        gap = records.page_gap(rows, request.after).first()["refusal"]
+        if gap:
+            raise Refusal(gap)
+        return rows
 
     def open_page(self, scope: Scope, after: int, limits: Limits) -> tuple[int, DataFrame | None]:
         """Head and first page of one snapshot; no page if the head is not beyond ``after``."""
@@ -113,6 +146,14 @@ class RecordTable:
             self.log.commit(at, state | {"floor": floor})
         return max(floor, state["floor"])
 
+    def prune_with_retention(self, preferred: int, forced: int | None, now_ms: int) -> int:
+        """Raise the logical floor to the cutoff that the live pins allow, chosen and saved in one commit."""
+        at = self.log.snapshot()
+        held = retention.advance(self._held(at), now_ms)
+        floor = retention.held_cutoff(held, preferred, forced, now_ms)
+        self._saved(at, held, floor=floor)
+        return floor
+
 
 class ReplicaTable:
     """A receiver's copy of one stream, with its checkpoint and history progress."""
@@ -123,16 +164,38 @@ class ReplicaTable:
 
     def load(self, scope: Scope) -> int | None:
         state = self.log.snapshot().state
-        if not state:
+        if "scope" not in state:
             return None
         if state["scope"] != asdict(scope):
             raise Refusal("ResetRequired")
         return state["position"]
 
-    def apply(self, scope: Scope, expected: int, plan: DataFrame) -> int:
+    @staticmethod
+    def _check_epoch(at: Snapshot, epoch: tuple[str, int] | None) -> dict:
+        """The epochs saved in a snapshot, which a commit on it keeps; evidence must be of exactly the one observed."""
+        seen = at.state.get("epochs", {})
+        if epoch is not None and seen.get(epoch[0]) != epoch[1]:
+            raise Refusal("StaleEpoch")
+        return {"epochs": seen} if seen else {}
+
+    def observe_epoch(self, authority: str, epoch: int) -> int:
+        """Raise the durable floor of an authority's epochs."""
+        at = self.log.snapshot()
+        seen = at.state.get("epochs", {})
+        if epoch < seen.get(authority, 0):
+            raise Refusal("StaleEpoch")
+        if epoch > seen.get(authority, 0):
+            self.log.commit(at, at.state | {"epochs": seen | {authority: epoch}})
+        return epoch
+
+    def observed_epoch(self, authority: str) -> int:
+        return self.log.snapshot().state.get("epochs", {}).get(authority, 0)
+
+    def apply(self, scope: Scope, expected: int, plan: DataFrame, epoch: tuple[str, int] | None = None) -> int:
         """Apply records after ``expected``; an exact replay is a quiet success."""
         at = self.log.snapshot()
-        state = at.state or {"scope": asdict(scope), "position": 0, "history": None}
+        self._check_epoch(at, epoch)
+        state = {"scope": asdict(scope), "position": 0, "history": None} | at.state
         if state["scope"] != asdict(scope):
             raise Refusal("ResetRequired")
         if state["history"] and state["history"]["deleted"]:
@@ -159,8 +222,8 @@ class ReplicaTable:
     def read_after(self, scope: Scope, after: int, limits: Limits) -> DataFrame:
         """A local page, never past the committed checkpoint."""
         at = self.log.snapshot()
-        position = (at.state or {"position": 0})["position"]
-        if not at.state or after >= position:
+        position = at.state.get("position", 0)
+        if after >= position:
             return self.log.read(at).limit(0)
         table = records.Positioned(self.log.read(at).withColumnRenamed("position", "raw"), "raw")
         return records.page(table, after, position, limits, F.octet_length("payload")).select("position", "record_id", "payload")
@@ -171,16 +234,18 @@ class ReplicaTable:
     def progress(self) -> dict | None:
         return (self.log.snapshot().state or {}).get("history")
 
-    def install_tail(self, scope: Scope, generation: int, tail: dict) -> dict:
+    def install_tail(self, scope: Scope, generation: int, tail: dict, epoch: tuple[str, int] | None = None) -> dict:
         at = self.log.snapshot()
-        before = (at.state or {}).get("history")
-        progress = history.progress_after_tail(before, generation, tail["first"], tail["watermark"], tail["oldest"], bool(at.state) and before is None)
-        self.log.commit(at, {"scope": asdict(scope), "position": tail["watermark"], "history": progress}, tail["rows"], replace=True)
+        epochs = self._check_epoch(at, epoch)
+        before = at.state.get("history")
+        progress = history.progress_after_tail(before, generation, tail["first"], tail["watermark"], tail["oldest"], "scope" in at.state and before is None)
+        self.log.commit(at, {"scope": asdict(scope), "position": tail["watermark"], "history": progress} | epochs, tail["rows"], replace=True)
         return progress
 
-    def install_older(self, scope: Scope, generation: int, page: dict) -> dict:
+    def install_older(self, scope: Scope, generation: int, page: dict, epoch: tuple[str, int] | None = None) -> dict:
         at = self.log.snapshot()
-        if not at.state or not at.state["history"]:
+        self._check_epoch(at, epoch)
+        if not at.state.get("history"):
             raise Refusal("Stale")
         progress = history.progress_after_older(at.state["history"], generation, page["first"], page["before"] - 1, page["oldest"])
         saved = self.log.read(at)
@@ -191,17 +256,22 @@ class ReplicaTable:
 
     def fence_deletion(self, scope: Scope) -> dict:
         at = self.log.snapshot()
-        progress = history.progress_after_deletion((at.state or {}).get("history"))
-        self.log.commit(at, {"scope": asdict(scope), "position": 0, "history": progress}, self.log.read(at).limit(0), replace=True)
+        progress = history.progress_after_deletion(at.state.get("history"))
+        self.log.commit(at, {"scope": asdict(scope), "position": 0, "history": progress} | self._check_epoch(at, None), self.log.read(at).limit(0), replace=True)
         return progress
 
 
-class CatalogueTable:
+class CatalogueTable(_Pinned):
     """A source of current values: folded batches of mutations, collection, compaction.
 
-    Retired entries stay as rows that only prove their identity and revision, so they fence their ids for ever.
+    A commit appends the entries that it changes; reads fold the segments, the latest state of each entry first, and after
+    ``COMPACT_AFTER`` segments the fold is written as one. Retired entries stay as rows that only prove their
+    identity and revision, so they fence their ids for ever.
     """
 
+    FLOOR = "horizon"
+    COMPACT_AFTER = 64
+
     def __init__(self, spark: SparkSession, path: str, scope: Scope):
         self.spark, self.scope = spark, scope
         self.log = CommitLog(spark, path, "catalogue-source", StructType([*ENTRIES.fields, StructField("retired", BooleanType(), False)]))
@@ -209,29 +279,53 @@ class CatalogueTable:
     def _state(self, at: Snapshot) -> dict:
         return {"head": 0, "horizon": 0} | at.state
 
-    def head(self) -> int:
-        return self._state(self.log.snapshot())["head"]
+    def snapshot(self) -> Snapshot:
+        """A version that several reads can share."""
+        return self.log.snapshot()
+
+    def head(self, at: Snapshot | None = None) -> int:
+        return self._state(at or self.log.snapshot())["head"]
+
+    def horizon(self, at: Snapshot | None = None) -> int:
+        return self._state(at or self.log.snapshot())["horizon"]
 
-    def horizon(self) -> int:
-        return self._state(self.log.snapshot())["horizon"]
+    def _now(self, at: Snapshot, ids: DataFrame | None = None) -> DataFrame:
+        """The latest state of every entry, or of those in ``ids``: deletion, hiding and retirement follow in this order at one revision."""
+        rows = self.log.read(at)
+        if ids is not None:
+            rows = rows.join(ids.select("entry_id").distinct(), "entry_id", "left_semi")
+        names = [f.name for f in self.log.schema if f.name != "entry_id"]
+        newest = F.max_by(F.struct(*names), F.struct("revision", "deleted", ~F.col("visible"), "retired"))
+        return rows.groupBy("entry_id").agg(newest.alias("e")).select("entry_id", "e.*")
 
-    def entries(self) -> DataFrame:
-        return self.log.read().filter("NOT retired").drop("retired")
+    def entries(self, at: Snapshot | None = None) -> DataFrame:
+        return self._now(at or self.log.snapshot()).filter("NOT retired").drop("retired")
 
-    def proofs(self) -> DataFrame:
-        return self.log.read().filter("retired").select("entry_id", "creation", "revision")
+    def proofs(self, at: Snapshot | None = None) -> DataFrame:
+        return self._now(at or self.log.snapshot()).filter("retired").select("entry_id", "creation", "revision")
 
-    def apply(self, mutations: DataFrame) -> DataFrame:
+    def _commit(self, at: Snapshot, state: dict, rows: DataFrame | None) -> None:
+        done = self.log.commit(at, state, rows)
+        if len(done.segments) > self.COMPACT_AFTER:
+            try:
+                self.log.compact(done, self._now(done))
+            except Refusal:  # another writer was faster; the next commit tries again
+                pass
+
+    def apply(self, mutations: DataFrame, expected: int | None = None) -> DataFrame:
         """Fold a batch (``seq``, ``entry_id``, ``is_del``, ``payload``) onto the current values; returns its outcomes.
 
-        Current values enter the fold as mutations before the batch, so one operator decides both.
+        Current values enter the fold as mutations before the batch, so one operator decides both. Only entries that the batch
+        names are read and written. With ``expected`` the head must be exactly that.
         """
         at = self.log.snapshot()
         state = self._state(at)
-        now = self.log.read(at)
+        if expected is not None and expected != state["head"]:
+            raise Refusal("Stale")
         lowest = mutations.agg(F.min("seq")).first()[0]
         if lowest is None:
             return mutations.withColumn("outcome", F.lit(None).cast("string"))
+        now = self._now(at, mutations)
         kind = mutations.schema["payload"].dataType
         born = now.select((F.lit(lowest - 2).cast("bigint")).alias("seq"), "entry_id", F.lit(False).alias("is_del"), F.col("payload").cast(kind).alias("payload"))
         died = now.filter("deleted").select(F.lit(lowest - 1).cast("bigint").alias("seq"), "entry_id", F.lit(True).alias("is_del"), F.lit(None).cast(kind).alias("payload"))
@@ -243,108 +337,214 @@ class CatalogueTable:
         fresh = catalogue.current(kept).withColumns({"visible": F.lit(True), "retired": F.lit(False)})
         old = now.select("entry_id", F.col("creation").alias("__creation"))
         fresh = fresh.join(old, "entry_id", "left").withColumn("creation", F.coalesce("__creation", "creation")).drop("__creation")
-        fresh = fresh.withColumn("payload", F.when(~F.col("deleted"), F.col("payload"))).cache()
-        try:
-            head = fresh.agg(F.coalesce(F.max("revision"), F.lit(state["head"]))).first()[0]
-            rest = now.join(fresh.select("entry_id"), "entry_id", "left_anti")
-            self.log.commit(at, state | {"head": head}, rest.unionByName(fresh.select(*now.columns)), replace=True)
-        finally:
-            fresh.unpersist()
+        fresh = fresh.withColumn("payload", F.when(~F.col("deleted"), F.col("payload")))
+        head = state["head"] + told.filter("outcome = 'accepted'").count()
+        self._commit(at, state | {"head": head}, fresh if head > state["head"] else None)
         return told
 
-    def collect(self, horizon: int) -> int:
-        """Hide markers below the horizon; returns how many."""
+    def collect(self, horizon: int, expected: tuple[int, int] | None = None) -> int:
+        """Hide markers below the horizon; returns how many. With ``expected``, head and horizon must be exactly these."""
         at = self.log.snapshot()
         state = self._state(at)
-        now = self.log.read(at)
-        hidden = catalogue.collect(now, horizon, state["horizon"], state["head"])
-        changed = now.filter("visible").count() - hidden.filter("visible").count()
-        self.log.commit(at, state | {"horizon": horizon}, hidden, replace=True)
+        if expected is not None and expected != (state["head"], state["horizon"]):
+            raise Refusal("Stale")
+        return self._collect(at, state, horizon)
+
+    def _collect(self, at: Snapshot, state: dict, horizon: int) -> int:
+        shown = self._now(at).filter("deleted AND visible")
+        hidden = catalogue.collect(shown, horizon, self._state(at)["horizon"], state["head"]).filter("NOT visible")
+        changed = hidden.count()
+        self._commit(at, state | {"horizon": horizon}, hidden if changed else None)
         return changed
 
+    def collect_with_retention(self, preferred: int, forced: int | None, now_ms: int) -> int:
+        """Raise the horizon to the cutoff that the live pins allow, chosen and saved in one commit; returns it."""
+        at = self.log.snapshot()
+        held = retention.advance(self._held(at), now_ms)
+        horizon = retention.held_cutoff(held, preferred, forced, now_ms)
+        self._collect(at, self._state(at) | {k: held[k] for k in ("pins", "now_ms") if k in held}, horizon)
+        return horizon
+
     def compact_retired(self, limit: int = 256) -> int:
         """Turn a batch of hidden markers into proofs, in one commit."""
         at = self.log.snapshot()
         state = self._state(at)
-        now = self.log.read(at)
-        batch = [r["entry_id"] for r in catalogue.compaction_batch(now.filter("NOT retired"), state["horizon"], limit).collect()]
-        if batch:  # a batch of ids at most
-            self.log.commit(at, state, now.withColumn("retired", F.col("retired") | F.col("entry_id").isin(batch)), replace=True)
-        return len(batch)
+        now = self._now(at)
+        batch = catalogue.compaction_batch(now.filter("NOT retired"), state["horizon"], limit)
+        moved = now.join(F.broadcast(batch.select("entry_id")), "entry_id", "left_semi").withColumn("retired", F.lit(True))  # a batch of ids at most
+        n = batch.count()
+        if n:
+            self._commit(at, state, moved)
+        return n
+
+
+class ArtifactTable:
+    """A source of artifacts: versions with length and digest, tombstones that stay, exact chunks.
+
+    Manifests (rows without an offset) and chunks are appended; the manifest of the highest revision is current.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.log = CommitLog(spark, path, "artifact-source", ARTIFACTS)
+
+    def manifests(self, at: Snapshot | None = None) -> DataFrame:
+        """``artifact_id``, ``revision``, ``deleted``, ``length``, ``digest`` of the current version of every artifact."""
+        rows = self.log.read(at or self.log.snapshot()).filter("offset IS NULL")
+        newest = F.max_by(F.struct("revision", "deleted", "length", "digest"), "revision")
+        return rows.groupBy("artifact_id").agg(newest.alias("m")).select("artifact_id", "m.*")
+
+    def upsert(self, incoming: DataFrame) -> DataFrame:
+        """Add versions (``artifact_id``, ``payload``); returns ``artifact_id`` and ``outcome``: accepted, quiet for equal bytes, fenced."""
+        at = self.log.snapshot()
+        head = at.state.get("head", 0)
+        told = artifacts.upsert_outcomes(incoming, self.manifests(at), head)
+        fresh = told.filter("outcome = 'accepted'")
+        n = fresh.count()
+        if n:
+            rows = fresh.select("artifact_id", "revision", F.lit(False).alias("deleted"), "length", "digest", "payload")
+            manifest = rows.drop("payload").withColumns({"offset": F.lit(None).cast("bigint"), "bytes": F.lit(None).cast("binary")})
+            cut = artifacts.chunks(rows).join(rows.drop("payload"), "artifact_id")
+            self.log.commit(at, at.state | {"head": head + n}, manifest.unionByName(cut.select(*manifest.columns)))
+        return told.select("artifact_id", "outcome")
+
+    def delete(self, artifact_id: str) -> int:
+        """Set a permanent tombstone; a second one is quiet. Returns its revision."""
+        at = self.log.snapshot()
+        old = self.manifests(at).filter(F.col("artifact_id") == artifact_id).first()
+        if old is None:
+            raise Refusal("Missing")
+        if old["deleted"]:
+            return old["revision"]
+        head = at.state.get("head", 0) + 1
+        self.log.commit(at, at.state | {"head": head}, self.spark.createDataFrame([(artifact_id, head, True, 0, "", None, None)], ARTIFACTS))
+        return head
+
+    def manifest(self, artifact_id: str) -> dict:
+        """The current state of an artifact; ``Missing`` never means deletion."""
+        row = self.manifests().filter(F.col("artifact_id") == artifact_id).first()
+        if row is None:
+            raise Refusal("Missing")
+        return row.asDict()
+
+    def chunk(self, artifact_id: str, revision: int, offset: int, size: int) -> bytes:
+        """Bytes of exactly the version asked for, if it is still current."""
+        at = self.log.snapshot()
+        now = self.manifests(at).filter(F.col("artifact_id") == artifact_id).first()
+        if now is None or now["deleted"] or now["revision"] != revision:
+            raise Refusal("Stale")
+        if not 0 < size <= MAX_CHUNK_BYTES or not 0 <= offset < now["length"]:
+            raise Refusal("InvalidRequest")
+        first, last = offset - offset % MAX_CHUNK_BYTES, offset + size
+        mine = (F.col("artifact_id") == artifact_id) & (F.col("revision") == revision) & F.col("offset").between(first, last - 1)
+        held = b"".join(bytes(r["bytes"]) for r in self.log.read(at).filter(mine).orderBy("offset").collect())  # two stored chunks at most
+        return held[offset - first : last - first]
 
 
 class ArtifactCache:
-    """A receiver's chunks of one artifact scope; bytes count as verified only after their full hash."""
+    """A receiver's chunks of one artifact scope; bytes count as verified only after their full hash.
+
+    Everything is an appended row (manifest, chunk, verified, dropped), numbered by the version that brought it; reads fold them.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
-        self.log = CommitLog(spark, path, "artifact-cache", CHUNKS)
+        self.log = CommitLog(spark, path, "artifact-cache", STAGED)
+
+    def _row(self, at: Snapshot, kind: str, artifact_id: str, revision: int, **more) -> DataFrame:
+        values = {"artifact_id": artifact_id, "version": at.version + 1, "kind": kind, "revision": revision} | more
+        return self.spark.createDataFrame([tuple(values.get(f.name) for f in STAGED)], STAGED)
+
+    def index(self, at: Snapshot | None = None) -> DataFrame:
+        """``artifact_id``, ``revision``, ``deleted``, ``length``, ``digest``, ``next`` and ``verified`` of every artifact."""
+        rows = self.log.read(at or self.log.snapshot())
+        newest = F.max_by(F.struct("revision", "deleted", "length", "digest"), F.when(F.col("kind") == "manifest", F.struct("revision", "version")))
+        now = rows.groupBy("artifact_id").agg(newest.alias("m")).select("artifact_id", "m.*")
+        mine = rows.join(now.select("artifact_id", "revision"), ["artifact_id", "revision"], "left_semi")
+        dropped = F.max(F.when(F.col("kind") == "dropped", F.col("version")))
+        marks = mine.groupBy("artifact_id").agg(F.coalesce(dropped, F.lit(0)).alias("dropped"), F.coalesce(F.max(F.when(F.col("kind") == "verified", F.col("version"))), F.lit(0)).alias("good"))
+        staged = mine.filter("kind = 'chunk'").select("artifact_id", "version", F.octet_length("bytes").alias("n")).join(marks, "artifact_id").filter("version > dropped")
+        sums = staged.groupBy("artifact_id").agg(F.sum("n").cast("bigint").alias("next"))
+        out = now.join(marks, "artifact_id").join(sums, "artifact_id", "left")
+        return out.select("artifact_id", "revision", "deleted", "length", "digest", F.coalesce("next", F.lit(0)).alias("next"), (F.col("good") > F.col("dropped")).alias("verified"), "dropped")
+
+    def _find(self, artifact_id: str, at: Snapshot) -> dict | None:
+        row = self.index(at).filter(F.col("artifact_id") == artifact_id).first()
+        return row.asDict() if row else None
+
+    def _chunks(self, at: Snapshot, state: dict) -> DataFrame:
+        mine = (F.col("artifact_id") == state["artifact_id"]) & (F.col("revision") == state["revision"]) & (F.col("kind") == "chunk") & (F.col("version") > state["dropped"])
+        return self.log.read(at).filter(mine).select("artifact_id", "offset", "bytes")
 
     def accept(self, artifact_id: str, revision: int, length: int, digest: str, deleted: bool = False) -> dict:
-        """Take a manifest: a newer one drops what was staged; a deletion stays for ever."""
+        """Take a manifest: a newer one leaves what was staged behind; a deletion stays for ever."""
         at = self.log.snapshot()
-        known = dict(at.state.get("artifacts", {}))
         if at.state.get("revoked"):
             raise Refusal("Revoked")
-        old = known.get(artifact_id)
-        new = {"revision": revision, "length": length, "digest": digest, "deleted": deleted, "next": 0, "verified": False}
-        if old:
-            if old["deleted"] and not deleted:
-                raise Refusal("Fenced")
-            if revision < old["revision"]:
-                raise Refusal("Stale")
-            same = (old["length"], old["digest"], old["deleted"]) == (length, digest, deleted)
-            if revision == old["revision"]:
-                if not same:
-                    raise Refusal("Conflict")
-                return old
-        known[artifact_id] = new
-        rows = self.log.read(at).filter(F.col("artifact_id") != artifact_id) if old else None
-        self.log.commit(at, at.state | {"artifacts": known}, rows, replace=bool(old))
-        return new
+        old = self._find(artifact_id, at)
+        refusal = artifacts.manifest_verdict(old, revision, length, digest, deleted)
+        if refusal:
+            raise Refusal(refusal)
+        if old and revision == old["revision"]:
+            return old
+        self.log.commit(at, at.state, self._row(at, "manifest", artifact_id, revision, deleted=deleted, length=length, digest=digest))
+        return {"artifact_id": artifact_id, "revision": revision, "deleted": deleted, "length": length, "digest": digest, "next": 0, "verified": False, "dropped": 0}
 
     def append(self, artifact_id: str, offset: int, data: bytes) -> dict:
         """Stage the next chunk; the same chunk again is quiet."""
+        return self.append_all(artifact_id, [(offset, data)])
+
+    def append_all(self, artifact_id: str, parts: list[tuple[int, bytes]]) -> dict:
+        """Stage consecutive chunks in one commit; those that are staged already must be the same."""
         at = self.log.snapshot()
-        known = dict(at.state.get("artifacts", {}))
-        state = known.get(artifact_id)
+        state = self._find(artifact_id, at)
         if not state or state["deleted"] or at.state.get("revoked"):
             raise Refusal("Stale")
-        if offset < state["next"]:
-            row = self.log.read(at).filter((F.col("artifact_id") == artifact_id) & (F.col("offset") == offset)).first()
-            if row and bytes(row["bytes"]) == data:
-                return state
-            raise Refusal("Conflict")
-        if offset != state["next"] or offset + len(data) > state["length"] or not data:
-            raise Refusal("WrongOffset")
-        known[artifact_id] = state | {"next": offset + len(data)}
-        self.log.commit(at, at.state | {"artifacts": known}, self.spark.createDataFrame([(artifact_id, offset, data)], CHUNKS))
-        return known[artifact_id]
+        fresh, upto = [], state["next"]
+        for offset, data in parts:
+            if offset < state["next"]:
+                row = self._chunks(at, state).filter(F.col("offset") == offset).first()
+                if not row or bytes(row["bytes"]) != data:
+                    raise Refusal("Conflict")
+                continue
+            if offset != upto or upto + len(data) > state["length"] or not 0 < len(data) <= MAX_CHUNK_BYTES:
+                raise Refusal("WrongOffset")
+            fresh.append((artifact_id, at.version + 1, "chunk", state["revision"], None, None, None, offset, bytearray(data)))
+            upto += len(data)
+        if fresh:
+            self.log.commit(at, at.state, self.spark.createDataFrame(fresh, STAGED))
+        return state | {"next": upto}
 
     def publish(self, artifact_id: str) -> dict:
         """Verify order, length and hash; a mismatch discards what was staged."""
         at = self.log.snapshot()
-        known = dict(at.state.get("artifacts", {}))
-        state = known.get(artifact_id)
-        if not state or state["deleted"]:
+        state = self._find(artifact_id, at)
+        if not state or state["deleted"] or at.state.get("revoked"):
             raise Refusal("Stale")
-        mine = self.log.read(at).filter(F.col("artifact_id") == artifact_id)
-        manifest = self.spark.createDataFrame([(artifact_id, state["length"], state["digest"])], "artifact_id string, length bigint, digest string")
-        good = artifacts.verify(manifest, artifacts.assemble(mine)).first()["verified"]
-        known[artifact_id] = state | ({"verified": True} if good else {"next": 0, "verified": False})
-        rest = None if good else self.log.read(at).filter(F.col("artifact_id") != artifact_id)
-        self.log.commit(at, at.state | {"artifacts": known}, rest, replace=not good)
+        good = self._matches(at, state)
+        self.log.commit(at, at.state, self._row(at, "verified" if good else "dropped", artifact_id, state["revision"]))
         if not good:
             raise Refusal("HashMismatch")
-        return known[artifact_id]
+        return state | {"verified": True}
+
+    def _matches(self, at: Snapshot, state: dict) -> bool:
+        manifest = self.spark.createDataFrame([(state["artifact_id"], state["length"], state["digest"])], "artifact_id string, length bigint, digest string")
+        return artifacts.verify(manifest, artifacts.assemble(self._chunks(at, state))).first()["verified"]
+
+    def lookup(self, artifact_id: str) -> dict | None:
+        """What the index knows of an artifact; nothing of a revoked scope."""
+        at = self.log.snapshot()
+        return None if at.state.get("revoked") else self._find(artifact_id, at)
 
     def read_verified(self, artifact_id: str) -> DataFrame | None:
-        """The chunks of a verified artifact in order, or None."""
+        """The chunks of a verified artifact in order, hashed again, or None."""
         at = self.log.snapshot()
-        state = at.state.get("artifacts", {}).get(artifact_id)
+        state = self._find(artifact_id, at)
         if not state or not state["verified"] or state["deleted"] or at.state.get("revoked"):
             return None
-        return self.log.read(at).filter(F.col("artifact_id") == artifact_id).orderBy("offset")
+        if not self._matches(at, state):
+            raise Refusal("HashMismatch")
+        return self._chunks(at, state).orderBy("offset")
 
     def revoke(self) -> None:
         """Drop all bytes of this scope's epoch; it never resumes."""

@@ -1,11 +1,14 @@
 """Incremental catch-up with Structured Streaming.
 
 A file stream runs over what is there now (``availableNow``) in micro-batches of bounded size;
-every batch is committed under its id, so a repeated batch changes nothing.
+every batch is committed under the id of its checkpoint and its own, so a repeated batch changes nothing, and
+a stream with another checkpoint counts its batches anew.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,18 +22,21 @@ def follow(spark: SparkSession, source: str, schema: StructType, target: CommitL
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     if max_bytes:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
-    added = 0
+    added, origin = 0, None
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        nonlocal added
+        nonlocal added, origin
+        if origin is None:  # Spark writes the id of the query when it makes the checkpoint
+            origin = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
         at = target.snapshot()
-        if at.state.get("batch", -1) >= batch_id:
+        saved = at.state.get("batches", {})
+        if saved.get(origin, -1) >= batch_id:
             return
         try:
-            target.commit(at, at.state | {"batch": batch_id}, batch)
+            target.commit(at, at.state | {"batches": saved | {origin: batch_id}}, batch)
         except Refusal as refusal:
             # Another attempt of this very batch may have won.
-            if refusal.code != "Stale" or target.snapshot().state.get("batch", -1) < batch_id:
+            if refusal.code != "Stale" or target.snapshot().state.get("batches", {}).get(origin, -1) < batch_id:
                 raise
             return
         added += 1
