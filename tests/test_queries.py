@@ -41,7 +41,7 @@ def test_matches_sql(spark, duck, name):
 
 def test_commit_log_query(spark):
     row = catalog.queries()["commitlog_cas"](spark, SF).first()
-    assert (row["version"], row["second_writer"], row["records"], row["head"]) == (1, "Stale", 500, 500)
+    assert (row["version"], row["second_writer"], row["records"], row["head"]) == (1, "Stale", 1000, 1000)
 
 
 def test_range_reaches_the_scan(spark):
@@ -51,7 +51,7 @@ def test_range_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(event_id,100)" in plan or "GreaterThan(event_id,99)" in plan
 
 
-def test_whole_table_queries_see_what_lies_beyond_the_slices(spark, tmp_path):
+def test_queries_see_the_whole_stream(spark, tmp_path):
     """A gap and a doubled record beyond event 1000."""
     from pyspark.sql import functions as F
 
@@ -59,6 +59,6 @@ def test_whole_table_queries_see_what_lies_beyond_the_slices(spark, tmp_path):
     k = spark.range(5000).filter("id <> 3000").withColumnRenamed("id", "event_id")
     rows = k.select("event_id", (F.col("event_id") % 7).alias("user_id"), F.lit("view").alias("event_type"), F.lit("{}").alias("props"))
     rows.unionByName(rows.filter("event_id = 4000")).write.parquet(f"{path}/events.parquet")
-    row = catalog.queries()["record_density_whole"](spark, path).first()
+    row = catalog.queries()["record_page_density"](spark, path).first()
     assert (row["expected"], row["found"], row["distinct_positions"], row["gaps"]) == (5000, 5000, 4999, 1)
-    assert catalog.queries()["replica_conflicts_whole"](spark, path).agg(F.max("position")).first()[0] > 3300
+    assert catalog.queries()["replica_conflict_ids"](spark, path).agg(F.max("position")).first()[0] > 3300

@@ -32,11 +32,15 @@ def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from tidemark import catalog_checks
+
+    return dict(_QUERIES) | catalog_checks.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from tidemark import catalog_checks
+
+    return dict(_SQL) | catalog_checks.oracle_sql()
 
 
 def _size():
@@ -90,11 +94,6 @@ def record_page_late_payload(spark, sf):
     return records.page_late(sized, 200, 600, Limits(64, 1024, 512), "size", "payload").select("position", "record_id", "payload")
 
 
-@_register("record_page_density", """
-SELECT CAST(1000 AS BIGINT) AS expected, count(*) AS found, count(DISTINCT event_id) AS distinct_positions, 1000 - count(DISTINCT event_id) AS gaps
-FROM events WHERE event_id >= 0 AND event_id < 1000""")
-def record_page_density(spark, sf):
-    return records.density_gaps(B.event_records(spark, sf), 0, 1000)
 
 
 @_register("record_open_page", f"""
@@ -133,55 +132,18 @@ def replica_cached_read(spark, sf):
     return rows.select("position", "record_id", "payload")
 
 
-@_register("replica_catchup_delta", f"SELECT position, record_id, payload FROM ({_EVENT}) WHERE position > 500 AND position <= 900")
-def replica_catchup_delta(spark, sf):
-    return B.event_records(spark, sf).between(500, 900).select("position", "record_id", "payload")
 
 
 def _altered(e: DataFrame) -> DataFrame:
     return e.withColumn("payload", F.when(F.col("position") % 17 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
 
 
-@_register("replica_conflict_ids", f"""
-WITH e AS ({_EVENT}), s AS (SELECT * FROM e WHERE position <= 150), p AS (SELECT position, record_id, CASE WHEN position % 17 = 0 THEN payload || '!' ELSE payload END AS payload FROM e WHERE position <= 200)
-SELECT p.position, p.record_id FROM p JOIN s USING (record_id) WHERE p.position <> s.position OR p.payload <> s.payload""")
-def replica_conflict_ids(spark, sf):
-    e = B.event_records(spark, sf)
-    plan, saved = _altered(e.between(0, 200)), e.between(0, 150)
-    return records.conflicting_ids(plan.select("position", "record_id", "payload"), saved).select("position", "record_id")
 
 
-@_register("replica_exact_replay", f"""
-WITH e AS ({_EVENT}), s AS (SELECT * FROM e WHERE position BETWEEN 101 AND 200)
-SELECT 'same' AS plan, CAST(0 AS BIGINT) AS only_plan, CAST(0 AS BIGINT) AS only_saved, true AS exact
-UNION ALL SELECT 'altered', (SELECT count(*) FROM s WHERE position % 17 = 0), (SELECT count(*) FROM s WHERE position % 17 = 0), (SELECT count(*) = 0 FROM s WHERE position % 17 = 0)""")
-def replica_exact_replay(spark, sf):
-    e = B.event_records(spark, sf)
-    saved = e.between(100, 200)
-    same = records.is_exact_replay(saved, saved).withColumn("plan", F.lit("same"))
-    other = records.is_exact_replay(_altered(saved), saved).withColumn("plan", F.lit("altered"))
-    return same.unionByName(other).select("plan", "only_plan", "only_saved", "exact")
 
 
-@_register("replica_append_plan", f"""
-WITH e AS ({_EVENT}), s AS (SELECT * FROM e WHERE position <= 300),
-i AS (SELECT position AS seq, record_id, CASE WHEN position % 17 = 0 THEN payload || '!' ELSE payload END AS payload FROM e WHERE position > 200 AND position <= 500),
-m AS (SELECT i.*, s.payload AS saved FROM i LEFT JOIN s USING (record_id))
-SELECT record_id, CAST(300 + row_number() OVER (ORDER BY seq) AS BIGINT) AS position, NULL AS refusal FROM m WHERE saved IS NULL
-UNION ALL SELECT record_id, NULL, 'ConflictingRecord' FROM m WHERE saved <> payload""")
-def replica_append_plan(spark, sf):
-    e = B.event_records(spark, sf)
-    incoming = _altered(e.between(200, 500)).select(F.col("position").alias("seq"), "record_id", "payload")
-    return records.append_plan(incoming, e.between(0, 300), 300).select("record_id", "position", "refusal")
 
 
-@_register("wire_duplicate_bytes", f"""
-WITH a AS (SELECT position, strlen(payload) AS size FROM ({_EVENT}) WHERE position <= 400 UNION ALL SELECT position, strlen(payload) FROM ({_EVENT}) WHERE position > 350 AND position <= 700)
-SELECT CAST(coalesce(sum(size) FILTER (WHERE position <= 400), 0) AS BIGINT) AS duplicate_bytes, count(*) FILTER (WHERE position <= 400) AS duplicate_records, CAST(sum(size) AS BIGINT) AS payload_bytes FROM a""")
-def wire_duplicate_bytes(spark, sf):
-    e = B.event_records(spark, sf)
-    received = e.between(0, 400).unionByName(e.between(350, 700)).select("position", _size().alias("size"))
-    return records.duplicate_bytes(received, 400)
 
 
 # --- history ---------------------------------------------------------------
@@ -245,13 +207,6 @@ def history_state_join(spark, sf):
     return streams.join(_progress(spark, sf).filter("loaded"), "conv_id").select("conv_id", "position", "lower_bound", "deleted")
 
 
-@_register("hydration_targets", f"""
-WITH n AS (SELECT conv_id, turn + 1 AS lower_target FROM conversations WHERE turn % 2 = 0)
-SELECT conv_id, min(lower_target) FILTER (WHERE lower_target < lower_bound) AS next_target, count(*) FILTER (WHERE lower_target < lower_bound) AS waiting, count(*) FILTER (WHERE lower_target >= lower_bound) AS resolved
-FROM n JOIN ({_PROGRESS}) p USING (conv_id) GROUP BY conv_id""")
-def hydration_targets(spark, sf):
-    needs = B.table(spark, sf, "conversations").filter("turn % 2 = 0").select("conv_id", (F.col("turn") + 1).alias("lower_target"))
-    return history.next_targets(needs, _progress(spark, sf), "conv_id")
 
 
 # --- catalogues ------------------------------------------------------------
@@ -264,12 +219,20 @@ told AS (SELECT seq, entry_id, is_del, payload, CASE WHEN dead > 0 THEN 'fenced'
 m AS (SELECT *, row_number() OVER (ORDER BY seq) AS revision FROM told WHERE outcome = 'accepted')"""
 
 
-def _state_sql(name: str, upto: int | None = None) -> str:
+def _state_sql(name: str, upto: str | None = None) -> str:
     where = f" WHERE revision <= {upto}" if upto else ""
     return f"""{name} AS (SELECT entry_id, min(revision) AS creation, max(revision) AS revision, bool_or(is_del) AS deleted,
  CASE WHEN NOT bool_or(is_del) THEN arg_max(payload, revision) END AS payload FROM m{where} GROUP BY entry_id)"""
 
 
+#: A revision that is this part of the log's length.
+_PART = "(SELECT count(*) // {} FROM events)"
+
+
+def _part(spark, sf, n: int) -> int:
+    return B.table(spark, sf, "events").count() // n
+
+
 def _mutations(spark, sf):
     return catalogue.accepted(B.mutation_log(spark, sf))
 
@@ -314,40 +277,39 @@ def catalogue_has_more(spark, sf):
     return catalogue.has_more(_probe(spark, sf), 8)
 
 
-@_register("catalogue_classify_unchanged", f"""WITH {_FOLD}, {_state_sql('c')}, {_state_sql('k', 400)}
+@_register("catalogue_classify_unchanged", f"""WITH {_FOLD}, {_state_sql('c')}, {_state_sql('k', _PART.format(2))}
 SELECT c.entry_id, c.revision, k.revision AS cached_revision, CASE WHEN k.revision >= c.revision THEN 'unchanged' ELSE 'resolve' END AS action
 FROM (SELECT * FROM c ORDER BY creation, entry_id LIMIT 100) c LEFT JOIN k USING (entry_id)""")
 def catalogue_classify_unchanged(spark, sf):
     m = _mutations(spark, sf)
     page = catalogue.manifest_page(catalogue.current(m), 100)
-    return catalogue.classify(page, catalogue.as_of(m, 400)).select("entry_id", "revision", "cached_revision", "action")
+    return catalogue.classify(page, catalogue.as_of(m, _part(spark, sf, 2))).select("entry_id", "revision", "cached_revision", "action")
 
 
-@_register("catalogue_resolve_latest", f"""WITH {_FOLD}, {_state_sql('c')},
-proofs AS (SELECT entry_id, creation, revision FROM c WHERE deleted AND revision < 400),
-u AS (SELECT entry_id, creation, revision, deleted, payload FROM c WHERE NOT (deleted AND revision < 400) UNION ALL SELECT entry_id, creation, revision, true, NULL FROM proofs)
-SELECT * FROM u WHERE entry_id IN (SELECT DISTINCT entry_id FROM log WHERE seq < 200)""")
-def catalogue_resolve_latest(spark, sf):
-    c = catalogue.current(_mutations(spark, sf))
-    retired = F.col("deleted") & (F.col("revision") < 400)
-    ids = B.mutation_log(spark, sf).filter("seq < 200")
-    return catalogue.resolve(ids, c.filter(~retired), c.filter(retired)).select(*_ENTRY)
 
 
-@_register("catalogue_merge_newest_wins", f"""WITH {_FOLD}, {_state_sql('a', 300)}, {_state_sql('b', 500)}
+@_register("catalogue_merge_newest_wins", f"""WITH {_FOLD}, {_state_sql('a', _PART.format(4))}, {_state_sql('b', _PART.format(2))}
 SELECT coalesce(b.entry_id, a.entry_id) AS entry_id, coalesce(b.creation, a.creation) AS creation, coalesce(b.revision, a.revision) AS revision, coalesce(b.deleted, a.deleted) AS deleted,
  CASE WHEN b.entry_id IS NOT NULL THEN b.payload ELSE a.payload END AS payload FROM a FULL JOIN b ON a.entry_id = b.entry_id""")
 def catalogue_merge_newest_wins(spark, sf):
     m = _mutations(spark, sf)
-    return catalogue.merge(catalogue.as_of(m, 500), catalogue.as_of(m, 300)).select(*_ENTRY)
+    return catalogue.merge(catalogue.as_of(m, _part(spark, sf, 2)), catalogue.as_of(m, _part(spark, sf, 4))).select(*_ENTRY)
 
 
-@_register("catalogue_page_cover", "SELECT CAST(0 AS BIGINT) AS uncovered, CAST(0 AS BIGINT) AS foreign_ids, CAST(0 AS BIGINT) AS repeated")
+@_register("catalogue_page_cover", f"""WITH {_FOLD}, {_state_sql('c')}, {_state_sql('k', _PART.format(2))},
+p AS (SELECT c.entry_id, c.creation, coalesce(k.revision >= c.revision, false) AS same FROM (SELECT * FROM c ORDER BY creation, entry_id LIMIT 100) c LEFT JOIN k USING (entry_id))
+SELECT count(*) FILTER (WHERE (NOT same AND creation % 3 = 0) OR (same AND creation % 5 = 0 AND creation % 3 <> 0)) AS uncovered,
+ count(*) FILTER (WHERE NOT same AND creation % 7 = 1 AND creation % 3 <> 0) AS foreign_ids, CAST(0 AS BIGINT) AS repeated FROM p""")
 def catalogue_page_cover(spark, sf):
+    """A page of which some ids are not resolved, some unchanged ones are resolved as well, and some resolved ids are foreign."""
     m = _mutations(spark, sf)
     page = catalogue.manifest_page(catalogue.current(m), 100)
-    told = catalogue.classify(page, catalogue.as_of(m, 400))
-    return catalogue.page_cover(page, told.filter("action = 'resolve'"), told.filter("action = 'unchanged'"))
+    told = catalogue.classify(page, catalogue.as_of(m, _part(spark, sf, 2)))
+    resolved = told.filter("action = 'resolve' AND creation % 3 <> 0").select("entry_id")
+    foreign = told.filter("action = 'resolve' AND creation % 7 = 1 AND creation % 3 <> 0").select(F.concat(F.lit("foreign-"), "entry_id").alias("entry_id"))
+    kept = told.filter("action = 'unchanged'")
+    twice = kept.filter("creation % 5 = 0 AND creation % 3 <> 0").select("entry_id")
+    return catalogue.page_cover(page, resolved.unionByName(foreign).unionByName(twice), kept.select("entry_id"))
 
 
 @_register("catalogue_reset_survivors", f"WITH {_FOLD}, {_state_sql('c')} SELECT entry_id, creation, revision FROM c WHERE deleted")
@@ -380,39 +342,39 @@ def catalogue_compaction_batch(spark, sf):
     return catalogue.compaction_batch(_collected(spark, sf), 500, 12)
 
 
-def _pending(m: DataFrame) -> DataFrame:
-    return catalogue.as_of(m, 250).filter("NOT deleted").withColumn("revision", F.col("revision") + F.when(F.col("creation") % 2 == 0, 5000).otherwise(0))
+def _pending(m: DataFrame, upto: int) -> DataFrame:
+    return catalogue.as_of(m, upto).filter("NOT deleted").withColumn("revision", F.col("revision") + F.when(F.col("creation") % 2 == 0, 5000).otherwise(0))
 
 
 _PENDING = "pending AS (SELECT entry_id, creation, revision + CASE WHEN creation % 2 = 0 THEN 5000 ELSE 0 END AS revision FROM q WHERE NOT deleted)"
 
 
-@_register("recovery_candidate_floors", f"""WITH {_FOLD}, {_state_sql('c')}, {_state_sql('q', 250)}, {_PENDING}
+@_register("recovery_candidate_floors", f"""WITH {_FOLD}, {_state_sql('c')}, {_state_sql('q', _PART.format(4))}, {_PENDING}
 SELECT entry_id, min(creation) AS creation, max(revision) AS revision FROM (SELECT entry_id, creation, revision FROM c WHERE NOT deleted UNION ALL SELECT * FROM pending) GROUP BY entry_id""")
 def recovery_candidate_floors(spark, sf):
     m = _mutations(spark, sf)
-    return catalogue.candidate_floors(catalogue.current(m), _pending(m)).select("entry_id", "creation", "revision")
+    return catalogue.candidate_floors(catalogue.current(m), _pending(m, _part(spark, sf, 4))).select("entry_id", "creation", "revision")
 
 
-@_register("recovery_creation_conflicts", f"""WITH {_FOLD}, {_state_sql('c')}, {_state_sql('q', 250)}, {_PENDING}
+@_register("recovery_creation_conflicts", f"""WITH {_FOLD}, {_state_sql('c')}, {_state_sql('q', _PART.format(4))}, {_PENDING}
 SELECT count(*) FILTER (WHERE p.creation + CASE WHEN p.creation % 3 = 0 THEN 1 ELSE 0 END <> c.creation) AS conflicts FROM pending p JOIN c USING (entry_id)""")
 def recovery_creation_conflicts(spark, sf):
     m = _mutations(spark, sf)
-    skewed = _pending(m).withColumn("creation", F.col("creation") + F.when(F.col("creation") % 3 == 0, 1).otherwise(0))
+    skewed = _pending(m, _part(spark, sf, 4)).withColumn("creation", F.col("creation") + F.when(F.col("creation") % 3 == 0, 1).otherwise(0))
     return catalogue.creation_conflicts(skewed, catalogue.current(m))
 
 
-@_register("recovery_highest_revision", f"WITH {_FOLD}, {_state_sql('c')}, {_state_sql('q', 250)}, {_PENDING} SELECT coalesce(max(revision), 0) AS highest FROM (SELECT revision FROM c UNION ALL SELECT revision FROM pending)")
+@_register("recovery_highest_revision", f"WITH {_FOLD}, {_state_sql('c')}, {_state_sql('q', _PART.format(4))}, {_PENDING} SELECT coalesce(max(revision), 0) AS highest FROM (SELECT revision FROM c UNION ALL SELECT revision FROM pending)")
 def recovery_highest_revision(spark, sf):
     m = _mutations(spark, sf)
-    return catalogue.highest_revision(catalogue.current(m), _pending(m))
+    return catalogue.highest_revision(catalogue.current(m), _pending(m, _part(spark, sf, 4)))
 
 
-@_register("recovery_remaining", f"""WITH {_FOLD}, {_state_sql('c')}, {_state_sql('q', 250)}, {_PENDING}
+@_register("recovery_remaining", f"""WITH {_FOLD}, {_state_sql('c')}, {_state_sql('q', _PART.format(4))}, {_PENDING}
 SELECT entry_id, creation, revision FROM pending WHERE entry_id NOT IN (SELECT entry_id FROM c ORDER BY creation, entry_id LIMIT 5)""")
 def recovery_remaining(spark, sf):
     m = _mutations(spark, sf)
-    return catalogue.remaining(_pending(m), catalogue.manifest_page(catalogue.current(m), 5)).select("entry_id", "creation", "revision")
+    return catalogue.remaining(_pending(m, _part(spark, sf, 4)), catalogue.manifest_page(catalogue.current(m), 5)).select("entry_id", "creation", "revision")
 
 
 # --- artifacts -------------------------------------------------------------
@@ -614,14 +576,11 @@ def transcript_projection(spark, sf):
     return projections.transcript(B.turns(spark, sf), "conv_id", "position", "payload")
 
 
-@_register("global_rank", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events WHERE event_id % 3 <> 1")
-def global_rank(spark, sf):
-    return ordering.with_rank(B.table(spark, sf, "events").filter("event_id % 3 <> 1").select("event_id"), "event_id", "place", 512)
 
 
-# --- whole tables ----------------------------------------------------------
-# The queries above of the same operators state a slice; these run from position 0 to the head. Saved, incoming and
-# received sides are the lower and the upper two thirds of all positions, which overlap in the middle third.
+# --- whole streams ---------------------------------------------------------
+# From position 0 to the head. Saved, incoming and received sides are the lower and the upper two thirds of all positions,
+# which overlap in the middle third.
 
 _WHOLE = f"e AS ({_EVENT}), h AS (SELECT max(position) AS head, max(position) // 3 AS low, max(position) - max(position) // 3 AS high FROM e)"
 
@@ -633,29 +592,29 @@ def _whole(spark, sf):
     return e, head, head // 3, head - head // 3
 
 
-@_register("record_density_whole", f"WITH {_WHOLE} SELECT max(head) AS expected, count(*) AS found, count(DISTINCT position) AS distinct_positions, max(head) - count(DISTINCT position) AS gaps FROM e, h")
-def record_density_whole(spark, sf):
+@_register("record_page_density", f"WITH {_WHOLE} SELECT max(head) AS expected, count(*) AS found, count(DISTINCT position) AS distinct_positions, max(head) - count(DISTINCT position) AS gaps FROM e, h")
+def record_page_density(spark, sf):
     e, head, _, _ = _whole(spark, sf)
     return records.density_gaps(e, 0, head)
 
 
-@_register("replica_catchup_whole", f"WITH {_WHOLE} SELECT position, record_id, payload FROM e, h WHERE position > low")
-def replica_catchup_whole(spark, sf):
+@_register("replica_catchup_delta", f"WITH {_WHOLE} SELECT position, record_id, payload FROM e, h WHERE position > low")
+def replica_catchup_delta(spark, sf):
     e, head, low, _ = _whole(spark, sf)
     return e.between(low, head).select("position", "record_id", "payload")
 
 
-@_register("replica_conflicts_whole", f"WITH {_WHOLE} SELECT position, record_id FROM e, h WHERE position > low AND position <= high AND position % 17 = 0")
-def replica_conflicts_whole(spark, sf):
+@_register("replica_conflict_ids", f"WITH {_WHOLE} SELECT position, record_id FROM e, h WHERE position > low AND position <= high AND position % 17 = 0")
+def replica_conflict_ids(spark, sf):
     e, head, low, high = _whole(spark, sf)
     plan = _altered(e.between(low, head)).select("position", "record_id", "payload")
     return records.conflicting_ids(plan, e.between(0, high)).select("position", "record_id")
 
 
-@_register("replica_replay_whole", f"""
+@_register("replica_exact_replay", f"""
 WITH {_WHOLE}, a AS (SELECT count(*) AS n FROM e WHERE position % 17 = 0)
 SELECT 'same' AS plan, CAST(0 AS BIGINT) AS only_plan, CAST(0 AS BIGINT) AS only_saved, true AS exact UNION ALL SELECT 'altered', n, n, n = 0 FROM a""")
-def replica_replay_whole(spark, sf):
+def replica_exact_replay(spark, sf):
     e, head, _, _ = _whole(spark, sf)
     saved = e.between(0, head)
     same = records.is_exact_replay(saved, saved).withColumn("plan", F.lit("same"))
@@ -663,41 +622,41 @@ def replica_replay_whole(spark, sf):
     return same.unionByName(other).select("plan", "only_plan", "only_saved", "exact")
 
 
-@_register("replica_append_whole", f"""
+@_register("replica_append_plan", f"""
 WITH {_WHOLE}
 SELECT record_id, CAST(high + row_number() OVER (ORDER BY position) AS BIGINT) AS position, NULL AS refusal FROM e, h WHERE position > high
 UNION ALL SELECT record_id, NULL, 'ConflictingRecord' FROM e, h WHERE position > low AND position <= high AND position % 17 = 0""")
-def replica_append_whole(spark, sf):
+def replica_append_plan(spark, sf):
     e, head, low, high = _whole(spark, sf)
     incoming = _altered(e.between(low, head)).select(F.col("position").alias("seq"), "record_id", "payload")
     return records.append_plan(incoming, e.between(0, high), high).select("record_id", "position", "refusal")
 
 
-@_register("wire_duplicates_whole", f"""
+@_register("wire_duplicate_bytes", f"""
 WITH {_WHOLE}, a AS (SELECT position, high, strlen(payload) AS size FROM e, h WHERE position <= high UNION ALL SELECT position, high, strlen(payload) FROM e, h WHERE position > low)
 SELECT CAST(coalesce(sum(size) FILTER (WHERE position <= high), 0) AS BIGINT) AS duplicate_bytes, count(*) FILTER (WHERE position <= high) AS duplicate_records, CAST(coalesce(sum(size), 0) AS BIGINT) AS payload_bytes FROM a""")
-def wire_duplicates_whole(spark, sf):
+def wire_duplicate_bytes(spark, sf):
     e, head, low, high = _whole(spark, sf)
     received = e.between(0, high).unionByName(e.between(low, head)).select("position", _size().alias("size"))
     return records.duplicate_bytes(received, high)
 
 
-@_register("catalogue_resolve_whole", f"WITH {_FOLD}, {_state_sql('c')} SELECT entry_id, creation, revision, deleted, payload FROM c WHERE entry_id IN (SELECT entry_id FROM log)")
-def catalogue_resolve_whole(spark, sf):
+@_register("catalogue_resolve_latest", f"WITH {_FOLD}, {_state_sql('c')} SELECT entry_id, creation, revision, deleted, payload FROM c WHERE entry_id IN (SELECT entry_id FROM log)")
+def catalogue_resolve_latest(spark, sf):
     c = catalogue.current(_mutations(spark, sf))
     retired = F.col("deleted") & (F.col("revision") < 400)
     return catalogue.resolve(B.mutation_log(spark, sf), c.filter(~retired), c.filter(retired)).select(*_ENTRY)
 
 
-@_register("global_rank_whole", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events")
-def global_rank_whole(spark, sf):
+@_register("global_rank", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events")
+def global_rank(spark, sf):
     return ordering.with_rank(B.table(spark, sf, "events").select("event_id"), "event_id", "place", 512)
 
 
-@_register("hydration_targets_whole", f"""
+@_register("hydration_targets", f"""
 SELECT conv_id, min(turn + 1) FILTER (WHERE turn + 1 < lower_bound) AS next_target, count(*) FILTER (WHERE turn + 1 < lower_bound) AS waiting, count(*) FILTER (WHERE turn + 1 >= lower_bound) AS resolved
 FROM conversations JOIN ({_PROGRESS}) p USING (conv_id) GROUP BY conv_id""")
-def hydration_targets_whole(spark, sf):
+def hydration_targets(spark, sf):
     needs = B.table(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("lower_target"))
     return history.next_targets(needs, _progress(spark, sf), "conv_id")
 
@@ -734,14 +693,10 @@ def _two_writers(spark, e, first, second):
     return seen.select(F.lit(now.version).alias("version"), F.lit(lost).alias("second_writer"), "records", "head")
 
 
-@_register("commitlog_cas")
-def commitlog_cas(spark, sf):
-    """Two writers from one snapshot: one commits, the other is stale and leaves no row."""
-    return _two_writers(spark, B.event_records(spark, sf), 500, 400)
 
 
-@_register("commitlog_cas_whole", "SELECT CAST(1 AS BIGINT) AS version, 'Stale' AS second_writer, count(*) AS records, max(event_id) + 1 AS head FROM events")
-def commitlog_cas_whole(spark, sf):
-    """Two writers of the whole stream from one snapshot, as in ``commitlog_cas``."""
+@_register("commitlog_cas", "SELECT CAST(1 AS BIGINT) AS version, 'Stale' AS second_writer, count(*) AS records, max(event_id) + 1 AS head FROM events")
+def commitlog_cas(spark, sf):
+    """Two writers of the whole stream from one snapshot: one commits, the other is stale and leaves no row."""
     e, head, _, high = _whole(spark, sf)
     return _two_writers(spark, e, head, high)
