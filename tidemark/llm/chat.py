@@ -1,8 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-Turns are collected as structs in two levels (runs of ``CHUNK`` turn numbers, then
-conversations), sorted, folded into blocks of adjacent turns of one role, and
-concatenated:
+Turns are collected as structs in runs of ``CHUNK`` turn numbers, sorted and merged into blocks of adjacent turns of one
+role; a run sees the roles at its edges and the length of what is before it through a window over the runs of
+its conversation. The runs of a conversation are then concatenated. All of it is linear in the number of turns:
 
     <s>[ROLE]role[/ROLE]text[SEP]text</s>...
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CHUNK = 32
 OPEN, BODY, BETWEEN, CLOSE = "<s>[ROLE]", "[/ROLE]", "[SEP]", "</s>"
@@ -42,17 +43,8 @@ def _literal(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def _join_blocks(done: Column, more: Column) -> Column:
-    """Append blocks to blocks; where the roles at the seam agree, the two become one block."""
-    last, first = F.element_at(done, -1), more[0]
-    seam = F.struct(last["role"].alias("role"), F.concat(last["texts"], first["texts"]).alias("texts"))
-    merged = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(seam), F.slice(more, F.lit(2), F.size(more)))
-    return F.when((F.size(done) > 0) & (last["role"] == first["role"]), merged).otherwise(F.concat(done, more))
-
-
 def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``conv_id``, ``formatted`` and ``loss_spans`` (start from 0, length) of each conversation."""
-    kind = "array<struct<role:string,texts:array<string>>>"
     rows = turns.select(
         F.col(f"`{conversation}`").alias("conv_id"),
         F.floor(F.col(f"`{turn}`") / CHUNK).alias("chunk"),
@@ -62,47 +54,48 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
             F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    chunks = rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    def add_turn(done: Column, t: Column) -> Column:
-        return _join_blocks(done, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))))
+    runs = rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    order = Window.partitionBy("conv_id").orderBy("chunk")
+    runs = runs.withColumns({
+        "before": F.lag(F.element_at("turns", -1)["role"]).over(order),
+        "after": F.lead(F.col("turns")[0]["role"]).over(order),
+    })
+
+    # A turn opens a block unless the one before it has the same role, and closes one unless the next has.
+    def piece(t: Column, i: Column) -> Column:
+        previous = F.when(i == 0, F.col("before")).otherwise(F.get("turns", i - 1)["role"])
+        following = F.coalesce(F.get("turns", i + 1)["role"], F.col("after"))
+        head = F.when(previous.eqNullSafe(t["role"]), BETWEEN).otherwise(F.concat(F.lit(OPEN), escape(t["role"]), F.lit(BODY)))
+        return F.struct(
+            (t["role"] == "assistant").alias("learn"),
+            head.alias("head"),
+            escape(t["text"]).alias("text"),
+            F.when(following.eqNullSafe(t["role"]), "").otherwise(CLOSE).alias("tail"),
+        )
 
-    chunks = chunks.select("conv_id", F.struct("chunk", F.aggregate("turns", F.array().cast(kind), add_turn).alias("blocks")).alias("c"))
-    chats = chunks.groupBy("conv_id").agg(F.sort_array(F.collect_list("c")).alias("chunks"))
-    chats = chats.select("conv_id", F.aggregate("chunks", F.array().cast(kind), lambda done, c: _join_blocks(done, c["blocks"])).alias("blocks"))
+    runs = runs.select("conv_id", "chunk", F.transform("turns", piece).alias("pieces"))
+    joined = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["text"], p["tail"])), "")
+    runs = runs.withColumn("formatted", joined)
+    ahead = F.coalesce(F.sum(F.length("formatted")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    runs = runs.withColumn("at", ahead)
 
-    # Texts are escaped once; blocks then hold what the output holds.
-    def escaped(b: Column) -> Column:
+    def span(state: Column, p: Column) -> Column:
+        begin = (state["at"] + F.length(p["head"])).cast("bigint")
+        own = F.array(F.struct(begin.alias("start"), F.length(p["text"]).cast("bigint").alias("length")))
         return F.struct(
-            (b["role"] == "assistant").alias("learn"),
-            F.concat(F.lit(OPEN), escape(b["role"]), F.lit(BODY)).alias("head"),
-            F.transform(b["texts"], escape).alias("texts"),
+            (begin + F.length(p["text"]) + F.length(p["tail"])).cast("bigint").alias("at"),
+            F.when(p["learn"], F.concat(state["spans"], own)).otherwise(state["spans"]).alias("spans"),
         )
 
-    chats = chats.select("conv_id", F.transform("blocks", escaped).alias("blocks"))
-    formatted = F.array_join(
-        F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["texts"], BETWEEN), F.lit(CLOSE))), ""
+    start = F.struct(F.col("at").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    spans = F.aggregate("pieces", start, span, lambda state: state["spans"])
+    runs = runs.select("conv_id", F.struct("chunk", "formatted", spans.alias("spans")).alias("run"))
+    chats = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    return chats.select(
+        "conv_id",
+        F.array_join(F.transform("runs", lambda r: r["formatted"]), "").alias("formatted"),
+        F.flatten(F.transform("runs", lambda r: r["spans"])).alias("loss_spans"),
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def span_block(state: Column, b: Column) -> Column:
-        inner = F.aggregate(
-            b["texts"],
-            F.struct((state["at"] + F.length(b["head"])).cast("bigint").alias("at"), state["spans"].alias("spans")),
-            lambda s, t: F.struct(
-                (s["at"] + F.length(t) + len(BETWEEN)).cast("bigint").alias("at"),
-                F.when(
-                    b["learn"],
-                    F.concat(s["spans"], F.array(F.struct(s["at"].alias("start"), F.length(t).cast("bigint").alias("length")))),
-                ).otherwise(s["spans"]).alias("spans"),
-            ),
-        )
-        return F.transform(
-            F.array(inner), lambda s: F.struct((s["at"] - len(BETWEEN) + len(CLOSE)).cast("bigint").alias("at"), s["spans"].alias("spans"))
-        )[0]
-
-    spans = F.aggregate("blocks", start, span_block, lambda s: s["spans"])
-    return chats.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
