@@ -49,6 +49,7 @@ DIM, CONTEXT = 16, 3
 NOISE, NOISE_SAMPLE, NOISE_INSIDE = 12.0, 32, 4
 BATCH, SEGMENT, SCORE_BATCH = 2048, 32, 256
 SHARD_TOKENS, BLOCK, CHUNK = 1 << 22, 1 << 20, 1 << 18
+AVERAGED = 64
 COUNTER_LIMIT = 200_000
 SPAN = 1 << 20
 HELD_OUT_MOD, HELD_OUT = 7, 2
@@ -359,10 +360,13 @@ def train(encoded: DataFrame, tokens: int, vocab: Vocabulary, net: Net, class_sh
 
     schema = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("net", pa.binary())])
     nets = rows.groupBy("shard").applyInArrow(learn, "shard int, n bigint, net binary")
-    nets = nets.select(F.pmod("shard", F.lit(4)).alias("part"), "shard", "n", "net").repartition(4, "part").sortWithinPartitions("part", "shard")
-    sums = nets.mapInArrow(average, "part int, n bigint, net binary").orderBy("part").collect()  # 4 networks at most
-    total = sum(r["n"] for r in sums)
-    return net.like(sum(np.frombuffer(r["net"], np.float32).astype(np.float64) * (r["n"] / total) for r in sums)) if total else net
+    while shards > 1:  # AVERAGED networks become one in a task, level by level
+        shards = -(-shards // AVERAGED)
+        below = nets.select(F.floor(F.col("shard") / AVERAGED).cast("int").alias("part"), "shard", "n", "net")
+        below = below.repartition(shards, "part").sortWithinPartitions("part", "shard")
+        nets = below.mapInArrow(average, "part int, n bigint, net binary").withColumnRenamed("part", "shard")
+    row = nets.first()  # one network
+    return net.like(np.frombuffer(row["net"], np.float32)) if row else net
 
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray, int, int]:
