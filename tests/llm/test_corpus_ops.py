@@ -326,6 +326,16 @@ def test_chats_read_back(spark):
     assert chat.format_chats(df.filter("false")).count() == 0
 
 
+def test_blocks_cross_runs_of_turns(spark):
+    """A block of one role over several runs of turn numbers stays one block, and spans count from the whole output."""
+    rows = [(1, i, "user" if i < 70 else "assistant", f"t{i}") for i in range(100)] + [(2, i * 40, "assistant", "x") for i in range(5)]
+    got = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    users, others = "[SEP]".join(f"t{i}" for i in range(70)), "[SEP]".join(f"t{i}" for i in range(70, 100))
+    assert got[1]["formatted"] == f"<s>[ROLE]user[/ROLE]{users}</s><s>[ROLE]assistant[/ROLE]{others}</s>"
+    assert [got[1]["formatted"][s["start"] : s["start"] + s["length"]] for s in got[1]["loss_spans"]] == [f"t{i}" for i in range(70, 100)]
+    assert got[2]["formatted"] == "<s>[ROLE]assistant[/ROLE]x[SEP]x[SEP]x[SEP]x[SEP]x</s>" and len(got[2]["loss_spans"]) == 5
+
+
 def test_adjacent_turns_share_a_block(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id bigint, turn bigint, role string, text string")
     row = chat.format_chats(df).first()
@@ -656,6 +666,35 @@ def test_raking_on_frames_agrees(spark):
     assert a.count() == 1502
 
 
+def _raked_by_bisection(cells, tokens, targets, budget, rounds):
+    """Raking from the definition: each group's factor is found by bisection."""
+    p = {c: min(1.0, budget / sum(tokens.values())) for c in cells}
+    for _ in range(rounds):
+        for d, shares in enumerate(targets):
+            for g, share in shares.items():
+                mine = [c for c in cells if c[d] == g]
+                kept = lambda f: sum(tokens[c] * min(1.0, f * p[c]) for c in mine)
+                low, high = 0.0, 1e12
+                for _ in range(200):
+                    mid = (low + high) / 2 if high < 1 else math.sqrt(max(low, 1e-12) * high)
+                    low, high = (mid, high) if kept(mid) < share * budget else (low, mid)
+                p.update({c: min(1.0, high * p[c]) for c in mine})
+    return p
+
+
+@pytest.mark.parametrize("driver_cells", [0, 1000])
+def test_raking_by_brute_force(spark, driver_cells):
+    rng = random.Random(12)
+    cells = [(s, lang, t) for s in ("s1", "s2", None) for lang in ("en", "de") for t in ("prose", "table")]
+    tokens = {c: rng.randrange(20, 500) for c in cells}
+    targets = [{"s1": 0.5, "s2": 0.2, None: 0.3}, {"en": 0.7, "de": 0.3}, {"prose": 0.6, "table": 0.4}]
+    df = spark.createDataFrame([(*c, n) for c, n in tokens.items()], "source string, lang string, topic string, tokens bigint")
+    power = dict.fromkeys(mixing.DIMENSIONS, 0.7)
+    got = {tuple(r)[:3]: r["p"] for r in mixing.cell_probabilities(df, 0.4, power, dict(zip(mixing.DIMENSIONS, targets)), driver_cells, rounds=4).collect()}
+    want = _raked_by_bisection(cells, tokens, targets, 0.4 * sum(tokens.values()), 4)
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-6 for c in cells)
+
+
 def test_mixing_nothing(spark):
     _, df = _mixed(spark)
     assert mixing.mix(df.filter("false")).count() == 0
@@ -691,6 +730,26 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Null and repeated ids, null and empty texts and an empty table pass every stage without harm."""
+    import corpus_pipeline
+
+    good = [r for r in documents(spark).collect() if r["text"] and len(r["text"].split()) > 60][:40]
+    rows = [tuple(r) for r in good] + [(None, good[0]["text"] + " tail", "en", None, 1), (good[1]["doc_id"], good[2]["text"] + " more", "en", "x", 1), tuple(good[3]), (9001, None, None, None, None), (9002, "", "en", "x", 0)]
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame(rows, documents(spark).schema).withColumns({"score": F.lit("mine"), "kept": F.lit(7), "u": F.lit("u")}).write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = {r[0] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf).collect()
+        assert out and {r["doc_id"] for r in out} <= ids and all(r["score"] == "mine" and r["kept"] == 7 for r in out), name
+        assert stage(spark, docs.filter("false"), sf).count() == 0
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
+    assert None in {r["doc_id"] for r in kept} and sum(r["doc_id"] == good[3]["doc_id"] for r in kept) == 1
+    assert corpus_pipeline.run(spark, sf).count() > 0
+
+
 def test_registered_queries_match_sql(spark):
     import duckdb
 
