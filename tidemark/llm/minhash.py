@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     full = feats.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(full.groupBy(*marks).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
     total = classes.agg(F.sum("copies")).first()[0] or 0
-    shared = join_dealt(full.select("doc_id", *marks), classes.filter("copies > 1"), marks, "doc_id", total, classes.withColumnRenamed("copies", "n"))
+    shared = join_dealt(full.select("doc_id", *marks), classes.filter("copies > 1").withColumnRenamed("copies", "n"), marks, "doc_id", total)
     same = shared.filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
     nodes = classes.filter(f"n_shingles >= {least}").select(F.col("node").alias("doc_id"), *marks)
