@@ -38,7 +38,7 @@ AXES, BITS = 20, 3
 #: Ranks of a block, at least and at most; between these a window has about eight blocks.
 BLOCKS = (512, 8192)
 FIT_QUERIES = 200
-FIT_RECALL = 0.97
+FIT_RECALL = 0.94
 #: Queries that meet one block in one task; more are dealt to copies of the block.
 QUERIES_AT_ONCE = 1024
 
