@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import bindings as B
 from tidemark.catalog import _EVENT, _FOLD, _PART, _TURN, _mutations, _part, _size, _state_sql
 from tidemark.functions import columns as C
-from tidemark.operators import artifacts, catalogue, validate
+from tidemark.operators import artifacts, catalogue, fixtures, validate
 from tidemark.operators.ordering import with_rank
 from tidemark.plans import history as history_plans
 from tidemark.plans import passes
@@ -20,6 +20,7 @@ from tidemark.sources.commitlog import CommitLog
 from tidemark.sources.epochs import EpochLedger, EpochReplica, Stamped
 from tidemark.sources.memory import MemoryAuthorizer
 from tidemark.sources.tables import ArtifactTable, CatalogueTable, RecordTable, ReplicaTable
+from tidemark.streaming.follow import fold
 from tidemark.workdir import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,3 +328,40 @@ def artifact_source_state(spark, sf):
     changed = F.when(F.col("artifact_id").cast("bigint") % 10 == 0, F.concat("payload", F.lit(b"!"))).otherwise(F.col("payload"))
     told = source.upsert(whole.withColumn("payload", changed))
     return source.manifests().join(told, "artifact_id").select("artifact_id", "deleted", "length", "digest", "outcome")
+
+
+@_register("catalogue_stream_fold", f"WITH {_FOLD}, {_state_sql('c')} SELECT entry_id, creation, revision, deleted, payload FROM c")
+def catalogue_stream_fold(spark, sf):
+    """The mutation log arrives as files of a stream and is folded into a catalogue, key by key, batch after batch."""
+    base = _scratch(spark, "fold")
+    log = B.mutation_log(spark, sf).withColumn("payload", F.col("payload").cast("binary"))
+    log.repartitionByRange(3, "seq").sortWithinPartitions("seq").write.parquet(f"{base}/in")
+    table = CatalogueTable(spark, f"{base}/catalogue", _SCOPE)
+    for _ in range(2):  # the second run finds nothing new
+        fold(spark, f"{base}/in", log.schema, table, f"{base}/progress", max_files=64)
+    return _told(table.entries())
+
+
+@_register("catalogue_churn", """
+WITH n AS (SELECT count(*) AS n FROM documents), i AS (SELECT r AS id FROM n, unnest(range(0, n)) AS u(r)),
+l AS (SELECT id, id AS seq, false AS del, 'created' AS payload FROM i UNION ALL SELECT id, id + n, false, 'changed' FROM i, n WHERE id % 7 = 0 UNION ALL SELECT id, id + 2 * n, true, NULL FROM i, n WHERE id // 100 % 4 = 3),
+m AS (SELECT *, row_number() OVER (ORDER BY seq) AS revision FROM l)
+SELECT 'entry-' || lpad(CAST(id AS VARCHAR), 12, '0') AS entry_id, min(revision) AS creation, max(revision) AS revision, bool_or(del) AS deleted, CASE WHEN NOT bool_or(del) THEN arg_max(payload, revision) END AS payload FROM m GROUP BY id""")
+def catalogue_churn(spark, sf):
+    """The churn fixture with as many entries as there are documents, folded."""
+    entries = B.table(spark, sf, "documents").count()
+    return _told(catalogue.current(catalogue.accepted(fixtures.churn(spark, entries, 7))))
+
+
+@_register("record_read_counters", f"SELECT count(*) AS rows, CAST(sum(strlen(payload)) AS BIGINT) AS bytes, CAST(max(strlen(payload)) AS BIGINT) AS largest FROM ({_EVENT})")
+def record_read_counters(spark, sf):
+    rows = B.event_records(spark, sf).all().withColumn("size", _size())
+    seen = fixtures.counted(rows, "size", lambda df: df.write.format("noop").mode("overwrite").save())
+    return spark.createDataFrame([(seen["rows"], seen["bytes"], seen["largest"])], "rows bigint, bytes bigint, largest bigint")
+
+
+@_register("checked_positions", """
+SELECT event_id, try_cast(CAST(event_id AS HUGEINT) + 9223372036854775307 AS BIGINT) AS position, CASE WHEN CAST(event_id AS HUGEINT) + 9223372036854775307 > 9223372036854775807 THEN 'PositionOverflow' END AS refusal FROM events""")
+def checked_positions(spark, sf):
+    total, refusal = C.checked_add(F.col("event_id"), F.lit(9223372036854775307))
+    return B.table(spark, sf, "events").select("event_id", total.alias("position"), refusal.alias("refusal"))

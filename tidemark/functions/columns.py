@@ -135,3 +135,9 @@ def recovery_refusal(phase: Column, completed: Column, active_boundary: Column,
 def horizon_refusal(version: Column, horizon: Column, head: Column, previous: Column) -> Column:
     """A horizon comes in version 2, does not exceed its head and never falls."""
     return first_refusal((version != HORIZON_VERSION, "UnsupportedVersion"), (horizon > head, "InvalidHorizon"), (horizon < previous, "HorizonRegressed"))
+
+
+def checked_add(value: Column, more: Column, name: str = "PositionOverflow") -> tuple[Column, Column]:
+    """The sum of two BIGINTs, null where it overflows, and the code of that refusal."""
+    total = F.try_add(value.cast("bigint"), more.cast("bigint"))
+    return total, F.when(total.isNull() & value.isNotNull() & more.isNotNull(), name)

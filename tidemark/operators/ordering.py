@@ -35,9 +35,9 @@ def last_before(df: DataFrame, key: str, order: str, value: Column, name: str, w
     """
     rows = df.withColumn("__bucket", F.floor(F.col(order) / width)).withColumn("__value", value)
     own = Window.partitionBy(key, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    edges = rows.filter("__value IS NOT NULL").groupBy(key, "__bucket").agg(F.max_by("__value", order).alias("__edge"))
-    buckets = rows.select(key, "__bucket").distinct().join(edges, [key, "__bucket"], "left")
+    last = F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order)))
+    edges = rows.groupBy(key, "__bucket").agg(last.alias("__edge"))
     earlier = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = buckets.select(key, "__bucket", F.last("__edge", ignorenulls=True).over(earlier).alias("__carried"))
+    carried = edges.select(key, "__bucket", F.last("__edge", ignorenulls=True).over(earlier).alias("__carried"))
     found = rows.withColumn("__own", F.last("__value", ignorenulls=True).over(own)).join(carried, [key, "__bucket"])
     return found.withColumn(name, F.coalesce("__own", "__carried")).drop("__bucket", "__value", "__own", "__carried")

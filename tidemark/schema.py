@@ -1,6 +1,6 @@
 """Data model: identities, limits, requests and the table schemas of the engine.
 
-Positions, revisions and generations are BIGINT; ANSI arithmetic refuses to overflow. Payloads are opaque.
+Positions, revisions and generations are BIGINT; ANSI arithmetic refuses to overflow, and ``columns.checked_add`` says so. Payloads are opaque.
 """
 
 from __future__ import annotations

@@ -312,18 +312,20 @@ class CatalogueTable(_Pinned):
             except Refusal:  # another writer was faster; the next commit tries again
                 pass
 
-    def apply(self, mutations: DataFrame, expected: int | None = None) -> DataFrame:
+    def apply(self, mutations: DataFrame, expected: int | None = None, mark: dict | None = None) -> DataFrame:
         """Fold a batch (``seq``, ``entry_id``, ``is_del``, ``payload``) onto the current values; returns its outcomes.
 
         Current values enter the fold as mutations before the batch, so one operator decides both. Only entries that the batch
-        names are read and written. With ``expected`` the head must be exactly that.
+        names are read and written. With ``expected`` the head must be exactly that; ``mark`` is saved in the same commit.
         """
         at = self.log.snapshot()
-        state = self._state(at)
+        state = self._state(at) | (mark or {})
         if expected is not None and expected != state["head"]:
             raise Refusal("Stale")
         lowest = mutations.agg(F.min("seq")).first()[0]
         if lowest is None:
+            if mark:
+                self._commit(at, state, None)
             return mutations.withColumn("outcome", F.lit(None).cast("string"))
         now = self._now(at, mutations)
         kind = mutations.schema["payload"].dataType

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.schema import Refusal
 from tidemark.sources.commitlog import CommitLog
+from tidemark.sources.tables import CatalogueTable
 
 
 def follow(spark: SparkSession, source: str, schema: StructType, target: CommitLog, checkpoint: str, max_files: int = 64, max_bytes: str | None = None) -> int:
@@ -46,6 +47,27 @@ def follow(spark: SparkSession, source: str, schema: StructType, target: CommitL
     return added
 
 
+def fold(spark: SparkSession, source: str, schema: StructType, table: CatalogueTable, checkpoint: str, max_files: int = 64) -> int:
+    """Fold a stream of mutations (files below ``source``) into a catalogue; returns its head.
+
+    The state of every key is the catalogue itself: a batch reads the entries that it names and commits them together
+    with its id, so a repeated batch changes nothing and nothing is held in memory between batches.
+    """
+    origin = None
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        nonlocal origin
+        if origin is None:
+            origin = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        saved = table.snapshot().state.get("batches", {})
+        if saved.get(origin, -1) < batch_id:
+            table.apply(batch, mark={"batches": saved | {origin: batch_id}})
+
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    reader.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return table.head()
+
+
 def hint_heads(arrivals: DataFrame, stream: str, head: str, arrived: str, window: str, late: str) -> DataFrame:
     """Coalesce wake hints of a stream of arrivals: the highest head by stream and window; hints later than ``late`` are dropped, which is safe: a hint is never progress."""
     timed = arrivals.withWatermark(arrived, late)
