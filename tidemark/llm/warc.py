@@ -34,7 +34,6 @@ FANOUT = 64
 DATE = "2020-01-01T00:00:00Z"
 #: Files of fewer records are never dealt out; at most 1 / ``HOT_SHARE`` are.
 LEAST_HOT, HOT_SHARE = 1024, 1 / 1000
-_NULL_BASE, _PART = 1 << 39, 1 << 40
 
 _HEAD = re.compile(rb"WARC/1\.0\r\n((?:[^\r\n]+\r\n)*)\r\n")
 
@@ -44,8 +43,10 @@ def warc_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     body = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit(""))
     target = F.coalesce(F.col(f"`{url}`").cast("string"), F.lit(""))
     id_ = F.col(f"`{key}`").cast("bigint")
-    base = F.coalesce(F.floor(id_ / per_file), F.lit(_NULL_BASE)).cast("bigint")
-    total = pages.count()
+    # Files without ids, and the parts of hot files, are numbered behind all others, so that the tree stays low.
+    total, last = pages.agg(F.count("*"), F.coalesce(F.max(F.floor(id_ / per_file)), F.lit(0))).first()
+    behind = max(int(last), 0) + 2
+    base = F.coalesce(F.floor(id_ / per_file), F.lit(behind - 1)).cast("bigint")
     sizes = pages.groupBy(base.alias("__base")).agg(F.count("*").alias("__n")).filter(F.col("__n") > max(LEAST_HOT, int(total * HOT_SHARE)))
     parts = F.broadcast(sizes.select("__base", F.ceil(F.col("__n") / LEAST_HOT).alias("__parts")))  # 1 / HOT_SHARE rows at most
     digest = F.md5(F.concat_ws("\n", F.coalesce(id_.cast("string"), F.lit("")), target, body).cast("binary"))
@@ -58,7 +59,7 @@ def warc_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     rows = rows.join(parts, "__base", "left")
     part = F.when(F.col("__parts").isNotNull(), 1 + F.pmod(F.xxhash64("__uuid"), F.col("__parts"))).otherwise(0)
     payload = F.encode(F.concat(head, F.col("__body"), F.lit("\r\n\r\n")), "UTF-8")
-    return rows.select((F.col("__base") + part * _PART).cast("bigint").alias("file"), "page_id", "url", F.col("__uuid").alias("record_id"), payload.alias("payload"))
+    return rows.select((F.col("__base") + part * behind).cast("bigint").alias("file"), "page_id", "url", F.col("__uuid").alias("record_id"), payload.alias("payload"))
 
 
 def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
