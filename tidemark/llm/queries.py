@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, licenses, lm, minhash, mixing, pieces, quality_classifier, quality_rules, warc
+from tidemark.llm import ann, bytepairs, chat, licenses, lm, minhash, mixing, pieces, quality_classifier, quality_rules, repair, spelling, warc
 
 
 #: The contract of op4_near_duplicates.
@@ -105,10 +105,42 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("__row.doc_id", "__rules.*", "base_failed", F.round("host_rate", 9).alias("host_rate"), "kept")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Conversations with rows lost, emptied, stripped of sentence ends, doubled or given the role user, chosen by conversation and turn.
+
+    ``copies`` is 0 for a lost row and 2 for a doubled one. Nulls are one space.
+    """
+    spelled = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat(spelled[0], F.lit(":"), spelled[1])) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    return turns.select(
+        "conv_id", "turn",
+        F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = repair.repair(damaged_turns(_table(spark, sf_dir, "conversations")), copies=F.col("copies"))
+    return fixed.select(*[c for c in fixed.columns if c != "repaired"], F.sha2("repaired", 256).alias("repaired_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bytepairs.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, carry=["doc_id"])
+    return out.select("__row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mixing, op2_chat, op3_quality_classifier, op4_near_duplicates, op5_sentencepiece,
         op6_ann, op7_warc, op8_licenses, op9_lm, op10_quality_rules,
+        op11_spelling, op12_repair, op13_byte_bpe,
     )
     return {f.__name__: f for f in found}
 
