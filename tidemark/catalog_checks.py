@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +21,7 @@ from tidemark.sources.commitlog import CommitLog
 from tidemark.sources.epochs import EpochLedger, EpochReplica, Stamped
 from tidemark.sources.memory import MemoryAuthorizer
 from tidemark.sources.tables import ArtifactTable, CatalogueTable, RecordTable, ReplicaTable
-from tidemark.streaming.follow import fold
+from tidemark.streaming.follow import fold, follow_hints
 from tidemark.workdir import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -330,18 +331,84 @@ def artifact_source_state(spark, sf):
     return source.manifests().join(told, "artifact_id").select("artifact_id", "deleted", "length", "digest", "outcome")
 
 
+@_register("catalogue_retired_in_bulk", f"""WITH {_FOLD}, {_state_sql('c')}, h AS (SELECT max(revision) AS head FROM m)
+SELECT entry_id, creation, revision, deleted AND revision < head AS retired, least(2, (SELECT count(*) FROM c, h WHERE deleted AND revision < head)) AS first_batch FROM c, h""")
+def catalogue_retired_in_bulk(spark, sf):
+    """All markers below the last revision, hidden by two collections, become proofs: a batch of two, then all others at once."""
+    table = _source(spark, sf)
+    for horizon in (table.head() // 2, table.head()):
+        table.collect(horizon)
+    first = table.compact_retired(2)
+    table.compact_all_retired()
+    rows = table.entries().select("entry_id", "creation", "revision", F.lit(False).alias("retired")).unionByName(table.proofs().withColumn("retired", F.lit(True)))
+    return rows.withColumn("first_batch", F.lit(first).cast("bigint"))
+
+
+def _arrive(rows: DataFrame, folder: str) -> None:
+    """A file of a stream; files are read in the order in which they arrived."""
+    rows.coalesce(1).write.mode("append").parquet(folder)
+    time.sleep(0.05)
+
+
+def _mark(spark: SparkSession, log: DataFrame, seq: int) -> DataFrame:
+    return spark.range(1).select(F.lit(seq).cast("bigint").alias("seq"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema if f.name != "seq"]).select(*log.columns)
+
+
+def _sixths(spark, sf) -> tuple[DataFrame, int]:
+    """The mutation log with the sixth of its range that each row is in, and how long a sixth is."""
+    log = B.mutation_log(spark, sf).withColumn("payload", F.col("payload").cast("binary"))
+    sixth = (log.agg(F.max("seq")).first()[0] or 0) // 6 + 1
+    return log.withColumn("part", F.floor(F.col("seq") / sixth)), sixth
+
+
 @_register("catalogue_stream_fold", f"WITH {_FOLD}, {_state_sql('c')} SELECT entry_id, creation, revision, deleted, payload FROM c")
 def catalogue_stream_fold(spark, sf):
-    """The mutation log arrives as files of a stream and is folded into a catalogue, key by key, batch after batch."""
+    """The mutation log arrives as files of a stream, sixths of it out of order, and is folded key by key in one micro-batch for each file."""
     base = _scratch(spark, "fold")
-    log = B.mutation_log(spark, sf).withColumn("payload", F.col("payload").cast("binary"))
-    log.repartitionByRange(3, "seq").sortWithinPartitions("seq").write.parquet(f"{base}/in")
+    log, sixth = _sixths(spark, sf)
+    for parts in ([1], [0, 3], [2, 5], [4]):
+        _arrive(log.filter(F.col("part").isin(parts)).drop("part"), f"{base}/in")
+    _arrive(_mark(spark, log.drop("part"), 9 * sixth), f"{base}/in")
     table = CatalogueTable(spark, f"{base}/catalogue", _SCOPE)
     for _ in range(2):  # the second run finds nothing new
-        fold(spark, f"{base}/in", log.schema, table, f"{base}/progress", max_files=64)
+        fold(spark, f"{base}/in", log.drop("part").schema, table, f"{base}/progress", 2 * sixth, max_files=1)
     return _told(table.entries())
 
 
+@_register("catalogue_stream_refusals", "SELECT event_id AS seq, 'u' || CAST(user_id AS VARCHAR) AS entry_id, 'Stale' AS refusal FROM events WHERE event_id // ((SELECT max(event_id) FROM events) // 6 + 1) = 0")
+def catalogue_stream_refusals(spark, sf):
+    """The first sixth of the mutation log arrives after the watermark has passed it: each of its mutations is refused, none is folded."""
+    base = _scratch(spark, "late")
+    log, sixth = _sixths(spark, sf)
+    for parts in ([1, 2, 3], [4, 5], [0]):
+        _arrive(log.filter(F.col("part").isin(parts)).drop("part"), f"{base}/in")
+    table = CatalogueTable(spark, f"{base}/catalogue", _SCOPE)
+    fold(spark, f"{base}/in", log.drop("part").schema, table, f"{base}/progress", sixth, max_files=1, refused=f"{base}/refused")
+    return spark.read.parquet(f"{base}/refused").select("seq", "entry_id", "refusal")
+
+
+@_register("hint_stream", """
+WITH n AS (SELECT max(event_id) AS top FROM events),
+e AS (SELECT CAST(user_id % 20 AS VARCHAR) AS stream, event_id * 7919 % 10007 AS head, ts, CASE WHEN event_id % 10 = 0 THEN 3 WHEN event_id < top * 3 // 4 THEN 1 ELSE 2 END AS file FROM events, n),
+w AS (SELECT max(ts) FILTER (WHERE file = 1) - INTERVAL 2 HOUR AS late, max(ts) - INTERVAL 2 HOUR AS closed FROM e),
+h AS (SELECT stream, CAST(ts AS DATE) AS day, max(head) AS head, count(*) AS hints FROM e, w WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= closed AND NOT (file = 3 AND CAST(ts AS DATE) + INTERVAL 1 DAY <= late) GROUP BY ALL)
+SELECT stream, CAST(date_diff('day', DATE '1970-01-01', day) AS BIGINT) AS day, head, hints FROM h
+QUALIFY head > coalesce(max(head) OVER (PARTITION BY stream ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)""")
+def hint_stream(spark, sf):
+    """Hints of twenty streams by day: only heads above all before, in closed windows; a tenth of the hints comes last, and those of closed days are dropped."""
+    base = _scratch(spark, "hints")
+    events = B.table(spark, sf, "events")
+    top = events.agg(F.max("event_id")).first()[0] or 0
+    file = F.when(F.col("event_id") % 10 == 0, 3).when(F.col("event_id") < top * 3 // 4, 1).otherwise(2)
+    ts = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")))  # in any time zone of the session
+    hints = events.select((F.col("user_id") % 20).cast("string").alias("stream"), (F.col("event_id") * 7919 % 10007).alias("head"), ts.alias("ts"), file.alias("file"))
+    for k in (1, 2, 3):
+        _arrive(hints.filter(F.col("file") == k).drop("file"), f"{base}/in")
+    follow_hints(spark, f"{base}/in", hints.drop("file").schema, f"{base}/out", f"{base}/progress", "stream", "head", "ts", "1 day", "2 hours", max_files=1)
+    days = F.floor(F.unix_micros("opened") / 86_400_000_000).cast("bigint")
+    return spark.read.parquet(f"{base}/out").select("stream", days.alias("day"), "head", "hints")
+
+
 @_register("catalogue_churn", """
 WITH n AS (SELECT count(*) AS n FROM documents), i AS (SELECT r AS id FROM n, unnest(range(0, n)) AS u(r)),
 l AS (SELECT id, id AS seq, false AS del, 'created' AS payload FROM i UNION ALL SELECT id, id + n, false, 'changed' FROM i, n WHERE id % 7 = 0 UNION ALL SELECT id, id + 2 * n, true, NULL FROM i, n WHERE id // 100 % 4 = 3),

@@ -214,16 +214,20 @@ def is_exact_replay(plan: DataFrame, saved: DataFrame) -> DataFrame:
 def append_plan(incoming: DataFrame, saved: DataFrame, head: int) -> DataFrame:
     """Positions for records (``seq``, ``record_id``, ``payload``) that are new; equal ones are quiet.
 
-    ``refusal`` is set for other bytes under a known id, and for oversized payloads.
+    ``saved`` has the ids with their payload, or with its SHA-256 as ``digest``. ``refusal`` is set for other bytes under a known id, and
+    for oversized payloads.
     """
     from tidemark.operators.ordering import with_rank
 
+    by_digest = "digest" in saved.columns
+
     first = incoming.groupBy("record_id").agg(F.min("seq").alias("seq"), F.min_by("payload", "seq").alias("payload"), F.count_distinct("payload").alias("kinds"))
-    known = saved.select("record_id", F.col("payload").alias("__saved"))
+    known = saved.select("record_id", F.col("digest" if by_digest else "payload").alias("__saved"))
+    own = F.unhex(F.sha2("payload", 256)) if by_digest else F.col("payload")
     marked = first.join(known, "record_id", "left").withColumn(
         "refusal",
         F.when(F.octet_length("payload") > MAX_APPEND_BYTES, "OversizedRecord").when(
-            (F.col("kinds") > 1) | (F.col("__saved").isNotNull() & (F.col("__saved") != F.col("payload"))), "ConflictingRecord"
+            (F.col("kinds") > 1) | (F.col("__saved").isNotNull() & (F.col("__saved") != own)), "ConflictingRecord"
         ),
     )
     new = marked.filter("refusal IS NULL AND __saved IS NULL")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import catalogue
 from tidemark.schema import MAX_CATALOGUE_ENTRIES, MAX_PAGE_BYTES, PROOFS, Refusal, Scope
+from tidemark.sources.commitlog import CommitLog
 from tidemark.sources.tables import CatalogueTable
 
 MAX_GENERATION = (1 << 63) - 1
@@ -98,10 +99,18 @@ def coverage_base(p: CataloguePass) -> int:
 
 
 class CatalogueCache:
-    """A receiver's current values. Pages are appended as segments; reads fold them, newest first."""
+    """A receiver's current values. Pages are appended as segments; reads fold them, newest first.
+
+    Segments are in the order of creation, which an entry keeps, so what is cached of a page is in the files of its range.
+    """
 
     def __init__(self, log: Any):
         self.log = log
+        log.zone, log.top, log.fold = "creation", "revision", self._folded
+
+    @staticmethod
+    def _folded(rows: DataFrame) -> DataFrame:
+        return catalogue.merge(rows.limit(0), rows).withColumn("visible", F.lit(True))
 
     def _progress(self, state: dict) -> Progress | None:
         p = state.get("progress")
@@ -120,8 +129,11 @@ class CatalogueCache:
         return self._progress(self.log.snapshot().state)
 
     def entries(self, at: Any = None) -> DataFrame:
-        rows = self.log.read(at)
-        return catalogue.merge(rows.limit(0), rows).withColumn("visible", F.lit(True))
+        return self._folded(self.log.read(at))
+
+    def entries_between(self, low: int, high: int, at: Any = None) -> DataFrame:
+        """Cached entries whose creations are in low to high."""
+        return self._folded(self.log.between(at or self.log.snapshot(), low - 1, high))
 
     def entry(self, entry_id: str) -> dict | None:
         """One cached entry; its filter reaches the scan."""
@@ -150,13 +162,36 @@ class CatalogueCache:
         saved = at.state.get("recovery")
         if not saved:
             return self.log.read(at).limit(0).select("entry_id", "creation", "revision")
-        floors = self.log.spark.read.schema(PROOFS).parquet(saved["candidates"])
-        return catalogue.remaining(floors, self.entries(at))
+        return catalogue.remaining(self._floors(saved).read(), self.entries(at))
+
+    def _floors(self, saved: dict) -> CommitLog:
+        return CommitLog(self.log.spark, saved["candidates"], "catalogue-candidates", PROOFS, zone="creation", tiers=False)
+
+    def floors_between(self, low: int, high: int) -> DataFrame:
+        """The floors of a recovery's candidates whose creations are in low to high."""
+        floors = self._floors(self.log.snapshot().state["recovery"])
+        return floors.between(floors.snapshot(), low - 1, high)
+
+    def next_candidates(self, after: int, limit: int) -> tuple[list, int | None]:
+        """The next candidates after a creation that nothing cached has settled, ``limit`` at most, and where to go on (None: no more)."""
+        at = self.log.snapshot()
+        floors = self._floors(at.state["recovery"])
+        pinned, want = floors.snapshot(), limit
+        while True:
+            rows, bound, _ = floors.onward(pinned, after, want)
+            upto = bound if bound is not None else MAX_GENERATION
+            found = catalogue.remaining(rows, self._folded(self.log.between(at, after, upto))).orderBy("creation").limit(limit).collect()  # a batch
+            if len(found) == limit or (found and bound is not None):
+                return found, found[-1]["creation"]
+            if bound is None:
+                return found, None
+            after, want = bound, want * 4
 
     def save_candidates(self, rows: DataFrame) -> str:
         """Write candidates beside the segments; they count once a commit names their folder."""
         path = f"{self.log.path}/candidates/{uuid.uuid4().hex}"
-        rows.select("entry_id", "creation", "revision").write.parquet(path)
+        floors = self._floors({"candidates": path})
+        floors.commit(floors.snapshot(), {}, rows.select("entry_id", "creation", "revision"))
         return path
 
     def save(
@@ -175,7 +210,7 @@ class CatalogueCache:
         state = at.state | {"progress": self._saved(after), "horizon": max(seen, horizon or 0)}
         if recovery is not None:
             state["recovery"] = recovery or None
-        done = self.log.commit(at, state, rows, replace=replace_rows)
+        done = self.log.commit(at, state, rows, replace=replace_rows, few=rows is not None and not replace_rows)
         if self._progress(self.log.snapshot(done.version).state) != after:
             raise Refusal("Uncertain")
         return after
@@ -243,12 +278,12 @@ def _check_values(told: DataFrame, values: DataFrame, floors: DataFrame | None)
 
 def apply_next_page(
     progress: Progress, limit: int, access: Any, source: CatalogueTable, cache: CatalogueCache, max_bytes: int = MAX_PAGE_BYTES,
-    with_horizon: bool = False, floors: DataFrame | None = None, recovery: Any = None,
+    with_horizon: bool = False, recovery: Any = None,
 ) -> Progress:
     """Stage a whole page (manifest, unchanged, resolved values) of one snapshot and commit it with its cursor.
 
-    Access is asked for again before the first payload is read. ``recovery`` makes, of the progress after the page, what the commit
-    saves of a recovery.
+    Source and cache are read in the page's range of creations only. Access is asked for again before the first payload is read.
+    ``recovery`` makes, of the progress after the page, what the commit saves of a recovery, whose candidates' floors the values then keep to.
     """
     active = progress.active
     if active is None or not 0 < limit <= MAX_CATALOGUE_ENTRIES:
@@ -258,23 +293,25 @@ def apply_next_page(
     horizon = source.horizon(at) if with_horizon else None
     if horizon is not None:
         check_coverage(coverage_base(active), horizon)
-    entries = source.entries(at)
-    found = catalogue.manifest(entries, active.boundary, active.completed, active.cursor, limit).collect()  # limit + 1 descriptors
+    found, _ = source.manifest_page(active.boundary, active.completed, active.cursor, limit, at)
     _check_manifest(found, active, limit)
-    final = len(found) <= limit
-    page = source.spark.createDataFrame([tuple(r) for r in found[:limit]], "entry_id string, creation bigint, revision bigint, deleted boolean")
-    after = after_page(progress, (found[:limit][-1]["creation"], found[:limit][-1]["entry_id"]) if found else None, final)
-    told = catalogue.classify(page, cache.entries())
+    final, listed = len(found) <= limit, found[:limit]
+    after = after_page(progress, (listed[-1]["creation"], listed[-1]["entry_id"]) if listed else None, final)
+    going = recovery(after) if recovery else None
+    if not listed:
+        access.authorize(progress.scope)
+        return cache.save(progress, after, horizon=horizon, recovery=going)
+    low, high = listed[0]["creation"], listed[-1]["creation"]
+    page = source.spark.createDataFrame([tuple(r) for r in listed], "entry_id string, creation bigint, revision bigint, deleted boolean")
+    told = catalogue.classify(page, cache.entries_between(low, high))
     wanted, kept = told.filter("action = 'resolve'"), told.filter("action = 'unchanged'")
     access.authorize(progress.scope)
-    values = catalogue.resolve(wanted, entries, source.proofs(at))
-    cover = catalogue.page_cover(page, values, kept).first()
-    if found and any(cover):
+    values = catalogue.resolve(wanted, *source.states(low, high, at))
+    if any(catalogue.page_cover(page, values, kept).first()):
         raise Refusal("InvalidPage")
-    if _check_values(wanted, values, floors) > max_bytes:
+    if _check_values(wanted, values, cache.floors_between(low, high) if recovery else None) > max_bytes:
         raise Refusal("OversizedEntry")
-    going = recovery(after) if recovery else None
-    return cache.save(progress, after, values.withColumn("visible", F.lit(True)) if found else None, horizon=horizon, recovery=going)
+    return cache.save(progress, after, values.withColumn("visible", F.lit(True)), horizon=horizon, recovery=going)
 
 
 def reset_catalogue(scope: Scope, access: Any, cache: CatalogueCache) -> Progress:
@@ -355,26 +392,28 @@ def step_recovery(going: Recovery, candidates: DataFrame, limit: int, access: An
     if cache.recovery() != going:
         raise Refusal("Stale")
     journal = cache.log.snapshot().state["recovery"]
-    floors = cache.candidates()
     if going.phase == "enumerate":
-        phase = lambda p: journal | {"phase": "enumerate" if p.active else "reconcile"}
-        after = apply_next_page(going.progress, limit, access, source, cache, with_horizon=with_horizon, floors=floors, recovery=phase)
+        phase = lambda p: journal | {"phase": "enumerate" if p.active else "reconcile", "after": 0}
+        after = apply_next_page(going.progress, limit, access, source, cache, with_horizon=with_horizon, recovery=phase)
         return check_recovery(Recovery(after, going.boundary, "enumerate" if after.active else "reconcile")), cache.candidates()
+    at = source.snapshot()
+    horizon = source.horizon(at) if with_horizon else None
+    if horizon is not None:  # it may have passed the boundary since the step before: no effect then
+        check_coverage(going.boundary, horizon)
     if going.phase == "reconcile":
-        batch = floors.orderBy("entry_id").limit(limit)
-        asked = batch.count()
-        if not asked:
-            cache.save(going.progress, going.progress, recovery=journal | {"phase": "finish"})
-            return Recovery(going.progress, going.boundary, "finish"), floors
+        batch, on = cache.next_candidates(journal["after"], limit)
+        if not batch:
+            cache.save(going.progress, going.progress, horizon=horizon, recovery=journal | {"phase": "finish"})
+            return Recovery(going.progress, going.boundary, "finish"), cache.candidates()
         access.authorize(going.progress.scope)
-        at = source.snapshot()
-        values = catalogue.resolve(batch, source.entries(at), source.proofs(at))
-        _check_values(batch.withColumn("deleted", F.lit(False)), values, None)
-        if values.count() < asked:
+        asked = source.spark.createDataFrame([tuple(r) for r in batch], PROOFS).withColumn("deleted", F.lit(False))
+        values = catalogue.resolve(asked, *source.states(batch[0]["creation"], batch[-1]["creation"], at))
+        _check_values(asked, values, None)
+        if values.count() < len(batch):
             raise Refusal("MissingEntry")  # absence is not deletion
-        cache.save(going.progress, going.progress, values.withColumn("visible", F.lit(True)))
+        cache.save(going.progress, going.progress, values.withColumn("visible", F.lit(True)), horizon=horizon, recovery=journal | {"after": on or batch[-1]["creation"]})
         return going, cache.candidates()
-    if source.head() < going.boundary:
+    if source.head(at) < going.boundary:
         raise Refusal("SourceBehind")
-    cache.save(going.progress, going.progress, recovery={})
-    return None, floors
+    cache.save(going.progress, going.progress, horizon=horizon, recovery={})
+    return None, cache.candidates()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tidemark.operators import artifacts, catalogue, history, records, retention
-from tidemark.schema import ARTIFACTS, ENTRIES, MAX_CHUNK_BYTES, RECORDS, STAGED, Limits, PageRequest, Refusal, Scope, SourceHead
+from tidemark.operators.ordering import with_rank
+from tidemark.schema import ARTIFACTS, ENTRIES, MAX_CHUNK_BYTES, MAX_COMPACTION_BATCH, PROOFS, RECORDS, STAGED, Limits, PageRequest, Refusal, Scope, SourceHead
 from tidemark.sources.commitlog import CommitLog, Snapshot
+from tidemark.sources.idindex import IdIndex, digest
 
 
 class _Pinned:
@@ -47,7 +51,7 @@ class RecordTable(_Pinned):
 
     def __init__(self, spark: SparkSession, path: str, scope: Scope):
         self.spark, self.scope = spark, scope
-        self.log = CommitLog(spark, path, "record-source", RECORDS)
+        self.log = CommitLog(spark, path, "record-source", RECORDS, zone="position")
 
     def _state(self, at: Snapshot) -> dict:
         return {"head": 0, "floor": 0, "reader": 0, "writer": 0} | at.state
@@ -65,7 +69,7 @@ class RecordTable(_Pinned):
     def append(self, incoming: DataFrame, expected: SourceHead | None = None, reader: int | None = None, writer: int | None = None) -> int:
         """Append records (``seq``, ``record_id``, ``payload``) in one commit; returns the new head.
 
-        With ``expected`` the publication must be exactly that; masks may only gain bits.
+        Known ids are looked up in the index of ids, of which a batch reads the buckets that it meets. With ``expected`` the publication must be exactly that; masks may only gain bits.
         """
         at = self.log.snapshot()
         state = self._state(at)
@@ -74,7 +78,8 @@ class RecordTable(_Pinned):
         reader, writer = state["reader"] if reader is None else reader, state["writer"] if writer is None else writer
         if state["reader"] & ~reader or state["writer"] & ~writer:
             raise Refusal("RequirementsCleared")
-        plan = records.append_plan(incoming, self.log.read(at), state["head"]).cache()
+        index = IdIndex(self.log, state.get("ids", []))
+        plan = records.append_plan(incoming, index.lookup(incoming), state["head"]).cache()
         try:
             bad = plan.filter("refusal IS NOT NULL").select("refusal").first()
             if bad:
@@ -83,7 +88,8 @@ class RecordTable(_Pinned):
             if not new and (reader, writer) == (state["reader"], state["writer"]):
                 return state["head"]
             head = state["head"] + new
-            self.log.commit(at, state | {"head": head, "reader": reader, "writer": writer}, plan.drop("refusal") if new else None)
+            runs = index.added(plan.filter("refusal IS NULL"), new)
+            self.log.commit(at, state | {"head": head, "reader": reader, "writer": writer, "ids": runs}, plan.drop("refusal") if new else None)
             return head
         finally:
             plan.unpersist()
@@ -97,15 +103,24 @@ class RecordTable(_Pinned):
             raise Refusal("Pruned")
         if request.target <= request.after or request.target > state["head"]:
             raise Refusal("InvalidRequest")
-        table = records.Positioned(self.log.read(at).withColumnRenamed("position", "raw"), "raw")
-        refused = records.page_refusal(table, request.after, request.target, request.limits, F.octet_length("payload")).first()["refusal"]
-        if refused:
-            raise Refusal(refused)
-        rows = records.page(table, request.after, request.target, request.limits, F.octet_length("payload")).select("position", "record_id", "payload")
-        gap = records.page_gap(rows, request.after).first()["refusal"]
-        if gap:
-            raise Refusal(gap)
-        return rows
+        limits = request.limits.capped()
+        near, _, _ = self.log.onward(at, request.after, limits.records)
+        sizes = near.filter(F.col("position") <= request.target).select("position", F.octet_length("payload").alias("size"))
+        first = sizes.orderBy("position").limit(limits.records).collect()  # a page of sizes
+        if not first or first[0]["position"] != request.after + 1:
+            raise Refusal("Pruned")
+        if first[0]["size"] > min(limits.record_bytes, limits.total_bytes):
+            raise Refusal("OversizedRecord")
+        # Sizes decide; then the payloads of the page alone are read.
+        last, total = request.after, 0
+        for r in first:
+            total += r["size"]
+            if r["size"] > limits.record_bytes or total > limits.total_bytes:
+                break
+            if r["position"] != last + 1:
+                raise Refusal("Pruned")
+            last += 1
+        return self.log.between(at, request.after, last).select("position", "record_id", "payload")
 
     def open_page(self, scope: Scope, after: int, limits: Limits) -> tuple[int, DataFrame | None]:
         """Head and first page of one snapshot; no page if the head is not beyond ``after``."""
@@ -119,7 +134,8 @@ class RecordTable(_Pinned):
         state = self._state(at)
         if not state["head"]:
             return {"first": 1, "watermark": 0, "oldest": 1, "rows": self.log.read(at)}
-        rows = self.log.read(at).filter(F.col("position") > state["floor"]).withColumn("stream", F.lit(scope.stream))
+        near = self.log.between(at, max(state["floor"], state["head"] - limits.capped().records), state["head"])
+        rows = near.withColumn("stream", F.lit(scope.stream))
         top = history.tails(rows, "stream", "position", F.octet_length("payload"), limits).first()
         if top is None or top["refusal"]:
             raise Refusal(top["refusal"] if top else "ResetRequired")
@@ -128,8 +144,10 @@ class RecordTable(_Pinned):
     def older(self, scope: Scope, before: int, limits: Limits) -> dict:
         self._match(scope)
         at = self.log.snapshot()
-        floor = self._state(at)["floor"]
-        table = records.Positioned(self.log.read(at).withColumnRenamed("position", "raw"), "raw")
+        state = self._state(at)
+        floor, last = state["floor"], min(before - 1, state["head"])
+        near = self.log.between(at, max(floor, last - limits.capped().records), last)
+        table = records.Positioned(near.withColumnRenamed("position", "raw"), "raw")
         rows = history.older_page(table, before, floor, limits, F.octet_length("payload")).select("position", "record_id", "payload")
         first = rows.agg(F.min("position")).first()[0]
         if first is None:
@@ -160,7 +178,7 @@ class ReplicaTable:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
-        self.log = CommitLog(spark, path, "record-replica", RECORDS)
+        self.log = CommitLog(spark, path, "record-replica", RECORDS, zone="position")
 
     def load(self, scope: Scope) -> int | None:
         state = self.log.snapshot().state
@@ -204,16 +222,15 @@ class ReplicaTable:
         span = plan.agg(F.min("position").alias("lo"), F.max("position").alias("hi"), F.count("*").alias("n"), F.count_distinct("record_id").alias("ids")).first()
         if not span["n"] or span["hi"] - span["lo"] + 1 != span["n"] or span["ids"] != span["n"]:
             raise Refusal("InvalidPlan")
-        saved = self.log.read(at)
-        if state["position"] >= span["hi"]:
-            slice_ = saved.filter(F.col("position").between(span["lo"], span["hi"]))
-            if records.is_exact_replay(plan, slice_).first()["exact"]:
-                return state["position"]
-        if not records.conflicting_ids(plan, saved).isEmpty():
+        if state["position"] >= span["hi"] and records.is_exact_replay(plan, self.log.between(at, span["lo"] - 1, span["hi"])).first()["exact"]:
+            return state["position"]
+        index = IdIndex(self.log, state.get("ids", []))
+        known = index.lookup(plan).select("record_id", F.col("position").alias("__p"), F.col("digest").alias("__b"))
+        if not plan.join(known, "record_id").filter((F.col("position") != F.col("__p")) | (digest(F.col("payload")) != F.col("__b"))).isEmpty():
             raise Refusal("ConflictingRecord")
         if state["position"] != expected or span["lo"] != expected + 1:
             raise Refusal("Stale")
-        moved = state | {"position": span["hi"]}
+        moved = state | {"position": span["hi"], "ids": index.added(plan, span["n"])}
         if state["history"]:
             moved["history"] = state["history"] | {"live_head": span["hi"]}
         self.log.commit(at, moved, plan)
@@ -225,7 +242,8 @@ class ReplicaTable:
         position = at.state.get("position", 0)
         if after >= position:
             return self.log.read(at).limit(0)
-        table = records.Positioned(self.log.read(at).withColumnRenamed("position", "raw"), "raw")
+        near, _, _ = self.log.onward(at, after, limits.capped().records)
+        table = records.Positioned(near.withColumnRenamed("position", "raw"), "raw")
         return records.page(table, after, position, limits, F.octet_length("payload")).select("position", "record_id", "payload")
 
     def count(self) -> int:
@@ -239,7 +257,9 @@ class ReplicaTable:
         epochs = self._check_epoch(at, epoch)
         before = at.state.get("history")
         progress = history.progress_after_tail(before, generation, tail["first"], tail["watermark"], tail["oldest"], "scope" in at.state and before is None)
-        self.log.commit(at, {"scope": asdict(scope), "position": tail["watermark"], "history": progress} | epochs, tail["rows"], replace=True)
+        rows = tail["rows"]
+        ids = IdIndex(self.log, []).added(rows, rows.count())
+        self.log.commit(at, {"scope": asdict(scope), "position": tail["watermark"], "history": progress, "ids": ids} | epochs, rows, replace=True)
         return progress
 
     def install_older(self, scope: Scope, generation: int, page: dict, epoch: tuple[str, int] | None = None) -> dict:
@@ -248,10 +268,12 @@ class ReplicaTable:
         if not at.state.get("history"):
             raise Refusal("Stale")
         progress = history.progress_after_older(at.state["history"], generation, page["first"], page["before"] - 1, page["oldest"])
-        saved = self.log.read(at)
+        saved = self.log.between(at, page["first"] - 1, page["before"] - 1)
         if not history.overlap_conflicts(page["rows"], saved, ["position"]).isEmpty():
             raise Refusal("ConflictingRecord")
-        self.log.commit(at, at.state | {"history": progress}, history.missing_prefix(page["rows"], saved, ["position"]))
+        fresh = history.missing_prefix(page["rows"], saved, ["position"])
+        ids = IdIndex(self.log, at.state.get("ids", [])).added(fresh, fresh.count())
+        self.log.commit(at, at.state | {"history": progress, "ids": ids}, fresh)
         return progress
 
     def fence_deletion(self, scope: Scope) -> dict:
@@ -264,8 +286,9 @@ class ReplicaTable:
 class CatalogueTable(_Pinned):
     """A source of current values: folded batches of mutations, collection, compaction.
 
-    A commit appends the entries that it changes; reads fold the segments, the latest state of each entry first, and after
-    ``COMPACT_AFTER`` segments the fold is written as one. Retired entries stay as rows that only prove their
+    A commit appends the entries that it changes; reads fold the segments, the latest state of each entry first. An entry's creation
+    never changes, so all its states lie in one range of creations, and segments are kept in that order: a page of the manifest folds
+    the files of its own range. Merges of segments keep the latest state. Retired entries stay as rows that only prove their
     identity and revision, so they fence their ids for ever.
     """
 
@@ -274,7 +297,8 @@ class CatalogueTable(_Pinned):
 
     def __init__(self, spark: SparkSession, path: str, scope: Scope):
         self.spark, self.scope = spark, scope
-        self.log = CommitLog(spark, path, "catalogue-source", StructType([*ENTRIES.fields, StructField("retired", BooleanType(), False)]))
+        schema = StructType([*ENTRIES.fields, StructField("retired", BooleanType(), False)])
+        self.log = CommitLog(spark, path, "catalogue-source", schema, zone="creation", top="revision", fold=self._newest)
 
     def _state(self, at: Snapshot) -> dict:
         return {"head": 0, "horizon": 0} | at.state
@@ -294,18 +318,42 @@ class CatalogueTable(_Pinned):
         rows = self.log.read(at)
         if ids is not None:
             rows = rows.join(ids.select("entry_id").distinct(), "entry_id", "left_semi")
+        return self._newest(rows)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
         names = [f.name for f in self.log.schema if f.name != "entry_id"]
         newest = F.max_by(F.struct(*names), F.struct("revision", "deleted", ~F.col("visible"), "retired"))
         return rows.groupBy("entry_id").agg(newest.alias("e")).select("entry_id", "e.*")
 
+    def manifest_page(self, boundary: int, completed: int, cursor: tuple[int, str] | None, limit: int, at: Snapshot | None = None) -> tuple[list, int]:
+        """Descriptors of the next ``limit`` entries after ``cursor``, and one more if others follow; and how many files were opened.
+
+        Files whose entries all were complete before are passed over. Where a range has few entries that count, the next one is wider.
+        """
+        at = at or self.log.snapshot()
+        after, want, found, opened = (cursor[0] - 1 if cursor else 0), limit + 1, [], 0
+        while True:
+            rows, bound, files = self.log.onward(at, after, want, above=completed)
+            shown = self._newest(rows).filter("NOT retired")
+            found += catalogue.manifest(shown, boundary, completed, cursor, limit).collect()  # limit + 1 descriptors at most
+            opened += files
+            if len(found) > limit or bound is None or bound >= boundary:
+                return found[: limit + 1], opened
+            after, want = bound, want * 4
+
+    def states(self, low: int, high: int, at: Snapshot | None = None) -> tuple[DataFrame, DataFrame]:
+        """Entries and proofs whose creations are in low to high."""
+        now = self._newest(self.log.between(at or self.log.snapshot(), low - 1, high))
+        return now.filter("NOT retired").drop("retired"), now.filter("retired").select("entry_id", "creation", "revision")
+
     def entries(self, at: Snapshot | None = None) -> DataFrame:
         return self._now(at or self.log.snapshot()).filter("NOT retired").drop("retired")
 
     def proofs(self, at: Snapshot | None = None) -> DataFrame:
         return self._now(at or self.log.snapshot()).filter("retired").select("entry_id", "creation", "revision")
 
-    def _commit(self, at: Snapshot, state: dict, rows: DataFrame | None) -> None:
-        done = self.log.commit(at, state, rows)
+    def _commit(self, at: Snapshot, state: dict, rows: DataFrame | None, few: bool = False) -> None:
+        done = self.log.commit(at, state, rows, few=few)
         if len(done.segments) > self.COMPACT_AFTER:
             try:
                 self.log.compact(done, self._now(done))
@@ -315,6 +363,9 @@ class CatalogueTable(_Pinned):
     def apply(self, mutations: DataFrame, expected: int | None = None, mark: dict | None = None) -> DataFrame:
         """Fold a batch (``seq``, ``entry_id``, ``is_del``, ``payload``) onto the current values; returns its outcomes.
 
+        Mutations come in order: a batch that begins at or below the last ``seq`` applied is Stale, one with a repeated or missing ``seq`` is
+        an InvalidPlan, and neither changes anything.
+
         Current values enter the fold as mutations before the batch, so one operator decides both. Only entries that the batch
         names are read and written. With ``expected`` the head must be exactly that; ``mark`` is saved in the same commit.
         """
@@ -322,7 +373,12 @@ class CatalogueTable(_Pinned):
         state = self._state(at) | (mark or {})
         if expected is not None and expected != state["head"]:
             raise Refusal("Stale")
-        lowest = mutations.agg(F.min("seq")).first()[0]
+        span = mutations.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count("*").alias("n"), F.count_distinct("seq").alias("seqs")).first()
+        lowest = span["low"]
+        if span["n"] != span["seqs"]:
+            raise Refusal("InvalidPlan", "a seq is missing or repeated")
+        if lowest is not None and lowest <= state.get("seq", lowest - 1):
+            raise Refusal("Stale", f"seq {lowest} is not after {state['seq']}")
         if lowest is None:
             if mark:
                 self._commit(at, state, None)
@@ -332,17 +388,23 @@ class CatalogueTable(_Pinned):
         born = now.select((F.lit(lowest - 2).cast("bigint")).alias("seq"), "entry_id", F.lit(False).alias("is_del"), F.col("payload").cast(kind).alias("payload"))
         died = now.filter("deleted").select(F.lit(lowest - 1).cast("bigint").alias("seq"), "entry_id", F.lit(True).alias("is_del"), F.lit(None).cast(kind).alias("payload"))
         cols = ["seq", "entry_id", "is_del", "payload"]
-        told = catalogue.outcomes(born.unionByName(died).unionByName(mutations.select(*cols))).filter(F.col("seq") >= lowest)
-        from tidemark.operators.ordering import with_rank
+        told = catalogue.outcomes(born.unionByName(died).unionByName(mutations.select(*cols))).filter(F.col("seq") >= lowest).persist()
+        try:
+            self._publish(at, state, span["high"], told, now)
+        finally:
+            told.unpersist()
+        return told
 
-        kept = with_rank(told.filter("outcome = 'accepted'"), "seq", "rank").withColumn("revision", F.col("rank") + state["head"])
+    def _publish(self, at: Snapshot, state: dict, high: int, told: DataFrame, now: DataFrame) -> None:
+        """Commit what the accepted mutations of a batch make of its entries."""
+        accepted = told.filter("outcome = 'accepted'")
+        kept = with_rank(accepted, "seq", "rank").withColumn("revision", F.col("rank") + state["head"])
         fresh = catalogue.current(kept).withColumns({"visible": F.lit(True), "retired": F.lit(False)})
         old = now.select("entry_id", F.col("creation").alias("__creation"))
         fresh = fresh.join(old, "entry_id", "left").withColumn("creation", F.coalesce("__creation", "creation")).drop("__creation")
         fresh = fresh.withColumn("payload", F.when(~F.col("deleted"), F.col("payload")))
-        head = state["head"] + told.filter("outcome = 'accepted'").count()
-        self._commit(at, state | {"head": head}, fresh if head > state["head"] else None)
-        return told
+        head = state["head"] + accepted.count()
+        self._commit(at, state | {"head": head, "seq": high}, fresh if head > state["head"] else None)
 
     def collect(self, horizon: int, expected: tuple[int, int] | None = None) -> int:
         """Hide markers below the horizon; returns how many. With ``expected``, head and horizon must be exactly these."""
@@ -352,11 +414,21 @@ class CatalogueTable(_Pinned):
             raise Refusal("Stale")
         return self._collect(at, state, horizon)
 
+    def _markers(self, name: str) -> CommitLog:
+        return CommitLog(self.spark, f"{self.log.path}/hidden/{name}", "hidden-markers", PROOFS, zone="revision", tiers=False)
+
     def _collect(self, at: Snapshot, state: dict, horizon: int) -> int:
         shown = self._now(at).filter("deleted AND visible")
         hidden = catalogue.collect(shown, horizon, self._state(at)["horizon"], state["head"]).filter("NOT visible")
         changed = hidden.count()
-        self._commit(at, state | {"horizon": horizon}, hidden if changed else None)
+        listed = state.get("hidden", {"lists": [], "after": 0})
+        if changed:
+            # Markers hidden now are younger than those hidden before: the lists follow each other by revision.
+            name = uuid.uuid4().hex
+            markers = self._markers(name)
+            markers.commit(markers.snapshot(), {}, hidden)
+            listed = listed | {"lists": [*listed["lists"], name]}
+        self._commit(at, state | {"horizon": horizon, "hidden": listed}, hidden if changed else None)
         return changed
 
     def collect_with_retention(self, preferred: int, forced: int | None, now_ms: int) -> int:
@@ -367,17 +439,45 @@ class CatalogueTable(_Pinned):
         self._collect(at, self._state(at) | {k: held[k] for k in ("pins", "now_ms") if k in held}, horizon)
         return horizon
 
-    def compact_retired(self, limit: int = 256) -> int:
-        """Turn a batch of hidden markers into proofs, in one commit."""
+    def compact_retired(self, limit: int = MAX_COMPACTION_BATCH) -> int:
+        """Turn the oldest hidden markers, a batch at most, into proofs, in one commit; returns how many.
+
+        The lists kept at each collection are consumed from the front, so a batch reads a batch and not the catalogue.
+        """
+        if not 0 < limit <= MAX_COMPACTION_BATCH:
+            raise Refusal("Failed")
         at = self.log.snapshot()
         state = self._state(at)
-        now = self._now(at)
-        batch = catalogue.compaction_batch(now.filter("NOT retired"), state["horizon"], limit)
-        moved = now.join(F.broadcast(batch.select("entry_id")), "entry_id", "left_semi").withColumn("retired", F.lit(True))  # a batch of ids at most
-        n = batch.count()
-        if n:
-            self._commit(at, state, moved)
-        return n
+        listed = state.get("hidden", {"lists": [], "after": 0})
+        lists, after, batch = list(listed["lists"]), listed["after"], []
+        while lists and len(batch) < limit:
+            markers = self._markers(lists[0])
+            rows, bound, _ = markers.onward(markers.snapshot(), after, limit - len(batch))
+            found = rows.orderBy("revision").limit(limit - len(batch)).collect()  # a batch of descriptors at most
+            batch += found
+            if found:
+                after = found[-1]["revision"]
+            if len(batch) < limit and bound is None:
+                lists.pop(0)
+        if batch:
+            moved = [(r["entry_id"], r["creation"], r["revision"], True, None, False, True) for r in batch]
+            rows = self.spark.createDataFrame(moved, self.log.schema)
+            self._commit(at, state | {"hidden": {"lists": lists, "after": after}}, rows, few=True)
+        return len(batch)
+
+    def compact_all_retired(self) -> int:
+        """Turn all hidden markers into proofs, in one commit; returns how many."""
+        at = self.log.snapshot()
+        state = self._state(at)
+        listed = state.get("hidden", {"lists": [], "after": 0})
+        logs = [self._markers(name) for name in listed["lists"]]
+        if not logs:
+            return 0
+        rows = functools.reduce(DataFrame.unionByName, [m.read() for m in logs]).filter(F.col("revision") > listed["after"])
+        moved = rows.select("*", F.lit(True).alias("deleted"), F.lit(None).cast("binary").alias("payload"), F.lit(False).alias("visible"), F.lit(True).alias("retired"))
+        count = moved.count()
+        self._commit(at, state | {"hidden": {"lists": [], "after": state["horizon"]}}, moved if count else None)
+        return count
 
 
 class ArtifactTable:
