@@ -284,3 +284,22 @@ def test_neighbourhoods_are_full(monkeypatch, cells):
             want = {r} | {r[:j] + r[j + 1 :] for j in range(length)} | {r[:j] + (c,) + r[j + 1 :] for j in range(length) for c in range(k)}
             want |= {r[:j] + (c,) + r[j:] for j in range(length + 1) for c in range(k)}
             assert sorted(got[i]) == sorted(int(spelling.reduced(np.array([w]))[0]) for w in want)
+
+
+# --- the pipeline's near copies ---------------------------------------------------
+
+def test_near_copies_of_tables_with_odd_names_and_ids(spark):
+    import corpus_pipeline
+
+    top, low = (1 << 63) - 1, -(1 << 63)
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(top, one, "x"), (top, two, "y"), (top, one, "w"), (low, one + " more", "z"), (3, "short", "s"), (4, None, "n"), (None, one, "free")]
+    clash = ["__digest", "__node", "digest", "node", "doc", "id", "others"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({c: F.lit(f"own {c}") for c in clash})
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = out.collect()
+    assert all(r[c] == f"own {c}" for r in kept for c in clash)
+    assert sorted((str(r["doc_id"]), r["source"]) for r in kept) == sorted([(str(low), "z"), (str(top), "y"), ("3", "s"), ("4", "n"), ("None", "free")])
+    same = docs.filter("text = '" + one + "' AND doc_id IS NOT NULL")
+    assert [r["source"] for r in corpus_pipeline.drop_near_duplicates(spark, same, "").collect()] == ["w"]  # the first by its other columns

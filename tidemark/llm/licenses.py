@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from pathlib import Path
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +52,7 @@ LEAST_COSINE = 0.6
 FILE_WORDS = 8
 
 #: Full texts, by name; the short ones also stand at the top of source files.
-TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+TEXTS = {p.name.removesuffix(".txt"): p.read_text() for p in sorted((files(__package__) / "license_texts").iterdir(), key=lambda p: p.name) if p.name.endswith(".txt")}
 SHORT_TEXTS = ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT")
 _GNU = (
     "This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} General Public License"
