@@ -16,11 +16,13 @@ from tidemark.operators import artifacts, catalogue, fixtures, validate
 from tidemark.operators.ordering import with_rank
 from tidemark.plans import history as history_plans
 from tidemark.plans import passes
-from tidemark.schema import ENTRIES, Limits, Scope
+from tidemark.plans.transfer import transfer_all
+from tidemark.schema import ENTRIES, STAGED, Limits, Scope
 from tidemark.sources.commitlog import CommitLog
 from tidemark.sources.epochs import EpochLedger, EpochReplica, Stamped
 from tidemark.sources.memory import MemoryAuthorizer
-from tidemark.sources.tables import ArtifactTable, CatalogueTable, RecordTable, ReplicaTable
+from tidemark.sources.streams import StreamsReplica
+from tidemark.sources.tables import ArtifactCache, ArtifactTable, CatalogueTable, RecordTable, ReplicaTable
 from tidemark.streaming.follow import fold, follow_hints
 from tidemark.workdir import work_dir
 
@@ -409,6 +411,46 @@ def hint_stream(spark, sf):
     return spark.read.parquet(f"{base}/out").select("stream", days.alias("day"), "head", "hints")
 
 
+@_register("artifact_transfer_batch", """
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS artifact_id, doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n FROM documents), top AS (SELECT max(doc_id) AS top FROM d)
+SELECT artifact_id, sha256(CASE WHEN doc_id % 13 = 1 THEN text || '!' ELSE text END) AS digest, CAST(n + CASE WHEN doc_id % 13 = 1 THEN 1 ELSE 0 END AS BIGINT) AS length,
+  CASE WHEN doc_id = top THEN 'deleted' WHEN doc_id % 11 = 3 AND n > 4 THEN 'mismatch' ELSE 'verified' END AS first,
+  CAST(CASE WHEN doc_id = top THEN 0 WHEN doc_id % 11 = 3 OR doc_id % 7 = 2 THEN greatest(n - 4, 0) ELSE n END AS BIGINT) AS first_bytes,
+  CASE WHEN doc_id = top THEN 'deleted' WHEN doc_id % 13 = 1 OR doc_id % 11 = 3 AND n > 4 THEN 'verified' ELSE 'unchanged' END AS second FROM d, top WHERE doc_id <> top""")
+def artifact_transfer_batch(spark, sf):
+    """All documents as artifacts, some with their first bytes staged already, some with wrong ones: one job for all of them; then every thirteenth has changed and what failed is fetched anew."""
+    source, cache = ArtifactTable(spark, _scratch(spark, "artifacts")), ArtifactCache(spark, _scratch(spark, "cache"))
+    whole = B.artifacts(spark, sf).withColumn("artifact_id", F.col("artifact_id").cast("string"))
+    source.upsert(whole)
+    source.delete(str(B.table(spark, sf, "documents").agg(F.max("doc_id")).first()[0]))
+    k = F.col("artifact_id").cast("bigint")
+    begun = source.manifests().filter(((k % 11 == 3) | (k % 7 == 2)) & (F.col("length") > 4)).join(whole, "artifact_id")
+    first = F.when(k % 11 == 3, F.lit(b"\x00\x01\x02\x03")).otherwise(F.substring("payload", 1, 4))
+    marks = {"version": F.lit(1).cast("bigint"), "offset": F.lit(None).cast("bigint"), "bytes": F.lit(None).cast("binary")}
+    manifests = begun.withColumns(marks).withColumn("kind", F.lit("manifest"))
+    chunks = begun.withColumns(marks | {"offset": F.lit(0).cast("bigint"), "bytes": first}).withColumn("kind", F.lit("chunk"))
+    cache.log.commit(cache.log.snapshot(), {}, manifests.unionByName(chunks).select(*[f.name for f in STAGED]))
+    told = transfer_all(source, cache).select("artifact_id", F.col("outcome").alias("first"), F.col("fetched").alias("first_bytes"))
+    source.upsert(whole.filter(k % 13 == 1).withColumn("payload", F.concat("payload", F.lit(b"!"))))
+    again = transfer_all(source, cache).select("artifact_id", F.col("outcome").alias("second"))
+    held = cache.index().filter("verified").select("artifact_id", "digest", "length")
+    return held.join(told, "artifact_id").join(again, "artifact_id")
+
+
+@_register("history_streams_hydrated", """
+WITH h AS (SELECT conv_id, max(turn) + 1 AS head, min(turn) + 1 AS low FROM conversations GROUP BY conv_id), t AS (SELECT *, greatest(low, head - 1) AS tail, conv_id % 4 + 1 AS target FROM h),
+b AS (SELECT *, CASE WHEN tail <= target THEN tail ELSE greatest(1, tail - 2 * CAST(ceil((tail - target) / 2.0) AS BIGINT)) END AS lower_bound FROM t)
+SELECT CAST(b.conv_id AS VARCHAR) AS stream, head AS live_head, lower_bound, c.turn + 1 AS position, coalesce(c.text, '') AS payload FROM b JOIN conversations c ON c.conv_id = b.conv_id AND c.turn + 1 >= lower_bound""")
+def history_streams_hydrated(spark, sf):
+    """All conversations at once: a tail of two turns each, then pages of two until each has reached a target of its own."""
+    turns = B.turns(spark, sf).select(F.col("conv_id").cast("string").alias("stream"), "position", "record_id", F.col("payload").cast("binary").alias("payload"))
+    targets = turns.select("stream", (F.col("stream").cast("bigint") % 4 + 1).alias("lower_target")).distinct()
+    store = StreamsReplica(spark, _scratch(spark, "streams"))
+    history_plans.hydrate_streams(turns, targets, Limits(2, 1 << 20, 1 << 19), store)
+    rows = store.rows().join(store.progress().select("stream", "live_head", "lower_bound"), "stream")
+    return rows.select("stream", "live_head", "lower_bound", "position", F.col("payload").cast("string").alias("payload"))
+
+
 @_register("catalogue_churn", """
 WITH n AS (SELECT count(*) AS n FROM documents), i AS (SELECT r AS id FROM n, unnest(range(0, n)) AS u(r)),
 l AS (SELECT id, id AS seq, false AS del, 'created' AS payload FROM i UNION ALL SELECT id, id + n, false, 'changed' FROM i, n WHERE id % 7 = 0 UNION ALL SELECT id, id + 2 * n, true, NULL FROM i, n WHERE id // 100 % 4 = 3),

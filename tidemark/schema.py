@@ -124,5 +124,9 @@ STAGED = _table(
     ("artifact_id", _TEXT, False), ("version", _LONG, False), ("kind", _TEXT, False), ("revision", _LONG, False), ("deleted", _FLAG, True),
     ("length", _LONG, True), ("digest", _TEXT, True), ("offset", _LONG, True), ("bytes", _BYTES, True),
 )
+STREAM_ROWS = _table(
+    ("kind", _TEXT, False), ("stream", _TEXT, True), ("position", _LONG, True), ("record_id", _TEXT, True), ("payload", _BYTES, True),
+    ("generation", _LONG, True), ("live_head", _LONG, True), ("lower_bound", _LONG, True), ("oldest_available", _LONG, True), ("deleted", _FLAG, True), ("version", _LONG, True),
+)
 CHUNKS = _table(("artifact_id", _TEXT, False), ("offset", _LONG, False), ("bytes", _BYTES, False))
 EPOCHS = _table(("authority", _TEXT, False), ("epoch", _LONG, False))

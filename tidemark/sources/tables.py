@@ -488,7 +488,13 @@ class ArtifactTable:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
-        self.log = CommitLog(spark, path, "artifact-source", ARTIFACTS)
+        self.log = CommitLog(spark, path, "artifact-source", ARTIFACTS, fold=self._kept)
+
+    @staticmethod
+    def _kept(rows: DataFrame) -> DataFrame:
+        """What a merge keeps: of each artifact the newest manifest there and what is not older; a tombstone stays."""
+        newest = rows.filter("offset IS NULL").groupBy("artifact_id").agg(F.max("revision").alias("__top"))
+        return rows.join(newest, "artifact_id", "left").filter("__top IS NULL OR revision >= __top").drop("__top")
 
     def manifests(self, at: Snapshot | None = None) -> DataFrame:
         """``artifact_id``, ``revision``, ``deleted``, ``length``, ``digest`` of the current version of every artifact."""
@@ -551,7 +557,17 @@ class ArtifactCache:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
-        self.log = CommitLog(spark, path, "artifact-cache", STAGED)
+        self.log = CommitLog(spark, path, "artifact-cache", STAGED, fold=self._kept)
+
+    @staticmethod
+    def _kept(rows: DataFrame) -> DataFrame:
+        """What a merge keeps: of each artifact the newest manifest there and what is not older, without chunks that were dropped since."""
+        top = F.max(F.when(F.col("kind") == "manifest", F.col("revision"))).alias("__top")
+        dropped = F.max(F.when(F.col("kind") == "dropped", F.struct("revision", "version"))).alias("__dropped")
+        marks = rows.groupBy("artifact_id").agg(top, dropped)
+        gone = (F.col("kind") == "chunk") & (F.col("revision") == F.col("__dropped.revision")) & (F.col("version") <= F.col("__dropped.version"))
+        kept = rows.join(marks, "artifact_id").filter("__top IS NULL OR revision >= __top").filter(~F.coalesce(gone, F.lit(False)))
+        return kept.drop("__top", "__dropped")
 
     def _row(self, at: Snapshot, kind: str, artifact_id: str, revision: int, **more) -> DataFrame:
         values = {"artifact_id": artifact_id, "version": at.version + 1, "kind": kind, "revision": revision} | more
