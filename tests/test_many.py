@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.history import hydrate_streams
 from tidemark.plans.transfer import transfer_all, transfer_one
-from tidemark.schema import Limits, Refusal
-from tidemark.sources import commitlog
+from tidemark.schema import Limits, Refusal, Scope
+from tidemark.sources import commitlog, pins
 from tidemark.sources.streams import StreamsReplica
-from tidemark.sources.tables import ArtifactCache, ArtifactTable
+from tidemark.sources.tables import ArtifactCache, ArtifactTable, RecordTable
 
 
 def _told(df, *columns):
@@ -108,3 +108,22 @@ def test_installs_are_planned_anew_when_others_commit(spark, tmp_path):
     assert {r["stream"] for r in store.rows().collect()} == {"a", "b"}
     # The same stream, moved meanwhile, is refused.
     assert _told(store.install_tails(tails("b"), _stream_rows(spark, {"b": 1})), "stream", "refusal") == {"b": ("Stale",)}
+
+
+def test_a_hundred_thousand_pins(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pins, "FANIN", 3)
+    table = RecordTable(spark, f"{tmp_path}/t", Scope("device-a", "origin", "transcript", "first", "text-v1", "epoch-1"))
+    table.append(spark.range(1, 10).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("record_id"), F.lit(b"x").alias("payload")))
+    many = spark.range(100_000).select(F.concat(F.lit("h"), "id").alias("holder"), (F.col("id") % 7 + 2).alias("completed"), (F.col("id") % 5 * 10 + 20).alias("expires_at_ms"))
+    bad = spark.createDataFrame([("twice", 5, 50), ("twice", 6, 60), ("above", 10, 50), ("past", 5, 10)], "holder string, completed bigint, expires_at_ms bigint")
+    told = table.register_pins(many.unionByName(bad), 10)
+    assert _told(told.filter("refusal IS NOT NULL"), "holder", "refusal") == {"twice": ("InvalidPlan",), "above": ("PinOutOfRange",), "past": ("Expired",)}
+    assert table.pins().count() == 100_000 and len(table.log.snapshot().state["pins"]) == 1  # the state names a run, not the pins
+    receipt = table.pin("h7")
+    assert receipt == {"holder": "h7", "completed": 2, "expires_at_ms": 40, "revision": 1}
+    assert table.prune_with_retention(9, None, 15) == 2
+    for now in (21, 22):
+        receipt = table.refresh_pin(receipt, receipt["completed"] + 3, now, 900)
+    assert len(table.log.snapshot().state["pins"]) == 1  # merged: what has expired or was refreshed is gone
+    assert table.pins().count() == 80_000 and table.pin("h7") == receipt and receipt["revision"] == 3
+    assert table.prune_with_retention(9, None, 100) == 8 and table.prune_with_retention(9, None, 900) == 9

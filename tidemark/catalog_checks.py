@@ -214,14 +214,32 @@ def record_prune_guarded(spark, sf):
     """Forty receivers pin what they have read, those with odd numbers for a moment only; the floor yields to live pins until they expire."""
     source = RecordTable(spark, _scratch(spark, "pins"), _SCOPE)
     head = source.append(_facts(spark, sf)[0])
-    held = B.table(spark, sf, "events").groupBy((F.col("user_id") % 40).alias("k")).agg((F.max("event_id") + 1).alias("completed")).collect()  # 40 rows at most
-    for r in sorted(held):
-        source.register_pin(f"r{r['k']}", r["completed"], 10, 20 if r["k"] % 2 else 90)
+    held = B.table(spark, sf, "events").groupBy((F.col("user_id") % 40).alias("k")).agg((F.max("event_id") + 1).alias("completed"))
+    pins = held.select(F.concat(F.lit("r"), F.col("k").cast("string")).alias("holder"), "completed", F.when(F.col("k") % 2 == 1, 20).otherwise(90).cast("bigint").alias("expires_at_ms"))
+    source.register_pins(pins, 10)
     reopened = RecordTable(spark, source.log.path, _SCOPE)
     floors = [reopened.prune_with_retention(head - 1, None, 50), reopened.prune_with_retention(head - 1, None, 100), reopened.prune_with_retention(head - 1, head - 1, 100)]
     return spark.createDataFrame([tuple(floors)], "held bigint, released bigint, forced bigint")
 
 
+@_register("record_pins_of_all_users", """
+WITH h AS (SELECT max(event_id) + 1 AS head FROM events), p AS (SELECT user_id, max(event_id) + 1 AS completed FROM events GROUP BY ALL)
+SELECT 'u' || CAST(user_id AS VARCHAR) AS holder, completed, CAST(CASE WHEN user_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS revision, CASE WHEN user_id % 3 <> 0 THEN 'Exists' END AS again,
+  (SELECT min(completed) FROM p WHERE user_id % 3 <> 0) AS held, (SELECT min(completed) FROM p) AS held_again, head - 1 AS released FROM p, h""")
+def record_pins_of_all_users(spark, sf):
+    """Every user pins what they have read, in one commit, and again once every third pin has expired; the floor yields to the live ones of each moment."""
+    source = RecordTable(spark, _scratch(spark, "pins"), _SCOPE)
+    head = source.append(_facts(spark, sf)[0])
+    read = B.table(spark, sf, "events").groupBy("user_id").agg((F.max("event_id") + 1).alias("completed"))
+    pins = read.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("holder"), "completed", F.when(F.col("user_id") % 3 == 0, 20).otherwise(90).cast("bigint").alias("expires_at_ms"))
+    source.register_pins(pins, 10)
+    low = source.pins().filter("expires_at_ms > 50").agg(F.min("completed")).first()[0]
+    again = source.register_pins(pins.withColumn("expires_at_ms", F.lit(95).cast("bigint")), 50).select("holder", F.col("refusal").alias("again"))
+    floors = {"held": low, "held_again": source.prune_with_retention(head - 1, None, 60), "released": source.prune_with_retention(head - 1, None, 100)}
+    rows = source.pins().join(again, "holder").select("holder", "completed", "revision", "again")
+    return rows.withColumns({k: F.lit(v).cast("bigint") for k, v in floors.items()})
+
+
 @_register("replica_apply_and_replay", f"SELECT count(*) AS records, max(position) AS checkpoint, true AS replayed, CAST(7 AS BIGINT) AS epoch FROM ({_EVENT})")
 def replica_apply_and_replay(spark, sf):
     """Two plans of one epoch applied in order, the first of them again, which changes nothing; the epoch's floor is saved with them."""

@@ -15,35 +15,62 @@ from tidemark.operators.ordering import with_rank
 from tidemark.schema import ARTIFACTS, ENTRIES, MAX_CHUNK_BYTES, MAX_COMPACTION_BATCH, PROOFS, RECORDS, STAGED, Limits, PageRequest, Refusal, Scope, SourceHead
 from tidemark.sources.commitlog import CommitLog, Snapshot
 from tidemark.sources.idindex import IdIndex, digest
+from tidemark.sources.pins import PinRuns, batch_refusals
 
 
 class _Pinned:
-    """Durable pins of a source: leases with receipts, saved with the state that they hold back."""
+    """Durable pins of a source: leases with receipts, committed with the state that they hold back."""
 
     FLOOR = "floor"
 
-    def _held(self, at: Snapshot) -> dict:
+    def _runs(self, at: Snapshot) -> PinRuns:
+        return PinRuns(self.log, at.state.get("pins", []))
+
+    def _held(self, at: Snapshot, *pins: dict | None) -> dict:
+        """The state as the rules of retention see it, with these pins."""
         state = self._state(at)
-        return state | {"floor": state[self.FLOOR]}
+        return state | {"floor": state[self.FLOOR], "pins": {p["holder"]: p for p in pins if p}}
 
-    def _saved(self, at: Snapshot, held: dict, rows: DataFrame | None = None, **changes) -> None:
-        kept = {k: held[k] for k in ("pins", "now_ms") if k in held}
-        self.log.commit(at, self._state(at) | kept | changes, rows)
+    def _pinned(self, at: Snapshot, held: dict, holder: str) -> dict:
+        pin = held["pins"][holder]
+        row = self.spark.createDataFrame([tuple(pin[c] for c in ("holder", "completed", "expires_at_ms", "revision"))], "holder string, completed bigint, expires_at_ms bigint, revision bigint")
+        self.log.commit(at, self._state(at) | {"now_ms": held["now_ms"], "pins": self._runs(at).added(row.coalesce(1), held["now_ms"])})
+        return pin
 
     def register_pin(self, holder: str, completed: int, now_ms: int, expires_at_ms: int) -> dict:
         at = self.log.snapshot()
-        held = retention.register(self._held(at), holder, completed, now_ms, expires_at_ms)
-        self._saved(at, held)
-        return held["pins"][holder]
+        return self._pinned(at, retention.register(self._held(at, self._runs(at).find(holder)), holder, completed, now_ms, expires_at_ms), holder)
+
+    def register_pins(self, incoming: DataFrame, now_ms: int) -> DataFrame:
+        """Register many pins (``holder``, ``completed``, ``expires_at_ms``) in one commit; returns them with ``revision`` and ``refusal``.
+
+        Those that are refused do not keep the others out.
+        """
+        at = self.log.snapshot()
+        held = retention.advance(self._held(at), now_ms)
+        told = batch_refusals(incoming, self._runs(at).pins(), held["floor"], held["head"], now_ms)
+        good = told.filter("refusal IS NULL")
+        if not good.isEmpty():
+            self.log.commit(at, self._state(at) | {"now_ms": now_ms, "pins": self._runs(at).added(good, now_ms)})
+        return told
 
     def refresh_pin(self, receipt: dict, completed: int, now_ms: int, expires_at_ms: int) -> dict:
         at = self.log.snapshot()
-        held = retention.refresh(self._held(at), receipt, completed, now_ms, expires_at_ms)
-        self._saved(at, held)
-        return held["pins"][receipt["holder"]]
+        return self._pinned(at, retention.refresh(self._held(at, self._runs(at).find(receipt["holder"])), receipt, completed, now_ms, expires_at_ms), receipt["holder"])
 
     def pin(self, holder: str) -> dict | None:
-        return self.log.snapshot().state.get("pins", {}).get(holder)
+        return self._runs(self.log.snapshot()).find(holder)
+
+    def pins(self) -> DataFrame:
+        """``holder``, ``completed``, ``expires_at_ms``, ``revision`` of every pin, live or not."""
+        return self._runs(self.log.snapshot()).pins()
+
+    def _cutoff(self, at: Snapshot, preferred: int, forced: int | None, now_ms: int) -> int:
+        """The cutoff that the live pins allow; the lowest and the highest of them decide."""
+        held = retention.advance(self._held(at), now_ms)
+        span = self._runs(at).live_span(now_ms)
+        ends = {str(k): {"completed": c, "expires_at_ms": now_ms + 1} for k, c in enumerate(span or ())}
+        return retention.held_cutoff(held | {"pins": ends}, preferred, forced, now_ms)
 
 
 class RecordTable(_Pinned):
@@ -167,9 +194,8 @@ class RecordTable(_Pinned):
     def prune_with_retention(self, preferred: int, forced: int | None, now_ms: int) -> int:
         """Raise the logical floor to the cutoff that the live pins allow, chosen and saved in one commit."""
         at = self.log.snapshot()
-        held = retention.advance(self._held(at), now_ms)
-        floor = retention.held_cutoff(held, preferred, forced, now_ms)
-        self._saved(at, held, floor=floor)
+        floor = self._cutoff(at, preferred, forced, now_ms)
+        self.log.commit(at, self._state(at) | {"now_ms": now_ms, "floor": floor})
         return floor
 
 
@@ -434,9 +460,8 @@ class CatalogueTable(_Pinned):
     def collect_with_retention(self, preferred: int, forced: int | None, now_ms: int) -> int:
         """Raise the horizon to the cutoff that the live pins allow, chosen and saved in one commit; returns it."""
         at = self.log.snapshot()
-        held = retention.advance(self._held(at), now_ms)
-        horizon = retention.held_cutoff(held, preferred, forced, now_ms)
-        self._collect(at, self._state(at) | {k: held[k] for k in ("pins", "now_ms") if k in held}, horizon)
+        horizon = self._cutoff(at, preferred, forced, now_ms)
+        self._collect(at, self._state(at) | {"now_ms": now_ms}, horizon)
         return horizon
 
     def compact_retired(self, limit: int = MAX_COMPACTION_BATCH) -> int:
