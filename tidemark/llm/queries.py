@@ -251,7 +251,87 @@ FROM rows LEFT JOIN found USING (path) LEFT JOIN near USING (dir)
 """
 
 
+def _crc32_table() -> list[int]:
+    """The table of the checksum's usual polynomial, from its rule."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+def _crc32_sql(numbers: str) -> str:
+    """The checksum of a list of byte values."""
+    table = "[" + ", ".join(map(str, _crc32_table())) + "]::BIGINT[]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {numbers}), lambda c, b: xor(c >> 8, ({table})[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295::BIGINT)"
+
+
+# Near words by the letters that they lose: words of one length are near if they are the same without one place, others if one is the other without a letter.
+_OP11_SQL = f"""
+WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents),
+l AS (SELECT doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM r GROUP BY ALL),
+h AS (SELECT run, k, {_crc32_sql("flatten(list_transform(string_split(doc || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195::BIGINT, CAST(unicode(x) - 64 AS BIGINT)] END))")} AS h FROM l),
+c AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM c WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+s AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS stem FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM s a JOIN s b ON a.i = b.i AND a.stem = b.stem AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT s.word, w.word, w.n FROM s JOIN w ON s.stem = w.word
+  UNION SELECT w.word, s.word, s.n FROM s JOIN w ON s.stem = w.word),
+b AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, m FROM p QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN b ON b.word = w.word),
+g AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT g.word, f.word, f.form FROM g JOIN f ON f.word = g.next)
+SELECT f.word, f.form, g.root, f.n, f.n_near, f.form_n FROM f JOIN g ON g.word = f.word AND g.next IS NULL"""
+
+_SEP = "chr(1)"
+
+
+def _edit_sql(w: str, letter: str, cost: str, line: str = "''") -> str:
+    """A path with one edit more: nine digits of cost, the letters, a separator, the lines."""
+    return f"printf('%09d', CAST(left({w}, 9) AS INT) + {cost}) || substr({w}, 10, instr({w}, {_SEP}) - 10) || '{letter}' || substr({w}, instr({w}, {_SEP})) || {line}"
+
+
+def _inserted_sql(two: str, three: str, others: list[str]) -> tuple[str, str]:
+    first = f"least({two}, {', '.join(_edit_sql(w, 'I', '5', _USER) for w in (*others, three))})"
+    return first, f"least({three}, {_edit_sql('(' + first + ')', 'I', '5', _ASSISTANT)})"
+
+
+_USER, _ASSISTANT = "'user:' || chr(10)", "'assistant:' || chr(10)"
+_OP12_EDITS = ", ".join([
+    f"{_edit_sql('i0', 'D', '2')} AS w0",
+    f"least({_edit_sql('i1', 'D', '2')}, CASE WHEN NOT gone AND initial = 's' THEN {_edit_sql('i0', 'K', 'm', 'line')} END) AS w1",
+    f"least({_edit_sql('i2', 'D', '2')}, " + ", ".join(
+        f"CASE WHEN NOT gone AND initial = 'u' THEN {_edit_sql(w, 'K', 'm', 'line')} END, CASE WHEN NOT gone THEN {_edit_sql(w, 'R', '1 + m', 'as_user')} END" for w in ("i0", "i1", "i3")) + ") AS w2",
+    f"least({_edit_sql('i3', 'D', '2')}, CASE WHEN NOT gone AND initial = 'a' THEN {_edit_sql('i2', 'K', 'm', 'line')} END, CASE WHEN NOT gone THEN {_edit_sql('i2', 'R', '1 + m', 'as_assistant')} END) AS w3",
+])
+# A path for each role that is due, row by row; strings of cost and letters compare as the weights do.
+_OP12_SQL = f"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, {_crc32_sql("list_transform(string_split(key, ''), lambda x: CAST(unicode(x) AS BIGINT))")} % 20 AS h FROM t),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+q AS (SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS duplicate, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM o),
+e AS (SELECT *, blank OR duplicate AS gone, NOT blank AND NOT duplicate AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated,
+    role || ':' || text || chr(10) AS line, 'user:' || text || chr(10) AS as_user, 'assistant:' || text || chr(10) AS as_assistant FROM q),
+e5 AS (SELECT *, CASE WHEN truncated THEN 5 ELSE 0 END AS m FROM e),
+w AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, '000000000' || {_SEP} AS w0, NULL::VARCHAR AS w1, NULL::VARCHAR AS w2, NULL::VARCHAR AS w3 FROM conversations
+  UNION ALL SELECT conv_id, pos, {_OP12_EDITS} FROM (
+    SELECT e5.*, w0 AS i0, w1 AS i1, {_inserted_sql("w2", "w3", ["w0", "w1"])[0]} AS i2, {_inserted_sql("w2", "w3", ["w0", "w1"])[1]} AS i3
+    FROM w JOIN e5 ON e5.conv_id IS NOT DISTINCT FROM w.conv_id AND e5.pos = w.pos + 1)),
+z AS (SELECT conv_id, least(w0, {_inserted_sql("w2", "w3", ["w0", "w1"])[1]}) AS z FROM w QUALIFY pos = max(pos) OVER (PARTITION BY conv_id)),
+a AS (SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+    count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY conv_id)
+SELECT z.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(left(z, 9) AS BIGINT) AS cost, substr(z, 10, instr(z, {_SEP}) - 10) AS audit, sha256(substr(z, instr(z, {_SEP}) + 1, greatest(length(z) - instr(z, {_SEP}) - 1, 0))) AS repaired_sha256
+FROM z LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat": _OP2_SQL, "op4_near_duplicates": _OP4_SQL, "op7_warc": _OP7_SQL, "op8_licenses": _op8_sql(), "op10_quality_rules": _OP10_SQL,
+        "op11_spelling": _OP11_SQL, "op12_repair": _OP12_SQL,
     }
