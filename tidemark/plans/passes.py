@@ -303,15 +303,19 @@ def apply_next_page(
         return cache.save(progress, after, horizon=horizon, recovery=going)
     low, high = listed[0]["creation"], listed[-1]["creation"]
     page = source.spark.createDataFrame([tuple(r) for r in listed], "entry_id string, creation bigint, revision bigint, deleted boolean")
-    told = catalogue.classify(page, cache.entries_between(low, high))
+    told = catalogue.classify(page, cache.entries_between(low, high)).persist()  # a page at most, read several times
     wanted, kept = told.filter("action = 'resolve'"), told.filter("action = 'unchanged'")
     access.authorize(progress.scope)
-    values = catalogue.resolve(wanted, *source.states(low, high, at))
-    if any(catalogue.page_cover(page, values, kept).first()):
-        raise Refusal("InvalidPage")
-    if _check_values(wanted, values, cache.floors_between(low, high) if recovery else None) > max_bytes:
-        raise Refusal("OversizedEntry")
-    return cache.save(progress, after, values.withColumn("visible", F.lit(True)), horizon=horizon, recovery=going)
+    values = catalogue.resolve(wanted, *source.states(low, high, at)).persist()
+    try:
+        if any(catalogue.page_cover(page, values, kept).first()):
+            raise Refusal("InvalidPage")
+        if _check_values(wanted, values, cache.floors_between(low, high) if recovery else None) > max_bytes:
+            raise Refusal("OversizedEntry")
+        return cache.save(progress, after, values.withColumn("visible", F.lit(True)), horizon=horizon, recovery=going)
+    finally:
+        values.unpersist()
+        told.unpersist()
 
 
 def reset_catalogue(scope: Scope, access: Any, cache: CatalogueCache) -> Progress:
