@@ -17,13 +17,14 @@ from tidemark.operators.ordering import with_rank
 from tidemark.plans import history as history_plans
 from tidemark.plans import passes
 from tidemark.plans.transfer import transfer_all
-from tidemark.schema import ENTRIES, STAGED, Limits, Scope
+from tidemark.schema import ENTRIES, RECORDS, STAGED, Limits, Scope
 from tidemark.sources.commitlog import CommitLog
+from tidemark.sources.datasource import read_table
 from tidemark.sources.epochs import EpochLedger, EpochReplica, Stamped
 from tidemark.sources.memory import MemoryAuthorizer
 from tidemark.sources.streams import StreamsReplica
 from tidemark.sources.tables import ArtifactCache, ArtifactTable, CatalogueTable, RecordTable, ReplicaTable
-from tidemark.streaming.follow import fold, follow_hints
+from tidemark.streaming.follow import fold, follow_hints, follow_table
 from tidemark.workdir import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -407,6 +408,46 @@ def catalogue_stream_refusals(spark, sf):
     return spark.read.parquet(f"{base}/refused").select("seq", "entry_id", "refusal")
 
 
+@_register("record_source_stream", _EVENT)
+def record_source_stream(spark, sf):
+    """A record table as a stream: four runs, two after a commit each, one after two commits, one with nothing new."""
+    base = _scratch(spark, "source")
+    source = RecordTable(spark, f"{base}/records", _SCOPE)
+    replica = CommitLog(spark, f"{base}/replica", "record-copy", RECORDS, zone="position")
+    for spans in ([(0.0, 0.3)], [(0.2, 0.5)], [(0.5, 0.8), (0.7, 1.0)], []):
+        for low, high in spans:
+            source.append(_facts(spark, sf, low, high)[0])
+        follow_table(spark, source.log.kind, source.log.path, replica, f"{base}/progress")
+    return replica.read().select("position", "record_id", F.col("payload").cast("string").alias("payload"))
+
+
+@_register("record_source_range", f"""
+WITH e AS ({_EVENT}), h AS (SELECT max(position) AS head FROM e)
+SELECT position // 1000 AS block, count(*) AS records, min(position) AS first, max(position) AS last FROM e, h WHERE position > head // 3 AND position <= 2 * head // 3 GROUP BY ALL""")
+def record_source_range(spark, sf):
+    """The middle third of a record table: the filter on the position chooses the files of the data source, and positions alone are read."""
+    source = RecordTable(spark, _scratch(spark, "source"), _SCOPE)
+    for low, high in ((0.0, 0.6), (0.4, 1.0)):
+        head = source.append(_facts(spark, sf, low, high)[0])
+    rows = read_table(spark, source.log.kind, source.log.path, columns="position")
+    rows = rows.filter((F.col("position") > head // 3) & (F.col("position") <= 2 * head // 3))
+    return rows.groupBy(F.floor(F.col("position") / 1000).alias("block")).agg(F.count("*").alias("records"), F.min("position").alias("first"), F.max("position").alias("last"))
+
+
+@_register("catalogue_source_stream", f"WITH {_FOLD}, {_state_sql('c')} SELECT entry_id, creation, revision, deleted, payload FROM c")
+def catalogue_source_stream(spark, sf):
+    """A catalogue as a stream of states by revision: a copy that follows it commit by commit, keeping the newest, ends with the same entries."""
+    base = _scratch(spark, "source")
+    source = CatalogueTable(spark, f"{base}/catalogue", _SCOPE)
+    copy = CommitLog(spark, f"{base}/copy", "catalogue-copy", source.log.schema, zone="creation", top="revision", fold=source.log.fold)
+    log = B.mutation_log(spark, sf).withColumn("payload", F.col("payload").cast("binary"))
+    third = (log.agg(F.max("seq")).first()[0] or 0) // 3 + 1
+    for k in range(3):
+        source.apply(log.filter(F.floor(F.col("seq") / third) == k))
+        follow_table(spark, source.log.kind, source.log.path, copy, f"{base}/progress")
+    return _told(copy.fold(copy.read()))
+
+
 @_register("hint_stream", """
 WITH n AS (SELECT max(event_id) AS top FROM events),
 e AS (SELECT CAST(user_id % 20 AS VARCHAR) AS stream, event_id * 7919 % 10007 AS head, ts, CASE WHEN event_id % 10 = 0 THEN 3 WHEN event_id < top * 3 // 4 THEN 1 ELSE 2 END AS file FROM events, n),

@@ -129,6 +129,33 @@ class Snapshot:
     about: dict = field(default_factory=dict)
 
 
+def _name(version: int) -> str:
+    return f"_log/{version:020d}.json"
+
+
+def latest_version(files) -> int:
+    return max((int(x[:20]) for x in files.list("_log")), default=0)
+
+
+def load_snapshot(files, version: int | None = None) -> Snapshot:
+    """A version of the table in ``files`` (anything that can read and list them); the latest by default."""
+    version = latest_version(files) if version is None else version
+    documents = []
+    for v in range(version, 0, -1):
+        text = files.read(_name(v))
+        if text is None:
+            raise Refusal("Unavailable", f"version {v}")
+        documents.append(json.loads(text))
+        if "all" in documents[-1]:
+            break
+    segments: list[str] = []
+    about: dict = {}
+    for d in reversed(documents):
+        segments = [s for s in d.get("all", segments) if s not in set(d.get("removed", []))] + (d["added"] if "all" not in d else [])
+        about |= d.get("about", {})
+    return Snapshot(version, tuple(segments), documents[0]["state"] if documents else {}, {s: about.get(s, {"level": 0}) for s in segments})
+
+
 class CommitLog:
     """A table of immutable segments with one state document for each version.
 
@@ -153,30 +180,12 @@ class CommitLog:
         if found != {"kind": kind, "version": FORMAT_VERSION}:
             raise Refusal("ForeignTable", f"{path} is {found}")
 
-    @staticmethod
-    def _name(version: int) -> str:
-        return f"_log/{version:020d}.json"
-
     def latest(self) -> int:
-        return max((int(x[:20]) for x in self.files.list("_log")), default=0)
+        return latest_version(self.files)
 
     def snapshot(self, version: int | None = None) -> Snapshot:
         """A pinned version; the latest by default."""
-        version = self.latest() if version is None else version
-        documents = []
-        for v in range(version, 0, -1):
-            text = self.files.read(self._name(v))
-            if text is None:
-                raise Refusal("Unavailable", f"version {v}")
-            documents.append(json.loads(text))
-            if "all" in documents[-1]:
-                break
-        segments: list[str] = []
-        about: dict = {}
-        for d in reversed(documents):
-            segments = [s for s in d.get("all", segments) if s not in set(d.get("removed", []))] + (d["added"] if "all" not in d else [])
-            about |= d.get("about", {})
-        return Snapshot(version, tuple(segments), documents[0]["state"] if documents else {}, {s: about.get(s, {"level": 0}) for s in segments})
+        return load_snapshot(self.files, version)
 
     def _open(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
@@ -264,7 +273,7 @@ class CommitLog:
         document: dict = {"version": version, "added": added, "removed": removed, "state": state, "about": about}
         if len(removed) == len(expected.segments) or version % SUMMARY_EVERY == 0:
             document |= {"all": live, "removed": [], "about": {s: known[s] for s in live}}
-        if not self.files.create(self._name(version), json.dumps(document)):
+        if not self.files.create(_name(version), json.dumps(document)):
             raise Refusal("Stale", f"version {version} is taken")
         return Snapshot(version, tuple(live), state, {s: known[s] for s in live})
 

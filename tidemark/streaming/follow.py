@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.schema import Refusal
 from tidemark.sources.commitlog import CommitLog
+from tidemark.sources.datasource import stream_table
 from tidemark.sources.tables import CatalogueTable
 
 
@@ -31,6 +32,18 @@ def follow(spark: SparkSession, source: str, schema: StructType, target: CommitL
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     if max_bytes:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
+    return _follow(spark, reader.parquet(source), target, checkpoint)
+
+
+def follow_table(spark: SparkSession, kind: str, source: str, target: CommitLog, checkpoint: str, **options: str | int) -> int:
+    """Bring ``target`` up to the record or catalogue table at ``source``; returns the number of batches that added rows.
+
+    A run is one batch of what was committed since the run before; its offset, a position or revision, is in the checkpoint.
+    """
+    return _follow(spark, stream_table(spark, kind, source, **options), target, checkpoint)
+
+
+def _follow(spark: SparkSession, arrivals: DataFrame, target: CommitLog, checkpoint: str) -> int:
     added, origin = 0, None
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -50,7 +63,7 @@ def follow(spark: SparkSession, source: str, schema: StructType, target: CommitL
             return
         added += 1
 
-    query = reader.parquet(source).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = arrivals.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return added
 
