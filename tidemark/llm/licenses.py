@@ -88,6 +88,8 @@ SPDX = r"(?i)SPDX-License-Identifier:[ \t(]*([a-z0-9][a-z0-9.+-]*)"
 #: Windows begin at most BEFORE units before a line that is looked at, and are this many units long.
 UNIT = r"\n|(?<=[.;:!?])[ \t]+"
 BEFORE, WIDTHS = 3, (1, 2, 3, 4, 6, 8, 11, 15, 20, 27, 36, 48)
+#: Windows of so many neighbouring starts are cut by one task.
+BLOCK = 64
 
 
 def _terms(text: str) -> list[str]:
@@ -173,13 +175,24 @@ def document_weights(files: DataFrame) -> tuple[dict[str, float], float]:
 
 
 def _header_windows(rows: DataFrame) -> DataFrame:
-    """``digest``, ``start``, ``width``, ``terms`` of windows of lines and sentences around lines that are looked at."""
+    """``digest``, ``block``, ``start``, ``width``, ``terms`` of windows of lines and sentences around lines that are looked at.
+
+    A text is cut into blocks of ``BLOCK`` starts, each with the units that its windows reach, and blocks are dealt out: the work is linear
+    in a text and does not meet in one task.
+    """
     units = F.filter(F.split("text", UNIT), lambda x: x.rlike("[A-Za-z0-9]"))
-    at = F.filter(F.transform("units", lambda x, i: F.when(x.rlike(ANCHOR), i)), lambda i: i.isNotNull())
+    cut = rows.select("digest", units.alias("units")).filter(F.size("units") > 0)
+    ids = F.sequence(F.lit(0), F.floor((F.size("units") - 1) / BLOCK).cast("int"))
+    blocks = F.transform(ids, lambda b: F.struct(b.alias("block"), F.slice("units", b * BLOCK + 1, BLOCK + max(WIDTHS)).alias("near")))
+    dealt = cut.select("digest", F.size("units").alias("n"), F.explode(blocks).alias("b")).select("digest", "n", "b.*")
+    dealt = dealt.filter(F.exists(F.slice("near", 1, BLOCK + BEFORE), lambda x: x.rlike(ANCHOR)))
+    dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "digest", "block")
+    at = F.filter(F.transform(F.slice("near", 1, BLOCK + BEFORE), lambda x, i: F.when(x.rlike(ANCHOR), i)), lambda i: i.isNotNull())
     starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - BEFORE, F.lit(0)), i))))
-    cut = rows.select("digest", units.alias("units")).select("digest", "units", F.explode(starts).alias("start"))
-    cut = cut.withColumn("width", F.explode(F.lit(list(WIDTHS)))).filter("width = 1 OR start + width <= size(units) OR start + width - size(units) < width / 3")
-    return cut.select("digest", "start", "width", _term_array(F.array_join(F.slice("units", F.col("start") + 1, F.col("width")), " ")).alias("terms"))
+    at_start = F.explode(F.filter(starts, lambda i: i < BLOCK)).alias("i")
+    cut = dealt.select("digest", "block", "n", "near", at_start).withColumn("start", F.col("block") * BLOCK + F.col("i"))
+    cut = cut.withColumn("width", F.explode(F.lit(list(WIDTHS)))).filter("width = 1 OR start + width <= n OR start + width - n < width / 3")
+    return cut.select("digest", "block", "start", "width", _term_array(F.array_join(F.slice("near", F.col("i") + 1, F.col("width")), " ")).alias("terms"))
 
 
 def detect_texts(files: DataFrame) -> DataFrame:
@@ -194,7 +207,7 @@ def detect_texts(files: DataFrame) -> DataFrame:
     rest = texts.join(full, "digest", "left_anti")
     spdx = rest.select("digest", F.regexp_extract("text", SPDX, 1).alias("license")).filter("license <> ''")
     spdx = spdx.withColumn("license", F.regexp_replace("license", r"(?i)-only$|-or-later$|\+$", "")).withColumn("score", F.lit(1.0))
-    headers = _nearest(_header_windows(rest), ["digest", "start", "width"], HEADERS, idf, unknown, LEAST_HEADER)
+    headers = _nearest(_header_windows(rest), ["digest", "block", "start", "width"], HEADERS, idf, unknown, LEAST_HEADER)
     kinds = ((0, full), (1, spdx), (2, headers))
     found = None
     for kind, df in kinds:
