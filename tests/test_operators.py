@@ -235,3 +235,14 @@ def test_history_and_manifest_rules(spark):
     rows = spark.createDataFrame([(1, 1, "c", 1, 3), (1, 2, "a", 2, 4), (2, 1, "a", 1, 3), (4, 1, "x", 10, 11), (5, 1, "c", 3, 3), (5, 2, "c", 4, 4)], "page int, ordinal int, entry_id string, creation bigint, revision bigint")
     got = {r["page"]: r["refusal"] for r in validate.manifests(rows, req).collect()}
     assert got == {1: None, 2: "InvalidOrder", 3: "NoProgress", 4: "InvalidOrder", 5: "InvalidOrder"}
+
+
+def test_refused_rows_take_no_position(spark):
+    """Known, conflicting and new records in one batch, over several buckets of the order."""
+    from tidemark.operators.records import append_plan
+
+    incoming = spark.createDataFrame([(k * 40_000, f"r{k}", f"p{k}".encode()) for k in range(1, 9)] + [(None, "r9", b"x"), (400_000, "r9", b"y"), (None, "r1", b"z")], "seq bigint, record_id string, payload binary")
+    saved = spark.createDataFrame([("r2", b"p2"), ("r3", b"other")], "record_id string, payload binary")
+    got = {r["record_id"]: (r["position"], r["refusal"]) for r in append_plan(incoming, saved, 100).collect()}
+    bad = (None, "ConflictingRecord")
+    assert got == {"r1": bad, "r3": bad, "r9": bad, "r4": (101, None), "r5": (102, None), "r6": (103, None), "r7": (104, None), "r8": (105, None)}

@@ -230,10 +230,12 @@ def append_plan(incoming: DataFrame, saved: DataFrame, head: int) -> DataFrame:
             (F.col("kinds") > 1) | (F.col("__saved").isNotNull() & (F.col("__saved") != own)), "ConflictingRecord"
         ),
     )
-    new = marked.filter("refusal IS NULL AND __saved IS NULL")
-    placed = with_rank(new, "seq", "place").select("record_id", "payload", (F.col("place") + head).alias("position"), F.lit(None).cast("string").alias("refusal"))
-    refused = marked.filter("refusal IS NOT NULL").select("record_id", "payload", F.lit(None).cast("bigint").alias("position"), "refusal")
-    return placed.unionByName(refused)
+    # New and refused rows go through one plan; a refused row is told even if it has no ``seq``.
+    told = marked.filter("refusal IS NOT NULL OR __saved IS NULL")
+    told = told.withColumn("seq", F.when(F.col("refusal").isNotNull(), F.coalesce("seq", F.lit(0))).otherwise(F.col("seq")))
+    good = F.col("refusal").isNull()
+    placed = with_rank(told, "seq", "place", only=good)
+    return placed.select("record_id", "payload", F.when(good, F.col("place") + head).alias("position"), "refusal")
 
 
 def duplicate_bytes(received: DataFrame, seen: int) -> DataFrame:

@@ -44,13 +44,14 @@ class IdIndex:
     def _path(self, run: dict) -> str:
         return f"{self.log.path}/ids/{run['name']}"
 
-    def _read(self, run: dict, buckets: list[int] | None) -> DataFrame:
-        path = self._path(run)
-        reader = self.spark.read.schema(_SCHEMA)
+    def _read(self, runs: list[dict], buckets: dict[str, list[int]] | None) -> DataFrame:
+        """Runs, or the named buckets of each, in one scan: a union of scans would be joined run by run."""
         if buckets is None:
-            return reader.parquet(path)
-        there = [f"{path}/bucket={b}" for b in buckets if self.log.files.list(f"ids/{run['name']}/bucket={b}")]
-        return reader.parquet(*there) if there else self.spark.createDataFrame([], _SCHEMA)
+            paths = [self._path(r) for r in runs]
+        else:
+            paths = [f"{self._path(r)}/bucket={b}" for r in runs for b in buckets[r["name"]] if self.log.files.list(f"ids/{r['name']}/bucket={b}")]
+        reader = self.spark.read.schema(_SCHEMA).option("recursiveFileLookup", "true")
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], _SCHEMA)
 
     def lookup(self, ids: DataFrame) -> DataFrame:
         """What is known of the ids of a batch (``record_id``)."""
@@ -59,8 +60,7 @@ class IdIndex:
         bits = max(r["bits"] for r in self.runs)
         met = [r["b"] for r in ids.select(_bucket(bits).alias("b")).distinct().limit(NAMED_BUCKETS + 1).collect()]
         few = len(met) <= NAMED_BUCKETS
-        found = [self._read(r, sorted({b >> bits - r["bits"] for b in met}) if few else None) for r in self.runs]
-        rows = functools.reduce(DataFrame.unionByName, found)
+        rows = self._read(self.runs, {r["name"]: sorted({b >> bits - r["bits"] for b in met}) for r in self.runs} if few else None)
         named = [r["record_id"] for r in ids.select("record_id").limit(NAMED_IDS + 1).collect()] if few else []
         if few and len(named) <= NAMED_IDS:
             return rows.filter(functools.reduce(Column.__or__, [F.col("record_id") == i for i in named], F.lit(False)))
@@ -81,7 +81,7 @@ class IdIndex:
         runs = [*self.runs, self._write(rows.withColumn("digest", digest(F.col("payload"))), count, 0)]
         level = 0
         while len(full := [r for r in runs if r["level"] == level]) >= FANIN:
-            merged = functools.reduce(DataFrame.unionByName, [self._read(r, None) for r in full])
+            merged = self._read(full, None)
             runs = [r for r in runs if r["level"] != level] + [self._write(merged, sum(r["rows"] for r in full), level + 1)]
             level += 1
         return runs
