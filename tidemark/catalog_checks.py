@@ -20,10 +20,11 @@ from tidemark.plans.transfer import transfer_all
 from tidemark.schema import ENTRIES, RECORDS, STAGED, Limits, Scope
 from tidemark.sources.commitlog import CommitLog
 from tidemark.sources.datasource import read_table
-from tidemark.sources.epochs import EpochLedger, EpochReplica, Stamped
+from tidemark.sources.epochs import EpochLedger, EpochReplica, Stamped, rows_digest
 from tidemark.sources.memory import MemoryAuthorizer
 from tidemark.sources.streams import StreamsReplica
 from tidemark.sources.tables import ArtifactCache, ArtifactTable, CatalogueTable, RecordTable, ReplicaTable
+from tidemark.sources.views import CatalogueView, RecordView
 from tidemark.streaming.follow import fold, follow_hints, follow_table
 from tidemark.workdir import work_dir
 
@@ -274,6 +275,30 @@ def history_install(spark, sf):
     return rows.withColumns({"live_head": F.lit(progress["live_head"]).cast("bigint"), "lower_bound": F.lit(progress["lower_bound"]).cast("bigint")})
 
 
+@_register("history_from_view", f"""
+WITH h AS (SELECT max(position) AS head FROM ({_EVENT}))
+SELECT position, record_id, payload, head AS live_head, head - 119 AS lower_bound FROM ({_EVENT}), h WHERE position > head - 120""")
+def history_from_view(spark, sf):
+    """A tail and two older pages of 40 records, read from the table of events through the port, and installed."""
+    source, view = RecordView(B.event_records(spark, sf), _SCOPE), ReplicaTable(spark, _scratch(spark, "view"))
+    limits = Limits(40, 1 << 20, 1 << 19)
+    progress = history_plans.fetch_tail(_SCOPE, limits, _ALLOW, source, view)
+    for _ in range(2):
+        progress = history_plans.fetch_older(_SCOPE, limits, _ALLOW, source, view)
+    rows = view.log.read().select("position", "record_id", F.col("payload").cast("string").alias("payload"))
+    return rows.withColumns({"live_head": F.lit(progress["live_head"]).cast("bigint"), "lower_bound": F.lit(progress["lower_bound"]).cast("bigint")})
+
+
+@_register("epoch_page_digests", f"""
+SELECT (position - 1) // 256 AS page, count(*) AS records,
+  sha256(string_agg(position || ':' || sha256(record_id) || ':' || sha256(payload), chr(10) ORDER BY position)) AS digest
+FROM ({_EVENT}) GROUP BY 1""")
+def epoch_page_digests(spark, sf):
+    """What a seal says about the records of each page of 256, over the whole stream."""
+    rows = B.event_records(spark, sf).all().withColumn("payload", F.col("payload").cast("binary"))
+    return rows.groupBy(F.floor((F.col("position") - 1) / 256).alias("page")).agg(F.count("*").alias("records"), rows_digest().alias("digest"))
+
+
 def _source(spark, sf) -> CatalogueTable:
     """The whole mutation log in two batches."""
     table = CatalogueTable(spark, _scratch(spark, "catalogue"), _SCOPE)
@@ -323,6 +348,21 @@ def catalogue_pass_cached(spark, sf):
     return _told(cache.entries())
 
 
+@_register("catalogue_pass_view", f"WITH {_FOLD}, {_state_sql('c')} SELECT entry_id, creation, revision, deleted, payload FROM c")
+def catalogue_pass_view(spark, sf):
+    """The same pass over a plain table of current states, written once in the order of creation and read by ranges of it."""
+    states = catalogue.current(_mutations(spark, sf)).withColumns({"payload": F.col("payload").cast("binary"), "visible": F.lit(True)})
+    path = _scratch(spark, "states")
+    states.repartitionByRange("creation").sortWithinPartitions("creation").write.parquet(path)
+    table = spark.read.schema(states.schema).parquet(path)
+    head = table.agg(F.coalesce(F.max("revision"), F.lit(0))).first()[0]
+    source, cache = CatalogueView(spark, table, _SCOPE, head), _cache(spark)
+    going = passes.begin_or_resume(_SCOPE, _ALLOW, source, cache)
+    while going and going.active:
+        going = passes.apply_next_page(going, 256, _ALLOW, source, cache)
+    return _told(cache.entries())
+
+
 @_register("catalogue_recovered", f"WITH {_FOLD}, {_state_sql('c')} SELECT entry_id, creation, revision, deleted, payload FROM c")
 def catalogue_recovered(spark, sf):
     """A fresh receiver enumerates the source, then starts over with what it holds as candidates; every step reopens the cache from its log."""

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import history as windows
 from tidemark.operators.history import HydrationQueue
 from tidemark.schema import Limits, Refusal, Scope
+from tidemark.sources.ports import HistorySource, HistoryStore
 from tidemark.sources.streams import StreamsReplica
-from tidemark.sources.tables import RecordTable, ReplicaTable
 
 
 def check_history(rows: DataFrame, first: int, last: int, oldest: int, limits: Limits) -> None:
@@ -32,7 +32,7 @@ def check_history(rows: DataFrame, first: int, last: int, oldest: int, limits: L
         raise Refusal("Noncontiguous")
 
 
-def fetch_tail(scope: Scope, limits: Limits, access: Any, source: RecordTable, store: ReplicaTable) -> dict:
+def fetch_tail(scope: Scope, limits: Limits, access: Any, source: HistorySource, store: HistoryStore) -> dict:
     """Install the newest records under the next generation; returns the progress."""
     access.authorize(scope)
     before = store.progress()
@@ -42,7 +42,7 @@ def fetch_tail(scope: Scope, limits: Limits, access: Any, source: RecordTable, s
     return store.install_tail(scope, before["generation"] + 1 if before else 1, tail)
 
 
-def fetch_older(scope: Scope, limits: Limits, access: Any, source: RecordTable, store: ReplicaTable) -> dict:
+def fetch_older(scope: Scope, limits: Limits, access: Any, source: HistorySource, store: HistoryStore) -> dict:
     """Install the page before what is loaded; the page must end exactly there."""
     access.authorize(scope)
     before = store.progress()
@@ -58,7 +58,7 @@ def fetch_older(scope: Scope, limits: Limits, access: Any, source: RecordTable,
     return store.install_older(scope, before["generation"], page)
 
 
-def hydrate(scope: Scope, queue: HydrationQueue, limits: Limits, access: Any, source: RecordTable, store: ReplicaTable) -> dict:
+def hydrate(scope: Scope, queue: HydrationQueue, limits: Limits, access: Any, source: HistorySource, store: HistoryStore) -> dict:
     """Fetch a tail if nothing is loaded, then older pages until no need of the queue waits or nothing older is left."""
     progress = store.progress() or fetch_tail(scope, limits, access, source, store)
     while queue.next_target(progress["lower_bound"]) is not None and progress["lower_bound"] > progress["oldest_available"]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import catalogue
 from tidemark.schema import MAX_CATALOGUE_ENTRIES, MAX_PAGE_BYTES, PROOFS, Refusal, Scope
 from tidemark.sources.commitlog import CommitLog
-from tidemark.sources.tables import CatalogueTable
+from tidemark.sources.ports import CatalogueSource, CatalogueStore, RecoveryStore
 
 MAX_GENERATION = (1 << 63) - 1
 Cursor = tuple[int, str]
@@ -216,7 +216,7 @@ class CatalogueCache:
         return after
 
 
-def begin_or_resume(scope: Scope, access: Any, source: CatalogueTable, cache: CatalogueCache, with_horizon: bool = False) -> Progress | None:
+def begin_or_resume(scope: Scope, access: Any, source: CatalogueSource, cache: CatalogueStore, with_horizon: bool = False) -> Progress | None:
     """The active pass, or a new one if the source has moved; None if there is nothing to do."""
     access.authorize(scope)
     current = cache.progress()
@@ -277,7 +277,7 @@ def _check_values(told: DataFrame, values: DataFrame, floors: DataFrame | None)
 
 
 def apply_next_page(
-    progress: Progress, limit: int, access: Any, source: CatalogueTable, cache: CatalogueCache, max_bytes: int = MAX_PAGE_BYTES,
+    progress: Progress, limit: int, access: Any, source: CatalogueSource, cache: CatalogueStore, max_bytes: int = MAX_PAGE_BYTES,
     with_horizon: bool = False, recovery: Any = None,
 ) -> Progress:
     """Stage a whole page (manifest, unchanged, resolved values) of one snapshot and commit it with its cursor.
@@ -318,7 +318,7 @@ def apply_next_page(
         told.unpersist()
 
 
-def reset_catalogue(scope: Scope, access: Any, cache: CatalogueCache) -> Progress:
+def reset_catalogue(scope: Scope, access: Any, cache: CatalogueStore) -> Progress:
     """Start over in the same stable target; deletion markers stay."""
     access.authorize(scope)
     current = cache.progress()
@@ -351,7 +351,7 @@ def check_recovery(going: Recovery) -> Recovery:
 
 
 def start_recovery(
-    scope: Scope, boundary: int, access: Any, cache: CatalogueCache, pending: DataFrame | None = None, horizon: int | None = None
+    scope: Scope, boundary: int, access: Any, cache: RecoveryStore, pending: DataFrame | None = None, horizon: int | None = None
 ) -> tuple[Recovery, DataFrame]:
     """Erase live rows and keep their revisions as floors, all in one commit: returns the recovery and its candidates.
 
@@ -379,7 +379,7 @@ def start_recovery(
     return check_recovery(Recovery(after, boundary)), cache.candidates()
 
 
-def start_fresh_recovery(scope: Scope, access: Any, source: CatalogueTable, cache: CatalogueCache) -> tuple[Recovery, DataFrame]:
+def start_fresh_recovery(scope: Scope, access: Any, source: CatalogueSource, cache: RecoveryStore) -> tuple[Recovery, DataFrame]:
     """Recovery of a receiver that holds nothing: head and horizon come from one snapshot of the source."""
     if cache.progress() is not None:
         raise Refusal("Stale")
@@ -388,7 +388,7 @@ def start_fresh_recovery(scope: Scope, access: Any, source: CatalogueTable, cach
     return start_recovery(scope, source.head(at), access, cache, horizon=source.horizon(at))
 
 
-def step_recovery(going: Recovery, candidates: DataFrame, limit: int, access: Any, source: CatalogueTable, cache: CatalogueCache, with_horizon: bool = False) -> tuple[Recovery | None, DataFrame]:
+def step_recovery(going: Recovery, candidates: DataFrame, limit: int, access: Any, source: CatalogueSource, cache: RecoveryStore, with_horizon: bool = False) -> tuple[Recovery | None, DataFrame]:
     """One bounded step, saved with its phase, so that it may be the last of a process; None once recovery has finished.
 
     ``candidates`` are those that the step before left; they are read from the cache, which is what counts.

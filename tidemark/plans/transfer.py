@@ -3,22 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from typing import Protocol
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import artifacts
 from tidemark.schema import MAX_CHUNK_BYTES, STAGED, Refusal
+from tidemark.sources.ports import ChunkSource, TransferStore
 from tidemark.sources.tables import ArtifactCache, ArtifactTable
 
 
-class ArtifactSource(Protocol):
-    def manifest(self, artifact_id: str) -> dict: ...
-
-    def chunk(self, artifact_id: str, revision: int, offset: int, size: int) -> bytes: ...
-
-
 def check_chunk(manifest: dict, offset: int, size: int, data: bytes) -> None:
     """Refuse a chunk that was not to be asked for, or has another length than the artifact leaves it."""
     if manifest["deleted"] or manifest["revision"] <= 0 or not 0 < size <= MAX_CHUNK_BYTES or not 0 <= offset < manifest["length"]:
@@ -27,7 +20,7 @@ def check_chunk(manifest: dict, offset: int, size: int, data: bytes) -> None:
         raise Refusal("WrongLength")
 
 
-def transfer_one(artifact_id: str, size: int, source: ArtifactSource, cache: ArtifactCache) -> dict:
+def transfer_one(artifact_id: str, size: int, source: ChunkSource, cache: TransferStore) -> dict:
     """Accept the current manifest, then fetch and stage the next chunk if one is missing."""
     if not 0 < size <= MAX_CHUNK_BYTES:
         raise Refusal("InvalidRequest")
@@ -40,7 +33,7 @@ def transfer_one(artifact_id: str, size: int, source: ArtifactSource, cache: Art
     return cache.append(artifact_id, state["next"], data)
 
 
-def publish_if_current(artifact_id: str, source: ArtifactSource, cache: ArtifactCache) -> dict:
+def publish_if_current(artifact_id: str, source: ChunkSource, cache: TransferStore) -> dict:
     """Publish what is staged only if the source still names it; a newer or deleted state is taken first."""
     m = source.manifest(artifact_id)
     state = cache.accept(artifact_id, m["revision"], m["length"], m["digest"], m["deleted"])

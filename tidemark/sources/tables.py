@@ -216,11 +216,28 @@ class ReplicaTable:
 
     @staticmethod
     def _check_epoch(at: Snapshot, epoch: tuple[str, int] | None) -> dict:
-        """The epochs saved in a snapshot, which a commit on it keeps; evidence must be of exactly the one observed."""
-        seen = at.state.get("epochs", {})
-        if epoch is not None and seen.get(epoch[0]) != epoch[1]:
+        """The epochs and the admission saved in a snapshot, which a commit on it keeps.
+
+        Evidence must be of exactly the epoch observed; where an admission is bound, nothing is applied without evidence.
+        """
+        if epoch is None and at.state.get("admission"):
+            raise Refusal("Unadmitted")
+        if epoch is not None and at.state.get("epochs", {}).get(epoch[0]) != epoch[1]:
             raise Refusal("StaleEpoch")
-        return {"epochs": seen} if seen else {}
+        return ReplicaTable._bound(at)
+
+    @staticmethod
+    def _bound(at: Snapshot) -> dict:
+        return {k: at.state[k] for k in ("epochs", "admission") if at.state.get(k)}
+
+    def bind_admission(self, name: str | None) -> None:
+        """Bind the replica to an admission for good; one that is bound opens with no other, nor without."""
+        at = self.log.snapshot()
+        bound = at.state.get("admission")
+        if bound and bound != name:
+            raise Refusal("WrongBinding" if name else "Unadmitted")
+        if name and not bound:
+            self.log.commit(at, at.state | {"admission": name})
 
     def observe_epoch(self, authority: str, epoch: int) -> int:
         """Raise the durable floor of an authority's epochs."""
@@ -305,7 +322,7 @@ class ReplicaTable:
     def fence_deletion(self, scope: Scope) -> dict:
         at = self.log.snapshot()
         progress = history.progress_after_deletion(at.state.get("history"))
-        self.log.commit(at, {"scope": asdict(scope), "position": 0, "history": progress} | self._check_epoch(at, None), self.log.read(at).limit(0), replace=True)
+        self.log.commit(at, {"scope": asdict(scope), "position": 0, "history": progress} | self._bound(at), self.log.read(at).limit(0), replace=True)
         return progress
 
 
