@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -603,6 +604,105 @@ def test_model_is_normalised(spark):
     assert len(used) and np.allclose(mass[used] + 10 ** -vocab.other_log[used], 1)
 
 
+def _small_model(spark):
+    counts = spark.createDataFrame([(bytearray(w), n) for w, n in ((b"", 50), *[(f"w{i}".encode(), 900 - i) for i in range(80)], *[(f"{i}word".encode(), 1 + i % 3) for i in range(900)], *[(f"{i}ing".encode(), 2 + i % 5) for i in range(300)])], "word binary, n bigint")
+    vocab, class_share, row_share, _, _ = lm.vocabulary(counts)
+    net = lm.Net.start(len(vocab.code_class), class_share, row_share, vocab.code_class)
+    net.u += np.random.default_rng(1).normal(0, 0.3, net.u.shape).astype(np.float32)
+    return vocab, class_share, row_share, net
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_scores_of_far_logits(spark, scale):
+    """Logits whose exponentials do not fit 32 bits are scored too."""
+    vocab, _, _, net = _small_model(spark)
+    net = lm.Net(net.r * scale, net.c * 3, net.v * scale, net.u * scale)
+    size, rng = len(vocab.code_class), np.random.default_rng(2)
+    context, target = rng.integers(0, size + 1, (lm.CONTEXT, 700)), rng.integers(0, size, 700)
+    q = np.column_stack([sum(net.r[c].astype(float) @ m for c, m in zip(context, net.c)), np.ones(700)])
+
+    def log_softmax(z, at):
+        most = z.max()
+        return z[at] - most - math.log(np.exp(z - most).sum())
+
+    want = []
+    for x, t in zip(q, target):
+        k = vocab.code_class[t]
+        a, b = vocab.class_row[k], vocab.class_row[k + 1]
+        want.append((log_softmax(net.v @ x, k) + (log_softmax(net.u[a:b] @ x, vocab.code_row[t] - a) if b - a > 1 else 0)) / math.log(10))
+    assert (np.abs(net.v @ q.T).max() > 1000) == (scale > 1)
+    assert np.allclose(lm.Scorer(net, vocab).log10_next(list(context), target), want, rtol=1e-5, atol=1e-4)
+
+
+def test_a_training_step_follows_the_gradient(spark):
+    """One step against the noise-contrastive objective, token by token in double precision."""
+    vocab, class_share, row_share, net = _small_model(spark)
+    start = len(vocab.code_class)
+    codes = np.random.default_rng(3).integers(0, start + 1, (6, lm.CONTEXT + lm.SEGMENT))
+    codes[:3, :lm.CONTEXT] = start
+    trainer = lm.Trainer(net, vocab, class_share, row_share, seed=9)
+    rng = np.random.default_rng(9)
+    pick = np.searchsorted(trainer.class_reach, rng.random(lm.NOISE_SAMPLE) * trainer.class_reach[-1], "right") - 1
+    shared = np.flatnonzero(np.diff(vocab.class_row) > 1)
+    low, high = vocab.class_row[shared][:, None], vocab.class_row[shared + 1][:, None]
+    reach = np.concatenate([[0.0], np.cumsum(row_share)])
+    drawn = np.searchsorted(reach, reach[low] + rng.random((len(shared), lm.NOISE_INSIDE)) * (reach[high] - reach[low]), "right") - 1
+    drawn = dict(zip(shared.tolist(), np.clip(drawn, low, high - 1)))
+    r, c, v, u = (x.astype(float) for x in net.parts())
+    grads = [np.zeros_like(x) for x in (r, c, v, u)]
+    log_noise, row_noise = np.log(lm.NOISE * trainer.noise), np.log(lm.NOISE_INSIDE * np.maximum(row_share, 1e-30))
+    n = codes[:, lm.CONTEXT:].size
+    for run in codes:
+        for t in range(lm.CONTEXT, len(run)):
+            if run[t] == start:
+                continue
+            near = [run[t - 1 - i] for i in range(lm.CONTEXT)]
+            q = np.append(sum(r[w] @ m for w, m in zip(near, c)), 1)
+            dq = np.zeros_like(q)
+
+            def learn(table, grad, row, noise, label, weight):
+                g = weight * (label - 1 / (1 + math.exp(noise - table[row] @ q))) / n
+                grad[row] += g * q
+                return g * table[row]
+
+            k = int(vocab.code_class[run[t]])
+            dq += learn(v, grads[2], k, log_noise[k], 1, 1)
+            for x in pick:
+                dq += learn(v, grads[2], x, log_noise[x], 0, lm.NOISE / lm.NOISE_SAMPLE)
+            if k in drawn:
+                row = vocab.code_row[run[t]]
+                dq += learn(u, grads[3], row, row_noise[row], 1, 1)
+                for x in drawn[k]:
+                    dq += learn(u, grads[3], x, row_noise[x], 0, 1)
+            for i, w in enumerate(near):
+                grads[0][w] += c[i] @ dq[:-1]
+                grads[1][i] += np.outer(r[w], dq[:-1])
+    trainer.step(codes)
+    for got, x, g in zip(trainer.net.parts(), (r, c, v, u), grads):
+        g *= 30
+        assert got.shape == x.shape and np.allclose(got, x + 0.15 * g / np.sqrt(0.01 + g * g), atol=1e-5)
+
+
+def test_scoring_costs_little_more_than_its_arithmetic(spark):
+    """CPU seconds of the exact class softmax against those of its products and exponentials alone, each at its best of some turns."""
+    vocab, _, _, net = _small_model(spark)
+    scorer, target = lm.Scorer(lm.Net(net.r * 40, net.c, net.v, net.u), vocab), np.zeros(1 << 15, np.int64)
+    q = np.random.default_rng(4).normal(0, 0.1, (len(target), lm.DIM + 1)).astype(np.float32)
+    z, ones = np.empty((lm.SCORE_BATCH, lm.CLASSES), np.float32), np.ones(lm.CLASSES, np.float32)
+
+    def plain():
+        for a in range(0, len(q), len(z)):
+            np.exp(np.matmul(q[a : a + len(z)], scorer.vt, out=z), out=z) @ ones
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    turns = [(seconds(plain), seconds(lambda: scorer._softmax(q, scorer.vt, target))) for _ in range(25)]
+    assert min(y for _, y in turns) < 1.75 * min(x for x, _ in turns)
+
+
 def test_language_model_edges(spark):
     assert lm.score(odd(spark)).count() == len(ODD)
     rows = lm.score(odd(spark)).collect()

@@ -29,7 +29,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ CLASSES = 1 + SINGLES + SUFFIXES + HASHED
 PLACES = 160
 DIM, CONTEXT = 16, 3
 NOISE, NOISE_SAMPLE, NOISE_INSIDE = 12.0, 32, 4
-BATCH, SEGMENT, SCORE_BATCH = 2048, 32, 256
+BATCH, SEGMENT, SCORE_BATCH, QUERIES, PRODUCT = 2048, 32, 256, 1 << 13, 256
 SHARD_TOKENS, BLOCK, CHUNK = 1 << 22, 1 << 20, 1 << 18
 AVERAGED = 64
 COUNTER_LIMIT = 200_000
@@ -177,43 +177,67 @@ class Net:
         return Net(*(y.reshape(x.shape).astype(np.float32) for x, y in zip(self.parts(), np.split(flat, cuts))))
 
 
+def _firsts(ids: np.ndarray) -> np.ndarray:
+    """Where each run of equal ids begins."""
+    changes = np.ones(len(ids), bool)
+    np.not_equal(ids[1:], ids[:-1], out=changes[1:])
+    return np.flatnonzero(changes)
+
+
+def _sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of each run of rows, two columns at a time as complex numbers; the number of columns is even."""
+    return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
+
+
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a.T @ b``; long thin products are quicker in blocks."""
+    return sum(a[i : i + PRODUCT].T @ b[i : i + PRODUCT] for i in range(0, len(a), PRODUCT))
+
+
 class Scorer:
     """Normalised log10 probabilities of tokens, as far as classes and places go."""
 
     def __init__(self, net: Net, vocab: Vocabulary):
-        self.rc = [net.r @ net.c[i] for i in range(CONTEXT)]
-        self.vt, self.rows = np.ascontiguousarray(net.v.T), net.u.T
-        longest = sum(np.linalg.norm(x, axis=1).max() for x in self.rc) + 1
-        self.shift = longest * np.linalg.norm(np.vstack([net.v, net.u]), axis=1).max() > 80
+        # The bias' coordinate is 1 in the nearest word's map and 0 in the others, so that their sum is a query.
+        self.rc = [np.column_stack([net.r @ net.c[i], np.full(len(net.r), i == 0, np.float32)]) for i in range(CONTEXT)]
+        self.vt = np.ascontiguousarray(net.v.T)
         self.code_class, self.code_row, self.class_row = vocab.code_class.astype(np.uint16), vocab.code_row, vocab.class_row
         self.shared = np.diff(vocab.class_row) > 1
+        self.inside = [np.ascontiguousarray(net.u[a:b].T) for a, b in zip(vocab.class_row[:-1], vocab.class_row[1:])]
 
     def _softmax(self, q: np.ndarray, table: np.ndarray, target: np.ndarray) -> np.ndarray:
-        out, ones = np.empty(len(q), np.float64), np.ones(table.shape[1], np.float32)
+        out, ones, held = np.empty(len(q), np.float64), np.ones(table.shape[1], np.float32), np.empty((SCORE_BATCH, table.shape[1]), np.float32)
         for a in range(0, len(q), SCORE_BATCH):
-            z = q[a : a + SCORE_BATCH] @ table
-            if self.shift:
-                z -= z.max(axis=1, keepdims=True)
+            qa = q[a : a + SCORE_BATCH]
+            z = np.matmul(qa, table, out=held[: len(qa)])
             hit = z[np.arange(len(z)), target[a : a + SCORE_BATCH]]
-            np.exp(z, out=z)
-            out[a : a + SCORE_BATCH] = hit - np.log(z @ ones)
+            with np.errstate(over="ignore"):
+                total = np.exp(z, out=z) @ ones
+            if not (total.min() > 1e-20 and total.max() < 1e30):  # too far from 0 for 32 bits
+                z = np.matmul(qa, table, out=z)
+                most = z.max(axis=1, keepdims=True)
+                z -= most
+                hit -= most[:, 0]
+                total = np.exp(z, out=z) @ ones
+            out[a : a + SCORE_BATCH] = hit - np.log(total)
         return out
 
     def log10_next(self, context: list[np.ndarray], target: np.ndarray) -> np.ndarray:
         """Context: CONTEXT arrays of codes, nearest first; target: codes."""
-        q = np.ones((len(target), DIM + 1), np.float32)
-        q[:, :DIM] = self.rc[0][context[0]]
-        for i in range(1, CONTEXT):
-            q[:, :DIM] += self.rc[i][context[i]]
-        classes = self.code_class[target]
+        q = np.empty((len(target), DIM + 1), np.float32)
+        for a in range(0, len(target), QUERIES):
+            some = self.rc[0].take(context[0][a : a + QUERIES], axis=0)
+            for i in range(1, CONTEXT):
+                some += self.rc[i].take(context[i][a : a + QUERIES], axis=0)
+            q[a : a + QUERIES] = some
+        classes = self.code_class.take(target)
         out = self._softmax(q, self.vt, classes)
         order = np.argsort(classes, kind="stable")  # 16 bits sort by radix
         order = order[self.shared[classes[order]]]
         cuts = np.flatnonzero(np.diff(classes[order].astype(np.int32), prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:]):
-            mine = order[a:b]
-            first, last = self.class_row[int(classes[mine[0]])], self.class_row[int(classes[mine[0]]) + 1]
-            out[mine] += self._softmax(q[mine], np.ascontiguousarray(self.rows[:, first:last]), self.code_row[target[mine]] - first)
+            mine, k = order[a:b], int(classes[order[a]])
+            out[mine] += self._softmax(q.take(mine, axis=0), self.inside[k], self.code_row.take(target.take(mine)) - self.class_row[k])
         return out / np.log(10)
 
 
@@ -221,10 +245,11 @@ class Trainer:
     """AdaGrad steps on the noise-contrastive objective of both levels; noise comes from the shares of classes and places.
 
     A batch is ``BATCH // SEGMENT`` runs of neighbouring tokens, so that a word's vector is read and moved once for all the tokens after it.
+    Queries and outputs have one more coordinate here, always 0, so that their number is even.
     """
 
     def __init__(self, net: Net, vocab: Vocabulary, class_share: np.ndarray, row_share: np.ndarray, rate: float = 0.15, seed: int = 5):
-        self.net = Net(*(x.copy() for x in net.parts()))
+        self._net = Net(net.r.copy(), net.c.copy(), *(np.pad(x, ((0, 0), (0, 1))) for x in (net.v, net.u)))
         self.noise = class_share**0.75 / (class_share**0.75).sum()
         self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
         self.row_noise = np.log(NOISE_INSIDE * np.maximum(row_share, 1e-30)).astype(np.float32)
@@ -234,68 +259,95 @@ class Trainer:
         self.shared = np.flatnonzero(np.diff(vocab.class_row) > 1)
         self.place = np.full(CLASSES, -1)
         self.place[self.shared] = np.arange(len(self.shared))
-        self.low, self.high = vocab.class_row[self.shared], vocab.class_row[self.shared + 1]
+        self.low, self.high = vocab.class_row[self.shared][:, None], vocab.class_row[self.shared + 1][:, None]
         self.rate, self.rng = np.float32(rate), np.random.default_rng(seed)
-        self.square = [np.full_like(x, 1e-2) for x in net.parts()]
+        self.square = [np.full_like(x, 1e-2) for x in self._net.parts()]
 
-    def _move(self, k: int, at, grad: np.ndarray) -> None:
+    @property
+    def net(self) -> Net:
+        return Net(self._net.r, self._net.c, self._net.v[:, :-1], self._net.u[:, :-1])
+
+    def _move(self, k: int, grad: np.ndarray, at: np.ndarray | None = None) -> None:
         grad *= np.float32(30)
-        square = self.square[k][at] + grad * grad
-        self.square[k][at] = square
-        self.net.parts()[k][at] += self.rate * grad / np.sqrt(square)
+        part, square = self._net.parts()[k], self.square[k]
+        seen = grad * grad
+        seen += square if at is None else square.take(at, axis=0)
+        grad *= self.rate
+        grad /= np.sqrt(seen)
+        if at is None:
+            square[:] = seen
+            part += grad
+        else:
+            square[at] = seen
+            grad += part.take(at, axis=0)
+            part[at] = grad
 
     def _scatter(self, k: int, ids: np.ndarray, rows: np.ndarray) -> None:
         order = np.argsort(ids.astype(np.uint16), kind="stable")  # 16 bits sort by radix
-        ids = ids[order]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        self._move(k, ids[first], np.add.reduceat(rows[order], first, axis=0))
+        ids = ids.take(order)
+        first = _firsts(ids)
+        self._move(k, _sums(rows.take(order, axis=0), first), ids.take(first))
 
     def step(self, codes: np.ndarray) -> None:
         """``codes``: runs of tokens (runs, CONTEXT + SEGMENT), of which the first CONTEXT are context only."""
-        net, target = self.net, codes[:, CONTEXT:].ravel()
+        net, target = self._net, codes[:, CONTEXT:].ravel()
         n = len(target)
-        r = net.r[codes]
-        q = np.ones((n, DIM + 1), np.float32)
-        seen = [r[:, CONTEXT - 1 - i : r.shape[1] - 1 - i].reshape(n, DIM) for i in range(CONTEXT)]
-        q[:, :DIM] = sum(x @ c for x, c in zip(seen, net.c))
-        classes, weight = self.code_class[target], ((target != self.start) / np.float32(n)).astype(np.float32)
+        r = net.r.take(codes, axis=0)
+        # By distance, where a run has the vectors of its tokens' contexts, side by side.
+        before = [slice((CONTEXT - 1 - i) * DIM, (CONTEXT - 1 - i + SEGMENT) * DIM) for i in range(CONTEXT)]
+        ahead = sum((r.reshape(-1, DIM) @ c).reshape(len(codes), -1)[:, near] for c, near in zip(net.c, before))
+        # From here to dq the tokens stand class by class.
+        classes = self.code_class.take(target)
+        order = np.argsort(classes, kind="stable")  # 16 bits sort by radix
+        classes, target = classes.take(order), target.take(order)
+        first = _firsts(classes)
+        q = np.zeros((n, DIM + 2), np.float32)
+        q[:, :DIM], q[:, DIM] = ahead.reshape(n, DIM).take(order, axis=0), 1
+        weight = ((target != self.start) / np.float32(n)).astype(np.float32)
         pick = np.searchsorted(self.class_reach, self.rng.random(NOISE_SAMPLE) * self.class_reach[-1], "right") - 1
-        vt, vn = net.v[classes], net.v[pick]
-        good = weight / (1 + np.exp(np.einsum("nd,nd->n", q, vt) - self.log_noise[classes]))
-        bad = q @ vn.T
-        bad -= self.log_noise[pick]
-        np.negative(bad, out=bad)
+        vt, away = net.v.take(classes, axis=0), -net.v.take(pick, axis=0)
+        away[:, DIM] += self.log_noise[pick]
+        good = weight / (1 + np.exp(np.einsum("nd,nd->n", q, vt) - self.log_noise.take(classes)))
+        bad = q @ away.T
         np.exp(bad, out=bad)
         bad += 1
-        np.divide((weight * np.float32(-NOISE / NOISE_SAMPLE))[:, None], bad, out=bad)
-        dq = good[:, None] * vt + bad @ vn
-        order = np.argsort(classes, kind="stable")
-        first = np.flatnonzero(np.diff(classes[order].astype(np.int32), prepend=-1))
-        gv = np.zeros_like(net.v)
-        gv[classes[order[first]]] = np.add.reduceat((good[:, None] * q)[order], first, axis=0)
-        np.add.at(gv, pick, bad.T @ q)
-
-        inside = order[self.place[classes[order]] >= 0]  # class by class
+        np.divide((weight * np.float32(NOISE / NOISE_SAMPLE))[:, None], bad, out=bad)
+        vt *= good[:, None]
+        dq = bad @ away
+        dq += vt
+        gv = (np.arange(CLASSES)[:, None] == pick).astype(np.float32) @ -_cross(bad, q)
+        gv[classes.take(first)] += _sums(good[:, None] * q, first)
+
+        place = self.place.take(classes)
+        inside = np.flatnonzero(place >= 0)
         if len(inside):
-            k, rows, qi, wi = self.place[classes[inside]], self.code_row[target[inside]], q[inside], weight[inside]
-            low, high = self.reach[self.low][:, None], self.reach[self.high][:, None]
+            k, rows, qi, wi = place.take(inside), self.code_row.take(target.take(inside)), q.take(inside, axis=0), weight.take(inside)
+            low, high = self.reach[self.low], self.reach[self.high]
             drawn = np.searchsorted(self.reach, low + self.rng.random((len(self.shared), NOISE_INSIDE)) * (high - low), "right") - 1
-            drawn = np.clip(drawn, self.low[:, None], self.high[:, None] - 1)
-            ut, un = net.u[rows], net.u[drawn][k]
-            good_in = wi / (1 + np.exp(np.einsum("nd,nd->n", qi, ut) - self.row_noise[rows]))
-            bad_in = -wi[:, None] / (1 + np.exp(self.row_noise[drawn][k] - np.einsum("nkd,nd->nk", un, qi)))
-            dq[inside] += good_in[:, None] * ut + np.einsum("nk,nkd->nd", bad_in, un)
-            begin = np.flatnonzero(np.diff(k, prepend=-1))
-            push = np.add.reduceat(bad_in[:, :, None] * qi[:, None, :], begin, axis=0)
-            self._scatter(3, np.concatenate([rows, drawn[k[begin]].ravel()]), np.concatenate([good_in[:, None] * qi, push.reshape(-1, DIM + 1)]))
-        dq = np.ascontiguousarray(dq[:, :DIM])
-        gc = np.stack([x.T @ dq for x in seen])
-        gr = np.zeros_like(r)
-        for i in range(CONTEXT):
-            gr[:, CONTEXT - 1 - i : r.shape[1] - 1 - i] += (dq @ net.c[i].T).reshape(len(codes), -1, DIM)
+            drawn = np.clip(drawn, self.low, self.high - 1)
+            ut, un = net.u.take(rows, axis=0), -net.u.take(drawn, axis=0)
+            un[:, :, DIM] += self.row_noise[drawn]
+            un = un.take(k, axis=0)
+            good_in = wi / (1 + np.exp(np.einsum("nd,nd->n", qi, ut) - self.row_noise.take(rows)))
+            bad_in = wi[:, None] / (1 + np.exp(np.einsum("nkd,nd->nk", un, qi)))
+            ut *= good_in[:, None]
+            ut += np.einsum("nk,nkd->nd", bad_in, un)
+            ut += dq.take(inside, axis=0)
+            dq[inside] = ut
+            begin = _firsts(k)
+            push = -_sums(np.einsum("nk,nd->nkd", bad_in, qi).reshape(len(qi), -1), begin)
+            qi *= good_in[:, None]
+            self._scatter(3, np.concatenate([rows, drawn.take(k.take(begin), axis=0).ravel()]), np.concatenate([qi, push.reshape(-1, DIM + 2)]))
+        back = np.empty_like(order)
+        back[order] = np.arange(n)
+        dq = dq[:, :DIM].take(back, axis=0)
+        gr = np.zeros((len(codes), codes.shape[1] * DIM), np.float32)
+        for c, near in zip(net.c, before):
+            gr[:, near] += (dq @ c.T).reshape(len(codes), -1)
+        gc = np.stack([r.reshape(len(codes), -1)[:, near].reshape(n, DIM).T @ dq for near in before])
         self._scatter(0, codes.ravel(), gr.reshape(-1, DIM))
-        self._move(1, slice(None), gc)
-        self._move(2, slice(None), gv)
+        self._move(1, gc)
+        self._move(2, gv)
 
     def run(self, stream: np.ndarray) -> None:
         """Go over a stream once, its runs in random order."""
@@ -322,7 +374,7 @@ def code_stream(texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.nda
 def train(encoded: DataFrame, tokens: int, vocab: Vocabulary, net: Net, class_share: np.ndarray, row_share: np.ndarray) -> Net:
     """The average, weighted by tokens, of what every shard of the training texts teaches."""
     spark = encoded.sparkSession
-    held = spark.sparkContext.broadcast((vocab, net, class_share, row_share))  # HEAD words and a network, both bounded
+    held = spark.sparkContext.broadcast((replace(vocab, head={}), net, class_share, row_share))  # places and a network, both bounded
     shards = max(1, -(-tokens // SHARD_TOKENS))
     rows = encoded.filter(~F.col("held_out")).select(F.xxhash64("doc_id", "codes").alias("h"), "codes")
     rows = rows.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "codes")
@@ -483,7 +535,7 @@ def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
 
 def model_scores(encoded: DataFrame, vocab: Vocabulary, net: Net, carry: list[str]) -> DataFrame:
     """The columns ``carry`` and ``model``: the log10 probability of each text's classes and places."""
-    held = encoded.sparkSession.sparkContext.broadcast((vocab, net))  # HEAD words and a network, both bounded
+    held = encoded.sparkSession.sparkContext.broadcast((replace(vocab, head={}), net))  # places and a network, both bounded
 
     def run(batches):
         vocab, net = held.value
