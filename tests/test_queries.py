@@ -62,3 +62,16 @@ def test_queries_see_the_whole_stream(spark, tmp_path):
     row = catalog.queries()["record_page_density"](spark, path).first()
     assert (row["expected"], row["found"], row["distinct_positions"], row["gaps"]) == (5000, 5000, 4999, 1)
     assert catalog.queries()["replica_conflict_ids"](spark, path).agg(F.max("position")).first()[0] > 3300
+
+
+def test_short_artifacts_are_staged_whole(spark, tmp_path):
+    """Texts of 0 to 6 bytes at every remainder of the ids that counts."""
+    path, name = str(tmp_path / "sf"), "artifact_transfer_batch"
+    k = spark.range(1002).withColumnRenamed("id", "doc_id")
+    k.selectExpr("doc_id", "substring('abcdef', 1, cast(doc_id div 7 % 7 as int)) AS text").write.parquet(f"{path}/documents.parquet")
+    got = catalog.queries()[name](spark, path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert _rows(got.columns, got.collect()) == _rows(columns, want.fetchall())

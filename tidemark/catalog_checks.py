@@ -517,14 +517,17 @@ SELECT artifact_id, sha256(CASE WHEN doc_id % 13 = 1 THEN text || '!' ELSE text
   CAST(CASE WHEN doc_id = top THEN 0 WHEN doc_id % 11 = 3 OR doc_id % 7 = 2 THEN greatest(n - 4, 0) ELSE n END AS BIGINT) AS first_bytes,
   CASE WHEN doc_id = top THEN 'deleted' WHEN doc_id % 13 = 1 OR doc_id % 11 = 3 AND n > 4 THEN 'verified' ELSE 'unchanged' END AS second FROM d, top WHERE doc_id <> top""")
 def artifact_transfer_batch(spark, sf):
-    """All documents as artifacts, some with their first bytes staged already, some with wrong ones: one job for all of them; then every thirteenth has changed and what failed is fetched anew."""
+    """All documents as artifacts, some with their first four bytes staged already, some with wrong ones: one job for all of them; then every thirteenth has changed and what failed is fetched anew.
+
+    Texts of four bytes at most are staged whole, and none of them wrong.
+    """
     source, cache = ArtifactTable(spark, _scratch(spark, "artifacts")), ArtifactCache(spark, _scratch(spark, "cache"))
     whole = B.artifacts(spark, sf).withColumn("artifact_id", F.col("artifact_id").cast("string"))
     source.upsert(whole)
     source.delete(str(B.table(spark, sf, "documents").agg(F.max("doc_id")).first()[0]))
     k = F.col("artifact_id").cast("bigint")
-    begun = source.manifests().filter(((k % 11 == 3) | (k % 7 == 2)) & (F.col("length") > 4)).join(whole, "artifact_id")
-    first = F.when(k % 11 == 3, F.lit(b"\x00\x01\x02\x03")).otherwise(F.substring("payload", 1, 4))
+    begun = source.manifests().filter(((k % 11 == 3) | (k % 7 == 2)) & (F.col("length") > 0)).join(whole, "artifact_id")
+    first = F.when((k % 11 == 3) & (F.col("length") > 4), F.lit(b"\x00\x01\x02\x03")).otherwise(F.substring("payload", 1, 4))
     marks = {"version": F.lit(1).cast("bigint"), "offset": F.lit(None).cast("bigint"), "bytes": F.lit(None).cast("binary")}
     manifests = begun.withColumns(marks).withColumn("kind", F.lit("manifest"))
     chunks = begun.withColumns(marks | {"offset": F.lit(0).cast("bigint"), "bytes": first}).withColumn("kind", F.lit("chunk"))
