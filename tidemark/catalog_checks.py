@@ -340,11 +340,11 @@ def _cache(spark) -> passes.CatalogueCache:
 
 @_register("catalogue_pass_cached", f"WITH {_FOLD}, {_state_sql('c')} SELECT entry_id, creation, revision, deleted, payload FROM c")
 def catalogue_pass_cached(spark, sf):
-    """A finite pass over the whole catalogue in pages of 256 at most, each validated and committed with its cursor."""
+    """A finite pass over the whole catalogue in pages of 256 at most, each validated; those of a round are staged in one plan and committed with the cursor of the last."""
     table, cache = _source(spark, sf), _cache(spark)
     going = passes.begin_or_resume(_SCOPE, _ALLOW, table, cache)
     while going and going.active:
-        going = passes.apply_next_page(going, 256, _ALLOW, table, cache)
+        going = passes.apply_pages(going, 256, _ALLOW, table, cache)
     return _told(cache.entries())
 
 

@@ -53,16 +53,21 @@ def as_of(mutations: DataFrame, boundary: int) -> DataFrame:
     return current(mutations.filter(F.col("revision") <= boundary))
 
 
-def manifest(entries: DataFrame, boundary: int, completed: int, cursor: tuple[int, str] | None, limit: int) -> DataFrame:
-    """A keyset page of descriptors, without payloads, in (creation, id) order; one row more than ``limit`` proves that more follow."""
-    if not 0 < limit <= MAX_CATALOGUE_ENTRIES:
-        raise Refusal("InvalidRequest")
+def shown(entries: DataFrame, boundary: int, completed: int, cursor: tuple[int, str] | None) -> DataFrame:
+    """Descriptors, without payloads, of all entries that a pass has still to see."""
     rows = entries.filter((F.col("creation") <= boundary) & (F.col("revision") > completed))
     if "visible" in entries.columns:
         rows = rows.filter("visible")
     if cursor:
         rows = rows.filter((F.col("creation") > cursor[0]) | ((F.col("creation") == cursor[0]) & (F.col("entry_id") > cursor[1])))
-    return rows.select("entry_id", "creation", "revision", "deleted").orderBy("creation", "entry_id").limit(limit + 1)
+    return rows.select("entry_id", "creation", "revision", "deleted")
+
+
+def manifest(entries: DataFrame, boundary: int, completed: int, cursor: tuple[int, str] | None, limit: int) -> DataFrame:
+    """A keyset page of descriptors in (creation, id) order; one row more than ``limit`` proves that more follow."""
+    if not 0 < limit <= MAX_CATALOGUE_ENTRIES:
+        raise Refusal("InvalidRequest")
+    return shown(entries, boundary, completed, cursor).orderBy("creation", "entry_id").limit(limit + 1)
 
 
 def manifest_page(probe: DataFrame, limit: int) -> DataFrame:

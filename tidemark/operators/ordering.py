@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 BUCKET = 1 << 16
 
 
-def with_rank(df: DataFrame, order: str, name: str, width: int = BUCKET, only: Column | None = None) -> DataFrame:
-    """Number all rows from 1 by an integer column without ties; with ``only``, those rows: others get the number of the last before them.
+def with_rank(df: DataFrame, order: str, name: str, width: int = BUCKET, only: Column | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    """Number all rows from 1 by an integer column without ties, or with ties that the columns ``then`` decide; with ``only``, those rows: others get the number of the last before them.
 
     Only the bucket counts, a row for each ``width`` numbers, are summed in one task.
     """
@@ -24,7 +24,7 @@ def with_rank(df: DataFrame, order: str, name: str, width: int = BUCKET, only: C
     counts = rows.groupBy("__bucket").agg(F.count(counted).alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    own = Window.partitionBy("__bucket").orderBy(order)
+    own = Window.partitionBy("__bucket").orderBy(order, *then)
     inside = F.row_number().over(own) if only is None else F.count(counted).over(own.rowsBetween(Window.unboundedPreceding, 0))
     ranked = rows.withColumn("__in", inside).join(offsets, "__bucket")
     return ranked.withColumn(name, (F.col("__offset") + F.col("__in")).cast("bigint")).drop("__bucket", "__in", "__offset")

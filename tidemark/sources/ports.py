@@ -43,6 +43,9 @@ class CatalogueSource(Protocol):
     def manifest_page(self, boundary: int, completed: int, cursor: tuple[int, str] | None, limit: int, at: Any = None) -> tuple[list, int]:
         """At most ``limit`` + 1 descriptors in (creation, id) order, and how many files or ranges were read for them."""
 
+    def manifest_span(self, boundary: int, completed: int, cursor: tuple[int, str] | None, rows: int, at: Any = None) -> DataFrame:
+        """Descriptors of all entries of a range after the cursor, in no order: at least ``rows``, unless they end before."""
+
     def states(self, low: int, high: int, at: Any = None) -> tuple[DataFrame, DataFrame]:
         """Entries and proofs whose creations are in low to high."""
 
@@ -54,8 +57,10 @@ class CatalogueStore(Protocol):
 
     def entries_between(self, low: int, high: int, at: Any = None) -> DataFrame: ...
 
-    def save(self, expected: Any, after: Any, rows: DataFrame | None = None, replace_rows: bool = False, horizon: int | None = None, recovery: dict | None = None) -> Any:
-        """Progress, rows, horizon and the phase of a recovery in one commit, if progress is as expected."""
+    def save(
+        self, expected: Any, after: Any, rows: DataFrame | None = None, replace_rows: bool = False, horizon: int | None = None, recovery: dict | None = None, few: bool = True
+    ) -> Any:
+        """Progress, rows, horizon and the phase of a recovery in one commit, if progress is as expected. ``few``: the rows are a page at most."""
 
 
 class RecoveryStore(CatalogueStore, Protocol):

@@ -384,6 +384,17 @@ class CatalogueTable(_Pinned):
                 return found[: limit + 1], opened
             after, want = bound, want * 4
 
+    def manifest_span(self, boundary: int, completed: int, cursor: tuple[int, str] | None, rows: int, at: Snapshot | None = None) -> DataFrame:
+        """Descriptors of all entries of a range after ``cursor``, in no order: at least ``rows``, unless they end before."""
+        at = at or self.log.snapshot()
+        want = rows
+        while True:
+            states, bound, _ = self.log.onward(at, cursor[0] - 1 if cursor else 0, want, above=completed)
+            found = catalogue.shown(self._newest(states).filter("NOT retired"), boundary, completed, cursor)
+            if bound is None or bound >= boundary or found.count() >= rows:
+                return found
+            want *= 4
+
     def states(self, low: int, high: int, at: Snapshot | None = None) -> tuple[DataFrame, DataFrame]:
         """Entries and proofs whose creations are in low to high."""
         now = self._newest(self.log.between(at or self.log.snapshot(), low - 1, high))
