@@ -113,3 +113,41 @@ def test_head_must_be_readable(spark, tmp_path):
     refused("WrongBinding", EpochReplica(replica, "auth", reader=4).observe, replace(head, scope=OTHER))
     refused("UnsupportedVersion", EpochReplica(replica, "auth", reader=4).observe, replace(head, value=replace(head.value, version=9)))
     assert EpochReplica(replica, "auth").floor == 0 and EpochReplica(replica, "auth", reader=4).observe(head) == 1
+
+
+def _pass(states, spark, path, head, step, **more):
+    """Cache and refusal of a pass in pages of 4."""
+    cache = passes.CatalogueCache(CommitLog(spark, path, "catalogue-cache", ENTRIES))
+    source = CatalogueView(spark, states, SCOPE, head)
+    going = passes.begin_or_resume(SCOPE, ALLOW, source, cache)
+    try:
+        while going.active:
+            going = step(going, 4, ALLOW, source, cache, **more)
+    except Refusal as e:
+        return cache, e.code
+    return cache, None
+
+
+def test_many_pages_in_one_plan(spark, tmp_path):
+    """Rounds of pages end as the pages one by one do, in fewer commits."""
+    rows = [(f"e{k:02d}", k * k, k * k, k % 5 == 0, None if k % 5 == 0 else bytearray(b"v"), k not in (10, 15)) for k in range(1, 25)]
+    rows += [("a-tie", 400, 401, False, bytearray(b"v"), True)]  # one creation twice, at the end of a page
+    states = spark.createDataFrame(rows, ENTRIES)
+    told = lambda cache: sorted(tuple(r) for r in cache.entries().drop("payload").collect())
+    one, _ = _pass(states, spark, f"{tmp_path}/one", 576, passes.apply_next_page)
+    many, refusal = _pass(states, spark, f"{tmp_path}/many", 576, passes.apply_pages, pages=3)
+    assert refusal is None and told(many) == told(one) and many.progress() == one.progress()
+    assert (one.log.snapshot().version, many.log.snapshot().version) == (7, 3)  # the begin, then six pages or two rounds
+
+
+@pytest.mark.parametrize("odd, code", [
+    (("e10", 10, 10, False, bytearray(b"x" * 99), True), "OversizedEntry"), (("e10", 10, 10, True, bytearray(b"x"), True), "WrongPayload"),
+    (("e10", 10, 9, False, bytearray(b"x"), True), "InvalidOrder"), (("e11", 10, 10, False, bytearray(b"x"), True), "InvalidOrder"),
+])
+def test_pages_before_a_refused_one_are_kept(spark, tmp_path, odd, code):
+    """The third page of five is refused; the two before it are in the cache, with their cursor, as if each had come alone."""
+    states = spark.createDataFrame([odd if k == 10 else (f"e{k:02d}", k, k, False, bytearray(b"v"), True) for k in range(1, 21)], ENTRIES)
+    one, first = _pass(states, spark, f"{tmp_path}/one", 20, passes.apply_next_page, max_bytes=50)
+    many, second = _pass(states, spark, f"{tmp_path}/many", 20, passes.apply_pages, max_bytes=50)
+    assert first == second == code
+    assert many.progress() == one.progress() and many.progress().active.cursor == (8, "e08") and many.count() == one.count() == 8

@@ -359,7 +359,7 @@ def catalogue_pass_view(spark, sf):
     source, cache = CatalogueView(spark, table, _SCOPE, head), _cache(spark)
     going = passes.begin_or_resume(_SCOPE, _ALLOW, source, cache)
     while going and going.active:
-        going = passes.apply_next_page(going, 256, _ALLOW, source, cache)
+        going = passes.apply_pages(going, 256, _ALLOW, source, cache)
     return _told(cache.entries())
 
 

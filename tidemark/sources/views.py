@@ -87,5 +87,14 @@ class CatalogueView:
             self._width = 2 * (found[limit]["creation"] - begin + 1)
         return found[: limit + 1], ranges
 
+    def manifest_span(self, boundary: int, completed: int, cursor: tuple[int, str] | None, rows: int, at: None = None) -> DataFrame:
+        low, width = cursor[0] if cursor else 1, rows
+        while True:
+            high = min(low + width - 1, boundary)
+            found = catalogue.shown(self._between(self._states, low, high), boundary, completed, cursor)
+            if high == boundary or found.count() >= rows:
+                return found
+            width *= 4
+
     def states(self, low: int, high: int, at: None = None) -> tuple[DataFrame, DataFrame]:
         return self._between(self._states, low, high), self._between(self._proofs, low, high)
