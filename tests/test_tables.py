@@ -409,3 +409,28 @@ def test_frames(spark, tmp_path):
     refused("FrameTooLarge", frames.encode_frame, bytes((1 << 20) + 1))
     refused("FrameTooLarge", frames.read_frame, io.BytesIO(b"\xff\xff\xff\xff"))
     refused("TruncatedFrame", frames.read_frame, io.BytesIO(b"\0\0\0\5ab"))
+
+
+def test_recovery_enumerates_many_pages_in_a_step(spark, tmp_path):
+    source = CatalogueTable(spark, f"{tmp_path}/c", SCOPE)
+    source.apply(_mutations(spark, [(i, f"item-{i:02d}", False, b"live") for i in range(30)] + [(40 + i, f"item-{i:02d}", True, b"") for i in range(0, 30, 7)]))
+    cache = passes.CatalogueCache(CommitLog(spark, f"{tmp_path}/k", "catalogue-cache", ENTRIES))
+    going, rest = passes.start_fresh_recovery(SCOPE, ALLOW, source, cache)
+    phases = []
+    for again in (False, True):
+        while going:
+            phases.append(going.phase)
+            going, rest = passes.step_recovery(going, rest, 4, ALLOW, source, cache, with_horizon=True, pages=5)
+        assert sorted(tuple(r) for r in cache.entries().collect()) == sorted(tuple(r) for r in source.entries().collect())
+        if not again:
+            going, rest = passes.start_recovery(SCOPE, source.head(), ALLOW, cache)
+            assert rest.count() == 25
+    assert phases == ["enumerate", "enumerate", "reconcile", "finish"] * 2
+
+    # A floor above what the source says refuses the step, whose pages before are kept.
+    behind = spark.createDataFrame([("item-22", 23, 90)], "entry_id string, creation bigint, revision bigint")
+    going, rest = passes.start_recovery(SCOPE, 99, ALLOW, cache, behind)
+    source.apply(_mutations(spark, [(100 + i, "item-01", False, str(i).encode()) for i in range(64)]))
+    going, rest = passes.step_recovery(going, rest, 4, ALLOW, source, cache, pages=9)
+    assert going.progress.active.cursor == (20, "item-19")
+    refused("WrongPayload", passes.step_recovery, going, rest, 4, ALLOW, source, cache, pages=9)

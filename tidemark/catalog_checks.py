@@ -369,10 +369,10 @@ def catalogue_recovered(spark, sf):
     table, cache = _source(spark, sf), _cache(spark)
     going, rest = passes.start_fresh_recovery(_SCOPE, _ALLOW, table, cache)
     while going:
-        going, rest = passes.step_recovery(going, rest, 256, _ALLOW, table, cache)
+        going, rest = passes.step_recovery(going, rest, 256, _ALLOW, table, cache, pages=passes.PAGES)
     passes.start_recovery(_SCOPE, table.head(), _ALLOW, cache)
     while going := passes.CatalogueCache(CommitLog(spark, cache.log.path, "catalogue-cache", ENTRIES)).recovery():
-        passes.step_recovery(going, rest, 256, _ALLOW, table, cache)
+        passes.step_recovery(going, rest, 256, _ALLOW, table, cache, pages=passes.PAGES)
     return _told(cache.entries())
 
 
